@@ -9,6 +9,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
@@ -16,7 +17,7 @@ from corpuslab.sources.tables import TABLES  # noqa: E402
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return "NULL"
     if isinstance(v, (float, np.floating)):
         if math.isnan(v):
