@@ -78,8 +78,8 @@ def synthetic_config(run_col: str = "run") -> list[Column]:
         (F.lit(1) + r % 5).cast("int").alias("k"),
         (F.lit(1) + r % 3).cast("int").alias("chunk_size"),
         (F.lit(3) + 2 * F.expr(f"({run_col} div 5) % 5")).cast("int").alias("inner_layers"),
-        F.shiftleft(F.lit(1), (F.lit(3) + F.expr(f"({run_col} div 2) % 5")).cast("int")).cast("int").alias("block_size"),
-        F.shiftleft(F.lit(1), (F.lit(5) + F.expr(f"({run_col} div 7) % 4")).cast("int")).cast("int").alias("batch_size"),
+        F.expr(f"shiftleft(1, CAST(3 + ({run_col} div 2) % 5 AS INT))").cast("int").alias("block_size"),
+        F.expr(f"shiftleft(1, CAST(5 + ({run_col} div 7) % 4 AS INT))").cast("int").alias("batch_size"),
         _pick(["0.001", "0.005", "0.05"], F.expr(f"({run_col} div 3) % 3")).alias("learning_rate"),
         F.lit("0.8").alias("tinystories_weight"),
         F.col("epoch").cast("int").alias("num_epochs"),

@@ -59,10 +59,9 @@ RUN_EPOCHS = """run_epochs AS (
   FROM steps GROUP BY run, epoch)"""
 
 RUNS = """runs_base AS (
-  SELECT run, arg_max(epoch, epoch) AS epoch, arg_max(avg_loss, epoch) AS avg_loss, arg_max(val_loss, epoch) AS val_loss,
-         arg_max(perplexity, epoch) AS perplexity, arg_max(token_accuracy, epoch) AS token_accuracy,
-         arg_max(max_loss, epoch) AS max_loss, min(first_ts) AS start_ts
-  FROM run_epochs GROUP BY run),
+  SELECT run, epoch, avg_loss, val_loss, perplexity, token_accuracy, max_loss,
+         min(first_ts) OVER (PARTITION BY run) AS start_ts
+  FROM run_epochs QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1),
 runs_cfg AS (
   SELECT *,
     ['kgram_mlp_seq', 'lstm_seq', 'kvcache_transformer', 'deepseek_latent_attention'][run % 4 + 1] AS model_type,

@@ -54,7 +54,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         (F.lit(1) + F.floor((F.dayofmonth("ts") - 1) / 6)).cast("int").alias("epoch"),
         F.when(F.col("event_type") == "view", F.lit("val")).otherwise(F.lit("train")).alias("split"),
-        F.log1p("value").alias("loss"),
+        F.log(F.lit(1.0) + F.col("value")).alias("loss"),
     )
     ranked = exact_rank(ev, ["ts", "event_id"], partition_by=("run", "epoch", "split"), name="step")
     return ranked.select("run", "epoch", "split", "step", "event_id", "ts", "value", "loss")
