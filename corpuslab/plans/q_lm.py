@@ -89,3 +89,206 @@ SELECT lang, CAST(count(*) AS BIGINT) AS tokens, round(avg(nll), 6) AS cross_ent
 FROM sc GROUP BY lang"""
 
 register("lm_eval_by_lang", ORACLE_LM_EVAL_BY_LANG)(lm_eval_by_lang)
+
+
+# ------------------------------------------------------------------ id-based k-gram models
+
+K = 3
+ALPHA = 1.0
+SWEEP_K = [1, 2, 3]
+SWEEP_ALPHA = [0.1, 1.0]
+
+
+def id_split(spark: SparkSession, sf_dir: str):
+    """(doc_id, lang, split, ids) plus the vocabulary size."""
+    voc = views.vocab(spark, sf_dir)
+    v = voc.count()
+    docs = views.documents(spark, sf_dir)
+    split = split_column(docs.select("doc_id"), VAL_FRAC, SEED, "doc_id")
+    ids = views.doc_ids(spark, sf_dir, voc).withColumn("split", split)
+    return ids.persist(StorageLevel.MEMORY_AND_DISK), v
+
+
+def kgram_rows(ids, k: int):
+    """(doc_id, lang, split, pos, ctx string of the k ids ending at pos, nxt id at pos+1)."""
+    g = ids.select("doc_id", "lang", "split", "ids", F.explode(tx.kgram_array("ids", k)).alias("g"))
+    g = g.select("doc_id", "lang", "split", F.col("g.pos").alias("pos"), tx.ids_string("g.ctx").alias("ctx"),
+                 F.element_at("ids", F.col("g.pos") + 1).alias("nxt"), F.size("ids").alias("n_ids"))
+    return g.where(F.col("pos") < F.col("n_ids")).drop("n_ids")
+
+
+def _lag_ctx_sql(k: int) -> str:
+    parts = ["token_id" if j == 0 else f"coalesce(lag(token_id, {j}) OVER w, 0)" for j in range(k - 1, -1, -1)]
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+def _kg_sql(ks) -> str:
+    ctx_cols = ", ".join(f"{_lag_ctx_sql(k)} AS ctx_{k}" for k in ks)
+    return q.with_(q.DOC_TOKS, q.TOK, q.VOCAB, q.split(SEED, VAL_FRAC)) + f""", tok_ids AS (SELECT tok.doc_id, tok.lang, tok.pos, vocab.token_id FROM tok JOIN vocab USING (t)),
+kg AS (SELECT k.*, s.split FROM (
+  SELECT doc_id, lang, pos, {ctx_cols}, lead(token_id) OVER w AS nxt FROM tok_ids
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) k JOIN split_t s USING (doc_id) WHERE nxt IS NOT NULL),
+vsize AS (SELECT count(*) AS v FROM vocab)
+"""
+
+
+@register("kgram_counts", _kg_sql([K]) + "SELECT ctx_3 AS ctx, nxt, count(*) AS n FROM kg WHERE split = 'train' GROUP BY ALL")
+def kgram_counts(spark: SparkSession, sf_dir: str):
+    ids, _ = id_split(spark, sf_dir)
+    return lm.fit_counts(kgram_rows(ids, K).where(F.col("split") == "train"))
+
+
+_KG_MODEL_SQL = _kg_sql([K]) + """, cnt AS (SELECT ctx_3 AS ctx, nxt, count(*) AS n FROM kg WHERE split = 'train' GROUP BY ALL),
+tot AS (SELECT ctx, sum(n) AS C, arg_min(nxt, [-n, nxt]) AS pred FROM cnt GROUP BY ctx),
+sc AS (SELECT kg.doc_id, kg.lang, -ln((coalesce(cnt.n, 0) + 1.0::DOUBLE) / (coalesce(tot.C, 0) + (SELECT v FROM vsize))) AS nll,
+              CASE WHEN coalesce(tot.pred, 1) = kg.nxt THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit
+       FROM kg LEFT JOIN cnt ON cnt.ctx = kg.ctx_3 AND cnt.nxt = kg.nxt LEFT JOIN tot ON tot.ctx = kg.ctx_3 WHERE kg.split = 'val')
+"""
+
+
+def _kg_scored(spark, sf_dir, by):
+    ids, v = id_split(spark, sf_dir)
+    rows = kgram_rows(ids, K)
+    counts = lm.fit_counts(rows.where(F.col("split") == "train"))
+    ctxs = lm.context_table(counts)
+    return lm.score(rows.where(F.col("split") == "val"), counts, ctxs, v, ALPHA, 1, by=by)
+
+
+@register(
+    "kgram_score",
+    _KG_MODEL_SQL + "SELECT doc_id, count(*) AS tokens, round(avg(nll), 6) AS loss FROM sc GROUP BY doc_id",
+)
+def kgram_score(spark: SparkSession, sf_dir: str):
+    s = _kg_scored(spark, sf_dir, ["doc_id"])
+    return finish(s.groupBy("doc_id").agg(F.sum("m").alias("tokens"), (F.sum(F.col("m") * F.col("nll")) / F.sum("m")).alias("loss")))
+
+
+@register(
+    "lm_eval",
+    _KG_MODEL_SQL + """SELECT count(*) AS tokens, round(avg(nll), 6) AS cross_entropy, round(exp(avg(nll)), 2) AS perplexity,
+       round(avg(hit), 6) AS accuracy FROM sc""",
+)
+def lm_eval(spark: SparkSession, sf_dir: str):
+    """Trigram (k=3) model with add-one smoothing: held-out loss, perplexity and accuracy."""
+    return finish(lm.evaluate(_kg_scored(spark, sf_dir, [])).select("tokens", "cross_entropy", "perplexity", "accuracy"), perplexity=2)
+
+
+_ALL_PAIRS_SQL = _BIGRAM_SQL.replace("{train}", "true").replace("{held}", "true")
+
+
+@register(
+    "cross_entropy",
+    _ALL_PAIRS_SQL + "SELECT count(*) AS tokens, round(avg(nll), 6) AS cross_entropy, round(exp(avg(nll)), 2) AS perplexity FROM sc",
+)
+def cross_entropy(spark: SparkSession, sf_dir: str):
+    """Add-one bigram cross-entropy over every next-token pair of the corpus (no split)."""
+    e = bigram_eval(spark, sf_dir, (), split=False)
+    return finish(e.select("tokens", "cross_entropy", "perplexity"), perplexity=2)
+
+
+@register("token_accuracy", _ALL_PAIRS_SQL + "SELECT count(*) AS tokens, round(avg(hit), 6) AS accuracy FROM sc")
+def token_accuracy(spark: SparkSession, sf_dir: str):
+    """Share of pairs whose next token is the bigram argmax (ties -> most frequent token)."""
+    e = bigram_eval(spark, sf_dir, (), split=False)
+    return finish(e.select("tokens", "accuracy"))
+
+
+@register(
+    "kgram_backoff",
+    _kg_sql([3, 2, 1]) + """, c3 AS (SELECT ctx_3 AS ctx, nxt, count(*) AS n FROM kg WHERE split = 'train' GROUP BY ALL),
+c2 AS (SELECT ctx_2 AS ctx, nxt, count(*) AS n FROM kg WHERE split = 'train' GROUP BY ALL),
+c1 AS (SELECT ctx_1 AS ctx, nxt, count(*) AS n FROM kg WHERE split = 'train' GROUP BY ALL),
+t3 AS (SELECT ctx, sum(n) AS C FROM c3 GROUP BY ctx), t2 AS (SELECT ctx, sum(n) AS C FROM c2 GROUP BY ctx),
+t1 AS (SELECT ctx, sum(n) AS C FROM c1 GROUP BY ctx),
+sc AS (SELECT CASE WHEN t3.C > 0 THEN 3 WHEN t2.C > 0 THEN 2 WHEN t1.C > 0 THEN 1 ELSE 0 END AS order_used,
+  CASE WHEN t3.C > 0 THEN coalesce(c3.n, 0) WHEN t2.C > 0 THEN coalesce(c2.n, 0) WHEN t1.C > 0 THEN coalesce(c1.n, 0) ELSE 0 END AS n,
+  coalesce(t3.C, t2.C, t1.C, 0) AS C
+  FROM kg LEFT JOIN c3 ON c3.ctx = kg.ctx_3 AND c3.nxt = kg.nxt LEFT JOIN t3 ON t3.ctx = kg.ctx_3
+          LEFT JOIN c2 ON c2.ctx = kg.ctx_2 AND c2.nxt = kg.nxt LEFT JOIN t2 ON t2.ctx = kg.ctx_2
+          LEFT JOIN c1 ON c1.ctx = kg.ctx_1 AND c1.nxt = kg.nxt LEFT JOIN t1 ON t1.ctx = kg.ctx_1
+  WHERE kg.split = 'val')
+SELECT order_used, count(*) AS tokens, round(avg(-ln((n + 1.0::DOUBLE) / (C + (SELECT v FROM vsize)))), 6) AS loss FROM sc GROUP BY order_used""",
+)
+def kgram_backoff(spark: SparkSession, sf_dir: str):
+    """Back-off 3 -> 2 -> 1: each held-out token is scored by its longest context seen in training."""
+    ids, v = id_split(spark, sf_dir)
+    rows = None
+    for k in (3, 2, 1):
+        r = kgram_rows(ids, k).select("doc_id", "pos", "split", "nxt", F.col("ctx").alias(f"ctx_{k}"))
+        rows = r if rows is None else rows.join(r.drop("split", "nxt"), ["doc_id", "pos"])
+    models = {}
+    for k in (3, 2, 1):
+        c = lm.fit_counts(rows.where(F.col("split") == "train"), ctx=f"ctx_{k}")
+        models[k] = (c, c.groupBy("ctx").agg(F.sum("n").alias("C")))
+    s = lm.backoff_score(rows.where(F.col("split") == "val"), models, v, ALPHA)
+    return finish(s.groupBy("order_used").agg(F.sum("m").alias("tokens"), (F.sum(F.col("m") * F.col("nll")) / F.sum("m")).alias("loss")))
+
+
+def _sweep_sql() -> str:
+    ctxs = " UNION ALL ".join(f"SELECT {k} AS k, ctx_{k} AS ctx, nxt, split FROM kg" for k in SWEEP_K)
+    alphas = ", ".join(str(a) for a in SWEEP_ALPHA)
+    return _kg_sql(SWEEP_K) + f""", kl AS ({ctxs}),
+cnt AS (SELECT k, ctx, nxt, count(*) AS n FROM kl WHERE split = 'train' GROUP BY ALL),
+tot AS (SELECT k, ctx, sum(n) AS C FROM cnt GROUP BY ALL),
+ho AS (SELECT kl.k, coalesce(cnt.n, 0) AS n, coalesce(tot.C, 0) AS C FROM kl
+       LEFT JOIN cnt ON cnt.k = kl.k AND cnt.ctx = kl.ctx AND cnt.nxt = kl.nxt LEFT JOIN tot ON tot.k = kl.k AND tot.ctx = kl.ctx
+       WHERE kl.split = 'val'),
+ev AS (SELECT k, alpha, count(*) AS tokens, avg(-ln((n + alpha) / (C + alpha * (SELECT v FROM vsize)))) AS loss
+       FROM ho, (SELECT unnest([{alphas}]) AS alpha) a GROUP BY k, alpha)
+SELECT CAST(k AS INTEGER) AS k, alpha, tokens, round(loss, 6) AS loss, round(exp(loss), 2) AS perplexity,
+       row_number() OVER (ORDER BY loss, k, alpha) = 1 AS best FROM ev"""
+
+
+@register("lm_sweep", _sweep_sql())
+def lm_sweep(spark: SparkSession, sf_dir: str):
+    """Fit and evaluate every (k, alpha) of a grid in one pass: each position is exploded into
+    one row per order k, so all orders share one aggregation keyed by (k, ctx, nxt)."""
+    ids, v = id_split(spark, sf_dir)
+    base = ids.select("doc_id", "split", "ids", F.explode(tx.kgram_array("ids", max(SWEEP_K))).alias("g"))
+    base = base.where(F.col("g.pos") < F.size("ids")).select(
+        "split", F.col("g.ctx").alias("full"), F.element_at("ids", F.col("g.pos") + 1).alias("nxt")
+    )
+    kl = base.select("split", "nxt", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), tx.ids_string(F.slice("full", max(SWEEP_K) - k + 1, k)).alias("ctx")) for k in SWEEP_K
+    ])).alias("kc")).select("split", "nxt", "kc.k", "kc.ctx")
+    cnt = kl.where(F.col("split") == "train").groupBy("k", "ctx", "nxt").agg(F.count(F.lit(1)).alias("n"))
+    tot = cnt.groupBy("k", "ctx").agg(F.sum("n").alias("C"))
+    ho = kl.where(F.col("split") == "val").groupBy("k", "ctx", "nxt").agg(F.count(F.lit(1)).alias("m"))
+    s = ho.join(cnt, ["k", "ctx", "nxt"], "left").join(tot, ["k", "ctx"], "left").na.fill(0, ["n", "C"])
+    s = s.select("k", "m", "n", "C", F.explode(F.array(*[F.lit(a) for a in SWEEP_ALPHA])).alias("alpha"))
+    nll = -F.log((F.col("n") + F.col("alpha")) / (F.col("C") + F.col("alpha") * F.lit(float(v))))
+    ev = s.groupBy("k", "alpha").agg(F.sum("m").alias("tokens"), (F.sum(F.col("m") * nll) / F.sum("m")).alias("loss"))
+    ev = ev.withColumn("perplexity", F.exp("loss"))
+    best = ev.orderBy("loss", "k", "alpha").select("k", "alpha").first()
+    ev = ev.withColumn("best", (F.col("k") == best["k"]) & (F.col("alpha") == best["alpha"]))
+    return finish(ev.select(F.col("k").cast("int").alias("k"), "alpha", "tokens", "loss", "perplexity", "best"), perplexity=2)
+
+
+@register(
+    "ppmi",
+    q.with_(q.DOC_TOKS, q.PAIRS) + """, pc AS (SELECT t AS a, nxt AS b, count(*) AS n_ab FROM pairs GROUP BY ALL),
+l AS (SELECT a, sum(n_ab) AS n_a FROM pc GROUP BY a), r AS (SELECT b, sum(n_ab) AS n_b FROM pc GROUP BY b),
+nt AS (SELECT sum(n_ab)::DOUBLE AS N FROM pc)
+SELECT pc.a, pc.b, pc.n_ab, round(greatest(ln(pc.n_ab * (SELECT N FROM nt) / (l.n_a * r.n_b)), 0.0), 6) AS ppmi
+FROM pc JOIN l USING (a) JOIN r USING (b)""",
+)
+def ppmi(spark: SparkSession, sf_dir: str):
+    p = tt_pairs(spark, sf_dir)
+    return finish(lm.ppmi(p))
+
+
+def tt_pairs(spark, sf_dir):
+    from corpuslab.operators import text as tt
+
+    return tt.next_pairs(views.doc_tokens(spark, sf_dir))
+
+
+@register("word2vec")
+def word2vec(spark: SparkSession, sf_dir: str):
+    """Learned token vectors (Spark ML Word2Vec over the whole-text token arrays): one row per
+    token of the model vocabulary."""
+    from pyspark.ml.feature import Word2Vec
+
+    arr = views.doc_tokens(spark, sf_dir)
+    model = Word2Vec(vectorSize=32, minCount=5, seed=42, inputCol="toks", outputCol="v", maxIter=1).fit(arr)
+    return model.getVectors().select(F.col("word").alias("t"))
