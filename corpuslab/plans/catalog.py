@@ -32,7 +32,9 @@ def finish(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             d = per_column.get(f.name, digits)
-            cols.append(F.round(F.col(f.name).cast("double"), d).alias(f.name))
+            scale = F.lit(float(10 ** d))
+            # scale, round half away from zero, unscale: the same double as SQL round(x, d)
+            cols.append((F.round(F.col(f.name).cast("double") * scale, 0) / scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
