@@ -9,19 +9,33 @@ from corpuslab.functions.hashing import draw
 from corpuslab.operators.ranking import broadcast_if_small, exact_rank
 
 
+HIST_BUCKETS = 4096
+
+
 def split_column(df: DataFrame, frac: float, seed, key: str = "doc_id"):
     """Exact-count random split as a column expression: the ``int(frac*n)`` rows with the
-    smallest (u(seed,key), key) are 'val', the rest 'train'. Only the cut point (one row)
-    travels to the driver, so the split is applied to any DataFrame carrying ``key`` without
-    a join."""
-    n = df.count()
+    smallest (u(seed,key), key) are 'val', the rest 'train'.
+
+    The cut is found without ranking every row: a histogram of u over 4096 equal buckets
+    (one aggregation, 4096 rows to the driver) locates the bucket holding the cut, and only
+    that bucket (about n/4096 rows, uniform by construction of u) is ordered to read the cut
+    row. The split is then a column predicate, applied to any DataFrame carrying ``key``
+    without a join."""
+    u = draw(seed, key)
+    hist = df.select(F.floor(u * HIST_BUCKETS).cast("int").alias("b")).groupBy("b").count().collect()
+    n = sum(r["count"] for r in hist)
     n_val = int(frac * n)
     if n_val <= 0:
         return F.lit("train")
-    keyed = df.select(key, draw(seed, key).alias("_u"))
-    ranked = exact_rank(keyed, ["_u", key], name="_r")
-    cut = ranked.where(F.col("_r") == n_val).select("_u", key).first()
-    u = draw(seed, key)
+    cum = 0
+    target, need = None, None
+    for r in sorted(hist, key=lambda r: r["b"]):
+        if cum + r["count"] >= n_val:
+            target, need = r["b"], n_val - cum
+            break
+        cum += r["count"]
+    in_bucket = df.select(key, u.alias("_u")).where(F.floor(F.col("_u") * HIST_BUCKETS).cast("int") == target)
+    cut = in_bucket.orderBy("_u", key).offset(need - 1).limit(1).first()
     is_val = (u < F.lit(cut["_u"])) | ((u == F.lit(cut["_u"])) & (F.col(key) <= F.lit(cut[key])))
     return F.when(is_val, F.lit("val")).otherwise(F.lit("train"))
 

@@ -36,16 +36,22 @@ def _pairs(arr: DataFrame) -> DataFrame:
 
 
 def bigram_eval(spark: SparkSession, sf_dir: str, by=("lang",), alpha: float = 1.0, split: bool = True) -> DataFrame:
+    """Add-alpha bigram model over token strings. All pairs are aggregated once by
+    (split, group, ctx, nxt) - the only pass over the 'token-sized' data - and that
+    aggregate feeds the training counts, the context totals and the held-out scoring."""
     arr = split_tokens(spark, sf_dir)
     counts_all = _token_counts(arr)
-    v = counts_all.count()
-    top = lm.top_token(counts_all)
-    pairs = _pairs(arr)
-    train = pairs.where(F.col("split") == "train") if split else pairs
-    held = pairs.where(F.col("split") == "val") if split else pairs
-    counts = lm.fit_counts(train)
-    ctxs = lm.context_table(counts, lm.token_order(counts_all))
-    scored = lm.score(held, counts, ctxs, v, alpha, top, by=list(by))
+    stats = counts_all.agg(
+        F.count(F.lit(1)).alias("v"), F.min_by("t", F.struct((-F.col("c")).alias("a"), F.col("t").alias("b"))).alias("top")
+    ).first()
+    v, top = stats["v"], stats["top"]
+    keys = ["split", *by] if split else list(by)
+    agg = _pairs(arr).groupBy(*keys, "ctx", "nxt").agg(F.count(F.lit(1)).alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+    train = agg.where(F.col("split") == "train") if split else agg
+    held = agg.where(F.col("split") == "val") if split else agg
+    counts = train.groupBy("ctx", "nxt").agg(F.sum("m").alias("n"))
+    ctxs = lm.context_table(counts, lm.token_order(counts_all), order_rows=v)
+    scored = lm.score(held, counts, ctxs, v, alpha, top, by=list(by), weight="m")
     return lm.evaluate(scored, list(by))
 
 

@@ -11,4 +11,12 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan a table. When the files yield fewer input splits than the cluster has cores (one
+    small file with a single row group), spread the rows round-robin over the cores so that
+    per-row work (regex tokenisation, array math) is not serialised in one task. On large
+    inputs there are already more splits than cores and this is a no-op (no extra shuffle)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
