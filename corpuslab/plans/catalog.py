@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("q_text", "q_sampling", "q_runlog", "q_stats", "q_lm", "q_decode", "q_vectors", "q_sources")
+MODULES = ("q_text", "q_sampling", "q_runlog", "q_stats", "q_lm", "q_decode", "q_vectors", "q_sources", "q_streams")
 
 
 def register(name: str, sql: str | None = None):
