@@ -167,3 +167,14 @@ def parse_runs(names: DataFrame, name_col: str = "config_name", lenient: bool =
 def skip_existing(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Left-anti on the key. The done-set is a key list: broadcast when small."""
     return planned.join(broadcast_if_small(done.select(key).distinct()), key, "left_anti")
+
+
+def dedup_columns(df: DataFrame) -> DataFrame:
+    """Drop repeated column names, first occurrence wins (schema-level, no data movement)."""
+    seen, keep = set(), []
+    for i, name in enumerate(df.columns):
+        if name not in seen:
+            seen.add(name)
+            keep.append(i)
+    renamed = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return renamed.select(*[F.col(f"_c{i}").alias(df.columns[i]) for i in keep])

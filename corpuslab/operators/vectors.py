@@ -110,6 +110,8 @@ def cosine_knn(queries: DataFrame, table: DataFrame, n: int = 5, drop: str = "se
     never collected."""
     spark = table.sparkSession
     keep = n + 1
+    queries = queries.where(F.col(vec_col).isNotNull())  # rows without vectors are skipped
+    table = table.where(F.col(vec_col).isNotNull())
     q = queries.select(F.col(id_col).alias("qid"), l2_normalize(vec_col).alias("qv"))
     nq = q.count()
     n_blocks = max(1, -(-nq // block))

@@ -298,3 +298,36 @@ def word2vec(spark: SparkSession, sf_dir: str):
     arr = views.doc_tokens(spark, sf_dir)
     model = Word2Vec(vectorSize=32, minCount=5, seed=42, inputCol="toks", outputCol="v", maxIter=1).fit(arr)
     return model.getVectors().select(F.col("word").alias("t"))
+
+
+LAST_BATCH = 16
+
+
+@register(
+    "token_accuracy_last_batch",
+    _BIGRAM_SQL.replace("{train}", "split = 'train'").replace("{held}", "split = 'train'").replace(
+        "ho AS (SELECT lang, t AS ctx, nxt FROM ps WHERE split = 'train')",
+        f"""sh AS (SELECT doc_id, row_number() OVER (ORDER BY {q.draw_sql(SEED, "'1'", 'doc_id')}, doc_id) AS rk FROM split_t WHERE split = 'train'),
+lastb AS (SELECT doc_id FROM sh WHERE (rk - 1) // {LAST_BATCH} = (SELECT max((rk - 1) // {LAST_BATCH}) FROM sh)),
+ho AS (SELECT lang, t AS ctx, nxt FROM ps WHERE split = 'train' AND doc_id IN (SELECT doc_id FROM lastb))""",
+    )
+    + "SELECT count(*) AS tokens, round(avg(hit), 6) AS accuracy FROM sc",
+)
+def token_accuracy_last_batch(spark: SparkSession, sf_dir: str):
+    """Argmax accuracy measured, as the reference logs it, on the last training batch of the
+    epoch only (epoch-1 shuffle of the training documents, batches of 16)."""
+    from corpuslab.operators import sampling as sm
+
+    arr = split_tokens(spark, sf_dir)
+    counts_all = _token_counts(arr)
+    stats = counts_all.agg(F.count(F.lit(1)).alias("v"), F.min_by("t", F.struct((-F.col("c")).alias("a"), F.col("t").alias("b"))).alias("top")).first()
+    train_docs = arr.where(F.col("split") == "train").select("doc_id").withColumn("epoch", F.lit(1))
+    b = sm.batches(sm.shuffle_rank(train_docs, SEED, "epoch", "doc_id"), LAST_BATCH)
+    last_id = b.agg(F.max("batch_id")).first()[0]
+    last_docs = b.where(F.col("batch_id") == last_id).select("doc_id")
+    pairs = _pairs(arr).where(F.col("split") == "train")
+    counts = lm.fit_counts(pairs)
+    ctxs = lm.context_table(counts, lm.token_order(counts_all), order_rows=stats["v"])
+    held = pairs.join(F.broadcast(last_docs), "doc_id", "left_semi")  # one batch of documents: bounded
+    e = lm.evaluate(lm.score(held, counts, ctxs, stats["v"], 1.0, stats["top"]))
+    return finish(e.select("tokens", "accuracy"))

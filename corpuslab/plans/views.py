@@ -43,11 +43,10 @@ def doc_ids(spark: SparkSession, sf_dir: str, voc: DataFrame | None = None) -> D
     return meta.join(ids, "doc_id", "inner")
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> steps: run = user_id, epoch = 6-day block of the month (1..5), 'view' events
-    are validation steps, step = position inside (run, epoch, split) by (ts, event_id),
-    loss = ln(1 + value)."""
-    ev = table(spark, sf_dir, "events").select(
+def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> step rows without their position: run = user_id, epoch = 6-day block of the
+    month (1..5), 'view' events are validation steps, loss = ln(1 + value)."""
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"),
         "event_id",
         "ts",
@@ -56,12 +55,19 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "view", F.lit("val")).otherwise(F.lit("train")).alias("split"),
         F.log(F.lit(1.0) + F.col("value")).alias("loss"),
     )
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step rows + step = position inside (run, epoch, split) by (ts, event_id) - a skew-safe
+    exact rank (a run may hold a large share of all events)."""
+    ev = step_rows(spark, sf_dir)
     ranked = exact_rank(ev, ["ts", "event_id"], partition_by=("run", "epoch", "split"), name="step")
     return ranked.select("run", "epoch", "split", "step", "event_id", "ts", "value", "loss")
 
 
 def run_epochs(spark: SparkSession, sf_dir: str, st: DataFrame | None = None) -> DataFrame:
-    st = st if st is not None else steps(spark, sf_dir)
+    """One row per (run, epoch): a plain aggregation of the step rows (positions not needed)."""
+    st = st if st is not None else step_rows(spark, sf_dir)
     train = F.col("split") == "train"
     return st.groupBy("run", "epoch").agg(
         F.sum(F.when(train, 1).otherwise(0)).cast("bigint").alias("n_train"),

@@ -68,3 +68,11 @@ def test_config_name_roundtrip(spark):
     named = df.withColumn("config_name", sc.config_name())
     ok, bad = rl.parse_runs(named.select("config_name"))
     assert bad.count() == 0 and ok.first()["k"] == 1
+
+
+def test_dedup_columns_first_wins(spark):
+    a = spark.createDataFrame([(1, "x")], "k long, v string")
+    b = spark.createDataFrame([(1, "y")], "k long, v string")
+    j = a.join(b, a["k"] == b["k"])
+    d = rl.dedup_columns(j)
+    assert d.columns == ["k", "v"] and d.first()["v"] == "x"
