@@ -46,19 +46,52 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return g.select("a", "b", "n", F.when(ok, F.try_divide(num, den)).alias("corr"))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], v: str, probs=(0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
-    """Per-group quantiles with linear interpolation (exact) or the approximate sketch."""
-    fn = (lambda c: F.percentile(c, list(probs))) if exact else (lambda c: F.percentile_approx(c, list(probs), 10000))
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), fn(_d(v)).alias("q"))
-    return g.select(*by, "n", *[F.col("q")[i].alias(f"q{int(p * 100)}") for i, p in enumerate(probs)])
+# Largest group whose values an exact in-memory percentile may hold; above it ranks are used.
+QUANTILE_MAX_ROWS = 1_000_000
+
+
+def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    g = df.groupBy(*by).count() if by else df.groupBy().count()
+    return g.agg(F.max("count")).first()[0] or 0
+
+
+def quantiles(df: DataFrame, by: Sequence[str], v: str, probs=(0.25, 0.5, 0.75), exact: bool = True,
+              in_memory_max: int = QUANTILE_MAX_ROWS) -> DataFrame:
+    """Per-group quantiles with linear interpolation (exact), or the approximate sketch.
+
+    Exact quantiles use Spark's in-memory ``percentile`` only when the largest group is under
+    ``in_memory_max`` rows (measured first); otherwise each group is ranked with the skew-safe
+    exact rank and the two order statistics around every quantile position are joined back -
+    no group is ever held in one task."""
+    data = df.where(F.col(v).isNotNull())
+    names = [f"q{int(round(p * 100))}" for p in probs]
+    if not exact:
+        g = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(_d(v), list(probs), 10000).alias("q"))
+        return g.select(*by, "n", *[F.col("q")[i].alias(nm) for i, nm in enumerate(names)])
+    if _largest_group(data, by) <= in_memory_max:
+        g = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile(_d(v), list(probs)).alias("q"))
+        return g.select(*by, "n", *[F.col("q")[i].alias(nm) for i, nm in enumerate(names)])
+    from corpuslab.operators.ranking import exact_rank
+
+    ranked = exact_rank(data.select(*by, _d(v).alias("_v")), ["_v"], partition_by=tuple(by), name="_r")
+    sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    targets = sizes.select(*by, "n", F.explode(F.array(*[
+        F.struct(F.lit(nm).alias("name"), (F.lit(p) * (F.col("n") - 1) + 1).alias("h")) for nm, p in zip(names, probs)
+    ])).alias("q")).select(*by, "n", "q.name", "q.h", F.floor("q.h").cast("bigint").alias("lo"), F.ceil("q.h").cast("bigint").alias("hi"))
+    lo = ranked.select(*by, F.col("_r").alias("lo"), F.col("_v").alias("v_lo"))
+    hi = ranked.select(*by, F.col("_r").alias("hi"), F.col("_v").alias("v_hi"))
+    j = targets.join(lo, [*by, "lo"]).join(hi, [*by, "hi"])
+    val = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
+    piv = j.groupBy(*by, "n").pivot("name", names).agg(F.first(val))
+    return piv.select(*by, "n", *names)
 
 
 def median_order(df: DataFrame, by: str, v: str) -> DataFrame:
     """Exact group medians, groups ordered by median (ties by group)."""
-    med = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile(_d(v), 0.5).alias("median"))
-    # one row per group: the ordering window runs over the (small) group table
+    med = quantiles(df, [by], v, (0.5,)).withColumnRenamed("q50", "median")
     from pyspark.sql import Window
 
+    # one row per group: the ordering window runs over the (small) group table
     return med.withColumn("ord", F.row_number().over(Window.orderBy("median", by)))
 
 
@@ -115,13 +148,15 @@ def data_range(df: DataFrame, c: str) -> tuple[float, float]:
 
 
 def describe_by(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
+    """count / min / median / mean / max per group (medians through ``quantiles``)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for m in metrics:
-        aggs += [
-            F.min(_d(m)).alias(f"{m}_min"), F.percentile(_d(m), 0.5).alias(f"{m}_median"),
-            F.avg(_d(m)).alias(f"{m}_mean"), F.max(_d(m)).alias(f"{m}_max"),
-        ]
-    return df.groupBy(by).agg(*aggs)
+        aggs += [F.min(_d(m)).alias(f"{m}_min"), F.avg(_d(m)).alias(f"{m}_mean"), F.max(_d(m)).alias(f"{m}_max")]
+    out = df.groupBy(by).agg(*aggs)
+    for m in metrics:
+        med = quantiles(df, [by], m, (0.5,)).select(by, F.col("q50").alias(f"{m}_median"))
+        out = out.join(med, by, "left")
+    return out
 
 
 # ----------------------------------------------------------------------------------- OLS

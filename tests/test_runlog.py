@@ -18,9 +18,27 @@ def test_partial_loss_fixture(spark):
 
 def test_interval_trigger_fixture(spark):
     secs = [0, 10, 59, 61, 100, 125]
-    df = spark.createDataFrame([(1, i, float(s)) for i, s in enumerate(secs)], "user_id long, event_id long, t double")
-    out = rl.interval_trigger(df, "user_id", F.col("t"), 60.0).orderBy("t").collect()
-    assert [r["t"] for r in out] == [0.0, 61.0, 125.0]
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(secs)], "user_id long, event_id long, t long")
+    out = rl.interval_trigger(df, "user_id", F.col("t"), 60).orderBy("t").collect()
+    assert [r["t"] for r in out] == [0, 61, 125]
+    dbl = rl.interval_trigger(df, "user_id", F.col("t"), 60, fold_max_rows=0).orderBy("t").collect()
+    assert [r["t"] for r in dbl] == [0, 61, 125]
+
+
+def test_interval_trigger_doubling_matches_fold(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for user in range(3):
+        t = 0
+        for i in range(200 if user == 0 else 20):
+            t += rnd.choice([1, 5, 20, 60, 61])
+            rows.append((user, user * 1000 + i, t))
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t long")
+    a = sorted(tuple(r) for r in rl.interval_trigger(df, "user_id", F.col("t"), 60).collect())
+    b = sorted(tuple(r) for r in rl.interval_trigger(df, "user_id", F.col("t"), 60, fold_max_rows=0).collect())
+    assert a == b and len(a) > 10
 
 
 def test_merge_last_wins_fixture(spark):

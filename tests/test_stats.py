@@ -76,3 +76,14 @@ def test_box_stats_quartiles(spark):
     q = np.percentile(vals, [25, 50, 75])
     assert (r["q25"], r["q50"], r["q75"]) == tuple(q) and r["hi_whisker"] == 4.0 and r["n_outliers"] == 1
     assert [x["v"] for x in o.collect()] == [100.0]
+
+
+def test_rank_based_quantiles_equal_in_memory(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else "cold", float(v)) for i, v in enumerate(rng.normal(size=900))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    a = {r["g"]: (r["q25"], r["q50"], r["q75"], r["n"]) for r in st.quantiles(df, ["g"], "v").collect()}
+    b = {r["g"]: (r["q25"], r["q50"], r["q75"], r["n"]) for r in st.quantiles(df, ["g"], "v", in_memory_max=0).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert np.allclose(a[k], b[k], rtol=0, atol=1e-12)
