@@ -97,40 +97,47 @@ def generate(
     seed=42,
     past: DataFrame | None = None,
     fallback: int = 1,
-    checkpoint_every: int = 5,
 ) -> DataFrame:
     """Generate ``steps`` tokens for every prompt (prompts: (pid, ctx) where ctx is the last
     token). Each step is one join on the context; greedy uses a per-context argmax table
     (broadcast when small); sampling applies the repetition penalty against ``past``
-    ((pid, token) seen so far, extended with each generated token), temperature, nucleus cut
-    and a keyed draw. A context without continuations falls back to ``fallback``. Lineage is
-    cut with a reliable checkpoint every few steps. Returns (pid, step, token)."""
+    ((pid, token) of the prompt) and the tokens generated so far, then temperature, nucleus cut
+    and a keyed draw. A context without continuations falls back to ``fallback``. Every step's
+    output (one row per prompt) is checkpointed to the shared folder, so lineage never grows
+    with the number of steps. Returns (pid, step, token)."""
     spark = prompts.sparkSession
     ensure_checkpoint_dir(spark)
-    if mode == "greedy" or (temperature == 0 and top_p >= 1.0):
+    greedy_mode = mode == "greedy" or (temperature == 0 and top_p >= 1.0)
+    if greedy_mode:
         table = broadcast_if_small(greedy(cands).withColumnRenamed("nxt", "tok"))
     elif temperature == 0:
         raise ValueError("temperature 0 with top_p < 1 is undefined (division by zero)")
     state = prompts.select("pid", "ctx")
     out = None
-    seen = past.select("pid", F.col("token").alias("nxt"), F.lit(True).alias("seen")) if past is not None else None
+    seen_past = past.select("pid", F.col("token").alias("nxt"), F.lit(True).alias("s1")).distinct() if past is not None else None
+    generated = None
     for step in range(1, steps + 1):
-        if mode == "greedy" or (temperature == 0 and top_p >= 1.0):
+        if greedy_mode:
             nxt = state.join(table, state["ctx"] == table["ctx"], "left").select(
                 "pid", F.coalesce(F.col("tok"), F.lit(fallback)).alias("token")
             )
         else:
             c = state.join(cands, "ctx", "inner")
-            if seen is not None:
-                c = c.join(seen, ["pid", "nxt"], "left").withColumn("logit", repetition_penalty(F.col("logit"), F.coalesce(F.col("seen"), F.lit(False)), penalty))
-            kept = nucleus(c.drop("seen"), top_p, temperature, by="pid")
+            if seen_past is not None:
+                c = c.join(seen_past, ["pid", "nxt"], "left")
+                if generated is not None:
+                    c = c.join(generated, ["pid", "nxt"], "left")
+                    seen = F.coalesce(F.col("s1"), F.col("s2"), F.lit(False))
+                else:
+                    seen = F.coalesce(F.col("s1"), F.lit(False))
+                c = c.withColumn("logit", repetition_penalty(F.col("logit"), seen, penalty)).drop("s1", "s2")
+            kept = nucleus(c, top_p, temperature, by="pid")
             picked = draw_from(kept, seed, by="pid", key=F.concat_ws("|", F.col("pid").cast("string"), F.lit(step)))
             nxt = state.select("pid").join(picked, "pid", "left").select("pid", F.coalesce(F.col("nxt"), F.lit(fallback)).alias("token"))
-        nxt = nxt.withColumn("step", F.lit(step))
-        if step % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
+        nxt = nxt.withColumn("step", F.lit(step)).checkpoint(eager=True)
         out = nxt if out is None else out.unionByName(nxt)
         state = nxt.select("pid", F.col("token").alias("ctx"))
-        if seen is not None:
-            seen = seen.unionByName(nxt.select("pid", F.col("token").alias("nxt"), F.lit(True).alias("seen"))).distinct()
+        if seen_past is not None:
+            new = nxt.select("pid", F.col("token").alias("nxt"), F.lit(True).alias("s2"))
+            generated = (new if generated is None else generated.unionByName(new)).distinct().checkpoint(eager=True)
     return out
