@@ -193,3 +193,35 @@ def token_audit(spark: SparkSession, sf_dir: str):
     voc = views.vocab(spark, sf_dir)
     v = voc.count()
     return tt.token_audit(tt.encode(views.tok(spark, sf_dir), voc), v)
+
+
+@register(
+    "safe_name",
+    """SELECT page_id, regexp_replace(replace(replace(url, ':', '-'), ' ', ''), '[<>:"/\\\\|?*]', '', 'g') AS safe FROM pages""",
+)
+def safe_name(spark: SparkSession, sf_dir: str):
+    from corpuslab.functions import scalars as sc
+
+    return table(spark, sf_dir, "pages").select("page_id", sc.safe_name("url").alias("safe"))
+
+
+@register("basename", """SELECT page_id, string_split(replace(url, '\\', '/'), '/')[-1] AS base FROM pages""")
+def basename(spark: SparkSession, sf_dir: str):
+    from corpuslab.functions import scalars as sc
+
+    return table(spark, sf_dir, "pages").select("page_id", sc.basename("url").alias("base"))
+
+
+CONTEXT = 16
+
+
+@register(
+    "tail_tokens",
+    _TOKVOCAB + f"""SELECT doc_id, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) AS context
+FROM (SELECT doc_id, pos, token_id, max(pos) OVER (PARTITION BY doc_id) AS n FROM tok_ids) WHERE pos > n - {CONTEXT} GROUP BY doc_id""",
+)
+def tail_tokens(spark: SparkSession, sf_dir: str):
+    """Rolling generation context of every document: its last 16 token ids (the whole text is
+    tokenised; the window is the decoding context, as in generation)."""
+    ids = views.doc_ids(spark, sf_dir)
+    return ids.where(F.size("ids") > 0).select("doc_id", tx.ids_string(tx.tail("ids", CONTEXT)).alias("context"))
