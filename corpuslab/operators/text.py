@@ -158,3 +158,21 @@ def token_audit(tok_ids: DataFrame, vocab_size: int) -> DataFrame:
         F.max("token_id").cast("bigint").alias("max_id"),
         F.min(F.when(bad, F.col("token_id"))).cast("bigint").alias("first_bad"),
     )
+
+
+def tokenize_with(df: DataFrame, fn, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Pluggable tokenizer: ``fn(pd.Series[str]) -> pd.Series[list[str]]`` run as an
+    Arrow-batched pandas UDF (e.g. a byte-pair encoder when its files are available). The
+    built-in regex tokenizer (``token_arrays``) stays the default because it runs in the JVM."""
+    from pyspark.sql import types as T
+
+    udf = F.pandas_udf(fn, T.ArrayType(T.StringType()))
+    return df.select(*keep, udf(F.col(text_col)).alias("toks"))
+
+
+def regex_tokenizer(series):
+    """Python twin of the JVM pre-tokeniser (same pattern on lower-cased text)."""
+    import regex
+
+    pat = regex.compile(tx.TOKEN_PATTERN)
+    return series.map(lambda s: pat.findall(s.lower()) if s is not None else None)

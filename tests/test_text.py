@@ -55,3 +55,13 @@ def test_tail_and_truncate(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5],)], "a array<int>")
     r = df.select(tx.tail("a", 2).alias("t"), tx.truncate("a", 2).alias("h"), tx.tail("a", 9).alias("all")).first()
     assert list(r["t"]) == [4, 5] and list(r["h"]) == [1, 2] and list(r["all"]) == [1, 2, 3, 4, 5]
+
+
+def test_pluggable_tokenizer_matches_jvm(spark):
+    from conftest import SF_SMALL
+    from corpuslab.plans import views
+
+    docs = views.documents(spark, SF_SMALL)
+    a = {r["doc_id"]: list(r["toks"]) for r in tt.token_arrays(docs).collect()}
+    b = {r["doc_id"]: list(r["toks"]) for r in tt.tokenize_with(docs, tt.regex_tokenizer).collect()}
+    assert a == b
