@@ -161,6 +161,8 @@ def describe_by(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
 
 # ----------------------------------------------------------------------------------- OLS
 
+ORDERED_WINDOW_MAX = 1_000_000  # rows an ordered window may hold in one task (count known)
+
 
 def dummy_levels(df: DataFrame, col: str) -> list[str]:
     """Sorted distinct levels of a categorical column (a category list: small by nature)."""
@@ -271,11 +273,19 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
     if order_col:
         from pyspark.sql import Window
 
-        # consecutive residual differences over the explicit order; a global order is needed
-        # for DW by definition, so this runs over the (per-run, small) regression table.
-        w = Window.orderBy(order_col)
-        d = res.withColumn("d", F.col("e") - F.lag("e").over(w)).agg(F.sum(F.col("d") ** 2).alias("num")).first()
-        dw = d["num"] / ssr if ssr > 0 else float("nan")
+        from corpuslab.operators.ranking import exact_rank
+
+        # consecutive residual differences in the explicit order. n is known from pass 1: up to
+        # ORDERED_WINDOW_MAX rows a plain ordered window is bounded by that count; beyond it an
+        # exact rank (no single-partition window) and a join of row r with row r + 1.
+        if n <= ORDERED_WINDOW_MAX:
+            w = Window.orderBy(order_col)
+            d = res.withColumn("d", F.col("e") - F.lag("e").over(w)).agg(F.sum(F.col("d") ** 2).alias("num")).first()
+        else:
+            ranked = exact_rank(res.select(order_col, "e"), [order_col], name="_r").select("_r", "e")
+            nxt = ranked.select((F.col("_r") - 1).alias("_r"), F.col("e").alias("e2"))
+            d = ranked.join(nxt, "_r").agg(F.sum((F.col("e2") - F.col("e")) ** 2).alias("num")).first()
+        dw = (d["num"] or 0.0) / ssr if ssr > 0 else float("nan")
     xn = xtx / np.sqrt(np.outer(np.diag(xtx), np.diag(xtx))) if np.all(np.diag(xtx) > 0) else xtx
     ev = np.linalg.eigvalsh(xtx)
     cond = float(np.sqrt(ev.max() / ev.min())) if ev.min() > 0 else float("inf")

@@ -19,10 +19,9 @@ VAL_FRAC = 0.1
 
 def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, split, toks): whole-text token arrays with the exact 10% split."""
-    docs = views.documents(spark, sf_dir)
+    docs = views.doc_tokens(spark, sf_dir)
     split = split_column(docs.select("doc_id"), VAL_FRAC, SEED, "doc_id")
-    arr = docs.select("doc_id", "lang", "source", split.alias("split"), tx.token_array("text").alias("toks"))
-    return arr.persist(StorageLevel.MEMORY_AND_DISK)
+    return docs.select("doc_id", "lang", "source", split.alias("split"), "toks")
 
 
 def _token_counts(arr: DataFrame) -> DataFrame:
@@ -109,7 +108,7 @@ def id_split(spark: SparkSession, sf_dir: str):
     """(doc_id, lang, split, ids) plus the vocabulary size."""
     voc = views.vocab(spark, sf_dir)
     v = voc.count()
-    docs = views.documents(spark, sf_dir)
+    docs = views.doc_tokens(spark, sf_dir)
     split = split_column(docs.select("doc_id"), VAL_FRAC, SEED, "doc_id")
     ids = views.doc_ids(spark, sf_dir, voc).withColumn("split", split)
     return ids.persist(StorageLevel.MEMORY_AND_DISK), v
@@ -123,6 +122,14 @@ def kgram_rows(ids, k: int):
     return g.where(F.col("pos") < F.col("n_ids")).drop("n_ids")
 
 
+def kgram_rows_arrays(ids, k: int):
+    """(doc_id, lang, split, pos, ctx_arr ARRAY<INT> of the k ids ending at pos, nxt)."""
+    g = ids.select("doc_id", "lang", "split", "ids", F.explode(tx.kgram_array("ids", k)).alias("g"))
+    g = g.select("doc_id", "lang", "split", F.col("g.pos").alias("pos"), F.col("g.ctx").alias("ctx_arr"),
+                 F.element_at("ids", F.col("g.pos") + 1).alias("nxt"), F.size("ids").alias("n_ids"))
+    return g.where(F.col("pos") < F.col("n_ids")).drop("n_ids")
+
+
 def _lag_ctx_sql(k: int) -> str:
     parts = ["token_id" if j == 0 else f"coalesce(lag(token_id, {j}) OVER w, 0)" for j in range(k - 1, -1, -1)]
     return f"concat_ws(',', {', '.join(parts)})"
@@ -218,10 +225,11 @@ SELECT order_used, count(*) AS tokens, round(avg(-ln((n + 1.0::DOUBLE) / (C + (S
 def kgram_backoff(spark: SparkSession, sf_dir: str):
     """Back-off 3 -> 2 -> 1: each held-out token is scored by its longest context seen in training."""
     ids, v = id_split(spark, sf_dir)
-    rows = None
-    for k in (3, 2, 1):
-        r = kgram_rows(ids, k).select("doc_id", "pos", "split", "nxt", F.col("ctx").alias(f"ctx_{k}"))
-        rows = r if rows is None else rows.join(r.drop("split", "nxt"), ["doc_id", "pos"])
+    # one explode of the order-3 windows; the shorter contexts are suffix slices of the same
+    # array (no token-scale joins between orders)
+    g = kgram_rows_arrays(ids, 3)
+    rows = g.select("split", "nxt", *[tx.ids_string(F.slice("ctx_arr", 3 - k + 1, k)).alias(f"ctx_{k}") for k in (3, 2, 1)])
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # feeds three count tables and the scoring
     models = {}
     for k in (3, 2, 1):
         c = lm.fit_counts(rows.where(F.col("split") == "train"), ctx=f"ctx_{k}")

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tt.token_arrays(documents(spark, sf_dir), keep=("doc_id", "lang", "source"))
+    """Token arrays of the whole documents. Tokenising is the costliest per-row step and several
+    derived views (tokens, vocabulary, id arrays) read it, so it is kept materialised
+    (memory, spilling to disk) for the session."""
+    arr = tt.token_arrays(documents(spark, sf_dir), keep=("doc_id", "lang", "source"))
+    return arr.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tt.tokenize(documents(spark, sf_dir), keep=("doc_id", "lang", "source"))
+    arr = doc_tokens(spark, sf_dir)
+    return arr.select("doc_id", "lang", "source", F.posexplode("toks").alias("pos0", "t")).select(
+        "doc_id", "lang", "source", (F.col("pos0") + 1).alias("pos"), "t"
+    )
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +47,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_ids(spark: SparkSession, sf_dir: str, voc: DataFrame | None = None) -> DataFrame:
     voc = voc if voc is not None else vocab(spark, sf_dir)
     ids = tt.id_arrays(tt.encode(tok(spark, sf_dir), voc), keys=("doc_id",))
-    meta = documents(spark, sf_dir).select("doc_id", "lang", "source")
+    meta = doc_tokens(spark, sf_dir).select("doc_id", "lang", "source")
     return meta.join(ids, "doc_id", "inner")
 
 
