@@ -339,3 +339,16 @@ def token_accuracy_last_batch(spark: SparkSession, sf_dir: str):
     held = pairs.join(F.broadcast(last_docs), "doc_id", "left_semi")  # one batch of documents: bounded
     e = lm.evaluate(lm.score(held, counts, ctxs, stats["v"], 1.0, stats["top"]))
     return finish(e.select("tokens", "accuracy"))
+
+
+MLP_CAP = 50
+
+
+@register("mlp_kgram")
+def mlp_kgram(spark: SparkSession, sf_dir: str):
+    """k-gram MLP classifier (k=3) over the 50 most frequent tokens + OTHER: accuracy and
+    cross-entropy on the training and held-out positions."""
+    ids, _ = id_split(spark, sf_dir)
+    rows = kgram_rows_arrays(ids, K)
+    _, metrics = lm.fit_mlp(rows, K, MLP_CAP, max_iter=15)
+    return finish(metrics)
