@@ -92,7 +92,7 @@ def median_order(df: DataFrame, by: str, v: str) -> DataFrame:
     from pyspark.sql import Window
 
     # one row per group: the ordering window runs over the (small) group table
-    return med.withColumn("ord", F.row_number().over(Window.orderBy("median", by)))
+    return med.withColumn("ord", F.row_number().over(Window.orderBy("median", by)).cast("bigint"))
 
 
 def box_stats(df: DataFrame, by: Sequence[str], v: str) -> tuple[DataFrame, DataFrame]:

@@ -240,7 +240,7 @@ def kgram_backoff(spark: SparkSession, sf_dir: str):
 
 def _sweep_sql() -> str:
     ctxs = " UNION ALL ".join(f"SELECT {k} AS k, ctx_{k} AS ctx, nxt, split FROM kg" for k in SWEEP_K)
-    alphas = ", ".join(str(a) for a in SWEEP_ALPHA)
+    alphas = ", ".join(f"{a}::DOUBLE" for a in SWEEP_ALPHA)
     return _kg_sql(SWEEP_K) + f""", kl AS ({ctxs}),
 cnt AS (SELECT k, ctx, nxt, count(*) AS n FROM kl WHERE split = 'train' GROUP BY ALL),
 tot AS (SELECT k, ctx, sum(n) AS C FROM cnt GROUP BY ALL),

@@ -115,7 +115,7 @@ def mixture(spark: SparkSession, sf_dir: str):
 @register(
     "mixture_share",
     _MIX_SQL + f"SELECT source, count(*) AS n, round(count(*) / (SELECT count(*) FROM mx), 6) AS share, "
-    f"CASE WHEN source = 'a' THEN {MIX_P} ELSE round(1 - {MIX_P}, 6) END AS target FROM mx GROUP BY source",
+    f"CAST(CASE WHEN source = 'a' THEN {MIX_P} ELSE round(1 - {MIX_P}, 6) END AS DOUBLE) AS target FROM mx GROUP BY source",
 )
 def mixture_share(spark: SparkSession, sf_dir: str):
     a, b = _pools(spark, sf_dir)

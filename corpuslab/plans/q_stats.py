@@ -235,7 +235,7 @@ FROM rc ORDER BY val_loss, config_name LIMIT 10""",
 def rank_runs(spark: SparkSession, sf_dir: str):
     top = _complete(spark, sf_dir).orderBy("val_loss", "config_name").limit(10)
     # ten rows after the top-k prune: a global window over them is bounded
-    return finish(top.select("config_name", "val_loss", F.row_number().over(Window.orderBy("val_loss", "config_name")).alias("rank")))
+    return finish(top.select("config_name", "val_loss", F.row_number().over(Window.orderBy("val_loss", "config_name")).cast("bigint").alias("rank")))
 
 
 @register(

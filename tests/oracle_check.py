@@ -47,6 +47,22 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "FloatType": "FLOAT", "ShortType": "SMALLINT"}
+
+
+def type_diffs(sdf, con, sql):
+    """Column types that differ between the Spark result and the oracle (by name)."""
+    rel = con.sql(sql)
+    duck = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in sdf.schema.fields:
+        st = SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+        if f.name in duck and duck[f.name] != st:
+            out.append(f"{f.name}:{st}!={duck[f.name]}")
+    return out
+
+
 def check(spark, names=None, sf_dir="/root/testdata/sf0.01", verbose=True):
     import __spark_entry__ as e
 
@@ -77,6 +93,9 @@ def check(spark, names=None, sf_dir="/root/testdata/sf0.01", verbose=True):
         dc, dr = rows_of(dpdf)
         ok = sc == dc and sr == dr
         msg = "OK" if ok else "MISMATCH"
+        tdiff = type_diffs(sdf, con, sqls[name])
+        if tdiff:
+            msg += f" TYPES {tdiff}"
         if not ok:
             if sc != dc:
                 msg += f" cols spark={sc} sql={dc}"
