@@ -256,15 +256,30 @@ def hull(spark: SparkSession, sf_dir: str):
     return finish(st.hull(_complete(spark, sf_dir), "val_loss", "token_accuracy"))
 
 
-@register("gbt_importance")
-def gbt_importance(spark: SparkSession, sf_dir: str):
-    """Boosted-tree feature importances for val_loss over the numeric configuration columns."""
+GBT_FEATURES = ["learning_rate", "embed_size", "k", "chunk_size", "inner_layers", "block_size", "batch_size", "tinystories_weight"]
+
+
+def _gbt(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    feats = ["learning_rate", "embed_size", "k", "chunk_size", "inner_layers", "block_size", "batch_size", "tinystories_weight"]
-    r = _complete(spark, sf_dir).na.fill(0.0, subset=feats)
-    va = VectorAssembler(inputCols=feats, outputCol="features")
+    r = _complete(spark, sf_dir).na.fill(0.0, subset=GBT_FEATURES)
+    va = VectorAssembler(inputCols=GBT_FEATURES, outputCol="features")
     model = GBTRegressor(labelCol="val_loss", featuresCol="features", maxIter=20, maxDepth=3, seed=42).fit(va.transform(r))
+    return r, model
+
+
+@register("gbt_importance")
+def gbt_importance(spark: SparkSession, sf_dir: str):
+    """Boosted-tree feature importances for val_loss over the numeric configuration columns."""
+    _, model = _gbt(spark, sf_dir)
     imp = model.featureImportances.toArray().tolist()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(GBT_FEATURES, imp)], "feature string, importance double")
+
+
+@register("shapley_rows")
+def shapley_rows(spark: SparkSession, sf_dir: str):
+    """Per-run, per-feature permutation Shapley values of the boosted-tree model (reference =
+    feature means); per run the values add up to prediction - base."""
+    r, model = _gbt(spark, sf_dir)
+    return finish(st.shapley_permutation(r, model, GBT_FEATURES, "run"))

@@ -87,3 +87,18 @@ def test_rank_based_quantiles_equal_in_memory(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert np.allclose(a[k], b[k], rtol=0, atol=1e-12)
+
+
+def test_shapley_contributions_add_up(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(b), float(c), float(2 * a - b + 0.5 * a * c)) for i, (a, b, c) in enumerate(rng.uniform(0, 1, (80, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    feats = ["a", "b", "c"]
+    model = GBTRegressor(labelCol="y", maxIter=10, maxDepth=3, seed=1).fit(VectorAssembler(inputCols=feats, outputCol="features").transform(df))
+    phi = st.shapley_permutation(df, model, feats, "id", n_perm=4)
+    sums = phi.groupBy("id", "pred", "base").agg(F.sum("phi").alias("s")).collect()
+    assert len(sums) == 80
+    assert all(abs(r["s"] - (r["pred"] - r["base"])) < 1e-9 for r in sums)
