@@ -20,3 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
     return df
+
+
+def head_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
+    """First n rows in an explicit order (planned as TakeOrderedAndProject: each task keeps n,
+    the driver merges P x n) - the head-of-corpus subset option; registered queries use whole
+    tables."""
+    return df.orderBy(order_col).limit(n)
