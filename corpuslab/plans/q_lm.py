@@ -50,7 +50,7 @@ def bigram_eval(spark: SparkSession, sf_dir: str, by=("lang",), alpha: float = 1
     held = agg.where(F.col("split") == "val") if split else agg
     counts = train.groupBy("ctx", "nxt").agg(F.sum("m").alias("n"))
     ctxs = lm.context_table(counts, lm.token_order(counts_all), order_rows=v)
-    scored = lm.score(held, counts, ctxs, v, alpha, top, by=list(by), weight="m")
+    scored = lm.score(held, counts, ctxs, v, alpha, top, by=list(by), weight="m", unique=True)
     return lm.evaluate(scored, list(by))
 
 
