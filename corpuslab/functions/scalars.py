@@ -145,3 +145,12 @@ def to_double(c) -> Column:
 
 def perplexity(loss) -> Column:
     return F.exp(_c(loss))
+
+
+def utc_instant(ts_ntz) -> Column:
+    """TIMESTAMP_NTZ wall-clock time read as UTC -> TIMESTAMP instant, whatever the session
+    time zone (event time must not move with the session setting)."""
+    from pyspark.sql import SparkSession
+
+    tz = SparkSession.getActiveSession().conf.get("spark.sql.session.timeZone")
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(ts_ntz)).cast("timestamp")

@@ -49,7 +49,9 @@ def exact_rank(
     ensure_checkpoint_dir(spark)
     parts = list(partition_by)
     sort_exprs = [F.col(c).asc() for c in parts] + [_sort_expr(o) for o in order_by]
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # range partitions: the shuffle setting, but no more than two per core (on a cluster the core
+    # count is large; in small sessions this avoids hundreds of near-empty checkpoint files)
+    n = num_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * max(spark.sparkContext.defaultParallelism, 1))
     ranged = df.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs).checkpoint(eager=True)
     x = ranged.withColumn("_mid", F.monotonically_increasing_id())
     x = x.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(

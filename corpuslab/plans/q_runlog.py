@@ -276,7 +276,7 @@ SELECT ev.user_id, ev.event_id FROM f JOIN ev USING (user_id, rn) WHERE fired"""
 )
 def interval_trigger(spark: SparkSession, sf_dir: str):
     ev = table(spark, sf_dir, "events")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    t = F.unix_micros(sc.utc_instant("ts"))
     fired = rl.interval_trigger(ev, "user_id", t, TRIGGER_US)
     return fired.select("user_id", "event_id")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpuslab.functions import scalars as sc
 from corpuslab.operators import runlog as rl
 
 
@@ -51,7 +52,7 @@ def _partial_fn(every: int):
 def partial_loss_stream(steps: DataFrame, every: int) -> DataFrame:
     """Average of each full bucket of ``every`` training steps per (run, epoch)."""
     s = steps.where(F.col("split") == "train").select(
-        "run", "epoch", "event_id", "loss", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
+        "run", "epoch", "event_id", "loss", F.unix_micros(sc.utc_instant("ts")).alias("ts_us")
     )
     return s.groupBy("run", "epoch").applyInPandasWithState(
         _partial_fn(every), PARTIAL_OUT, PARTIAL_STATE, "append", GroupStateTimeout.NoTimeout
@@ -84,7 +85,7 @@ def _trigger_fn(interval_us: int):
 
 
 def interval_trigger_stream(events: DataFrame, interval_us: int) -> DataFrame:
-    e = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    e = events.select("user_id", "event_id", F.unix_micros(sc.utc_instant("ts")).alias("ts_us"))
     return e.groupBy("user_id").applyInPandasWithState(
         _trigger_fn(interval_us), TRIGGER_OUT, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout
     )
@@ -135,7 +136,7 @@ def plateau_lr_stream(epochs: DataFrame, factor: float = 0.25, patience: int = 1
 def epoch_metrics_stream(steps: DataFrame, window: str = "6 days", watermark: str = "1 day") -> DataFrame:
     """Running mean train loss per (run, tumbling window of event time). The watermark bounds
     the state: windows older than the watermark are finalised and dropped."""
-    s = steps.where(F.col("split") == "train").withColumn("ets", F.col("ts").cast("timestamp"))
+    s = steps.where(F.col("split") == "train").withColumn("ets", sc.utc_instant("ts"))
     return (
         s.withWatermark("ets", watermark)
         .groupBy("run", F.window("ets", window).alias("w"))
