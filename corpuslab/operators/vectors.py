@@ -126,6 +126,8 @@ def cosine_knn(queries: DataFrame, table: DataFrame, n: int = 5, drop: str = "se
         bc_ids, bc_mat = spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(mat)
         fn = _local_topk(bc_ids, bc_mat, keep, id_col, vec_col)
         parts.append(t.mapInPandas(fn, "qid long, nbr_id long, sim double"))
+    if not parts:  # no query vectors
+        return spark.createDataFrame([], "qid long, rank int, nbr_id long, sim double")
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
