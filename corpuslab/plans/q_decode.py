@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as tx
 from corpuslab.operators import decode as dc
 from corpuslab.operators import kgram as lm
+from corpuslab.operators.ranking import broadcast_if_small
 from corpuslab.plans import sql as q
 from corpuslab.plans import views
 from corpuslab.plans.catalog import finish, register
@@ -20,11 +21,33 @@ SEED = 42
 GEN_STEPS = 5
 
 
+def _vocab_ids(spark: SparkSession, sf_dir: str):
+    voc = views.vocab(spark, sf_dir).select("t", "token_id")
+    return broadcast_if_small(voc)
+
+
 def candidates(spark: SparkSession, sf_dir: str):
-    """(ctx, nxt, n, logit) from id pairs of every document; also returns the id arrays."""
-    ids = views.doc_ids(spark, sf_dir)
-    pairs = ids.select(F.explode(tx.next_pairs_array("ids")).alias("p")).select(F.col("p.t").alias("ctx"), F.col("p.nxt").alias("nxt"))
-    return dc.candidates_from_counts(lm.fit_counts(pairs)), ids
+    """(ctx, nxt, n, logit): pairs are counted on the token strings of the materialised
+    document arrays (no per-token encode and no regrouping shuffle), and only the aggregated
+    pairs are mapped to ids through the size-checked vocabulary."""
+    arr = views.doc_tokens(spark, sf_dir)
+    pairs = arr.select(F.explode(tx.next_pairs_array("toks")).alias("p")).select(F.col("p.t").alias("ctx"), F.col("p.nxt").alias("nxt"))
+    counts = lm.fit_counts(pairs)
+    v = _vocab_ids(spark, sf_dir)
+    ided = counts.join(v.select(F.col("t").alias("ctx"), F.col("token_id").alias("ctx_id")), "ctx").join(
+        v.select(F.col("t").alias("nxt"), F.col("token_id").alias("nxt_id")), "nxt"
+    ).select(F.col("ctx_id").alias("ctx"), F.col("nxt_id").alias("nxt"), "n")
+    return dc.candidates_from_counts(ided)
+
+
+def doc_context(spark: SparkSession, sf_dir: str):
+    """(doc_id, ctx = id of the document's last token) and (doc_id, token id) for every
+    distinct token of the document - both from the token strings, mapped through the vocabulary."""
+    arr = views.doc_tokens(spark, sf_dir).where(F.size("toks") > 0)
+    v = _vocab_ids(spark, sf_dir)
+    last = arr.select("doc_id", F.element_at("toks", -1).alias("t")).join(v, "t").select("doc_id", F.col("token_id").alias("ctx"))
+    past = arr.select("doc_id", F.explode(F.array_distinct("toks")).alias("t")).join(v, "t").select("doc_id", F.col("token_id").alias("nxt"))
+    return last, past
 
 
 _CAND = q.with_(q.DOC_TOKS, q.TOK, q.VOCAB) + """, tok_ids AS (SELECT tok.doc_id, tok.pos, vocab.token_id FROM tok JOIN vocab USING (t)),
@@ -49,19 +72,19 @@ s4 AS (SELECT *, sum(p) OVER (PARTITION BY ctx ORDER BY p DESC, nxt ROWS BETWEEN
 
 @register("softmax", _CAND + _soft_sql(1.0) + "SELECT ctx, nxt, round(p, 6) AS p FROM s3")
 def softmax(spark: SparkSession, sf_dir: str):
-    c, _ = candidates(spark, sf_dir)
+    c = candidates(spark, sf_dir)
     return finish(dc.softmax(c, counts="n").select("ctx", "nxt", "p"))
 
 
 @register("temperature", _CAND + _soft_sql(TEMP) + "SELECT ctx, nxt, round(p, 6) AS p FROM s3")
 def temperature(spark: SparkSession, sf_dir: str):
-    c, _ = candidates(spark, sf_dir)
+    c = candidates(spark, sf_dir)
     return finish(dc.softmax(c, temperature=TEMP).select("ctx", "nxt", "p"))
 
 
 @register("cum_prob", _CAND + _soft_sql(1.0) + "SELECT ctx, nxt, round(p, 6) AS p, round(cum, 6) AS cum FROM s4")
 def cum_prob(spark: SparkSession, sf_dir: str):
-    c, _ = candidates(spark, sf_dir)
+    c = candidates(spark, sf_dir)
     return finish(dc.cum_prob(dc.softmax(c, counts="n"), counts="n").select("ctx", "nxt", "p", "cum"))
 
 
@@ -71,7 +94,7 @@ _NUC = _CAND + _soft_sql(TEMP) + f""", kept AS (SELECT *, p / (sum(p) OVER (PART
 
 @register("nucleus", _NUC + "SELECT ctx, nxt, round(p_keep, 6) AS p_keep FROM kept")
 def nucleus(spark: SparkSession, sf_dir: str):
-    c, _ = candidates(spark, sf_dir)
+    c = candidates(spark, sf_dir)
     return finish(dc.nucleus(c, TOP_P, TEMP).select("ctx", "nxt", "p_keep"))
 
 
@@ -83,13 +106,13 @@ def nucleus(spark: SparkSession, sf_dir: str):
 SELECT ctx, coalesce(arg_min(nxt, ord) FILTER (WHERE ck > u), arg_max(nxt, ord)) AS nxt FROM ck GROUP BY ctx""",
 )
 def multinomial_draw(spark: SparkSession, sf_dir: str):
-    c, _ = candidates(spark, sf_dir)
+    c = candidates(spark, sf_dir)
     return dc.draw_from(dc.nucleus(c, TOP_P, TEMP), SEED)
 
 
 @register("greedy_next", _CAND + "SELECT ctx, arg_min(nxt, [-n, nxt]) AS nxt FROM cand GROUP BY ctx")
 def greedy_next(spark: SparkSession, sf_dir: str):
-    c, _ = candidates(spark, sf_dir)
+    c = candidates(spark, sf_dir)
     return dc.greedy(c)
 
 
@@ -106,9 +129,9 @@ SELECT doc_id, count(*) AS n_cand, CAST(sum(CASE WHEN seen THEN 1 ELSE 0 END) AS
 def repetition_penalty(spark: SparkSession, sf_dir: str):
     """One decoding step per document with the whole document as the prompt: the candidates of
     its last token, with every token already in the document penalised."""
-    c, ids = candidates(spark, sf_dir)
-    last = ids.where(F.size("ids") > 0).select("doc_id", F.element_at("ids", -1).alias("ctx"))
-    past = ids.select("doc_id", F.explode(F.array_distinct("ids")).alias("nxt")).withColumn("seen", F.lit(True))
+    c = candidates(spark, sf_dir)
+    last, past = doc_context(spark, sf_dir)
+    past = past.withColumn("seen", F.lit(True))
     j = last.join(c, "ctx").join(past, ["doc_id", "nxt"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
     j = j.withColumn("pl", dc.repetition_penalty(F.col("logit"), F.col("seen"), PENALTY))
     return finish(j.groupBy("doc_id").agg(
@@ -130,8 +153,9 @@ SELECT doc_id, step, token_id FROM gen""",
 )
 def generate_greedy(spark: SparkSession, sf_dir: str):
     """Greedy continuation of every document (whole text as prompt) for a fixed number of steps."""
-    c, ids = candidates(spark, sf_dir)
-    prompts = ids.where(F.size("ids") > 0).select(F.col("doc_id").alias("pid"), F.element_at("ids", -1).alias("ctx"))
+    c = candidates(spark, sf_dir)
+    last, _ = doc_context(spark, sf_dir)
+    prompts = last.select(F.col("doc_id").alias("pid"), "ctx")
     g = dc.generate(prompts, c, GEN_STEPS, "greedy")
     return g.select(F.col("pid").alias("doc_id"), F.col("step"), F.col("token").alias("token_id"))
 
@@ -140,9 +164,10 @@ def generate_greedy(spark: SparkSession, sf_dir: str):
 def generate_topp(spark: SparkSession, sf_dir: str):
     """Nucleus sampling (p=0.95, T=0.8, repetition penalty 1.5 over the prompt and generated
     tokens) for every document; keyed draws make the output repeatable."""
-    c, ids = candidates(spark, sf_dir)
-    prompts = ids.where(F.size("ids") > 0).select(F.col("doc_id").alias("pid"), F.element_at("ids", -1).alias("ctx"))
-    past = ids.select(F.col("doc_id").alias("pid"), F.explode(F.array_distinct("ids")).alias("token"))
+    c = candidates(spark, sf_dir)
+    last, past = doc_context(spark, sf_dir)
+    prompts = last.select(F.col("doc_id").alias("pid"), "ctx")
+    past = past.select(F.col("doc_id").alias("pid"), F.col("nxt").alias("token"))
     g = dc.generate(prompts, c, GEN_STEPS, "topp", top_p=0.95, temperature=TEMP, penalty=PENALTY, seed=SEED, past=past)
     return g.select(F.col("pid").alias("doc_id"), "step", F.col("token").alias("token_id"))
 

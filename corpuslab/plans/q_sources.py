@@ -46,8 +46,9 @@ def append_summary(spark: SparkSession, sf_dir: str):
 
 
 def _render(spark, sf_dir):
-    cands, ids = q_decode.candidates(spark, sf_dir)
-    prompts = ids.where(F.size("ids") > 0).select(F.col("doc_id").alias("pid"), F.element_at("ids", -1).alias("ctx"))
+    cands = q_decode.candidates(spark, sf_dir)
+    last, _ = q_decode.doc_context(spark, sf_dir)
+    prompts = last.select(F.col("doc_id").alias("pid"), "ctx")
     gen = dc.generate(prompts, cands, q_decode.GEN_STEPS, "greedy")
     voc = broadcast_if_small(views.vocab(spark, sf_dir).select("token_id", "t"))
     emb = table(spark, sf_dir, "embeddings")
