@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,7 +197,9 @@ def merge_override(left: DataFrame, right: DataFrame, key: str, null_overrides:
 def parse_runs(names: DataFrame, name_col: str = "config_name", lenient: bool = False, overrides=None):
     """(accepted, rejected): accepted rows carry typed configuration columns; rejected rows
     carry the comma list of missing keys."""
-    parsed = names.select("*", *sc.parse_config(F.col(name_col), lenient, overrides))
+    # parsed once and materialised: both outputs read it, and the completeness filter does not
+    # re-evaluate the eleven regular expressions
+    parsed = names.select("*", *sc.parse_config(F.col(name_col), lenient, overrides)).persist(StorageLevel.MEMORY_AND_DISK)
     complete = F.lit(True)
     for k in sc.CONFIG_KEYS:
         complete = complete & F.col(k).isNotNull()
