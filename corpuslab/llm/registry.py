@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import substring_dedup, suffix_dedup
+from corpuslab.llm import decontam, langid, mixing, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op3_decontamination": decontam.query,
+    "op4_language_id": langid.query,
+    "op5_quality": quality.query,
+    "op8_mixing": mixing.query,
     "op9_suffix_dedup": suffix_dedup.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE}
