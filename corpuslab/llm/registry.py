@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import decontam, langid, mixing, quality, substring_dedup, suffix_dedup
+from corpuslab.llm import ctw, decontam, langid, mixing, pii, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_pii": pii.query,
     "op3_decontamination": decontam.query,
     "op4_language_id": langid.query,
     "op5_quality": quality.query,
+    "op6_context_tree_lm": ctw.query,
     "op8_mixing": mixing.query,
     "op9_suffix_dedup": suffix_dedup.query,
 }
