@@ -184,7 +184,7 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         # large star: the larger neighbours of each id hang on its smallest neighbour
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = checkpointed(large.union(least.where("a > m").select("a", F.col("m").alias("b"))).where("a <> b").distinct())
