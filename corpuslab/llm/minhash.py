@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from corpuslab.llm import common as c
 
 SHINGLE, K, SHARED, PERCENT = 5, 32, 14, 85
-PIECE = 256  # members of a list compared with each other at once
+PIECE = 512  # members of a list compared with each other at once
+SMALL = 32  # members of a list whose pairs are joined in plain rows
 ROUNDS = 2
 
 
@@ -73,9 +74,19 @@ def signatures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return base.mapInPandas(sign, "doc long, n long, h1 long, h2 long, sketch array<long>")
 
 
+def _need(n: str) -> str:
+    """SQL: values that the sketches of two linked sets share at least, the smaller set having n.
+
+    Of n/0.85 shingles in the union at most 0.15 n/0.85 are not shared, so K - 0.15 n/0.85 of the K
+    smallest are; a sketch that is the whole set lacks none but what the other sketch leaves out."""
+    most = f"floor(100 * {n} / {PERCENT})"
+    return (f"CASE WHEN {n} <= {K} THEN ceil({PERCENT} * {n} / 100) - greatest(0, {most} - {K}) "
+            f"ELSE greatest({SHARED}, {K} - floor({100 - PERCENT} * {n} / {PERCENT})) END")
+
+
 def _lists(classes: DataFrame) -> DataFrame:
     """(v, id): members of the inverted lists that can make a candidate."""
-    values = classes.select("id", F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)).cast("int").alias("need"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    values = classes.select("id", F.expr(f"cast({_need('n')} as int)").alias("need"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = c.checkpointed(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     common = values.join(often, "v").groupBy("id").agg(F.first("need").alias("need"), F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by"))
     # values that no other class has are the rarest and need no list
@@ -87,7 +98,7 @@ def _lists(classes: DataFrame) -> DataFrame:
 def _estimated(a: str, b: str) -> str:
     """Shared values in the union's sketch reach what linked sets have."""
     union = f"slice(array_sort(array_union({a}.sketch, {b}.sketch)), 1, {K})"
-    return f"size(array_intersect({union}, array_intersect({a}.sketch, {b}.sketch))) >= least({SHARED}, ceil(greatest({a}.n, {b}.n) * {PERCENT} / 100))"
+    return f"size(array_intersect({union}, array_intersect({a}.sketch, {b}.sketch))) >= {_need(f'least({a}.n, {b}.n)')}"
 
 
 def _by_leader(lists: DataFrame, round_: int) -> DataFrame:
@@ -134,22 +145,85 @@ def _parts(lists: DataFrame, links: DataFrame) -> DataFrame:
     return c.checkpointed(lists.join(open_, "v"))
 
 
-def _in_full(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between different components of the same list, by pairs of pieces of at most about PIECE."""
+def _common(groups: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: values of many sets by a matrix product,
+    values of few by counting their pairs."""
+    n = len(groups)
+    inverse, often = np.unique(np.concatenate(groups), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(n), [len(s) for s in groups])
+    order = np.argsort(inverse, kind="stable")
+    owner, first = owner[order], np.cumsum(often) - often
+    wide = np.flatnonzero(often > 32)
+    out = np.zeros((n, n), np.float32)
+    for low in range(0, len(wide), 1024):
+        part = wide[low : low + 1024]
+        table = np.zeros((n, len(part)), np.float32)
+        for k, v in enumerate(part):
+            table[owner[first[v] : first[v] + often[v]], k] = 1
+        out += table @ table.T
+    out = out.astype(np.int64).ravel()
+    for size in range(2, 33):
+        at = first[often == size]
+        if len(at):
+            sets = owner[at[:, None] + np.arange(size)]
+            out += np.bincount((sets[:, :, None] * n + sets[:, None, :]).ravel(), minlength=n * n)
+    return out.reshape(n, n)
+
+
+def _sides(g: pd.DataFrame, x, y) -> np.ndarray:
+    """Which pairs of a group belong to it: within piece x, or between pieces x and y."""
+    i = g["i"].to_numpy()
+    pairs = np.triu(np.ones((len(g), len(g)), bool), 1) if x == y else (i[:, None] == x) & (i[None] == y)
+    part, n = g["part"].to_numpy(), g["n"].to_numpy()
+    return pairs & (part[:, None] != part[None]) & (100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n))
+
+
+def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components of the same list. Lists of up to SMALL members give their
+    pairs as rows (rows x SMALL at most); longer ones are compared by pairs of pieces of about PIECE.
+    A pair belongs to the first list that both are in; only members of a pair that passes the
+    estimate bring their texts."""
+    lists = c.checkpointed(lists.join(c.checkpointed(lists.groupBy("v").agg(F.count("*").alias("m"))), "v"))
+    other = lists.where(F.col("m") <= SMALL).select("v", F.col("id").alias("b"), F.col("part").alias("pb"))
+    few = lists.where(F.col("m") <= SMALL).join(other, "v").where("id > b and part <> pb").select(F.col("id").alias("a"), "b").distinct()
+    small = _confirmed(few, classes, texts)
+    lists = lists.where(F.col("m") > SMALL)
     size = c.checkpointed(lists.groupBy("v").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")))
     members = lists.join(size, "v").withColumn("i", F.pmod(F.xxhash64("id", "v"), F.col("pieces")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
-    # a single piece meets itself; of several, each pair of pieces holds its own members too
-    pairs = F.when(F.col("pieces") > 1, F.filter(pairs, lambda p: p["x"] != p["y"])).otherwise(pairs)
-    rows = members.select("v", "id", "part", F.explode(pairs).alias("p")).select("v", "p.x", "p.y", "id", "part")
-    rows = rows.join(classes.select("id", "n", "sketch"), "id").join(texts, "id")
+    mine = every.groupBy("id").agg(F.collect_set("v").alias("mine")).join(classes.select("id", "n", "sketch"), "id")
+    rows = members.join(c.checkpointed(mine), "id").select("v", "i", "id", "part", "n", "mine", "sketch", F.explode(pairs).alias("p")).select("v", "p.x", "p.y", "i", "id", "part", "n", "mine", "sketch")
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def owned(key, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["v", "x", "y"], sort=False):
+        for (v, x, y), g in pdf.groupby(["v", "x", "y"], sort=False):
+            g = g.drop_duplicates("id")
             if g["part"].nunique() < 2:
                 continue
-            g = g.drop_duplicates(["id", "z"])
+            pairs = _sides(g, x, y)
+            before = [np.array([u for u in m if u < v], np.int64) for m in g["mine"]]
+            if sum(map(len, before)):
+                pairs &= _common(before) == 0
+            if not pairs.any():
+                continue
+            n = g["n"].to_numpy()
+            low = np.minimum.outer(n, n)
+            most = 100 * low // PERCENT
+            need = np.where(low <= K, -(-PERCENT * low // 100) - np.maximum(0, most - K), np.maximum(SHARED, K - (100 - PERCENT) * low // PERCENT))
+            pairs &= _common(g["sketch"].tolist()) >= need
+            hit = pairs.any(0) | pairs.any(1)
+            if hit.any():
+                out.append(g.loc[hit, ["v", "x", "y", "i", "id", "part", "n"]])
+        return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("v", "x", "y", "i", "id", "part", "n")})
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, x, y), g in pdf.groupby(["v", "x", "y"], sort=False):
+            sets = list(shingle_sets([zlib.decompress(z) for z in g["z"]]))
+            pairs = _sides(g.assign(n=[len(s) for s in sets]), x, y)
+            n = np.array([len(s) for s in sets])
+            both = _common(sets)
+            near = pairs & (100 * both >= PERCENT * (n[:, None] + n[None] - both)) & (both > 0)
             ids, part = g["id"].tolist(), g["part"].tolist()
             root = {p: p for p in part}
 
@@ -158,29 +232,19 @@ def _in_full(lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
                     root[p] = p = root[root[p]]
                 return p
 
-            sketches = g["sketch"].tolist()
-            n, z, sets = g["n"].tolist(), g["z"].tolist(), {}
-            flat = np.concatenate(sketches)
-            owner = np.repeat(np.arange(len(ids)), [len(s) for s in sketches])
-            value = np.unique(flat, return_inverse=True)[1]
-            table = np.zeros((len(ids), value.max() + 1), np.float32)
-            table[owner, value] = 1
-            shared = table @ table.T
-            need = np.minimum(SHARED, np.ceil(np.maximum.outer(np.array(n), np.array(n)) * PERCENT / 100))
-            for i, j in np.argwhere(np.triu(shared >= need, 1)).tolist():
-                if find(part[i]) == find(part[j]) or min(n[i], n[j]) * 100 < PERCENT * max(n[i], n[j]):
-                    continue
-                for k in (i, j):
-                    if k not in sets:
-                        sets[k] = next(shingle_sets([zlib.decompress(z[k])]))
-                if linked(sets[i], sets[j]):
+            for i, j in np.argwhere(near).tolist():
+                a, b = find(part[i]), find(part[j])
+                if a != b:  # members that hang together already need no further link
+                    root[a] = b
                     out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
-                    root[find(part[i])] = find(part[j])
         return pd.DataFrame(out, columns=["a", "b"])
 
-    total = rows.count()
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("v", "x", "y"), F.lit(max(1, total // (4 * PIECE)))))
-    return dealt.groupBy("g").applyInPandas(compare, "a long, b long")
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("g", F.pmod(F.xxhash64("v", "x", "y"), F.lit(max(1, df.count() // PIECE)))).groupBy("g")
+
+    schema = "v long, x int, y int, i int, id long, part long, n long"
+    wanted = c.checkpointed(dealt(c.checkpointed(rows)).applyInPandas(owned, schema))
+    return small.union(dealt(c.checkpointed(wanted.join(texts, "id"))).applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", rounds=ROUNDS) -> DataFrame:
@@ -205,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", rounds=RO
         open_ = _parts(open_, links)
         if not open_.take(1):
             break
-        more = _confirmed(_by_leader(open_, r), classes, texts) if r < rounds else _in_full(open_, classes, texts)
+        more = _confirmed(_by_leader(open_, r), classes, texts) if r < rounds else _in_full(open_, lists, classes, texts)
         links = c.checkpointed(links.union(more).distinct())
     found = c.components(links, spark)
     of_class = c.checkpointed(classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")))

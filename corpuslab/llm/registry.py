@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import ctw, decontam, langid, mixing, pii, quality, substring_dedup, suffix_dedup
+import corpus_pipeline
+from corpuslab.llm import ctw, decontam, embed_dedup, langid, minhash, mixing, pii, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": substring_dedup.query,
     "op2_pii": pii.query,
     "op3_decontamination": decontam.query,
     "op4_language_id": langid.query,
     "op5_quality": quality.query,
     "op6_context_tree_lm": ctw.query,
+    "op7_embedding_dedup": embed_dedup.query,
     "op8_mixing": mixing.query,
     "op9_suffix_dedup": suffix_dedup.query,
+    "op10_minhash_dedup": minhash.query,
 }
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE}
