@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.session import ensure_checkpoint_dir
@@ -174,26 +174,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(links: DataFrame, spark: SparkSession) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over links (a, b); ids without a link don't appear.
 
-    Alternating large-star and small-star rounds over the link table: every round hangs
-    neighbours on the smallest one, by a grouped minimum and a join, until nothing moves. No
-    neighbour list is ever gathered, so a centre of millions of links is an ordinary skewed join."""
-    e = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    Every id holds the smallest id known to it, takes over the smallest one its neighbours hold and
+    then the one that this id holds (which doubles the distance covered), until nothing moves. A
+    grouped minimum and joins: no neighbour list is gathered, and a centre of millions of links is
+    an ordinary skewed join between checkpointed tables."""
+    e = links.where("a <> b").select("a", "b")
+    e = checkpointed(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    held = checkpointed(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("held")).withColumnRenamed("a", "id"))
     while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        # large star: the larger neighbours of each id hang on its smallest neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = checkpointed(large.union(least.where("a > m").select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        # small star: the smaller neighbours of each id, and itself, hang on the smallest of them
-        small = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
-        e = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpointed(e.union(small.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
+        near = e.join(held, e["b"] == held["id"]).groupBy("a").agg(F.min("held").alias("near"))
+        step = checkpointed(held.join(near, F.col("id") == F.col("a")).select("id", F.col("held").alias("old"), F.least("held", "near").alias("held")))
+        far = step.select(F.col("id").alias("far_id"), F.col("held").alias("far"))
+        moved = checkpointed(step.join(far, F.col("held") == F.col("far_id")).select("id", F.col("far").alias("held"), (F.col("far") != F.col("old")).alias("moved")))
+        held = moved.select("id", "held")
+        if not moved.where("moved").take(1):
+            return held.withColumnRenamed("held", "component")

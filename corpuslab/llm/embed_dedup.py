@@ -104,7 +104,6 @@ def _count_links(vectors: DataFrame, found: DataFrame, least: float) -> DataFram
 
 def near_duplicates(embeddings: DataFrame, id_col="vec_id", vector_col="embedding", least=LEAST, passes=PASSES) -> DataFrame:
     """id, n_links, component_id, kept for every vector."""
-    spark = embeddings.sparkSession
     raw = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     nulls = raw.where("id is null").select("id")
     rows = raw.where("id is not null").groupBy("id").agg(F.min("embedding").alias("embedding"))
@@ -112,7 +111,7 @@ def near_duplicates(embeddings: DataFrame, id_col="vec_id", vector_col="embeddin
     rows = c.checkpointed(rows.withColumn("good", good).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding")))
     valid = rows.where("good")
     vectors = c.checkpointed(valid.groupBy("h1", "h2").agg(F.min(F.struct("id", "embedding")).alias("x"), F.count("*").alias("copies")).select("h1", "h2", "x.*", "copies"))
-    found = c.checkpointed(c.components(_window_links(vectors, passes, least), spark))
+    found = c.components(_window_links(vectors, passes, least))
     linked = vectors.select("id", "h1", "h2", "copies").join(found, "id", "left").join(_count_links(vectors, found, least), "id", "left")
     classes = c.checkpointed(linked.select("h1", "h2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = valid.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "n_links", "component_id")

@@ -9,7 +9,7 @@ Documents are linked if 100 |A and B| >= 85 |A or B|.
 2. Inverted lists of retained values generate candidates. Two linked sets share at least ``SHARED``
    values of their sketches (it fails with a chance below 1e-8: a binomial of K draws at 0.85), so
    each class may skip its SHARED - 1 most frequent ones: boilerplate makes no long lists.
-3. Two rounds link each member of a list to the list's leader: candidates grow with the rows, never
+3. Each member of a list is paired with the list's leader: candidates grow with the rows, never
    with the square of a list. Pairs must pass the estimate on the union's sketch, then exact Jaccard
    on the full sets of both whole texts; links are joined to components.
 4. Lists that still hold several components are compared in full, by pairs of bounded pieces: sketch
@@ -35,7 +35,6 @@ from corpuslab.llm import common as c
 SHINGLE, K, SHARED, PERCENT = 5, 32, 14, 85
 PIECE = 512  # members of a list compared with each other at once
 SMALL = 32  # members of a list whose pairs are joined in plain rows
-ROUNDS = 2
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE):
@@ -101,11 +100,12 @@ def _estimated(a: str, b: str) -> str:
     return f"size(array_intersect({union}, array_intersect({a}.sketch, {b}.sketch))) >= {_need(f'least({a}.n, {b}.n)')}"
 
 
-def _by_leader(lists: DataFrame, round_: int) -> DataFrame:
-    """Distinct pairs (a, b): member and leader of a list, in different components."""
-    first = F.struct(F.xxhash64("id", F.lit(round_)).alias("r"), "id", "part")
-    leader = c.checkpointed(lists.groupBy("v").agg(F.min(first).alias("l"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("v", F.col("l.id").alias("b"), F.col("l.part").alias("pb")))
-    return lists.join(leader, "v").where("part <> pb").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+def _by_leader(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): member and leader of a list. The leader is the member of most lists: of
+    many copies with edits, the one nearest to what they have in common."""
+    central = c.checkpointed(lists.join(c.checkpointed(lists.groupBy("id").agg(F.count("*").alias("n"))), "id"))
+    leader = c.checkpointed(central.groupBy("v").agg(F.max(F.struct("n", (-F.col("id")).alias("i"))).alias("l"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("l.i")).alias("b")))
+    return lists.join(leader, "v").where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -138,10 +138,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
 
 def _parts(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Lists with the component of each member, without lists that are one component."""
-    found = c.components(links, links.sparkSession)
-    lists = lists.select("v", "id").join(found, "id", "left").select("v", "id", F.coalesce("component", "id").alias("part"))
-    lists = c.checkpointed(lists)
-    open_ = c.checkpointed(lists.groupBy("v").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("v"))
+    found = c.components(links)
+    lists = c.checkpointed(lists.join(found, "id", "left").select("v", "id", F.coalesce("component", "id").alias("part")))
+    open_ = c.checkpointed(lists.groupBy("v").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x <> y").select("v", "m"))
     return c.checkpointed(lists.join(open_, "v"))
 
 
@@ -183,13 +182,11 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
     pairs as rows (rows x SMALL at most); longer ones are compared by pairs of pieces of about PIECE.
     A pair belongs to the first list that both are in; only members of a pair that passes the
     estimate bring their texts."""
-    lists = c.checkpointed(lists.join(c.checkpointed(lists.groupBy("v").agg(F.count("*").alias("m"))), "v"))
     other = lists.where(F.col("m") <= SMALL).select("v", F.col("id").alias("b"), F.col("part").alias("pb"))
     few = lists.where(F.col("m") <= SMALL).join(other, "v").where("id > b and part <> pb").select(F.col("id").alias("a"), "b").distinct()
     small = _confirmed(few, classes, texts)
     lists = lists.where(F.col("m") > SMALL)
-    size = c.checkpointed(lists.groupBy("v").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")))
-    members = lists.join(size, "v").withColumn("i", F.pmod(F.xxhash64("id", "v"), F.col("pieces")).cast("int"))
+    members = lists.withColumn("pieces", F.ceil(F.col("m") / PIECE).cast("int")).withColumn("i", F.pmod(F.xxhash64("id", "v"), F.col("pieces")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
     mine = every.groupBy("id").agg(F.collect_set("v").alias("mine")).join(classes.select("id", "n", "sketch"), "id")
     rows = members.join(c.checkpointed(mine), "id").select("v", "i", "id", "part", "n", "mine", "sketch", F.explode(pairs).alias("p")).select("v", "p.x", "p.y", "i", "id", "part", "n", "mine", "sketch")
@@ -247,13 +244,12 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
     return small.union(dealt(c.checkpointed(wanted.join(texts, "id"))).applyInPandas(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", rounds=ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc, n_shingles, component_id, kept for every row."""
-    spark = docs.sparkSession
     signed = c.checkpointed(signatures(docs, id_col, text_col))
     classes = c.checkpointed(signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").alias("id"), "n", "sketch")).alias("x")).select("h1", "h2", "x.*"))
-    lists = c.checkpointed(_lists(classes).withColumn("part", F.col("id")))
-    wanted = c.checkpointed(_by_leader(lists, 0))
+    lists = c.checkpointed(_lists(classes))
+    wanted = _by_leader(lists)
     # a text is needed of every member of a list with two members or more
     ids = lists.join(lists.groupBy("v").count().where("count > 1").select("v"), "v", "left_semi").select("id").distinct()
     pairs_of = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(c.NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -264,14 +260,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", rounds=RO
 
     texts = c.checkpointed(pairs_of.join(ids, "id", "left_semi").mapInPandas(shrink, "id long, z binary"))
     links = c.checkpointed(_confirmed(wanted, classes, texts))
-    open_ = lists
-    for r in range(1, rounds + 1):
-        open_ = _parts(open_, links)
-        if not open_.take(1):
-            break
-        more = _confirmed(_by_leader(open_, r), classes, texts) if r < rounds else _in_full(open_, lists, classes, texts)
-        links = c.checkpointed(links.union(more).distinct())
-    found = c.components(links, spark)
+    links = c.checkpointed(links.union(_in_full(_parts(lists, links), lists, classes, texts)))
+    found = c.components(links)
     of_class = c.checkpointed(classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")))
     out = signed.select("doc", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
