@@ -63,10 +63,10 @@ class IndexFamily:
             self.levels.append((rank + 1, text, starts[order], numbers[order]))
 
 
-def find_removed(docs: DataFrame, id_col="doc_id", text_col="text", length=LENGTH, gram=GRAM, batch=BATCH, with_bytes=False,
+def find_removed(docs: DataFrame, id_col="doc_id", text_col="text", length=LENGTH, gram=GRAM, batch=BATCH, with_text=False,
                  block_bytes=c.BLOCK_BYTES, crowd=CROWD, block_crowd=BLOCK_CROWD) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept_sha256, removed_spans ("first:end" byte offsets,
-    comma-joined) and, on request, kept (the remaining bytes)."""
+    comma-joined) and, on request, kept_text (the remaining bytes without characters that lost some)."""
     base, n_blocks = c.blocked(docs, id_col, text_col, block_bytes)
 
     def match(pdf: pd.DataFrame):
@@ -104,21 +104,21 @@ def find_removed(docs: DataFrame, id_col="doc_id", text_col="text", length=LENGT
                 spans = ",".join(f"{x}:{y}" for x, y in zip(edge[0::2], edge[1::2]))
                 kept = np.frombuffer(t, np.uint8)[~cover].tobytes()
             row = (int(ids[i]), len(t), removed, len(edge) // 2, hashlib.sha256(kept).hexdigest(), spans)
-            out.append(row + (kept,) if with_bytes else row)
-        return pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans"] + ["kept"] * with_bytes)
+            out.append(row + (kept.decode("utf-8", "ignore"),) if with_text else row)
+        return pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans"] + ["kept_text"] * with_text)
 
     def hashes(texts):
         return c.byte_values(b"".join(texts)), np.cumsum([0] + [len(t) for t in texts])
 
     units = Units(length, gram, hashes, bytes, bytes)
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans string" + ", kept binary" * with_bytes
+    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans string" + ", kept_text string" * with_text
     return shared_windows(base, n_blocks, units, False, match, finish, schema, crowd, block_crowd)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col="doc_id", text_col="text", length=LENGTH) -> DataFrame:
     """Documents (id, text) without the repeated bytes; a character cut in two is dropped."""
-    out = find_removed(docs, id_col, text_col, length, with_bytes=True)
-    return out.select(c.real_id().alias(id_col), F.decode("kept", F.lit("UTF-8")).alias(text_col))
+    out = find_removed(docs, id_col, text_col, length, with_text=True)
+    return out.select(c.real_id().alias(id_col), F.col("kept_text").alias(text_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
