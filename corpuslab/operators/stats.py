@@ -35,15 +35,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(F.inline(arr)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     x, y = F.col("x"), F.col("y")
     g = long.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
-        F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"), F.min(x).alias("x0"), F.max(x).alias("x1"),
-        F.min(y).alias("y0"), F.max(y).alias("y1"),
+        F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("xy"),  # centred moments: offsets cost no digits
+        (F.stddev_pop(x) * F.stddev_pop(y)).alias("sd"),
+        F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
     )
-    n = F.col("n").cast("double")
-    num = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    den = F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2))
     ok = (F.col("n") >= 2) & (F.col("x0") != F.col("x1")) & (F.col("y0") != F.col("y1"))
-    return g.select("a", "b", "n", F.when(ok, F.try_divide(num, den)).alias("corr"))
+    return g.select("a", "b", "n", F.when(ok, F.try_divide("xy", "sd")).alias("corr"))
 
 
 # Largest group whose values an exact in-memory percentile may hold; above it ranks are used.
@@ -219,10 +216,10 @@ def _betainc(a: float, b: float, x: float) -> float:
 
 
 def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order_col: str | None = None) -> dict:
-    """OLS y ~ 1 + C(cat) + num. Pass 1 (distributed): X'X, X'y, y'y, n in one aggregation.
-    Driver: pseudo-inverse of the p x p matrix (minimum-norm solution when rank-deficient).
-    Pass 2 (distributed): residual moments (skew, kurtosis) and, given ``order_col``, the
-    Durbin-Watson numerator from consecutive residuals."""
+    """OLS y ~ 1 + C(cat) + num. Pass 1 (distributed): counts, means and deviations. Pass 2: the
+    cross products of centred and scaled columns, so that an offset or a unit costs no digits.
+    Driver: the p x p system (minimum-norm solution of the raw system when rank-deficient). Pass 3
+    (distributed): residual moments and, given ``order_col``, the Durbin-Watson numerator."""
     data = df.where(F.col(y).isNotNull())
     for c in num:
         data = data.where(F.col(c).isNotNull())
@@ -230,27 +227,41 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
     names, cols = design(data, num, cat, levels)
     p = len(names)
     xs = data.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], _d(y).alias("y"), *( [order_col] if order_col else []))
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum("y").alias("sy")]
-    for i in range(p):
-        aggs.append(F.sum(F.col(f"x{i}") * F.col("y")).alias(f"xy{i}"))
-        for j in range(i, p):
-            aggs.append(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"xx{i}_{j}"))
-    r = xs.agg(*aggs).first()
+    r = xs.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("ym"), F.stddev_pop("y").alias("ys"),
+               *[f(f"x{i}").alias(f"{k}{i}") for i in range(1, p) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     n = int(r["n"])
-    xtx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            xtx[i, j] = xtx[j, i] = r[f"xx{i}_{j}"] or 0.0
-    xty = np.array([r[f"xy{i}"] or 0.0 for i in range(p)])
-    xtx_inv = np.linalg.pinv(xtx, rcond=1e-15)
-    beta = xtx_inv @ xty
-    rank = int(np.linalg.matrix_rank(xtx))
-    ssr = float(r["yy"] - 2 * beta @ xty + beta @ xtx @ beta)
-    ybar = r["sy"] / n if n else float("nan")
-    sst = float(r["yy"] - n * ybar * ybar)
+    mean = np.array([0.0] + [r[f"m{i}"] or 0.0 for i in range(1, p)])
+    scale = np.array([1.0] + [r[f"s{i}"] or 0.0 for i in range(1, p)])
+    ybar = r["ym"] if n else float("nan")
+    sst = n * (r["ys"] or 0.0) ** 2
+    full = n > 0 and bool(np.all(scale > 0))
+    z = [F.lit(1.0)] + [(F.col(f"x{i}") - F.lit(float(mean[i]))) / F.lit(float(scale[i] or 1.0)) for i in range(1, p)]
+    yc = F.col("y") - F.lit(float(ybar))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    s = xs.agg(*[F.sum(z[i] * z[j]).alias(f"z{i}_{j}") for i, j in pairs], *[F.sum(z[i] * yc).alias(f"zy{i}") for i in range(p)],
+               *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"xx{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"x{i}") * F.col("y")).alias(f"xy{i}") for i in range(p)]).first()
+    xtx, ztz = np.zeros((p, p)), np.zeros((p, p))
+    for i, j in pairs:
+        xtx[i, j] = xtx[j, i] = s[f"xx{i}_{j}"] or 0.0
+        ztz[i, j] = ztz[j, i] = s[f"z{i}_{j}"] or 0.0
+    if full and int(np.linalg.matrix_rank(ztz)) == p:
+        rank = p
+        inv = np.linalg.inv(ztz[1:, 1:]) if p > 1 else np.zeros((0, 0))
+        slope = inv @ np.array([s[f"zy{i}"] for i in range(1, p)]) / scale[1:]
+        beta = np.r_[ybar - slope @ mean[1:], slope]
+        cov = inv / np.outer(scale[1:], scale[1:])
+        var = np.r_[1 / n + mean[1:] @ cov @ mean[1:], np.diag(cov)]
+        fitted = sum(((F.col(f"x{i}") - F.lit(float(mean[i]))) * F.lit(float(beta[i])) for i in range(1, p)), F.lit(float(ybar)))
+    else:
+        inv = np.linalg.pinv(xtx, rcond=1e-15)
+        beta = inv @ np.array([s[f"xy{i}"] or 0.0 for i in range(p)])
+        rank, var = int(np.linalg.matrix_rank(xtx)), np.diag(inv)
+        fitted = sum((F.col(f"x{i}") * F.lit(float(beta[i])) for i in range(p)), F.lit(0.0))
+    res = xs.withColumn("e", F.col("y") - fitted)
+    ssr = float(res.agg(F.sum(F.col("e") * F.col("e")).alias("ssr")).first()["ssr"] or 0.0)
     dof = n - rank
     sigma2 = ssr / dof if dof > 0 else float("nan")
-    se = np.sqrt(np.maximum(np.diag(xtx_inv) * sigma2, 0.0))
+    se = np.sqrt(np.maximum(var * sigma2, 0.0))
     tvals = np.divide(beta, se, out=np.full_like(beta, np.nan), where=se > 0)
     pvals = [_t_sf(abs(t), dof) for t in tvals]
     k_model = rank - 1
@@ -258,9 +269,7 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
     adj = 1 - (1 - r2) * (n - 1) / dof if dof > 0 else float("nan")
     fstat = (r2 / k_model) / ((1 - r2) / dof) if k_model > 0 and dof > 0 and r2 < 1 else float("nan")
     llf = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else float("nan")
-    # pass 2: residual moments
-    fitted = sum((F.col(f"x{i}") * F.lit(float(beta[i])) for i in range(p)), F.lit(0.0))
-    res = xs.withColumn("e", F.col("y") - fitted)
+    # pass 3: residual moments
     m = res.agg(F.avg("e").alias("m1"), F.avg(F.col("e") ** 2).alias("m2"), F.avg(F.col("e") ** 3).alias("m3"),
                 F.avg(F.col("e") ** 4).alias("m4")).first()
     c2 = m["m2"] - m["m1"] ** 2
@@ -286,10 +295,8 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
             nxt = ranked.select((F.col("_r") - 1).alias("_r"), F.col("e").alias("e2"))
             d = ranked.join(nxt, "_r").agg(F.sum((F.col("e2") - F.col("e")) ** 2).alias("num")).first()
         dw = (d["num"] or 0.0) / ssr if ssr > 0 else float("nan")
-    xn = xtx / np.sqrt(np.outer(np.diag(xtx), np.diag(xtx))) if np.all(np.diag(xtx) > 0) else xtx
     ev = np.linalg.eigvalsh(xtx)
     cond = float(np.sqrt(ev.max() / ev.min())) if ev.min() > 0 else float("inf")
-    del xn
     return {
         "terms": names, "coef": beta.tolist(), "se": se.tolist(), "t": tvals.tolist(), "p": pvals, "n": n, "rank": rank,
         "r2": r2, "adj_r2": adj, "f": fstat, "llf": llf, "aic": -2 * llf + 2 * rank, "bic": -2 * llf + rank * math.log(n) if n else float("nan"),
@@ -411,7 +418,7 @@ def hull(df: DataFrame, x: str, y: str) -> DataFrame:
         h = _chain(pd.concat(frames)[["x", "y"]].to_numpy())
         yield pd.DataFrame(h, columns=["x", "y"]).sort_values(["x", "y"])
 
-    return survivors.coalesce(1).mapInPandas(final, "x double, y double")
+    return survivors.repartition(1).mapInPandas(final, "x double, y double")
 
 
 def shapley_permutation(df: DataFrame, model, features: Sequence[str], key: str, n_perm: int = 8, seed: int = 42) -> DataFrame:

@@ -88,12 +88,18 @@ def _local_topk(bc_ids, bc_block, n_keep: int, id_col: str, vec_col: str):
         for pdf in it:
             if pdf.empty:
                 continue
+            pdf = pdf.sort_values(id_col, kind="stable")  # equal similarities: smallest id first
             t = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             tn = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
             ids = pdf[id_col].to_numpy()
             sims = block @ tn.T  # (queries in block) x (rows in batch)
             k = min(n_keep, sims.shape[1])
             part = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(sims.shape[1]), (sims.shape[0], 1))
+            if k < sims.shape[1]:
+                last = np.take_along_axis(sims, part, 1).min(axis=1, keepdims=True)
+                for i in np.flatnonzero((sims >= last).sum(axis=1) > k):  # a tie at the boundary
+                    above, equal = np.flatnonzero(sims[i] > last[i]), np.flatnonzero(sims[i] == last[i])
+                    part[i] = np.concatenate([above, equal[: k - len(above)]])
             q_idx = np.repeat(np.arange(sims.shape[0]), part.shape[1])
             cols = part.reshape(-1)
             yield pd.DataFrame({"qid": block_ids[q_idx], "nbr_id": ids[cols], "sim": sims[q_idx, cols]})

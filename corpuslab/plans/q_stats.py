@@ -39,12 +39,10 @@ def _corr_sql() -> str:
     for a, b in combinations(NUMERIC, 2):
         x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
         parts.append(
-            f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, sum({x}) AS sx, sum({y}) AS sy, sum({x}*{x}) AS sxx, sum({y}*{y}) AS syy, "
-            f"sum({x}*{y}) AS sxy, min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, max({y}) AS y1 FROM rn WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+            f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({x}, {y}) AS r, min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, max({y}) AS y1 FROM rn WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
         )
     return _RN + ", g AS (" + "\nUNION ALL ".join(parts) + """)
-SELECT a, b, n, round(CASE WHEN n >= 2 AND x0 <> x1 AND y0 <> y1 THEN
-  (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END, 6) AS corr FROM g"""
+SELECT a, b, n, round(CASE WHEN n >= 2 AND x0 <> x1 AND y0 <> y1 THEN r END, 6) AS corr FROM g"""
 
 
 @register("corr_matrix", _corr_sql())

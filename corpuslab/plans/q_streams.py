@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.functions import scalars as sc
 from corpuslab.plans import q_runlog, views
 from corpuslab.plans.catalog import ORACLE, finish, register
 from corpuslab.sources import runlogs as rg
 from corpuslab.sources.tables import table
 from corpuslab.streaming import stateful as stf
 
-EPOCHS = [1, 2, 3, 4, 5]
+SLICES = 5  # arrivals: how often new files come in while the stream stands still
 WINDOW_SECONDS = 6 * 86400
 
 
@@ -20,23 +21,35 @@ def epoch_col(ts="ts"):
     return (F.lit(1) + F.floor((F.dayofmonth(ts) - 1) / 6)).cast("int")
 
 
-def file_stream(spark: SparkSession, df: DataFrame, name: str, order_col: str) -> DataFrame:
-    """Write ``df`` as one file per value of ``order_col`` (in order, so file times follow
-    event time) into the shared folder and open it as a file stream, one file per trigger."""
+def feed(spark: SparkSession, df: DataFrame, name: str, order, run) -> None:
+    """Let ``df`` arrive in slices of event time: cut at quantiles of ``order`` (the ends open, so
+    every row arrives), each slice written as any number of files; ``run(stream)`` is started anew
+    on the same checkpoint for each slice and takes all its files in one micro-batch. No row is
+    older than what an earlier micro-batch has seen of its key."""
     src = rg.shared_dir(spark, f"{name}-src")
-    for v in EPOCHS:
-        df.where(F.col(order_col) == v).coalesce(1).write.mode("append").parquet(src)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    shares = [i / SLICES for i in range(1, SLICES)]
+    cuts = sorted(set(df.agg(F.percentile_approx(order, shares, 10_000).alias("q")).first()["q"] or []))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df
+        if low is not None:
+            part = part.where(order > low)
+        if high is not None:
+            part = part.where(order.isNull() | (order <= high) if low is None else order <= high)
+        part.write.mode("append").parquet(src)
+        run(spark.readStream.schema(df.schema).parquet(src))
 
 
-def _steps_source(spark, sf_dir):
+def _micros(ts="ts"):
+    return F.unix_micros(sc.utc_instant(ts))
+
+
+def _steps(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    rows = ev.select(
+    return ev.select(
         F.col("user_id").alias("run"), "event_id", "ts", "value", epoch_col().alias("epoch"),
         F.when(F.col("event_type") == "view", F.lit("val")).otherwise(F.lit("train")).alias("split"),
         F.log(F.lit(1.0) + F.col("value")).alias("loss"),
     )
-    return file_stream(spark, rows, "steps", "epoch")
 
 
 def _sinks(spark, name):
@@ -46,37 +59,37 @@ def _sinks(spark, name):
 @register("stream_partial_loss", ORACLE["partial_loss"])
 def stream_partial_loss(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "partial")
-    stf.run_to_parquet(stf.partial_loss_stream(_steps_source(spark, sf_dir), q_runlog.PARTIAL_EVERY), out, chk)
+    feed(spark, _steps(spark, sf_dir), "steps", _micros(),
+         lambda src: stf.run_to_parquet(stf.partial_loss_stream(src, q_runlog.PARTIAL_EVERY), out, chk))
     return finish(spark.read.parquet(out))
 
 
 @register("stream_interval_trigger", ORACLE["interval_trigger"])
 def stream_interval_trigger(spark: SparkSession, sf_dir: str):
-    ev = table(spark, sf_dir, "events").withColumn("epoch", epoch_col())
-    src = file_stream(spark, ev.select("user_id", "event_id", "ts", "epoch"), "events", "epoch")
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     out, chk = _sinks(spark, "trigger")
-    stf.run_to_parquet(stf.interval_trigger_stream(src, q_runlog.TRIGGER_US), out, chk)
+    feed(spark, ev, "events", _micros(), lambda src: stf.run_to_parquet(stf.interval_trigger_stream(src, q_runlog.TRIGGER_US), out, chk))
     return spark.read.parquet(out).where(F.col("kind") == "fire").select("user_id", "event_id")
 
 
-def _epochs_source(spark, sf_dir):
+def _epochs(spark, sf_dir):
     re_ = views.run_epochs(spark, sf_dir)
     lr0 = views.runs(spark, sf_dir).select("run", F.col("learning_rate").cast("double").alias("lr0"))
-    rows = re_.join(lr0, "run").select("run", "epoch", "avg_loss", "val_loss", F.col("avg_loss").alias("loss"), "lr0")
-    return file_stream(spark, rows, "epochs", "epoch")
+    return re_.join(lr0, "run").select("run", "epoch", "avg_loss", "val_loss", F.col("avg_loss").alias("loss"), "lr0").checkpoint()
 
 
 @register("stream_plateau_lr", ORACLE["plateau_lr"])
 def stream_plateau_lr(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "plateau")
-    stf.run_to_parquet(stf.plateau_lr_stream(_epochs_source(spark, sf_dir).select("run", "epoch", "loss", "lr0")), out, chk)
+    feed(spark, _epochs(spark, sf_dir), "epochs", F.col("epoch"),
+         lambda src: stf.run_to_parquet(stf.plateau_lr_stream(src.select("run", "epoch", "loss", "lr0")), out, chk))
     return finish(spark.read.parquet(out), lr=9)
 
 
 @register("stream_summaries", ORACLE["last_epoch"])
 def stream_summaries(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "summaries")
-    stf.summaries_stream(_epochs_source(spark, sf_dir), out, chk, ["avg_loss", "val_loss"])
+    feed(spark, _epochs(spark, sf_dir), "epochs", F.col("epoch"), lambda src: stf.summaries_stream(src, out, chk, ["avg_loss", "val_loss"]))
     return finish(stf.latest_version(spark, out))
 
 
@@ -87,6 +100,6 @@ def stream_summaries(spark: SparkSession, sf_dir: str):
 )
 def stream_epoch_metrics(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "windows")
-    stf.run_upserts(stf.epoch_metrics_stream(_steps_source(spark, sf_dir)), out, chk, ["run", "window_start"])
+    feed(spark, _steps(spark, sf_dir), "steps", _micros(), lambda src: stf.run_upserts(stf.epoch_metrics_stream(src), out, chk, ["run", "window_start"]))
     r = stf.read_upserts(spark, out, ["run", "window_start"])
     return finish(r.select("run", F.unix_seconds("window_start").alias("window_start"), "avg_loss", "n"))
