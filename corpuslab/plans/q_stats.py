@@ -42,12 +42,13 @@ def _corr_sql() -> str:
             f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({x}, {y}) AS r, min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, max({y}) AS y1 FROM rn WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
         )
     return _RN + ", g AS (" + "\nUNION ALL ".join(parts) + """)
-SELECT a, b, n, round(CASE WHEN n >= 2 AND x0 <> x1 AND y0 <> y1 THEN r END, 6) AS corr FROM g"""
+SELECT a, b, n, round(CASE WHEN n >= 2 AND x0 <> x1 AND y0 <> y1 THEN r END, 6) + 0.0 AS corr FROM g"""
 
 
 @register("corr_matrix", _corr_sql())
 def corr_matrix(spark: SparkSession, sf_dir: str):
-    return finish(st.corr_matrix(_runs(spark, sf_dir), NUMERIC))
+    # + 0.0: no negative zero
+    return finish(st.corr_matrix(_runs(spark, sf_dir), NUMERIC)).withColumn("corr", F.col("corr") + F.lit(0.0))
 
 
 @register(
