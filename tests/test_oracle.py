@@ -19,8 +19,9 @@ def test_registered_queries_match_oracle(spark):
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
-    import __spark_entry__ as e
+    from corpuslab.plans import catalog
 
+    catalog.load_all()
     rows_only = {"ols_report", "hull", "gbt_importance", "word2vec", "generate_topp", "append_summary", "write_generations", "mlp_kgram", "shapley_rows"}
-    missing = set(e.queries()) - set(e.oracle_sql())
+    missing = set(catalog.QUERIES) - set(catalog.ORACLE)
     assert missing == rows_only
