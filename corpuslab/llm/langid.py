@@ -133,7 +133,7 @@ def _windows(texts: list[bytes]):
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", folds=FOLDS, per_class=PER_CLASS) -> ByteCnn | None:
     known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where(fold("id", folds) != 0).where("lang is not null and octet_length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MAX_CLASSES + 1).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().take(MAX_CLASSES + 1)}
     if not counts:
         return None
     if len(counts) > MAX_CLASSES:
