@@ -23,15 +23,31 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuslab.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir
+from corpuslab.session import BROADCAST_MAX_BYTES, ensure_checkpoint_dir
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a row-count check; otherwise leave the join to a shuffle
-    (AQE may still convert it at run time, and splits skewed partitions)."""
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def table_bytes(df: DataFrame) -> int:
+    """Measured size of a table: 8 bytes a column and what its strings, arrays and structs hold."""
+    wide = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            wide.append(F.octet_length(c))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+            wide.append(F.size(c) * 8)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            wide.append(F.octet_length(F.to_json(F.struct(c))))
+    row = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 + 8 * len(df.columns)).cast("long"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, known_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a check of the measured size; otherwise leave the join to a
+    shuffle (AQE may still convert it at run time, and splits skewed partitions)."""
+    size = known_bytes if known_bytes is not None else table_bytes(df)
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def _sort_expr(o) -> Column:
@@ -76,6 +92,24 @@ def exact_rank(
     return out.drop("_mid", "_pid", "_idx", "_o_pid", "_off", "_first", *[f"_o_{c}" for c in parts])
 
 
+def running_total(df: DataFrame, order_by: Sequence, weight: str, partition_by: Sequence[str] = (), name: str = "total") -> DataFrame:
+    """Inclusive running sum of ``weight`` in each group, without a task that holds a group: rows are
+    range-partitioned on (group, order) and frozen as in ``exact_rank``, summed inside partitions and
+    shifted by what the partitions before hold of the group."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = list(partition_by)
+    sort_exprs = [F.col(c).asc() for c in parts] + [_sort_expr(o) for o in order_by]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = df.repartitionByRange(n, *sort_exprs).checkpoint(eager=True).withColumn("_pid", F.spark_partition_id())
+    inside = x.withColumn("_in", F.sum(weight).over(Window.partitionBy("_pid", *parts).orderBy(*[_sort_expr(o) for o in order_by])
+                                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = Window.partitionBy(*parts).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    held = x.groupBy("_pid", *parts).agg(F.sum(weight).alias("_w")).withColumn("_off", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+    out = inside.join(broadcast_if_small(held.drop("_w")), ["_pid", *parts])
+    return out.withColumn(name, F.col("_in") + F.col("_off")).drop("_pid", "_in", "_off")
+
+
 def rank_cut(df: DataFrame, order_by: Sequence, n_keep: int, flag: str = "in_head") -> DataFrame:
     """Flag the first ``n_keep`` rows in a total order (exact-count split), through
     ``exact_rank`` so no single-partition exchange is needed."""

@@ -1,9 +1,9 @@
 """Run-log analytics: epoch roll-ups, norms, partial losses, schedules, triggers, merges.
 
-Ordered folds (plateau schedule, interval trigger) are written as SQL higher-order functions
+The ordered fold of the plateau schedule is written as SQL higher-order functions
 over the per-key ordered list: ``aggregate(array_sort(collect_list(struct(order, value))), ...)``.
-They run JVM-side; the list per key is bounded by epochs (plateau). For unbounded keys the
-streaming versions in ``corpuslab.streaming`` keep O(1) state per key instead.
+They run JVM-side; the list per key is bounded by epochs (plateau). The interval trigger, whose
+histories have no bound, follows ranked rows by pointer doubling instead.
 """
 
 from __future__ import annotations
@@ -109,44 +109,18 @@ def plateau_lr(run_epochs: DataFrame, lr0: Column, loss: str = "avg_loss", facto
     return folded.select("run", F.explode("out").alias("o")).select("run", "o.epoch", "o.lr")
 
 
-# Largest per-key history folded as one in-memory list; above it the doubling path runs.
-FOLD_MAX_ROWS = 200_000
-
-
-def interval_trigger(events: DataFrame, key: str, t_col: Column, interval: int, fold_max_rows: int = FOLD_MAX_ROWS) -> DataFrame:
+def interval_trigger(events: DataFrame, key: str, t_col: Column, interval: int) -> DataFrame:
     """Re-arming trigger: fire when t >= next, then next = t + interval (drifts with the
     firing time, unlike a tumbling window). Times are integers (e.g. microseconds). Returns the
     firing rows (key, t, event_id).
 
-    The largest per-key history is measured first. Up to ``fold_max_rows`` rows per key the
-    ordered list of each key is folded in one pass; beyond it the exact distributed form runs
-    (``interval_trigger_doubling``), so no key's history is ever gathered in one task."""
-    ev = events.select(key, t_col.cast("bigint").alias("t"), "event_id")
-    biggest = ev.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if biggest > fold_max_rows:
-        return interval_trigger_doubling(ev, key, interval)
-    per_key = ev.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("h"))
-    init = F.struct(F.lit(None).cast("bigint").alias("nxt"), F.array().cast("array<struct<t:bigint,event_id:bigint>>").alias("out"))
-
-    def step(acc, x):
-        fire = acc["nxt"].isNull() | (x["t"] >= acc["nxt"])
-        return F.struct(
-            F.when(fire, x["t"] + F.lit(interval)).otherwise(acc["nxt"]).alias("nxt"),
-            F.when(fire, F.array_append(acc["out"], F.struct(x["t"].alias("t"), x["event_id"].alias("event_id")))).otherwise(acc["out"]).alias("out"),
-        )
-
-    folded = per_key.select(key, F.aggregate("h", init, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, "o.t", "o.event_id")
-
-
-def interval_trigger_doubling(ev: DataFrame, key: str, interval: int) -> DataFrame:
-    """Exact trigger without per-key lists. With rows ranked per key by (t, event_id), the
+    No per-key list is gathered. With rows ranked per key by (t, event_id), the
     firing rows are the chain 1, nxt(1), nxt(nxt(1)), ... where nxt(r) is the first row with
     t >= t_r + interval. nxt comes from one skew-safe rank over the union of rows and probes
     (t_r + interval): a probe at position pos for source rank s has pos - s rows before it.
     The chain is then followed by pointer doubling: log2(rows per key) rounds of joins on
     (key, rank), each checkpointed; rows of a hot key spread over partitions by rank."""
-    spark = ev.sparkSession
+    ev = events.select(key, t_col.cast("bigint").alias("t"), "event_id")
     r = exact_rank(ev, ["t", "event_id"], partition_by=(key,), name="r")
     probes = r.select(key, (F.col("t") + F.lit(interval)).alias("t"), F.lit(0).alias("kind"), F.col("r").alias("tb"), F.col("r").alias("src"))
     rows = r.select(key, "t", F.lit(1).alias("kind"), F.col("r").alias("tb"), F.lit(None).cast("bigint").alias("src"))
@@ -163,7 +137,6 @@ def interval_trigger_doubling(ev: DataFrame, key: str, interval: int) -> DataFra
         chain = chain.unionByName(new).checkpoint(eager=True)
         j2 = jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.j") == F.col("b.r")), "left")
         jump = j2.select(F.col(f"a.{key}").alias(key), F.col("a.r").alias("r"), F.col("b.j").alias("j")).checkpoint(eager=True)
-    del spark
     return chain.join(r, [key, "r"]).select(key, "t", "event_id")
 
 

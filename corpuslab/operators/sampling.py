@@ -84,7 +84,7 @@ def mix(pool_a: DataFrame, pool_b: DataFrame, p: float, seed, key: str = "item_i
     ia = dense_index(pool_a.select(key), key).withColumn("source", F.lit("a"))
     ib = dense_index(pool_b.select(key), key).withColumn("source", F.lit("b"))
     pools = ia.unionByName(ib)
-    return draws.join(broadcast_if_small(pools, known_rows=na + nb), ["source", "idx"], "inner").select(
+    return draws.join(broadcast_if_small(pools), ["source", "idx"], "inner").select(
         "draw_id", "source", "idx", key
     )
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators.ranking import broadcast_if_small
+from corpuslab.operators.ranking import broadcast_if_small, exact_rank, running_total
 from corpuslab.session import ensure_checkpoint_dir
 
 
@@ -43,44 +43,33 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return g.select("a", "b", "n", F.when(ok, F.try_divide("xy", "sd")).alias("corr"))
 
 
-# Largest group whose values an exact in-memory percentile may hold; above it ranks are used.
-QUANTILE_MAX_ROWS = 1_000_000
-
-
-def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    g = df.groupBy(*by).count() if by else df.groupBy().count()
-    return g.agg(F.max("count")).first()[0] or 0
-
-
-def quantiles(df: DataFrame, by: Sequence[str], v: str, probs=(0.25, 0.5, 0.75), exact: bool = True,
-              in_memory_max: int = QUANTILE_MAX_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], v: str, probs=(0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
     """Per-group quantiles with linear interpolation (exact), or the approximate sketch.
 
-    Exact quantiles use Spark's in-memory ``percentile`` only when the largest group is under
-    ``in_memory_max`` rows (measured first); otherwise each group is ranked with the skew-safe
-    exact rank and the two order statistics around every quantile position are joined back -
-    no group is ever held in one task."""
+    Exact quantiles count each group's distinct values first, so a value that repeats in millions
+    of rows is one row, and take the running count over them (``running_total``): the order
+    statistics around a quantile are the values whose counts cover its two ranks. No group is ever
+    held in one task, whatever its size."""
     data = df.where(F.col(v).isNotNull())
     names = [f"q{int(round(p * 100))}" for p in probs]
     if not exact:
         g = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(_d(v), list(probs), 10000).alias("q"))
         return g.select(*by, "n", *[F.col("q")[i].alias(nm) for i, nm in enumerate(names)])
-    if _largest_group(data, by) <= in_memory_max:
-        g = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile(_d(v), list(probs)).alias("q"))
-        return g.select(*by, "n", *[F.col("q")[i].alias(nm) for i, nm in enumerate(names)])
-    from corpuslab.operators.ranking import exact_rank
+    keys = [f"_b{i}" for i in range(len(by))]
+    # null group keys are groups too: a struct of the keys joins where plain null keys would not
+    values = data.groupBy(F.struct(F.lit(0).alias("_"), *by).alias("_by"), _d(v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_total(values, ["_v"], "_c", partition_by=("_by",), name="_upto")
+    sizes = upto.groupBy("_by").agg(F.sum("_c").alias("n"))
+    ranked = upto.join(broadcast_if_small(sizes), "_by")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col("_v")))
 
-    ranked = exact_rank(data.select(*by, _d(v).alias("_v")), ["_v"], partition_by=tuple(by), name="_r")
-    sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    targets = sizes.select(*by, "n", F.explode(F.array(*[
-        F.struct(F.lit(nm).alias("name"), (F.lit(p) * (F.col("n") - 1) + 1).alias("h")) for nm, p in zip(names, probs)
-    ])).alias("q")).select(*by, "n", "q.name", "q.h", F.floor("q.h").cast("bigint").alias("lo"), F.ceil("q.h").cast("bigint").alias("hi"))
-    lo = ranked.select(*by, F.col("_r").alias("lo"), F.col("_v").alias("v_lo"))
-    hi = ranked.select(*by, F.col("_r").alias("hi"), F.col("_v").alias("v_hi"))
-    j = targets.join(lo, [*by, "lo"]).join(hi, [*by, "hi"])
-    val = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
-    piv = j.groupBy(*by, "n").pivot("name", names).agg(F.first(val))
-    return piv.select(*by, "n", *names)
+    ranks = [F.lit(p) * (F.col("n") - 1) + 1 for p in probs]
+    found = ranked.groupBy("_by", "n").agg(*[f(at(g(h))).alias(f"{k}{i}") for i, h in enumerate(ranks)
+                                             for k, f, g in (("lo", lambda x: x, F.floor), ("hi", lambda x: x, F.ceil))])
+    out = [F.col(f"lo{i}") + (h - F.floor(h)) * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i, h in enumerate(ranks)]
+    return found.select(*[F.col("_by")[c].alias(c) for c in by], "n", *[o.alias(nm) for o, nm in zip(out, names)])
 
 
 def median_order(df: DataFrame, by: str, v: str) -> DataFrame:
@@ -158,9 +147,6 @@ def describe_by(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
 
 # ----------------------------------------------------------------------------------- OLS
 
-ORDERED_WINDOW_MAX = 1_000_000  # rows an ordered window may hold in one task (count known)
-
-
 def dummy_levels(df: DataFrame, col: str) -> list[str]:
     """Sorted distinct levels of a categorical column (a category list: small by nature)."""
     return [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
@@ -280,20 +266,11 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
     jb = n / 6 * (skew ** 2 + (kurt - 3) ** 2 / 4) if c2 > 0 else float("nan")
     dw = float("nan")
     if order_col:
-        from pyspark.sql import Window
-
-        from corpuslab.operators.ranking import exact_rank
-
-        # consecutive residual differences in the explicit order. n is known from pass 1: up to
-        # ORDERED_WINDOW_MAX rows a plain ordered window is bounded by that count; beyond it an
-        # exact rank (no single-partition window) and a join of row r with row r + 1.
-        if n <= ORDERED_WINDOW_MAX:
-            w = Window.orderBy(order_col)
-            d = res.withColumn("d", F.col("e") - F.lag("e").over(w)).agg(F.sum(F.col("d") ** 2).alias("num")).first()
-        else:
-            ranked = exact_rank(res.select(order_col, "e"), [order_col], name="_r").select("_r", "e")
-            nxt = ranked.select((F.col("_r") - 1).alias("_r"), F.col("e").alias("e2"))
-            d = ranked.join(nxt, "_r").agg(F.sum((F.col("e2") - F.col("e")) ** 2).alias("num")).first()
+        # consecutive residual differences in the explicit order: an exact rank (no single-partition
+        # window) and a join of row r with row r + 1
+        ranked = exact_rank(res.select(order_col, "e"), [order_col], name="_r").select("_r", "e")
+        nxt = ranked.select((F.col("_r") - 1).alias("_r"), F.col("e").alias("e2"))
+        d = ranked.join(nxt, "_r").agg(F.sum((F.col("e2") - F.col("e")) ** 2).alias("num")).first()
         dw = (d["num"] or 0.0) / ssr if ssr > 0 else float("nan")
     ev = np.linalg.eigvalsh(xtx)
     cond = float(np.sqrt(ev.max() / ev.min())) if ev.min() > 0 else float("inf")

@@ -3,9 +3,9 @@ cosine top-n neighbours.
 
 Element-wise work uses SQL higher-order functions (``transform``/``aggregate``/``zip_with``) so
 it stays in the JVM. Pooling explodes (id, dim, value) and aggregates by (group, dim): partial
-aggregation absorbs a hot group. Neighbour search scores a bounded, broadcast block of queries
-against every partition of the table with numpy inside ``mapInPandas`` and keeps only the local
-top-n per query, so no all-pairs rows are ever materialised.
+aggregation absorbs a hot group. Neighbour search scores bounded blocks of queries against bounded
+blocks of the table with numpy and keeps only the local top-n per query, so no all-pairs rows are
+ever materialised.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators.ranking import broadcast_if_small
 
-QUERY_BLOCK = 2048  # queries broadcast per block (block x d doubles)
+QUERY_BLOCK, TABLE_BLOCK = 2048, 32768  # rows of a query block and of a table block
+SLICE = 4096  # table rows scored against a query block at once
 
 
 def as_double(vec) -> Column:
@@ -82,63 +83,55 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(sum_sq(a)) * F.sqrt(sum_sq(b)))
 
 
-def _local_topk(bc_ids, bc_block, n_keep: int, id_col: str, vec_col: str):
-    def run(it):
-        block_ids, block = bc_ids.value, bc_block.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(id_col, kind="stable")  # equal similarities: smallest id first
-            t = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            tn = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
-            ids = pdf[id_col].to_numpy()
-            sims = block @ tn.T  # (queries in block) x (rows in batch)
-            k = min(n_keep, sims.shape[1])
-            part = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(sims.shape[1]), (sims.shape[0], 1))
-            if k < sims.shape[1]:
-                last = np.take_along_axis(sims, part, 1).min(axis=1, keepdims=True)
-                for i in np.flatnonzero((sims >= last).sum(axis=1) > k):  # a tie at the boundary
-                    above, equal = np.flatnonzero(sims[i] > last[i]), np.flatnonzero(sims[i] == last[i])
-                    part[i] = np.concatenate([above, equal[: k - len(above)]])
-            q_idx = np.repeat(np.arange(sims.shape[0]), part.shape[1])
-            cols = part.reshape(-1)
-            yield pd.DataFrame({"qid": block_ids[q_idx], "nbr_id": ids[cols], "sim": sims[q_idx, cols]})
-
-    return run
+def _best(sims: np.ndarray, keep: int):
+    """(query row, column) of the ``keep`` best similarities of each row; columns come in
+    ascending order of ids, so that of equal similarities the smallest ids stay."""
+    k = min(keep, sims.shape[1])
+    if k == sims.shape[1]:
+        part = np.tile(np.arange(k), (len(sims), 1))
+    else:
+        part = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(sims, part, 1).min(axis=1, keepdims=True)
+        for i in np.flatnonzero((sims >= last).sum(axis=1) > k):  # a tie at the boundary
+            above, equal = np.flatnonzero(sims[i] > last[i]), np.flatnonzero(sims[i] == last[i])
+            part[i] = np.concatenate([above, equal[: k - len(above)]])
+    return np.repeat(np.arange(len(sims)), k), part.reshape(-1)
 
 
 def cosine_knn(queries: DataFrame, table: DataFrame, n: int = 5, drop: str = "self", id_col: str = "vec_id",
-               vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+               vec_col: str = "embedding", block: int = QUERY_BLOCK, table_block: int = TABLE_BLOCK) -> DataFrame:
     """Exact cosine top-n neighbours of every query row among the table rows: (qid, rank,
     nbr_id, sim). ``drop='self'`` removes the query's own id; ``drop='first'`` removes the
-    best hit whatever it is (the reference's n+1-then-skip-first rule). Queries are processed
-    in blocks of ``block`` rows (collected and broadcast: block x d doubles); the table is
-    never collected."""
-    spark = table.sparkSession
+    best hit whatever it is (the reference's n+1-then-skip-first rule). Queries and table are dealt
+    into blocks by a hash of the id; each pair of a query block and a table block is one bounded
+    task, which hands on its best rows only. Nothing passes through the driver."""
     keep = n + 1
-    queries = queries.where(F.col(vec_col).isNotNull())  # rows without vectors are skipped
-    table = table.where(F.col(vec_col).isNotNull())
-    q = queries.select(F.col(id_col).alias("qid"), l2_normalize(vec_col).alias("qv"))
-    nq = q.count()
-    n_blocks = max(1, -(-nq // block))
-    parts = []
-    t = table.select(id_col, vec_col)
-    for b in range(n_blocks):
-        rows = q.where((F.abs(F.xxhash64("qid")) % n_blocks) == b).collect() if n_blocks > 1 else q.collect()
-        if not rows:
-            continue
-        ids = np.array([r["qid"] for r in rows])
-        mat = np.array([r["qv"] for r in rows], dtype=np.float64)
-        bc_ids, bc_mat = spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(mat)
-        fn = _local_topk(bc_ids, bc_mat, keep, id_col, vec_col)
-        parts.append(t.mapInPandas(fn, "qid long, nbr_id long, sim double"))
-    if not parts:  # no query vectors
-        return spark.createDataFrame([], "qid long, rank int, nbr_id long, sim double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("qid"), as_double(vec_col).alias("qv"))
+    t = table.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("nbr_id"), as_double(vec_col).alias("tv"))
+    q_blocks, t_blocks = max(1, -(-q.count() // block)), max(1, -(-t.count() // table_block))
+
+    def dealt(df: DataFrame, key: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
+        df = df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": [], "nbr_id": [], "sim": []})]
+        if len(left) and len(right):
+            right = right.sort_values("nbr_id", kind="stable")
+            a, b = (np.stack(x.to_numpy()).astype(np.float64) for x in (left["qv"], right["tv"]))
+            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
+            qid, ids = left["qid"].to_numpy(), right["nbr_id"].to_numpy()
+            for at in range(0, len(b), SLICE):
+                sims = a @ b[at : at + SLICE].T
+                row, col = _best(sims, keep)
+                out.append(pd.DataFrame({"qid": qid[row], "nbr_id": ids[at + col], "sim": sims[row, col]}))
+        return pd.concat(out) if len(out) > 1 else out[0]
+
+    left = dealt(q, "qid", "qb", q_blocks, "tb", t_blocks).groupBy("qb", "tb")
+    right = dealt(t, "nbr_id", "tb", t_blocks, "qb", q_blocks).groupBy("qb", "tb")
+    cand = left.cogroup(right).applyInPandas(search, "qid long, nbr_id long, sim double")
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("nbr_id").asc())
-    ranked = cand.withColumn("_r", F.row_number().over(w))  # group = (qid): partitions x (n+1) rows
+    ranked = cand.withColumn("_r", F.row_number().over(w))  # group = (qid): n + 1 rows a table slice
     if drop == "self":
         ranked = ranked.where(F.col("nbr_id") != F.col("qid"))
         ranked = ranked.withColumn("_r", F.row_number().over(w))

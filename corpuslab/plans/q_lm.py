@@ -28,6 +28,13 @@ def _token_counts(arr: DataFrame) -> DataFrame:
     return arr.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _vocab_stats(counts: DataFrame):
+    """Vocabulary size, most frequent token (ties: smallest) and bytes of the token order table."""
+    top = F.min_by("t", F.struct((-F.col("c")).alias("a"), F.col("t").alias("b")))
+    r = counts.agg(F.count(F.lit(1)).alias("v"), top.alias("top"), F.sum(2 * F.octet_length("t") + 48).alias("size")).first()
+    return r["v"], r["top"], r["size"] or 0
+
+
 def _pairs(arr: DataFrame) -> DataFrame:
     return arr.select("doc_id", "lang", "split", F.explode(tx.next_pairs_array("toks")).alias("p")).select(
         "doc_id", "lang", "split", F.col("p.t").alias("ctx"), F.col("p.nxt").alias("nxt")
@@ -40,16 +47,13 @@ def bigram_eval(spark: SparkSession, sf_dir: str, by=("lang",), alpha: float = 1
     aggregate feeds the training counts, the context totals and the held-out scoring."""
     arr = split_tokens(spark, sf_dir)
     counts_all = _token_counts(arr)
-    stats = counts_all.agg(
-        F.count(F.lit(1)).alias("v"), F.min_by("t", F.struct((-F.col("c")).alias("a"), F.col("t").alias("b"))).alias("top")
-    ).first()
-    v, top = stats["v"], stats["top"]
+    v, top, order_bytes = _vocab_stats(counts_all)
     keys = ["split", *by] if split else list(by)
     agg = _pairs(arr).groupBy(*keys, "ctx", "nxt").agg(F.count(F.lit(1)).alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
     train = agg.where(F.col("split") == "train") if split else agg
     held = agg.where(F.col("split") == "val") if split else agg
     counts = train.groupBy("ctx", "nxt").agg(F.sum("m").alias("n"))
-    ctxs = lm.context_table(counts, lm.token_order(counts_all), order_rows=v)
+    ctxs = lm.context_table(counts, lm.token_order(counts_all), order_bytes)
     scored = lm.score(held, counts, ctxs, v, alpha, top, by=list(by), weight="m", unique=True)
     return lm.evaluate(scored, list(by))
 
@@ -300,12 +304,15 @@ def tt_pairs(spark, sf_dir):
 @register("word2vec")
 def word2vec(spark: SparkSession, sf_dir: str):
     """Learned token vectors (Spark ML Word2Vec over the whole-text token arrays): one row per
-    token of the model vocabulary."""
+    token of the corpus, rare ones included. Training runs on as many partitions as a shuffle has,
+    each iteration averaging their vectors."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     arr = views.doc_tokens(spark, sf_dir)
-    model = Word2Vec(vectorSize=32, minCount=5, seed=42, inputCol="toks", outputCol="v", maxIter=1).fit(arr)
-    return model.getVectors().select(F.col("word").alias("t"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = Word2Vec(vectorSize=32, minCount=1, seed=42, inputCol="toks", outputCol="v", maxIter=2, numPartitions=parts).fit(arr)
+    return model.getVectors().select(F.col("word").alias("t"), vector_to_array("vector").alias("vector"))
 
 
 LAST_BATCH = 16
@@ -328,16 +335,16 @@ def token_accuracy_last_batch(spark: SparkSession, sf_dir: str):
 
     arr = split_tokens(spark, sf_dir)
     counts_all = _token_counts(arr)
-    stats = counts_all.agg(F.count(F.lit(1)).alias("v"), F.min_by("t", F.struct((-F.col("c")).alias("a"), F.col("t").alias("b"))).alias("top")).first()
+    v, top, order_bytes = _vocab_stats(counts_all)
     train_docs = arr.where(F.col("split") == "train").select("doc_id").withColumn("epoch", F.lit(1))
     b = sm.batches(sm.shuffle_rank(train_docs, SEED, "epoch", "doc_id"), LAST_BATCH)
     last_id = b.agg(F.max("batch_id")).first()[0]
     last_docs = b.where(F.col("batch_id") == last_id).select("doc_id")
     pairs = _pairs(arr).where(F.col("split") == "train")
     counts = lm.fit_counts(pairs)
-    ctxs = lm.context_table(counts, lm.token_order(counts_all), order_rows=stats["v"])
+    ctxs = lm.context_table(counts, lm.token_order(counts_all), order_bytes)
     held = pairs.join(F.broadcast(last_docs), "doc_id", "left_semi")  # one batch of documents: bounded
-    e = lm.evaluate(lm.score(held, counts, ctxs, stats["v"], 1.0, stats["top"]))
+    e = lm.evaluate(lm.score(held, counts, ctxs, v, 1.0, top))
     return finish(e.select("tokens", "accuracy"))
 
 

@@ -6,8 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Rows above which a dimension-like side is no longer broadcast (checked with count()).
-BROADCAST_MAX_ROWS = 2_000_000
+# Measured bytes above which a dimension-like side is no longer broadcast.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "corpuslab") -> SparkSession:

@@ -78,15 +78,18 @@ def test_box_stats_quartiles(spark):
     assert [x["v"] for x in o.collect()] == [100.0]
 
 
-def test_rank_based_quantiles_equal_in_memory(spark):
+def test_quantiles_equal_numpy_with_ties_and_null_groups(spark):
     rng = np.random.default_rng(4)
     rows = [("hot" if i % 3 else "cold", float(v)) for i, v in enumerate(rng.normal(size=900))]
+    rows += [("hot", 0.5)] * 400 + [(None, 2.0), (None, 1.0), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    a = {r["g"]: (r["q25"], r["q50"], r["q75"], r["n"]) for r in st.quantiles(df, ["g"], "v").collect()}
-    b = {r["g"]: (r["q25"], r["q50"], r["q75"], r["n"]) for r in st.quantiles(df, ["g"], "v", in_memory_max=0).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert np.allclose(a[k], b[k], rtol=0, atol=1e-12)
+    got = {r["g"]: (r["q25"], r["q50"], r["q75"], r["n"]) for r in st.quantiles(df, ["g"], "v").collect()}
+    assert got.keys() == {"hot", "cold", None}
+    for k in got:
+        v = [y for x, y in rows if x == k]
+        assert np.allclose(got[k], [*np.percentile(v, [25, 50, 75]), len(v)], rtol=0, atol=1e-12)
+    whole = st.quantiles(df, [], "v", (0.5,)).first()
+    assert abs(whole["q50"] - np.median([y for _, y in rows if y is not None])) < 1e-12
 
 
 def test_shapley_contributions_add_up(spark):
