@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corpuslab.session import ensure_checkpoint_dir
 
 NULL_ID = 9223372036854775807  # stands for a null id inside an operator: later than every real id
-CHUNK_BYTES = 1 << 20  # texts hashed together
+CHUNK_BYTES = 1 << 18  # texts hashed together
 BLOCK_BYTES = 8 << 20  # text of a block of documents
 
 _U = np.uint64

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from corpuslab.llm import common as c
 
 FOLDS, WINDOW, WIDTHS, FILTERS, EMBED = 5, 256, (2, 3, 4), 16, 8
+AT_ONCE = 256  # windows through the network together
 PER_CLASS, PER_DOC, STEPS, BATCH = 400, 4, 400, 64
 MAX_CLASSES = 512  # languages the sample may have; more is an error, never a cut
 _LETTER = re.compile(r"[^\W\d_]")
@@ -169,9 +170,9 @@ def identify(docs: DataFrame, model: ByteCnn | None, text_col="text") -> DataFra
             for first, last in c.chunks([texts[i] for i in lettered], 1 << 18):
                 part = lettered[first:last]
                 windows, owner, size = _windows([texts[i] for i in part])
-                for lo in range(0, len(windows), 1024):
-                    prob = net.predict(windows[lo : lo + 1024], tables)
-                    np.add.at(total, np.array(part)[owner[lo : lo + 1024]], prob * size[lo : lo + 1024, None])
+                for lo in range(0, len(windows), AT_ONCE):
+                    prob = net.predict(windows[lo : lo + AT_ONCE], tables)
+                    np.add.at(total, np.array(part)[owner[lo : lo + AT_ONCE]], prob * size[lo : lo + AT_ONCE, None])
             for i in lettered:
                 k = int(total[i].argmax())
                 lang[i], score[i] = net.classes[k], float(min(1.0, total[i, k] / total[i].sum()))

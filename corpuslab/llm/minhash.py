@@ -34,6 +34,7 @@ from corpuslab.llm import common as c
 
 SHINGLE, K, SHARED, PERCENT = 5, 32, 14, 85
 PIECE = 512  # members of a list compared with each other at once
+AT_ONCE = 512  # texts encoded together
 SMALL = 32  # members of a list whose pairs are joined in plain rows
 
 
@@ -63,11 +64,12 @@ def signatures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     def sign(batches):
         for pdf in batches:
             n, h1, h2, sketch = [], [], [], []
-            for s in shingle_sets(c.encode(pdf["text"])):
-                n.append(len(s))
-                h1.append(int(c.mix(s * np.uint64(0x9FB21C651E98DF25)).sum().astype(np.int64)))
-                h2.append(int(c.mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum().astype(np.int64)))
-                sketch.append(s[:K].astype(np.int64))
+            for lo in range(0, len(pdf), AT_ONCE):
+                for s in shingle_sets(c.encode(pdf["text"].iloc[lo : lo + AT_ONCE])):
+                    n.append(len(s))
+                    h1.append(int(c.mix(s * np.uint64(0x9FB21C651E98DF25)).sum().astype(np.int64)))
+                    h2.append(int(c.mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum().astype(np.int64)))
+                    sketch.append(s[:K].astype(np.int64))
             yield pd.DataFrame({"doc": pdf["doc"], "n": n, "h1": h1, "h2": h2, "sketch": sketch})
 
     return base.mapInPandas(sign, "doc long, n long, h1 long, h2 long, sketch array<long>")
@@ -256,9 +258,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 
     def shrink(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "z": [zlib.compress(t, 1) for t in c.encode(pdf["text"])]})
+            yield pd.DataFrame({"id": pdf["id"], "z": [zlib.compress(c.encode([t])[0], 1) for t in pdf["text"]]})
 
-    texts = c.checkpointed(pairs_of.join(ids, "id", "left_semi").mapInPandas(shrink, "id long, z binary"))
+    # shrunk before the exchange: it moves and sorts a fraction of the bytes
+    texts = c.checkpointed(pairs_of.mapInPandas(shrink, "id long, z binary").join(ids, "id", "left_semi"))
     links = c.checkpointed(_confirmed(wanted, classes, texts))
     links = c.checkpointed(links.union(_in_full(_parts(lists, links), lists, classes, texts)))
     found = c.components(links)
