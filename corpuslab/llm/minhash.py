@@ -35,6 +35,7 @@ from corpuslab.llm import common as c
 SHINGLE, K, SHARED, PERCENT = 5, 32, 14, 85
 PIECE = 512  # members of a list compared with each other at once
 AT_ONCE = 512  # texts encoded together
+SIGN = np.uint64(1 << 63)  # flipped, so that signed columns and SQL have the order of the unsigned hashes
 SMALL = 32  # members of a list whose pairs are joined in plain rows
 
 
@@ -69,7 +70,7 @@ def signatures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                     n.append(len(s))
                     h1.append(int(c.mix(s * np.uint64(0x9FB21C651E98DF25)).sum().astype(np.int64)))
                     h2.append(int(c.mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum().astype(np.int64)))
-                    sketch.append(s[:K].astype(np.int64))
+                    sketch.append((s[:K] ^ SIGN).astype(np.int64))
             yield pd.DataFrame({"doc": pdf["doc"], "n": n, "h1": h1, "h2": h2, "sketch": sketch})
 
     return base.mapInPandas(sign, "doc long, n long, h1 long, h2 long, sketch array<long>")

@@ -212,6 +212,25 @@ def test_minhash(docs, rows, monkeypatch, small, piece):
     assert kept == {d for d, _, _, k in brute.near(rows) if k}
 
 
+def near_pairs(percents, sizes, per_cell):
+    """Pairs of documents, the second with e shingles more: their similarity is in [percents)."""
+    rng, rows = random.Random(11), []
+    for m in sizes:
+        for e in range(1, m):
+            if percents[0] * (m + e) <= 100 * m < percents[1] * (m + e):
+                for _ in range(per_cell):
+                    words = [f"w{rng.getrandbits(40)}" for _ in range(m + e + 4)]
+                    rows += [(len(rows), " ".join(words[: m + 4])), (len(rows) + 1, " ".join(words))]
+    return rows
+
+
+def test_minhash_short_documents(spark):
+    rows = near_pairs((85, 92), range(33, 61), 8)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    lost = [r.doc for r in out.collect() if r.component_id != r.doc - r.doc % 2]
+    assert len(rows) > 800 and not lost, f"{len(lost)} of {len(rows) // 2} links lost"
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.replicate(docs)
     a = got(out, "doc_id", "_copy", "_place")
