@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuslab.llm import decontam, langid, minhash, mixing, pii
 from corpuslab.session import ensure_checkpoint_dir
 
+NEAR = 80  # percent of shingles that near copies share
+
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.reject_unknown(docs)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, percent=NEAR)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

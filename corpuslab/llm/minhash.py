@@ -2,12 +2,13 @@
 
 A document's set is its distinct ``SHINGLE``-word shingles (A-Z lower-cased, words
 ``[^\\x20\\x09-\\x0D]+``); with fewer words the whole sequence is one, without words the set is empty.
-Documents are linked if 100 |A and B| >= 85 |A or B|.
+Documents are linked if 100 |A and B| >= percent |A or B|: 85 for the query, 80 for the pipeline's stage.
 
-1. One hash function gives each set its sketch: the ``K`` smallest shingle hashes. Equal sets are one
+1. One hash function gives each set its sketch: the K smallest shingle hashes. Equal sets are one
    class from here on, so thousands of copies are one row.
 2. Inverted lists of retained values generate candidates. Two linked sets share at least ``SHARED``
-   values of their sketches (it fails with a chance below 1e-8: a binomial of K draws at 0.85), so
+   values of their sketches; K is the smallest number for which this fails with a chance below ``MISS``
+   (a binomial of K draws at percent / 100: K = 33 at 85, 37 at 80), so
    each class may skip its SHARED - 1 most frequent ones: boilerplate makes no long lists.
 3. Each member of a list is paired with the list's leader: candidates grow with the rows, never
    with the square of a list. Pairs must pass the estimate on the union's sketch, then exact Jaccard
@@ -23,6 +24,7 @@ is. The component is the smallest id reachable. Empty table: no rows; extra colu
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -32,13 +34,21 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import common as c
 
-SHINGLE, K, SHARED, PERCENT = 5, 32, 14, 85
+SHINGLE, SHARED, PERCENT, MISS = 5, 14, 85, 1e-8
 PIECE = 512  # members of a list compared with each other at once
 AT_ONCE = 512  # texts encoded together
 SIGN = np.uint64(1 << 63)  # flipped, so that signed columns and SQL have the order of the unsigned hashes
 SMALL = 32  # members of a list whose pairs are joined in plain rows
 
 
+def sketch_size(percent: int) -> int:
+    """Smallest K of which linked sets share SHARED values but for a chance below MISS."""
+    p, k = percent / 100, SHARED
+    while sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(SHARED)) >= MISS:
+        k += 1
+    return k
+
+
 def shingle_sets(texts: list[bytes], size: int = SHINGLE):
     """Sorted distinct 64-bit shingle hashes of each text."""
     for first, last in c.chunks(texts):
@@ -53,13 +63,14 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE):
                 yield c.span_hash(pre, np.array([x]), np.array([y])) if y > x else np.zeros(0, np.uint64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signatures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def signatures(docs: DataFrame, percent: int, id_col="doc_id", text_col="text") -> DataFrame:
     """doc, n (set size), h1, h2 (hash of the set), sketch."""
+    k = sketch_size(percent)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(c.NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def sign(batches):
@@ -70,25 +81,26 @@ def signatures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                     n.append(len(s))
                     h1.append(int(c.mix(s * np.uint64(0x9FB21C651E98DF25)).sum().astype(np.int64)))
                     h2.append(int(c.mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum().astype(np.int64)))
-                    sketch.append((s[:K] ^ SIGN).astype(np.int64))
+                    sketch.append((s[:k] ^ SIGN).astype(np.int64))
             yield pd.DataFrame({"doc": pdf["doc"], "n": n, "h1": h1, "h2": h2, "sketch": sketch})
 
     return base.mapInPandas(sign, "doc long, n long, h1 long, h2 long, sketch array<long>")
 
 
-def _need(n: str) -> str:
+def _need(n: str, percent: int) -> str:
     """SQL: values that the sketches of two linked sets share at least, the smaller set having n.
 
-    Of n/0.85 shingles in the union at most 0.15 n/0.85 are not shared, so K - 0.15 n/0.85 of the K
-    smallest are; a sketch that is the whole set lacks none but what the other sketch leaves out."""
-    most = f"floor(100 * {n} / {PERCENT})"
-    return (f"CASE WHEN {n} <= {K} THEN ceil({PERCENT} * {n} / 100) - greatest(0, {most} - {K}) "
-            f"ELSE greatest({SHARED}, {K} - floor({100 - PERCENT} * {n} / {PERCENT})) END")
+    With p = percent / 100, of n/p shingles in the union at most (1 - p) n/p are not shared, so
+    K - (1 - p) n/p of the K smallest are; a sketch that is the whole set lacks none but what the
+    other sketch leaves out."""
+    k, most = sketch_size(percent), f"floor(100 * {n} / {percent})"
+    return (f"CASE WHEN {n} <= {k} THEN ceil({percent} * {n} / 100) - greatest(0, {most} - {k}) "
+            f"ELSE greatest({SHARED}, {k} - floor({100 - percent} * {n} / {percent})) END")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
     """(v, id): members of the inverted lists that can make a candidate."""
-    values = classes.select("id", F.expr(f"cast({_need('n')} as int)").alias("need"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    values = classes.select("id", F.expr(f"cast({_need('n', percent)} as int)").alias("need"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = c.checkpointed(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     common = values.join(often, "v").groupBy("id").agg(F.first("need").alias("need"), F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by"))
     # values that no other class has are the rarest and need no list
@@ -97,10 +109,10 @@ def _lists(classes: DataFrame) -> DataFrame:
     return common.select("id", F.explode(F.slice("by", F.lit(1), keep.cast("int"))).alias("x")).select("x.v", "id")
 
 
-def _estimated(a: str, b: str) -> str:
+def _estimated(a: str, b: str, percent: int) -> str:
     """Shared values in the union's sketch reach what linked sets have."""
-    union = f"slice(array_sort(array_union({a}.sketch, {b}.sketch)), 1, {K})"
-    return f"size(array_intersect({union}, array_intersect({a}.sketch, {b}.sketch))) >= {_need(f'least({a}.n, {b}.n)')}"
+    union = f"slice(array_sort(array_union({a}.sketch, {b}.sketch)), 1, {sketch_size(percent)})"
+    return f"size(array_intersect({union}, array_intersect({a}.sketch, {b}.sketch))) >= {_need(f'least({a}.n, {b}.n)', percent)}"
 
 
 def _by_leader(lists: DataFrame) -> DataFrame:
@@ -111,13 +123,13 @@ def _by_leader(lists: DataFrame) -> DataFrame:
     return lists.join(leader, "v").where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the estimate and whose full sets are linked."""
     sketches = classes.select("id", "n", "sketch")
     for side in "ab":
         s = sketches.select(F.col("id").alias(side), F.struct("n", "sketch").alias(f"s{side}"))
         pairs = pairs.join(s, side)
-    pairs = pairs.where(F.expr(_estimated("sa", "sb"))).select("a", "b")
+    pairs = pairs.where(F.expr(_estimated("sa", "sb", percent))).select("a", "b")
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("z").alias(f"z{side}")), side)
 
@@ -133,7 +145,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
                             seen.clear()
                         seen[z] = next(shingle_sets([zlib.decompress(z)]))
                     sets.append(seen[z])
-                keep.append(linked(*sets))
+                keep.append(linked(*sets, percent))
             yield pdf.loc[keep, ["a", "b"]]
 
     return pairs.mapInPandas(confirm, "a long, b long")
@@ -172,22 +184,23 @@ def _common(groups: list[np.ndarray]) -> np.ndarray:
     return out.reshape(n, n)
 
 
-def _sides(g: pd.DataFrame, x, y) -> np.ndarray:
+def _sides(g: pd.DataFrame, x, y, percent: int) -> np.ndarray:
     """Which pairs of a group belong to it: within piece x, or between pieces x and y."""
     i = g["i"].to_numpy()
     pairs = np.triu(np.ones((len(g), len(g)), bool), 1) if x == y else (i[:, None] == x) & (i[None] == y)
     part, n = g["part"].to_numpy(), g["n"].to_numpy()
-    return pairs & (part[:, None] != part[None]) & (100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n))
+    return pairs & (part[:, None] != part[None]) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
 
 
-def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between different components of the same list. Lists of up to SMALL members give their
     pairs as rows (rows x SMALL at most); longer ones are compared by pairs of pieces of about PIECE.
     A pair belongs to the first list that both are in; only members of a pair that passes the
     estimate bring their texts."""
+    k = sketch_size(percent)
     other = lists.where(F.col("m") <= SMALL).select("v", F.col("id").alias("b"), F.col("part").alias("pb"))
     few = lists.where(F.col("m") <= SMALL).join(other, "v").where("id > b and part <> pb").select(F.col("id").alias("a"), "b").distinct()
-    small = _confirmed(few, classes, texts)
+    small = _confirmed(few, classes, texts, percent)
     lists = lists.where(F.col("m") > SMALL)
     members = lists.withColumn("pieces", F.ceil(F.col("m") / PIECE).cast("int")).withColumn("i", F.pmod(F.xxhash64("id", "v"), F.col("pieces")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
@@ -200,7 +213,7 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
             g = g.drop_duplicates("id")
             if g["part"].nunique() < 2:
                 continue
-            pairs = _sides(g, x, y)
+            pairs = _sides(g, x, y, percent)
             before = [np.array([u for u in m if u < v], np.int64) for m in g["mine"]]
             if sum(map(len, before)):
                 pairs &= _common(before) == 0
@@ -208,8 +221,8 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
                 continue
             n = g["n"].to_numpy()
             low = np.minimum.outer(n, n)
-            most = 100 * low // PERCENT
-            need = np.where(low <= K, -(-PERCENT * low // 100) - np.maximum(0, most - K), np.maximum(SHARED, K - (100 - PERCENT) * low // PERCENT))
+            most = 100 * low // percent
+            need = np.where(low <= k, -(-percent * low // 100) - np.maximum(0, most - k), np.maximum(SHARED, k - (100 - percent) * low // percent))
             pairs &= _common(g["sketch"].tolist()) >= need
             hit = pairs.any(0) | pairs.any(1)
             if hit.any():
@@ -220,10 +233,10 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
         out = []
         for (_, x, y), g in pdf.groupby(["v", "x", "y"], sort=False):
             sets = list(shingle_sets([zlib.decompress(z) for z in g["z"]]))
-            pairs = _sides(g.assign(n=[len(s) for s in sets]), x, y)
+            pairs = _sides(g.assign(n=[len(s) for s in sets]), x, y, percent)
             n = np.array([len(s) for s in sets])
             both = _common(sets)
-            near = pairs & (100 * both >= PERCENT * (n[:, None] + n[None] - both)) & (both > 0)
+            near = pairs & (100 * both >= percent * (n[:, None] + n[None] - both)) & (both > 0)
             ids, part = g["id"].tolist(), g["part"].tolist()
             root = {p: p for p in part}
 
@@ -247,11 +260,11 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
     return small.union(dealt(c.checkpointed(wanted.join(texts, "id"))).applyInPandas(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """doc, n_shingles, component_id, kept for every row."""
-    signed = c.checkpointed(signatures(docs, id_col, text_col))
+    signed = c.checkpointed(signatures(docs, percent, id_col, text_col))
     classes = c.checkpointed(signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").alias("id"), "n", "sketch")).alias("x")).select("h1", "h2", "x.*"))
-    lists = c.checkpointed(_lists(classes))
+    lists = c.checkpointed(_lists(classes, percent))
     wanted = _by_leader(lists)
     # a text is needed of every member of a list with two members or more
     ids = lists.join(lists.groupBy("v").count().where("count > 1").select("v"), "v", "left_semi").select("id").distinct()
@@ -263,8 +276,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 
     # shrunk before the exchange: it moves and sorts a fraction of the bytes
     texts = c.checkpointed(pairs_of.mapInPandas(shrink, "id long, z binary").join(ids, "id", "left_semi"))
-    links = c.checkpointed(_confirmed(wanted, classes, texts))
-    links = c.checkpointed(links.union(_in_full(_parts(lists, links), lists, classes, texts)))
+    links = c.checkpointed(_confirmed(wanted, classes, texts, percent))
+    links = c.checkpointed(links.union(_in_full(_parts(lists, links), lists, classes, texts, percent)))
     found = c.components(links)
     of_class = c.checkpointed(classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")))
     out = signed.select("doc", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
@@ -272,9 +285,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     return out.select("doc", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc") == F.col("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc").alias("_gone")).distinct()
     return docs.join(c.checkpointed(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
 

@@ -231,6 +231,18 @@ def test_minhash_short_documents(spark):
     assert len(rows) > 800 and not lost, f"{len(lost)} of {len(rows) // 2} links lost"
 
 
+def test_near_copies_leave_the_pipeline_from_80(spark):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    rows = near_pairs((80, 85), [*range(20, 61, 4), 300], 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows) > 40 and {r.doc_id for r in stage(spark, df, SF).collect()} == {d for d, _ in rows if d % 2 == 0}
+    assert minhash.near_duplicates(df).where("not kept").count() == 0
+    apart = spark.createDataFrame(near_pairs((75, 80), range(20, 61, 8), 1), "doc_id long, text string")
+    assert stage(spark, apart, SF).count() == apart.count()
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.replicate(docs)
     a = got(out, "doc_id", "_copy", "_place")
