@@ -3,6 +3,10 @@
 Each pass hashes a vector by the signs of ``BITS`` random projections, concatenated to one number,
 and orders all vectors lexicographically by it (an exact rank over range partitions). Neighbours in
 that order are compared in windows: pieces of ``PIECE`` ranks with the first ``HALO`` of the next one.
+A bucket of vectors that share their first ``depth`` signs, of log2(rows / PIECE), is compared in full:
+where no window holds it, by pairs of its blocks. So a link is met in a pass with the chance that its
+signs agree, (1 - acos(LEAST) / pi)^depth at least, however the vectors lie; the passes are as many as
+keep the chance that all of them miss it under ``MISS``, ``PASSES`` at least and as many at once.
 Verified links (cosine >= ``LEAST`` in double precision) of all passes are united to components.
 
 An exact check follows: inside each component all members are compared, in pairs of blocks of bounded
@@ -16,6 +20,8 @@ Rows that repeat an id are one vector, the smallest in array order. Empty table:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +31,7 @@ from corpuslab.llm import common as c
 from corpuslab.operators.ranking import exact_rank
 
 LEAST, PASSES, BITS, PIECE, HALO, BLOCK, SEED = 0.9, 12, 32, 512, 128, 1024, 20240501
+MISS = 1e-4
 _GOOD = ("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) "
          "and exists(embedding, x -> x <> 0) and id is not null")
 
@@ -39,26 +46,49 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
 
 
-def _codes(vectors: DataFrame, passes: int) -> DataFrame:
+def plan(rows: int, least: float = LEAST) -> tuple[int, int]:
+    """(depth, passes): signs of a bucket, and passes after which a link is missed with a chance below MISS."""
+    depth = max(0, math.ceil(math.log2(max(1, rows) / PIECE)))
+    met = (1 - math.acos(least) / math.pi) ** depth
+    return depth, max(PASSES, math.ceil(math.log(MISS) / math.log1p(-met))) if met < 1 else PASSES
+
+
+def _planes(size: int, number: int) -> np.ndarray:
+    return np.random.default_rng((SEED + size, number)).normal(size=(size, BITS))
+
+
+def _codes(vectors: DataFrame, first: int, last: int) -> DataFrame:
+    passes = last - first
+
     def hash_(batches):
         for pdf in batches:
             for size, g in pdf.groupby(pdf["embedding"].map(len)):
                 x = _matrix(g["embedding"])
                 x /= np.abs(x).max(1, keepdims=True)
-                planes = np.random.default_rng(SEED + size).normal(size=(size, passes * BITS))
+                planes = np.hstack([_planes(size, i) for i in range(first, last)])
                 bits = (x @ planes > 0).reshape(len(g), passes, BITS)
                 code = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                yield pd.DataFrame({"id": np.repeat(g["id"].to_numpy(), passes), "dim": size, "pass": np.tile(np.arange(passes), len(g)), "code": code.ravel()})
+                yield pd.DataFrame({"id": np.repeat(g["id"].to_numpy(), passes), "dim": size, "pass": np.tile(np.arange(first, last), len(g)), "code": code.ravel()})
 
     return vectors.select("id", "embedding").mapInPandas(hash_, "id long, dim int, pass int, code long")
 
 
-def _window_links(vectors: DataFrame, passes: int, least: float) -> DataFrame:
-    ranked = exact_rank(_codes(vectors, passes), ["code", "id"], partition_by=("pass", "dim"), name="rank")
+def _window_links(vectors: DataFrame, first: int, last: int, depth: int, least: float) -> DataFrame:
+    """Links of the passes from first to before last."""
+    ranked = c.checkpointed(exact_rank(_codes(vectors, first, last), ["code", "id"], partition_by=("pass", "dim"), name="rank").withColumn("bucket", F.shiftright("code", BITS - depth)))
     at = F.col("rank") - 1
     piece = F.floor(at / PIECE)
     both = F.when((piece > 0) & (at % PIECE < HALO), F.array(piece, piece - 1)).otherwise(F.array(piece))
-    rows = ranked.select("id", "pass", "dim", F.explode(both).alias("piece")).join(vectors.select("id", "embedding"), "id")
+    windows = ranked.select("id", "pass", "dim", F.lit(-1).cast("long").alias("bucket"), F.explode(both).alias("x"), F.lit(-1).cast("long").alias("y"))
+    # buckets that no window holds: pairs of blocks, one block with itself if there is no other
+    sizes = ranked.groupBy("pass", "dim", "bucket").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    open_ = sizes.where(F.col("high") >= (F.floor(F.col("low") / PIECE) + 1) * PIECE + HALO)
+    blocks = F.ceil((F.col("high") - F.col("low") + 1) / BLOCK)
+    members = ranked.join(c.checkpointed(open_.withColumn("blocks", blocks)), ["pass", "dim", "bucket"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (j != F.col("i")) | (F.col("blocks") == 1))
+    pairs = F.transform(others, lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
+    whole = members.select("id", "pass", "dim", "bucket", F.explode(pairs).alias("p")).select("id", "pass", "dim", "bucket", "p.x", "p.y")
+    rows = windows.union(whole).join(vectors.select("id", "embedding"), "id")
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(), _matrix(pdf["embedding"])
@@ -72,7 +102,7 @@ def _window_links(vectors: DataFrame, passes: int, least: float) -> DataFrame:
             label = lower
         return pd.DataFrame({"a": ids, "b": label})[label < ids]
 
-    return rows.groupBy("pass", "dim", "piece").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("pass", "dim", "bucket", "x", "y").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _count_links(vectors: DataFrame, found: DataFrame, least: float) -> DataFrame:
@@ -102,7 +132,7 @@ def _count_links(vectors: DataFrame, found: DataFrame, least: float) -> DataFram
     return dealt.groupBy("g").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(embeddings: DataFrame, id_col="vec_id", vector_col="embedding", least=LEAST, passes=PASSES) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, id_col="vec_id", vector_col="embedding", least=LEAST) -> DataFrame:
     """id, n_links, component_id, kept for every vector."""
     raw = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     nulls = raw.where("id is null").select("id")
@@ -111,7 +141,12 @@ def near_duplicates(embeddings: DataFrame, id_col="vec_id", vector_col="embeddin
     rows = c.checkpointed(rows.withColumn("good", good).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding")))
     valid = rows.where("good")
     vectors = c.checkpointed(valid.groupBy("h1", "h2").agg(F.min(F.struct("id", "embedding")).alias("x"), F.count("*").alias("copies")).select("h1", "h2", "x.*", "copies"))
-    found = c.components(_window_links(vectors, passes, least))
+    depth, passes = plan(vectors.count(), least)
+    links = None
+    for first in range(0, passes, PASSES):
+        more = _window_links(vectors, first, min(passes, first + PASSES), depth, least)
+        links = c.checkpointed(more if links is None else links.union(more).distinct())
+    found = c.components(links)
     linked = vectors.select("id", "h1", "h2", "copies").join(found, "id", "left").join(_count_links(vectors, found, least), "id", "left")
     classes = c.checkpointed(linked.select("h1", "h2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = valid.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "n_links", "component_id")

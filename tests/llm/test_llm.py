@@ -212,6 +212,22 @@ def test_minhash(docs, rows, monkeypatch, small, piece):
     assert kept == {d for d, _, _, k in brute.near(rows) if k}
 
 
+def test_embedding_dedup_meets_isolated_links_of_a_large_table(spark, monkeypatch):
+    """Windows of a small piece stand for a table of many pieces: 1,500 planted links, no other ones."""
+    for name, value in {"PIECE": 8, "HALO": 2, "BLOCK": 16}.items():
+        monkeypatch.setattr(embed_dedup, name, value)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    side = rng.normal(size=(1500, 64))
+    side -= (side * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    side /= np.sqrt((side * side).sum(1, keepdims=True))
+    x[1500:3000] = 0.905 * x[:1500] + (1 - 0.905**2) ** 0.5 * side
+    out = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    lost = 1500 - sum(r.component_id == r.id - 1500 for r in out if 1500 <= r.id < 3000)
+    assert lost <= 1, f"{lost} of 1500 links lost"
+
+
 def near_pairs(percents, sizes, per_cell):
     """Pairs of documents, the second with e shingles more: their similarity is in [percents)."""
     rng, rows = random.Random(11), []
