@@ -18,7 +18,7 @@ TEMP = 0.8
 TOP_P = 0.9
 PENALTY = 1.5
 SEED = 42
-GEN_STEPS = 5
+GEN_STEPS = 20  # new tokens of a text, as ref:main.py:593
 
 
 def _vocab_ids(spark: SparkSession, sf_dir: str):

@@ -42,3 +42,11 @@ def test_greedy_generation_chain(spark):
     g = {(r["pid"], r["step"]): r["token"] for r in dc.generate(prompts, cands, 3, "greedy", fallback=1).collect()}
     assert [g[(10, s)] for s in (1, 2, 3)] == [2, 1, 2]  # tie 2 vs 3 -> smaller id
     assert [g[(11, s)] for s in (1, 2, 3)] == [1, 2, 1]  # unseen context falls back to id 1
+
+
+def test_queries_generate_the_length_of_the_reference(spark):
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    steps = __spark_entry__.queries()["generate_greedy"](spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("step").alias("last")).collect()
+    assert steps and {(r["n"], r["last"]) for r in steps} == {(20, 20)}
