@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corpuslab.llm import ctw, decontam, embed_dedup, langid, minhash, mixing, pii, quality, substring_dedup, suffix_dedup
+from corpuslab.llm import conversation_trie, ctw, decontam, embed_dedup, langid, minhash, mixing, pii, quality, substring_dedup, suffix_dedup, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,5 +17,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_minhash_dedup": minhash.query,
+    "op11_conversation_trie": conversation_trie.query,
+    "op12_embedding_whitening": whitening.query,
 }
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE}
