@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corpuslab.llm import conversation_trie, ctw, decontam, embed_dedup, langid, minhash, mixing, pii, quality, substring_dedup, suffix_dedup, whitening
+from corpuslab.llm import conversation_trie, ctw, decontam, embed_dedup, html_extraction, langid, minhash, mixing, pii, quality, substring_dedup, suffix_dedup, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,5 +19,6 @@ QUERIES = {
     "op10_minhash_dedup": minhash.query,
     "op11_conversation_trie": conversation_trie.query,
     "op12_embedding_whitening": whitening.query,
+    "op13_html_extraction": html_extraction.query,
 }
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE}
