@@ -19,11 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix, Matrices
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ from corpuslab.llm import common as c
 
 SCALE = 256  # whole steps of an entry
 COMPONENTS = 4
-BLOCK_ROWS = 256  # rows of a block
+BLOCK_ROWS, BLOCKS, BLOCK_BYTES = 256, 4096, 32 << 20  # least rows of a block; blocks until blocks grow; most bytes of one
 
 _GOOD = "coalesce(forall(v, e -> e is not null and not isnan(e) and abs(e) < double('infinity')), false)"
 
@@ -50,6 +49,11 @@ def numbered(df: DataFrame, name: str = "i") -> DataFrame:
     return x.join(shift, "_p").withColumn(name, F.col("_m") + F.col("_s")).drop("_p", "_m", "_s")
 
 
+def block_rows(n: int, dim: int) -> int:
+    """Rows of a block: MLlib's driver keeps the number of every block, so blocks grow with the rows up to BLOCK_BYTES."""
+    return max(1, min(max(BLOCK_ROWS, n // BLOCKS), BLOCK_BYTES // (8 * dim)))
+
+
 def scaled(embeddings: DataFrame, id_col="vec_id", vector_col="embedding") -> tuple[DataFrame, int]:
     """id and x, the whole-number vector, of every usable row, and the dimension."""
     raw = embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(_GOOD)
@@ -59,11 +63,15 @@ def scaled(embeddings: DataFrame, id_col="vec_id", vector_col="embedding") -> tu
 
 
 def _blocks(rows: DataFrame, n: int, mean: np.ndarray) -> BlockMatrix:
-    """Centred rows (i, x) as a block matrix."""
+    """Centred rows (i, x) as a block matrix of ``block_rows`` rows a block."""
+    d = len(mean)
+    size = block_rows(n, d)
     centre = F.array(*[F.lit(float(m)) for m in mean])
     centred = F.zip_with("x", centre, lambda a, m: a.cast("double") - m)
-    vectors = MLUtils.convertVectorColumnsFromML(rows.select("i", array_to_vector(centred).alias("v")), "v")
-    return IndexedRowMatrix(vectors, n, len(mean)).toBlockMatrix(BLOCK_ROWS, max(BLOCK_ROWS, len(mean)))
+    held = rows.select((F.col("i") / size).cast("int").alias("b"), F.struct("i", centred.alias("v")).alias("r")).groupBy("b").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    values = held.select("b", F.flatten(F.transform("r", lambda r: r["v"])).alias("values"))
+    blocks = values.rdd.map(lambda r: ((r["b"], 0), DenseMatrix(len(r["values"]) // d, d, r["values"], True)))
+    return BlockMatrix(blocks, size, d, n, d)
 
 
 def _scatter(blocks: BlockMatrix, tasks: int) -> np.ndarray:
@@ -78,7 +86,7 @@ def _project(spark, blocks: BlockMatrix, matrix: np.ndarray) -> BlockMatrix:
     """Rows times a d x k matrix of one block."""
     d, k = matrix.shape
     one = spark.sparkContext.parallelize([((0, 0), Matrices.dense(d, k, matrix.T.ravel().tolist()))], 1)
-    return blocks.multiply(BlockMatrix(one, blocks.colsPerBlock, max(BLOCK_ROWS, k), d, k))
+    return blocks.multiply(BlockMatrix(one, d, k, d, k))
 
 
 def fit(rows: DataFrame, dim: int, components: int = COMPONENTS):
