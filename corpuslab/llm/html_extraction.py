@@ -131,7 +131,11 @@ def decode(field: Field, blocks: list) -> list[int]:
 def sample_words(pages: DataFrame, html_col="html") -> list[str]:
     """Words of the text of a bounded sample of pages, for the wording of training pages."""
     page = F.col(html_col).cast("string")
-    drawn = pages.where(F.length(page) > 0).select(F.xxhash64(page).alias("h"), F.substring(page, 1, SAMPLE_CHARS).alias("page")).orderBy("h", "page").take(SAMPLE_PAGES)
+    hashed = pages.where(F.length(page) > 0).select(F.xxhash64(page).alias("h"), F.substring(page, 1, SAMPLE_CHARS).alias("page"))
+    low = [r["h"] for r in hashed.select("h").distinct().orderBy("h").take(SAMPLE_PAGES)]  # hashes first: no task sends pages that are not drawn
+    if not low:
+        return OWN_WORDS
+    drawn = hashed.where(F.col("h") <= low[-1]).groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()  # a page for each of these hashes
     words = [w for r in drawn for b in leaf_blocks(r["page"]) for w in re.findall(r"[^\W\d_]{1,20}", b.text)]
     return words if len(words) >= 500 else OWN_WORDS
 
