@@ -174,6 +174,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Checkpoints that are deleted once what was made from them is itself on disk."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(checkpointed(df))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        for df in self.tables:
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if file.isDefined():
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = []
+
+
+def fresh(taken, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that is no column yet."""
+    taken, k, out = {x.lower() for x in taken}, 0, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+def shielded(docs: DataFrame, own) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with every column that an operator doesn't name (``own``) under a name that no operator uses,
+    and the names to go back to: columns of a user pass through, whatever they are called."""
+    own = {x.lower() for x in own}
+    away = {x: f"user column {i}" for i, x in enumerate(docs.columns) if x.lower() not in own}
+    return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over links (a, b); ids without a link don't appear.
 
@@ -181,14 +217,20 @@ def components(links: DataFrame) -> DataFrame:
     then the one that this id holds (which doubles the distance covered), until nothing moves. A
     grouped minimum and joins: no neighbour list is gathered, and a centre of millions of links is
     an ordinary skewed join between checkpointed tables."""
+    edges, last = Scratch(), Scratch()
     e = links.where("a <> b").select("a", "b")
-    e = checkpointed(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    held = checkpointed(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("held")).withColumnRenamed("a", "id"))
+    e = edges(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    held = last(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("held")).withColumnRenamed("a", "id"))
     while True:
+        now, between = Scratch(), Scratch()
         near = e.join(held, e["b"] == held["id"]).groupBy("a").agg(F.min("held").alias("near"))
-        step = checkpointed(held.join(near, F.col("id") == F.col("a")).select("id", F.col("held").alias("old"), F.least("held", "near").alias("held")))
+        step = between(held.join(near, F.col("id") == F.col("a")).select("id", F.col("held").alias("old"), F.least("held", "near").alias("held")))
         far = step.select(F.col("id").alias("far_id"), F.col("held").alias("far"))
-        moved = checkpointed(step.join(far, F.col("held") == F.col("far_id")).select("id", F.col("far").alias("held"), (F.col("far") != F.col("old")).alias("moved")))
+        moved = now(step.join(far, F.col("held") == F.col("far_id")).select("id", F.col("far").alias("held"), (F.col("far") != F.col("old")).alias("moved")))
         held = moved.select("id", "held")
+        between.release()
+        last.release()
+        last = now
         if not moved.where("moved").take(1):
+            edges.release()
             return held.withColumnRenamed("held", "component")

@@ -124,8 +124,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col="text", **options) -> DataFrame:
-    """Documents without any hit, columns as they are."""
-    return find_hits(docs, benchmark, text_col, **options).where(F.octet_length("_hit_words") == 0).select(*docs.columns)
+    """Documents without any hit, columns as they are, whatever their names."""
+    rows, names = c.shielded(docs, (text_col,))
+    clean = find_hits(rows, benchmark, text_col, **options).where(F.octet_length("_hit_words") == 0).select(*[f"`{x}`" for x in rows.columns])
+    return clean.withColumnsRenamed(names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,10 +17,10 @@ Ties in the distribution: the language first in name order. An empty table gives
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ FOLDS, WINDOW, WIDTHS, FILTERS, EMBED = 5, 256, (2, 3, 4), 16, 8
 AT_ONCE = 256  # windows through the network together
 PER_CLASS, PER_DOC, STEPS, BATCH = 400, 4, 400, 64
 MAX_CLASSES = 512  # languages the sample may have; more is an error, never a cut
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -183,8 +183,10 @@ def identify(docs: DataFrame, model: ByteCnn | None, text_col="text") -> DataFra
 
 def reject_unknown(docs: DataFrame, model: ByteCnn | None = None, min_score=0.3, **columns) -> DataFrame:
     """Documents whose language is known: not ``und``, and of at least ``min_score``."""
-    found = identify(docs, model if model is not None else fit(docs, **columns))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= min_score)).select(*docs.columns)
+    rows, names = c.shielded(docs, ("text",))
+    found = identify(rows, model if model is not None else fit(docs, **columns))
+    known = found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= min_score)).select(*[f"`{x}`" for x in rows.columns])
+    return known.withColumnsRenamed(names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import common as c
+from corpuslab.operators.ranking import broadcast_if_small
 
 SHINGLE, SHARED, PERCENT, MISS = 5, 14, 85, 1e-8
-PIECE = 512  # members of a list compared with each other at once
+PIECE = 1024  # members of a list compared with each other at once
 AT_ONCE = 512  # texts encoded together
 SIGN = np.uint64(1 << 63)  # flipped, so that signed columns and SQL have the order of the unsigned hashes
 SMALL = 32  # members of a list whose pairs are joined in plain rows
@@ -98,10 +99,10 @@ def _need(n: str, percent: int) -> str:
             f"ELSE greatest({SHARED}, {k} - floor({100 - percent} * {n} / {percent})) END")
 
 
-def _lists(classes: DataFrame, percent: int) -> DataFrame:
+def _lists(classes: DataFrame, percent: int, held: c.Scratch) -> DataFrame:
     """(v, id): members of the inverted lists that can make a candidate."""
     values = classes.select("id", F.expr(f"cast({_need('n', percent)} as int)").alias("need"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    often = c.checkpointed(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    often = held(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     common = values.join(often, "v").groupBy("id").agg(F.first("need").alias("need"), F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by"))
     # values that no other class has are the rarest and need no list
     rare = F.col("s") - F.size("by")
@@ -115,11 +116,11 @@ def _estimated(a: str, b: str, percent: int) -> str:
     return f"size(array_intersect({union}, array_intersect({a}.sketch, {b}.sketch))) >= {_need(f'least({a}.n, {b}.n)', percent)}"
 
 
-def _by_leader(lists: DataFrame) -> DataFrame:
+def _by_leader(lists: DataFrame, held: c.Scratch) -> DataFrame:
     """Distinct pairs (a, b): member and leader of a list. The leader is the member of most lists: of
     many copies with edits, the one nearest to what they have in common."""
-    central = c.checkpointed(lists.join(c.checkpointed(lists.groupBy("id").agg(F.count("*").alias("n"))), "id"))
-    leader = c.checkpointed(central.groupBy("v").agg(F.max(F.struct("n", (-F.col("id")).alias("i"))).alias("l"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("l.i")).alias("b")))
+    central = held(lists.join(held(lists.groupBy("id").agg(F.count("*").alias("n"))), "id"))
+    leader = held(central.groupBy("v").agg(F.max(F.struct("n", (-F.col("id")).alias("i"))).alias("l"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("l.i")).alias("b")))
     return lists.join(leader, "v").where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
@@ -151,12 +152,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent:
     return pairs.mapInPandas(confirm, "a long, b long")
 
 
-def _parts(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _parts(lists: DataFrame, links: DataFrame, held: c.Scratch) -> DataFrame:
     """Lists with the component of each member, without lists that are one component."""
     found = c.components(links)
-    lists = c.checkpointed(lists.join(found, "id", "left").select("v", "id", F.coalesce("component", "id").alias("part")))
-    open_ = c.checkpointed(lists.groupBy("v").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x <> y").select("v", "m"))
-    return c.checkpointed(lists.join(open_, "v"))
+    lists = held(lists.join(found, "id", "left").select("v", "id", F.coalesce("component", "id").alias("part")))
+    open_ = held(lists.groupBy("v").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x <> y").select("v", "m"))
+    return held(lists.join(open_, "v"))
 
 
 def _common(groups: list[np.ndarray]) -> np.ndarray:
@@ -192,7 +193,23 @@ def _sides(g: pd.DataFrame, x, y, percent: int) -> np.ndarray:
     return pairs & (part[:, None] != part[None]) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
 
 
-def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _pieces(lists: DataFrame, held: c.Scratch) -> DataFrame:
+    """v, id, part, piece i and the pairs of pieces that a member meets others in.
+
+    Only members of different parts can make a new link. So the members of a list's largest part (pieces
+    0, 1, ...) meet the rest, and the rest (pieces -1, -2, ...) meets all: where most of a list hangs
+    together, its members go to one task each, not to one for every other piece."""
+    of_part = lists.groupBy("v", "part").agg(F.count("*").alias("k"))
+    sizes = of_part.groupBy("v").agg(F.max(F.struct("k", (-F.col("part")).alias("p"))).alias("top"), F.sum("k").alias("m"))
+    sizes = held(sizes.select("v", (-F.col("top.p")).alias("large"), F.ceil(F.col("top.k") / PIECE).cast("int").alias("pl"), F.ceil((F.col("m") - F.col("top.k")) / PIECE).cast("int").alias("pr")))
+    placed = lists.select("v", "id", "part").join(sizes, "v").withColumn("of_large", F.col("part") == F.col("large"))
+    drawn = F.xxhash64("id", "v")
+    placed = placed.withColumn("i", F.when(F.col("of_large"), F.pmod(drawn, F.col("pl"))).otherwise(-1 - F.pmod(drawn, F.col("pr"))).cast("int"))
+    met = F.when(F.col("of_large"), F.sequence(-F.col("pr"), F.lit(-1))).otherwise(F.sequence(-F.col("pr"), F.col("pl") - 1))
+    return placed.select("v", "id", "part", "i", F.transform(met, lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"))).alias("pairs"))
+
+
+def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, held: c.Scratch) -> DataFrame:
     """Links between different components of the same list. Lists of up to SMALL members give their
     pairs as rows (rows x SMALL at most); longer ones are compared by pairs of pieces of about PIECE.
     A pair belongs to the first list that both are in; only members of a pair that passes the
@@ -201,11 +218,13 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
     other = lists.where(F.col("m") <= SMALL).select("v", F.col("id").alias("b"), F.col("part").alias("pb"))
     few = lists.where(F.col("m") <= SMALL).join(other, "v").where("id > b and part <> pb").select(F.col("id").alias("a"), "b").distinct()
     small = _confirmed(few, classes, texts, percent)
-    lists = lists.where(F.col("m") > SMALL)
-    members = lists.withColumn("pieces", F.ceil(F.col("m") / PIECE).cast("int")).withColumn("i", F.pmod(F.xxhash64("id", "v"), F.col("pieces")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
-    mine = every.groupBy("id").agg(F.collect_set("v").alias("mine")).join(classes.select("id", "n", "sketch"), "id")
-    rows = members.join(c.checkpointed(mine), "id").select("v", "i", "id", "part", "n", "mine", "sketch", F.explode(pairs).alias("p")).select("v", "p.x", "p.y", "i", "id", "part", "n", "mine", "sketch")
+    members = held(_pieces(lists.where(F.col("m") > SMALL), held))
+    # a class's lists as bits of the places of their values in its sketch
+    mine = every.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("v").alias("mine")).join(classes.select("id", "n", "sketch"), "id")
+    bits = "aggregate(sequence(1, size(sketch)), 0L, (acc, p) -> CASE WHEN array_contains(mine, sketch[p - 1]) THEN acc | shiftleft(1L, p - 1) ELSE acc END)"
+    mine = held(mine.select("id", "n", F.expr(bits).alias("mine"), "sketch"))
+    fanned = members.agg(F.sum(F.size("pairs"))).first()[0] or 0
+    rows = members.join(mine, "id").select("v", "i", "id", "part", "n", "mine", "sketch", F.explode("pairs").alias("p")).select("v", "p.x", "p.y", "i", "id", "part", "n", "mine", "sketch")
 
     def owned(key, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -214,7 +233,7 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
             if g["part"].nunique() < 2:
                 continue
             pairs = _sides(g, x, y, percent)
-            before = [np.array([u for u in m if u < v], np.int64) for m in g["mine"]]
+            before = [s[((bits >> np.arange(len(s))) & 1 == 1) & (s < v)] for s, bits in zip(g["sketch"], g["mine"])]
             if sum(map(len, before)):
                 pairs &= _common(before) == 0
             if not pairs.any():
@@ -252,20 +271,21 @@ def _in_full(lists: DataFrame, every: DataFrame, classes: DataFrame, texts: Data
                     out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("g", F.pmod(F.xxhash64("v", "x", "y"), F.lit(max(1, df.count() // PIECE)))).groupBy("g")
+    def dealt(df: DataFrame, n: int):
+        return df.withColumn("g", F.pmod(F.xxhash64("v", "x", "y"), F.lit(max(1, n // PIECE)))).groupBy("g")
 
     schema = "v long, x int, y int, i int, id long, part long, n long"
-    wanted = c.checkpointed(dealt(c.checkpointed(rows)).applyInPandas(owned, schema))
-    return small.union(dealt(c.checkpointed(wanted.join(texts, "id"))).applyInPandas(compare, "a long, b long"))
+    wanted = held(dealt(rows, fanned).applyInPandas(owned, schema))
+    return small.union(dealt(wanted.join(texts, "id"), wanted.count()).applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """doc, n_shingles, component_id, kept for every row."""
+    held, kept = c.Scratch(), c.Scratch()
     signed = c.checkpointed(signatures(docs, percent, id_col, text_col))
-    classes = c.checkpointed(signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").alias("id"), "n", "sketch")).alias("x")).select("h1", "h2", "x.*"))
-    lists = c.checkpointed(_lists(classes, percent))
-    wanted = _by_leader(lists)
+    classes = kept(signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").alias("id"), "n", "sketch")).alias("x")).select("h1", "h2", "x.*"))
+    lists = held(_lists(classes, percent, held))
+    wanted = _by_leader(lists, held)
     # a text is needed of every member of a list with two members or more
     ids = lists.join(lists.groupBy("v").count().where("count > 1").select("v"), "v", "left_semi").select("id").distinct()
     pairs_of = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(c.NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -275,20 +295,36 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent:
             yield pd.DataFrame({"id": pdf["id"], "z": [zlib.compress(c.encode([t])[0], 1) for t in pdf["text"]]})
 
     # shrunk before the exchange: it moves and sorts a fraction of the bytes
-    texts = c.checkpointed(pairs_of.mapInPandas(shrink, "id long, z binary").join(ids, "id", "left_semi"))
-    links = c.checkpointed(_confirmed(wanted, classes, texts, percent))
-    links = c.checkpointed(links.union(_in_full(_parts(lists, links), lists, classes, texts, percent)))
+    texts = held(pairs_of.mapInPandas(shrink, "id long, z binary").join(ids, "id", "left_semi"))
+    links = held(_confirmed(wanted, classes, texts, percent))
+    links = kept(links.union(_in_full(_parts(lists, links, held), lists, classes, texts, percent, held)))
+    held.release()
     found = c.components(links)
     of_class = c.checkpointed(classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")))
+    kept.release()
     out = signed.select("doc", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
     return out.select("doc", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc").alias("_gone")).distinct()
-    return docs.join(c.checkpointed(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates: of the smallest id (null last).
+
+    Here every distinct (id, text) is a document of its own, under a hash of both: different texts under one
+    id stay apart, and of rows that repeat id and text one stays (of rows that differ in other columns the one with the
+    smallest hash of all columns), null ids and empty texts included. Columns stay as they are, whatever their names."""
+    rows, names = c.shielded(docs, (id_col, text_col))
+    rows = rows.withColumn("row key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    keys = c.checkpointed(rows.groupBy("row key").agg(F.first(F.coalesce(F.col(id_col).cast("long"), F.lit(c.NULL_ID))).alias("id"), F.count("*").alias("rows")))
+    found = near_duplicates(rows, "row key", text_col, percent).select(F.col("doc").alias("row key"), "component_id").distinct()
+    found = c.checkpointed(found.join(keys.select("row key", "id"), "row key"))
+    best = found.groupBy("component_id").agg(F.min(F.struct("id", "row key")).alias("b")).select("component_id", F.col("b.row key").alias("best"))
+    gone = found.join(best, "component_id").where(F.col("row key") != F.col("best")).select("row key")
+    left = rows.join(broadcast_if_small(c.checkpointed(gone)), "row key", "left_anti")
+    again = broadcast_if_small(c.checkpointed(keys.where("rows > 1").select("row key")))
+    packed = F.struct(*[F.col(f"`{x}`") for x in rows.columns])
+    once = left.join(again, "row key", "left_semi").groupBy("row key").agg(F.min_by(packed, F.xxhash64(F.to_json(packed))).alias("r")).select("r.*")
+    return left.join(again, "row key", "left_anti").select(*rows.columns).unionByName(once).drop("row key").withColumnsRenamed(names).select(*[f"`{x}`" for x in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

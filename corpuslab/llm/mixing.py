@@ -55,18 +55,24 @@ def rates(docs: DataFrame, source_col: str, weight: Column, rows: int | None = N
 
 
 def replicate(docs: DataFrame, weight: Column | None = None, id_col="doc_id", source_col="source", text_col="text",
-              seed=SEED, rows: int | None = None, broadcast_rows=BROADCAST_ROWS) -> DataFrame:
-    """All columns, ``_copy`` (from 1) and ``_place`` (the shuffle's key), dealt and sorted by it."""
+              seed=SEED, rows: int | None = None, broadcast_rows=BROADCAST_ROWS, made=("_copy", "_place")) -> DataFrame:
+    """All columns as they are, the number of the copy (from 1) and its place (the shuffle's key) in columns ``made``
+    (under the next free names if they are columns already), dealt and sorted by place."""
+    has_text = text_col in docs.columns
+    own, original = (id_col, source_col, text_col), docs.columns
+    docs, names = c.shielded(docs, own)
     table = c.checkpointed(rates(docs, source_col, weight if weight is not None else F.sqrt("n"), rows))
     table = F.broadcast(table) if table.count() <= broadcast_rows else table
-    tag = _tag(id_col, text_col if text_col in docs.columns else None)
+    tag = _tag(id_col, text_col if has_text else None)
     joined = docs.join(table, docs[source_col].eqNullSafe(table["_s"]))
     draw = _number(F.concat(F.lit(f"{seed}|"), tag), 13) / F.lit(float(1 << 52))
     counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda p: p <= draw))).where("_n > 0").drop("_s", "_rate", "_cdf")
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
     place = _number(F.concat(F.lit(f"{seed}|order|"), tag, F.lit("|"), F.col("_copy").cast("string")), 15)
     mixed = copies.withColumn("_place", place)
-    return mixed.repartition("_place").sortWithinPartitions("_place")
+    mixed = mixed.repartition("_place").sortWithinPartitions("_place")
+    made = {k: c.fresh(original, x) for k, x in zip(("_copy", "_place"), made)}
+    return mixed.withColumnsRenamed(made | names).select(*[f"`{x}`" for x in original], *made.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm import common as c
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, TREES, DEPTH, PRECISION = 8000, 12, 3, 0.9
 # possessive forms of the contract's patterns: the same matches, without backtracking or recursion;
@@ -174,8 +176,10 @@ def redact(docs: DataFrame, model, text_col="text") -> DataFrame:
              f"WHEN s.start < acc.at THEN struct(s.end as at, acc.out as out) "
              f"ELSE struct(s.end as at, concat(acc.out, array(substring({t}, acc.at + 1, s.start - acc.at), {marks}[s.kind])) as out) END, "
              f"acc -> concat(array_join(acc.out, ''), substring({t}, acc.at + 1)))")
-    found = find_spans(docs, model, text_col)
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, F.expr(parts)).otherwise(F.col(text_col))).select(*docs.columns)
+    rows, names = c.shielded(docs, (text_col,))
+    found = find_spans(rows, model, text_col)
+    safe = found.withColumn(text_col, F.when(F.size("_spans") > 0, F.expr(parts)).otherwise(F.col(text_col)))
+    return safe.select(*[f"`{x}`" for x in rows.columns]).withColumnsRenamed(names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
