@@ -3,8 +3,10 @@
 language ID (rejects documents without a known language), MinHash near-dedup (one document of a group
 stays), benchmark decontamination (documents with a hit go), PII (spans are replaced by their kind),
 mixing to target weights (documents repeat by a Poisson draw, in shuffled order, with columns copy and
-place). Between stages documents are written as Parquet and read again. Null and empty texts, ties,
-repeated rows and empty tables are treated as each operator's docstring defines."""
+place; under copy_1, place_1, ... where documents have such columns). Between stages documents are written as
+Parquet and read again. Every other column passes through unchanged, whatever its name. Of rows that
+repeat id and text one stays, with null ids as well; different texts under one id are different documents. Null
+and empty texts: language ID rejects them. An empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -35,7 +37,7 @@ def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.replicate(docs).withColumnsRenamed({"_copy": "copy", "_place": "place"})
+    return mixing.replicate(docs, made=("copy", "place"))
 
 
 STAGES = [("language_id", _language), ("near_dedup", _near_dedup), ("decontamination", _decontaminate), ("pii", _redact), ("mixing", _mix)]
