@@ -1,9 +1,12 @@
 """Decoding over next-token distributions held as tables of candidates (ctx, nxt, logit).
 
-A generation step for every prompt at once is one join of the prompt states with the
-candidate table on the context key, followed by per-context window/aggregate expressions.
-Groups are contexts: their size is bounded by the vocabulary (distinct successors), never by
-the corpus size, because candidates are pre-aggregated counts.
+Candidates of a context with the same logit form a *level*. A context of N counted pairs has at most about
+sqrt(2 N) levels, whatever the number of its successors, so running masses are taken over levels (``level_table``)
+and a candidate's place follows from its level and its rank inside it (``exact_rank``, which spreads a hot
+context over many tasks). No window has a context as its partition.
+
+A generation step joins a prompt with the levels of its context and with the successors that it contains
+already: the documents' own tokens, never documents x successors. The drawn place is looked up in the rank table.
 """
 
 from __future__ import annotations
@@ -12,53 +15,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import draw
-from corpuslab.operators.ranking import broadcast_if_small
+from corpuslab.operators.ranking import broadcast_if_small, exact_rank, running_total
 from corpuslab.session import ensure_checkpoint_dir
 
+EDGE = 1e-9  # share of the whole mass by which a sum may miss the nucleus cut through rounding
+TIE = 9  # decimals to which a prompt's logits are compared
+
 
 def candidates_from_counts(counts: DataFrame) -> DataFrame:
     """(ctx, nxt, n) -> (ctx, nxt, n, logit = ln n): the seen continuations of each context."""
     return counts.withColumn("logit", F.log(F.col("n").cast("double")))
 
 
+def level_table(cands: DataFrame, by: str = "ctx", logit: str = "logit", temperature: float = 1.0, counts: str | None = None, running: bool = True) -> DataFrame:
+    """(by, logit, k, e, z): candidates of a level, the mass of each and the context's whole mass; with
+    ``running`` also ``before``, the mass of the higher levels. Mass is exp of the max-shifted logit / temperature,
+    or the count itself where logits are ln(counts) and T == 1 (whole numbers, exact sums)."""
+    if temperature <= 0:
+        raise ValueError("temperature must be > 0 for sampling; use greedy() for T == 0")
+    exact = counts is not None and temperature == 1.0
+    lv = cands.groupBy(by, logit).agg(F.count(F.lit(1)).alias("k"), *([F.first(counts).alias("e")] if exact else []))
+    if not exact:
+        top = lv.groupBy(by).agg(F.max(logit).alias("_top"))
+        lv = lv.join(top, by).withColumn("e", F.exp((F.col(logit) - F.col("_top")) / F.lit(float(temperature)))).drop("_top")
+    lv = lv.withColumn("_m", F.col("k") * F.col("e"))
+    if running:
+        lv = running_total(lv, [F.col(logit).desc()], "_m", [by], name="_upto", before="before").drop("_upto")
+    return lv.join(lv.groupBy(by).agg(F.sum("_m").alias("z")), by).drop("_m")
+
+
 def softmax(
     cands: DataFrame, by: str = "ctx", logit: str = "logit", temperature: float = 1.0, out: str = "p", counts: str | None = None
 ) -> DataFrame:
     """Max-shifted softmax of logit / temperature inside each group. When the logits are
     ln(counts) and T == 1 the softmax is exactly counts / total, computed as such."""
-    if temperature <= 0:
-        raise ValueError("temperature must be > 0 for sampling; use greedy() for T == 0")
-    w = Window.partitionBy(by)
-    if counts is not None and temperature == 1.0:
-        return cands.withColumn(out, F.col(counts) / F.sum(counts).over(w))
-    z = F.col(logit) / F.lit(float(temperature))
-    shifted = cands.withColumn("_z", z).withColumn("_e", F.exp(F.col("_z") - F.max("_z").over(w)))
-    return shifted.withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_z", "_e")
-
-
-def cum_prob(probs: DataFrame, by: str = "ctx", p: str = "p", tok: str = "nxt", counts: str | None = None) -> DataFrame:
-    """Running probability mass in descending order (ties: smaller token first), inclusive
-    (``cum``) and exclusive (``cum_before``). With integer ``counts`` behind p (T == 1) the
-    running mass is an exact integer prefix sum divided by the total."""
-    w = Window.partitionBy(by).orderBy(F.col(p).desc(), F.col(tok).asc())
-    if counts is not None:
-        tot = F.sum(counts).over(Window.partitionBy(by))
-        return probs.withColumn("cum", F.sum(counts).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / tot).withColumn(
-            "cum_before", F.coalesce(F.sum(counts).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / tot
-        )
-    return probs.withColumn("cum", F.sum(p).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
-        "cum_before", F.coalesce(F.sum(p).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    )
+    lv = level_table(cands, by, logit, temperature, counts, running=False)
+    return cands.join(broadcast_if_small(lv.select(by, logit, (F.col("e") / F.col("z")).alias(out))), [by, logit])
+
+
+def _placed(cands: DataFrame, levels: DataFrame, by: str, logit: str, tok: str) -> DataFrame:
+    """Candidates with their level's columns and their rank r in the level (smaller token first)."""
+    return exact_rank(cands, [tok], partition_by=(by, logit), name="r").join(broadcast_if_small(levels), [by, logit])
+
+
+def cum_prob(cands: DataFrame, by: str = "ctx", logit: str = "logit", tok: str = "nxt", temperature: float = 1.0, counts: str | None = None) -> DataFrame:
+    """Candidates with p and the running probability mass in descending order (ties: smaller token
+    first), inclusive (``cum``) and exclusive (``cum_before``)."""
+    placed = _placed(cands, level_table(cands, by, logit, temperature, counts), by, logit, tok)
+    at = lambda k: (F.col("before") + k * F.col("e")) / F.col("z")
+    return placed.withColumns({"p": F.col("e") / F.col("z"), "cum": at(F.col("r")), "cum_before": at(F.col("r") - 1)}).drop("k", "e", "z", "before", "r")
+
+
+def _kept(top_p: float, size: str) -> Column:
+    """Members of a level inside the nucleus: the exclusive mass of a kept one is at most top_p of the whole."""
+    if top_p >= 1.0:
+        return F.col(size)
+    inside = F.floor(((F.lit(top_p + EDGE) * F.col("z")) - F.col("before")) / F.col("e")) + 1
+    return F.least(F.col(size), F.greatest(F.lit(0), inside)).cast("long")
 
 
 def nucleus(cands: DataFrame, top_p: float, temperature: float, by: str = "ctx", logit: str = "logit", tok: str = "nxt") -> DataFrame:
     """Top-p cut: keep the shortest prefix (descending probability) whose mass exceeds
-    ``top_p`` - i.e. rows whose exclusive cumulative mass is <= top_p - then renormalise by
-    (kept mass + 1e-8)."""
-    c = cum_prob(softmax(cands, by, logit, temperature), by, "p", tok)
-    kept = c.where(F.col("cum_before") <= F.lit(float(top_p)))
-    w = Window.partitionBy(by)
-    return kept.withColumn("p_keep", F.col("p") / (F.sum("p").over(w) + F.lit(1e-8)))
+    ``top_p`` - i.e. rows whose exclusive cumulative mass is <= top_p (to EDGE) - then renormalise by
+    (kept mass + 1e-8). ``ck`` is the renormalised running mass that draws are looked up in."""
+    lv = level_table(cands, by, logit, temperature).withColumn("kk", _kept(float(top_p), "k"))
+    lv = lv.join(lv.groupBy(by).agg(F.sum(F.col("kk") * F.col("e")).alias("kept")), by).where("kk > 0")
+    rows = _placed(cands, lv, by, logit, tok).where(F.col("r") <= F.col("kk"))
+    whole = F.col("kept") + F.lit(1e-8) * F.col("z")
+    done = rows.withColumns({"p": F.col("e") / F.col("z"), "p_keep": F.col("e") / whole, "ck": (F.col("before") + F.col("r") * F.col("e")) / whole})
+    return done.drop("k", "e", "z", "before", "r", "kk", "kept")
 
 
 def greedy(cands: DataFrame, by: str = "ctx", score: str = "logit", tok: str = "nxt") -> DataFrame:
@@ -74,16 +99,66 @@ def repetition_penalty(logit: Column, seen: Column, r: float) -> Column:
 def draw_from(kept: DataFrame, seed, by: str = "ctx", key: Column | None = None, tok: str = "nxt") -> DataFrame:
     """Multinomial draw by inverse CDF over the kept rows: the first row (descending
     probability) whose renormalised cumulative mass exceeds u(seed, key); the last kept row if
-    rounding leaves u above the total."""
+    rounding leaves u above the total. Two grouped extremes: a hot context is combined map-side."""
     key = key if key is not None else F.col(by)
-    w = Window.partitionBy(by).orderBy(F.col("p").desc(), F.col(tok).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = kept.withColumn("_ck", F.sum("p_keep").over(w)).withColumn("_u", draw(seed, key)).withColumn(
-        "_ord", F.row_number().over(Window.partitionBy(by).orderBy(F.col("p").desc(), F.col(tok).asc()))
-    )
-    return c.groupBy(by).agg(
-        F.coalesce(F.min_by(F.when(F.col("_ck") > F.col("_u"), F.col(tok)), F.when(F.col("_ck") > F.col("_u"), F.col("_ord"))),
-                   F.max_by(tok, "_ord")).alias(tok)
-    )
+    drawn = kept.withColumn("_hit", F.col("ck") > draw(seed, key))
+    place = F.struct("ck", tok)
+    first = F.min(F.when(F.col("_hit"), place))
+    return drawn.groupBy(by).agg(F.coalesce(first[tok], F.max(place)[tok]).alias(tok))
+
+
+def rank_table(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What prompts look up: (ctx, logit, nxt, r), every candidate with its rank inside its level, and
+    (ctx, logit, k), the levels. Both are written once to the shared folder."""
+    ensure_checkpoint_dir(cands.sparkSession)
+    ranks = exact_rank(cands, ["nxt"], partition_by=("ctx", "logit"), name="r").select("ctx", "logit", "nxt", "r").checkpoint(eager=True)
+    return ranks, ranks.groupBy("ctx", "logit").agg(F.count(F.lit(1)).alias("k")).checkpoint(eager=True)
+
+
+def unseen_levels(state: DataFrame, levels: DataFrame, hits: DataFrame) -> DataFrame:
+    """(pid, ctx, logit, k, gone): levels of each prompt's context without the successors in ``hits`` (pid, logit,
+    r): k members are left, ``gone`` are the ranks taken out."""
+    out = hits.groupBy("pid", "logit").agg(F.sort_array(F.collect_list("r")).alias("gone"))  # bounded by the prompt's own tokens
+    joined = state.select("pid", "ctx").join(levels, "ctx").join(out, ["pid", "logit"], "left")
+    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
+    return joined.select("pid", "ctx", "logit", (F.col("k") - F.size(gone)).alias("k"), gone.alias("gone")).where("k > 0")
+
+
+def rank_of(nth: Column) -> Column:
+    """Rank in the whole level of its nth member (from 1) that is not in ``gone`` (ascending)."""
+    return F.aggregate("gone", nth.cast("bigint"), lambda acc, x: F.when(x <= acc, acc + 1).otherwise(acc))
+
+
+def _sampled(state: DataFrame, ranks: DataFrame, known: DataFrame, levels: DataFrame, seen: DataFrame | None, top_p: float, temperature: float, penalty: float, u: Column) -> DataFrame:
+    """(pid, token) drawn for every prompt whose context has successors.
+
+    A prompt's distribution is the levels of its context without the successors that it has seen, and each of these
+    under its penalised logit. Order: logit to TIE decimals descending, unseen before seen, smaller token first."""
+    if seen is None or penalty == 1.0:
+        seen = state.select("pid", F.lit(None).cast("int").alias("token")).where("false")
+    hits = seen.join(state, "pid").join(known, ["ctx", "token"]).select("pid", "ctx", "logit", "token", "r")
+    none = F.array().cast("array<bigint>")
+    base = unseen_levels(state, levels, hits).select("pid", "ctx", F.col("logit").alias("own"), "logit", F.lit(0).alias("pen"), F.lit(None).cast("int").alias("token"), "k", "gone")
+    single = hits.select("pid", "ctx", F.col("logit").alias("own"), repetition_penalty(F.col("logit"), F.lit(True), penalty).alias("logit"), F.lit(1).alias("pen"), "token", F.lit(1).cast("bigint").alias("k"), none.alias("gone"))
+    order = [F.round("logit", TIE).desc(), F.col("pen"), F.col("logit").desc(), F.col("token")]
+    prompt = Window.partitionBy("pid")  # a prompt has its context's levels and its own tokens
+    line = prompt.orderBy(*order)
+    blocks = base.unionByName(single)
+    if temperature == 0:
+        blocks = blocks.withColumn("i", F.lit(0)).withColumn("o", F.row_number().over(line)).where("o = 1")
+        picked = blocks
+    else:
+        blocks = blocks.withColumn("o", F.row_number().over(line)).withColumn("e", F.exp((F.col("logit") - F.max("logit").over(prompt)) / F.lit(float(temperature))))
+        blocks = blocks.withColumn("before", F.coalesce(F.sum(F.col("k") * F.col("e")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        blocks = blocks.withColumn("z", F.sum(F.col("k") * F.col("e")).over(prompt)).withColumn("kk", _kept(float(top_p), "k"))
+        blocks = blocks.withColumn("x", u * (F.sum(F.col("kk") * F.col("e")).over(prompt) + F.lit(1e-8) * F.col("z"))).where("kk > 0")
+        inside = F.least(F.greatest(F.floor((F.col("x") - F.col("before")) / F.col("e")), F.lit(0)), F.col("kk") - 1)
+        hit = F.col("before") + F.col("kk") * F.col("e") > F.col("x")
+        blocks = blocks.withColumn("i", F.when(hit, inside).otherwise(F.col("kk") - 1)).withColumn("b", F.struct("o", "ctx", "own", "token", "gone", "i"))
+        best = blocks.groupBy("pid").agg(F.coalesce(F.min(F.when(hit, F.col("b"))), F.max("b")).alias("b"))
+        picked = best.select("pid", "b.*")
+    places = picked.select("pid", "ctx", F.col("own").alias("logit"), "token", F.when(F.col("token").isNull(), rank_of(F.col("i") + 1)).alias("r"))
+    return places.join(ranks, ["ctx", "logit", "r"], "left").select("pid", F.coalesce("token", "nxt").alias("token"))
 
 
 def generate(
@@ -97,47 +172,45 @@ def generate(
     seed=42,
     past: DataFrame | None = None,
     fallback: int = 1,
+    context: int | None = None,
 ) -> DataFrame:
     """Generate ``steps`` tokens for every prompt (prompts: (pid, ctx) where ctx is the last
-    token). Each step is one join on the context; greedy uses a per-context argmax table
-    (broadcast when small); sampling applies the repetition penalty against ``past``
-    ((pid, token) of the prompt) and the tokens generated so far, then temperature, nucleus cut
-    and a keyed draw. A context without continuations falls back to ``fallback``. Every step's
-    output (one row per prompt) is checkpointed to the shared folder, so lineage never grows
-    with the number of steps. Returns (pid, step, token)."""
+    token). Greedy takes the argmax of the plain logits. Sampling applies the repetition penalty against
+    ``past`` ((pid, token) of the prompt) and the tokens generated so far, then temperature, nucleus cut and a
+    keyed draw; top_p >= 1 keeps the whole distribution, and with temperature 0 takes the argmax of the
+    penalised logits. With ``context`` only the last so many tokens count as past: ``past`` then needs the token's
+    last position ``pos`` (from 1) and prompts their ``length``. A context without continuations falls
+    back to ``fallback``. The candidates are evaluated once; every step's output (one row per prompt) is
+    checkpointed to the shared folder, so lineage never grows. Returns (pid, step, token)."""
     spark = prompts.sparkSession
     ensure_checkpoint_dir(spark)
-    greedy_mode = mode == "greedy" or (temperature == 0 and top_p >= 1.0)
-    if greedy_mode:
-        table = broadcast_if_small(greedy(cands).withColumnRenamed("nxt", "tok"))
-    elif temperature == 0:
+    if mode == "greedy":
+        table = broadcast_if_small(greedy(cands).withColumnRenamed("nxt", "tok").checkpoint(eager=True))
+    elif temperature == 0 and top_p < 1.0:
         raise ValueError("temperature 0 with top_p < 1 is undefined (division by zero)")
-    state = prompts.select("pid", "ctx")
-    out = None
-    seen_past = past.select("pid", F.col("token").alias("nxt"), F.lit(True).alias("s1")).distinct() if past is not None else None
-    generated = None
+    else:
+        ranks, levels = rank_table(cands)
+        # a logit of 0 stays 0 under the penalty: these successors need not be told apart
+        known = broadcast_if_small(ranks.where("logit <> 0").withColumnRenamed("nxt", "token"))
+    prompts = prompts.checkpoint(eager=True)
+    state, out = prompts.select("pid", "ctx"), None
+    seen = past.checkpoint(eager=True) if past is not None and mode != "greedy" else None
     for step in range(1, steps + 1):
-        if greedy_mode:
-            nxt = state.join(table, state["ctx"] == table["ctx"], "left").select(
-                "pid", F.coalesce(F.col("tok"), F.lit(fallback)).alias("token")
-            )
+        if mode == "greedy":
+            chosen = state.join(table, "ctx", "left").select("pid", F.col("tok").alias("token"))
         else:
-            c = state.join(cands, "ctx", "inner")
-            if seen_past is not None:
-                c = c.join(seen_past, ["pid", "nxt"], "left")
-                if generated is not None:
-                    c = c.join(generated, ["pid", "nxt"], "left")
-                    seen = F.coalesce(F.col("s1"), F.col("s2"), F.lit(False))
-                else:
-                    seen = F.coalesce(F.col("s1"), F.lit(False))
-                c = c.withColumn("logit", repetition_penalty(F.col("logit"), seen, penalty)).drop("s1", "s2")
-            kept = nucleus(c, top_p, temperature, by="pid")
-            picked = draw_from(kept, seed, by="pid", key=F.concat_ws("|", F.col("pid").cast("string"), F.lit(step)))
-            nxt = state.select("pid").join(picked, "pid", "left").select("pid", F.coalesce(F.col("nxt"), F.lit(fallback)).alias("token"))
-        nxt = nxt.withColumn("step", F.lit(step)).checkpoint(eager=True)
-        out = nxt if out is None else out.unionByName(nxt)
-        state = nxt.select("pid", F.col("token").alias("ctx"))
-        if seen_past is not None:
-            new = nxt.select("pid", F.col("token").alias("nxt"), F.lit(True).alias("s2"))
-            generated = (new if generated is None else generated.unionByName(new)).distinct().checkpoint(eager=True)
+            now = seen
+            if now is not None and context is not None:
+                now = now.join(prompts.select("pid", "length"), "pid").where(F.col("pos") > F.col("length") + F.lit(step - 1 - context))
+            now = now.select("pid", "token").distinct() if now is not None else None
+            u = draw(seed, F.concat_ws("|", F.col("pid").cast("string"), F.lit(step)))
+            chosen = state.select("pid").join(_sampled(state, ranks, known, levels, now, top_p, temperature, penalty, u), "pid", "left")
+        chosen = chosen.select("pid", F.coalesce("token", F.lit(fallback)).alias("token"), F.lit(step).alias("step")).checkpoint(eager=True)
+        out = chosen if out is None else out.unionByName(chosen)
+        state = chosen.select("pid", F.col("token").alias("ctx"))
+        if seen is not None:
+            new = chosen.select("pid", "token")
+            if context is not None:
+                new = chosen.join(prompts.select("pid", "length"), "pid").select("pid", "token", (F.col("length") + step).alias("pos"))
+            seen = seen.select(*new.columns).unionByName(new)
     return out

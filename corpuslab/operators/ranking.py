@@ -92,8 +92,8 @@ def exact_rank(
     return out.drop("_mid", "_pid", "_idx", "_o_pid", "_off", "_first", *[f"_o_{c}" for c in parts])
 
 
-def running_total(df: DataFrame, order_by: Sequence, weight: str, partition_by: Sequence[str] = (), name: str = "total") -> DataFrame:
-    """Inclusive running sum of ``weight`` in each group, without a task that holds a group: rows are
+def running_total(df: DataFrame, order_by: Sequence, weight: str, partition_by: Sequence[str] = (), name: str = "total", before: str | None = None) -> DataFrame:
+    """Inclusive running sum of ``weight`` in each group (exclusive in ``before``, if it is named), without a task that holds a group: rows are
     range-partitioned on (group, order) and frozen as in ``exact_rank``, summed inside partitions and
     shifted by what the partitions before hold of the group."""
     spark = df.sparkSession
@@ -102,12 +102,15 @@ def running_total(df: DataFrame, order_by: Sequence, weight: str, partition_by:
     sort_exprs = [F.col(c).asc() for c in parts] + [_sort_expr(o) for o in order_by]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = df.repartitionByRange(n, *sort_exprs).checkpoint(eager=True).withColumn("_pid", F.spark_partition_id())
-    inside = x.withColumn("_in", F.sum(weight).over(Window.partitionBy("_pid", *parts).orderBy(*[_sort_expr(o) for o in order_by])
-                                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    before = Window.partitionBy(*parts).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    held = x.groupBy("_pid", *parts).agg(F.sum(weight).alias("_w")).withColumn("_off", F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    out = inside.join(broadcast_if_small(held.drop("_w")), ["_pid", *parts])
-    return out.withColumn(name, F.col("_in") + F.col("_off")).drop("_pid", "_in", "_off")
+    w = Window.partitionBy("_pid", *parts).orderBy(*[_sort_expr(o) for o in order_by])
+    inside = x.withColumn("_in", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if before:
+        inside = inside.withColumn("_ex", F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = Window.partitionBy(*parts).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    held = x.groupBy("_pid", *parts).agg(F.sum(weight).alias("_w")).withColumn("_off", F.coalesce(F.sum("_w").over(earlier), F.lit(0)))
+    out = inside.join(broadcast_if_small(held.drop("_w")), ["_pid", *parts]).withColumn(name, F.col("_in") + F.col("_off"))
+    out = out.withColumn(before, F.col("_ex") + F.col("_off")) if before else out
+    return out.drop("_pid", "_in", "_ex", "_off")
 
 
 def rank_cut(df: DataFrame, order_by: Sequence, n_keep: int, flag: str = "in_head") -> DataFrame:

@@ -18,7 +18,8 @@ TEMP = 0.8
 TOP_P = 0.9
 PENALTY = 1.5
 SEED = 42
-GEN_STEPS = 20  # new tokens of a text, as ref:main.py:593
+GEN_TOP_P = 0.95
+GEN_STEPS = 20  # new tokens of a text
 
 
 def _vocab_ids(spark: SparkSession, sf_dir: str):
@@ -37,7 +38,7 @@ def candidates(spark: SparkSession, sf_dir: str):
     ided = counts.join(v.select(F.col("t").alias("ctx"), F.col("token_id").alias("ctx_id")), "ctx").join(
         v.select(F.col("t").alias("nxt"), F.col("token_id").alias("nxt_id")), "nxt"
     ).select(F.col("ctx_id").alias("ctx"), F.col("nxt_id").alias("nxt"), "n")
-    return dc.candidates_from_counts(ided)
+    return dc.candidates_from_counts(ided).checkpoint(eager=True)  # read by several levels, ranks and steps
 
 
 def doc_context(spark: SparkSession, sf_dir: str):
@@ -85,10 +86,10 @@ def temperature(spark: SparkSession, sf_dir: str):
 @register("cum_prob", _CAND + _soft_sql(1.0) + "SELECT ctx, nxt, round(p, 6) AS p, round(cum, 6) AS cum FROM s4")
 def cum_prob(spark: SparkSession, sf_dir: str):
     c = candidates(spark, sf_dir)
-    return finish(dc.cum_prob(dc.softmax(c, counts="n"), counts="n").select("ctx", "nxt", "p", "cum"))
+    return finish(dc.cum_prob(c, counts="n").select("ctx", "nxt", "p", "cum"))
 
 
-_NUC = _CAND + _soft_sql(TEMP) + f""", kept AS (SELECT *, p / (sum(p) OVER (PARTITION BY ctx) + 1e-8) AS p_keep FROM s4 WHERE cum_before <= {TOP_P})
+_NUC = _CAND + _soft_sql(TEMP) + f""", kept AS (SELECT *, p / (sum(p) OVER (PARTITION BY ctx) + 1e-8) AS p_keep FROM s4 WHERE cum_before <= {TOP_P} + {dc.EDGE})
 """
 
 
@@ -128,17 +129,23 @@ SELECT doc_id, count(*) AS n_cand, CAST(sum(CASE WHEN seen THEN 1 ELSE 0 END) AS
 )
 def repetition_penalty(spark: SparkSession, sf_dir: str):
     """One decoding step per document with the whole document as the prompt: the candidates of
-    its last token, with every token already in the document penalised."""
-    c = candidates(spark, sf_dir)
+    its last token, with every token already in the document penalised. A document meets the levels of its
+    context and the successors that it contains; the best unseen one is looked up by its rank."""
+    ranks, levels = dc.rank_table(candidates(spark, sf_dir))
     last, past = doc_context(spark, sf_dir)
-    past = past.withColumn("seen", F.lit(True))
-    j = last.join(c, "ctx").join(past, ["doc_id", "nxt"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    j = j.withColumn("pl", dc.repetition_penalty(F.col("logit"), F.col("seen"), PENALTY))
-    return finish(j.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_cand"), F.sum(F.when(F.col("seen"), 1).otherwise(0)).cast("bigint").alias("n_penalized"),
-        F.min_by("nxt", F.struct((-F.col("pl")).alias("a"), F.col("nxt").alias("b"))).alias("choice"),
-        F.max("pl").alias("choice_logit"),
-    ))
+    state = last.withColumnRenamed("doc_id", "pid").checkpoint(eager=True)
+    own = past.withColumnRenamed("doc_id", "pid")
+    hits = own.join(state, "pid").join(ranks, ["ctx", "nxt"]).select("pid", "logit", "nxt", "r").checkpoint(eager=True)
+    left = dc.unseen_levels(state, levels, hits)
+    top = left.groupBy("pid").agg(F.max(F.struct("logit", "ctx", "gone")).alias("b")).select("pid", "b.*")
+    unseen = top.withColumn("r", dc.rank_of(F.lit(1))).join(ranks, ["ctx", "logit", "r"]).select("pid", F.col("logit").alias("pl"), "nxt")
+    penal = dc.repetition_penalty(F.col("logit"), F.lit(True), PENALTY)
+    seen = hits.select("pid", penal.alias("pl"), "nxt")
+    best = unseen.unionByName(seen).groupBy("pid").agg(F.min_by("nxt", F.struct((-F.col("pl")).alias("a"), F.col("nxt").alias("b"))).alias("choice"), F.max("pl").alias("choice_logit"))
+    sizes = levels.groupBy("ctx").agg(F.sum("k").alias("n_cand"))
+    counted = state.join(broadcast_if_small(sizes), "ctx").join(hits.groupBy("pid").agg(F.count(F.lit(1)).alias("h")), "pid", "left")
+    out = counted.join(best, "pid").select(F.col("pid").alias("doc_id"), F.col("n_cand").cast("bigint").alias("n_cand"), F.coalesce("h", F.lit(0)).cast("bigint").alias("n_penalized"), "choice", "choice_logit")
+    return finish(out)
 
 
 @register(
@@ -160,7 +167,26 @@ def generate_greedy(spark: SparkSession, sf_dir: str):
     return g.select(F.col("pid").alias("doc_id"), F.col("step"), F.col("token").alias("token_id"))
 
 
-@register("generate_topp")
+def _topp_sql() -> str:
+    """The steps of ``generate_topp`` unrolled, each over documents x successors."""
+    parts = [_CAND, """, last AS (SELECT doc_id, arg_max(token_id, pos) AS token FROM tok_ids GROUP BY doc_id),
+cd AS MATERIALIZED (SELECT * FROM cand), s0 AS MATERIALIZED (SELECT doc_id, token FROM last), past0 AS MATERIALIZED (SELECT DISTINCT doc_id, token_id AS token FROM tok_ids)"""]
+    for i in range(1, GEN_STEPS + 1):
+        parts.append(f""",
+a{i} AS (SELECT s.doc_id, c.nxt, CASE WHEN p.token IS NULL OR c.logit = 0 THEN 0 ELSE 1 END AS pen,
+  CASE WHEN p.token IS NULL THEN c.logit WHEN c.logit > 0 THEN c.logit / {PENALTY} ELSE c.logit * {PENALTY} END AS pl
+  FROM s{i - 1} s JOIN cd c ON c.ctx = s.token LEFT JOIN past{i - 1} p ON p.doc_id = s.doc_id AND p.token = c.nxt),
+b{i} AS (SELECT *, exp((pl - max(pl) OVER (PARTITION BY doc_id)) / {TEMP}) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY round(pl, {dc.TIE}) DESC, pen, pl DESC, nxt) AS o FROM a{i}),
+c{i} AS (SELECT *, sum(e) OVER (PARTITION BY doc_id) AS z, sum(e) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS cum FROM b{i}),
+k{i} AS (SELECT *, sum(e) OVER (PARTITION BY doc_id) + 1e-8 * z AS kept, ('0x' || substr(md5('{SEED}|' || doc_id || '|{i}'), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM c{i} WHERE cum - e <= ({GEN_TOP_P} + {dc.EDGE}) * z),
+g{i} AS (SELECT doc_id, coalesce(arg_min(nxt, o) FILTER (WHERE cum > u * kept), arg_max(nxt, o)) AS token FROM k{i} GROUP BY doc_id),
+s{i} AS MATERIALIZED (SELECT s.doc_id, coalesce(g.token, 1) AS token FROM s{i - 1} s LEFT JOIN g{i} g USING (doc_id)),
+past{i} AS MATERIALIZED (SELECT doc_id, token FROM past{i - 1} UNION SELECT doc_id, token FROM s{i})""")
+    return "".join(parts) + "\n" + " UNION ALL ".join(f"SELECT doc_id, {i} AS step, token AS token_id FROM s{i}" for i in range(1, GEN_STEPS + 1))
+
+
+@register("generate_topp", _topp_sql())
 def generate_topp(spark: SparkSession, sf_dir: str):
     """Nucleus sampling (p=0.95, T=0.8, repetition penalty 1.5 over the prompt and generated
     tokens) for every document; keyed draws make the output repeatable."""
@@ -168,7 +194,7 @@ def generate_topp(spark: SparkSession, sf_dir: str):
     last, past = doc_context(spark, sf_dir)
     prompts = last.select(F.col("doc_id").alias("pid"), "ctx")
     past = past.select(F.col("doc_id").alias("pid"), F.col("nxt").alias("token"))
-    g = dc.generate(prompts, c, GEN_STEPS, "topp", top_p=0.95, temperature=TEMP, penalty=PENALTY, seed=SEED, past=past)
+    g = dc.generate(prompts, c, GEN_STEPS, "topp", top_p=GEN_TOP_P, temperature=TEMP, penalty=PENALTY, seed=SEED, past=past)
     return g.select(F.col("pid").alias("doc_id"), "step", F.col("token").alias("token_id"))
 
 

@@ -1,4 +1,9 @@
+import hashlib
 import math
+import random
+import re
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -50,3 +55,63 @@ def test_queries_generate_the_length_of_the_reference(spark):
     sf = "/root/testdata/sf0.001"
     steps = __spark_entry__.queries()["generate_greedy"](spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("step").alias("last")).collect()
     assert steps and {(r["n"], r["last"]) for r in steps} == {(20, 20)}
+
+
+def _u(key):
+    return int(hashlib.md5(f"42|{key}".encode()).hexdigest()[:8], 16) / 2**32
+
+
+def plain_step(pid, step, ctx, cands, seen, top_p, t, penalty):
+    """One draw over all successors of a context."""
+    rows = []
+    for nxt, n in cands.get(ctx, {}).items():
+        logit = math.log(n)
+        pen = nxt in seen and logit != 0
+        rows.append((-round(logit / penalty if pen else logit, 9), pen, nxt, logit / penalty if pen else logit))
+    if not rows:
+        return 1
+    rows.sort()
+    if t == 0:
+        return rows[0][2]
+    e = [math.exp((r[3] - max(x[3] for x in rows)) / t) for r in rows]
+    z, kept, before = sum(e), [], 0.0
+    for r, m in zip(rows, e):
+        if before <= (top_p + 1e-9) * z or top_p >= 1:
+            kept.append((r[2], m))
+        before += m
+    x, run = _u(f"{pid}|{step}") * (sum(m for _, m in kept) + 1e-8 * z), 0.0
+    for nxt, m in kept:
+        run += m
+        if run > x:
+            return nxt
+    return kept[-1][0]
+
+
+@pytest.mark.parametrize("top_p, t, context", [(0.9, 0.8, None), (1.0, 0.7, 3), (1.0, 0, None)])
+def test_sampled_generation_with_a_hot_context(spark, top_p, t, context):
+    rng = random.Random(4)
+    cands = {c: {n: rng.choice([1, 1, 1, 2, 3, 8, 8, 20]) for n in rng.sample(range(1, 60), 8)} for c in range(1, 40)}
+    cands[1] = {n: 1 + (n % 3) * (n % 5) for n in range(1, 400)}  # holds half of all pairs
+    prompts = [(p, [rng.randint(1, 45) for _ in range(6)] + [rng.choice([1, 1, 2, 44])]) for p in range(25)]
+    table = spark.createDataFrame([(c, n, k) for c, v in cands.items() for n, k in v.items()], "ctx int, nxt int, n long")
+    past = [(p, x, max(i + 1 for i, y in enumerate(w) if y == x)) for p, w in prompts for x in set(w)]
+    out = dc.generate(spark.createDataFrame([(p, w[-1], len(w)) for p, w in prompts], "pid long, ctx int, length int"), dc.candidates_from_counts(table), 2, "topp",
+                      top_p=top_p, temperature=t, penalty=1.5, seed=42, past=spark.createDataFrame(past, "pid long, token int, pos int"), context=context)
+    got = {(r["pid"], r["step"]): r["token"] for r in out.collect()}
+    for p, words in prompts:
+        words = list(words)
+        for step in (1, 2):
+            seen = set(words[-context:] if context else words)
+            want = plain_step(p, step, words[-1], cands, seen, top_p, t, 1.5)
+            assert got[(p, step)] == want, (p, step)
+            words.append(want)
+
+
+def test_no_window_holds_the_rows_of_a_context(spark):
+    c = dc.candidates_from_counts(spark.createDataFrame([(1, n, 1 + n % 4) for n in range(300)] + [(2, 5, 1)], "ctx int, nxt int, n long"))
+    for df in (dc.softmax(c), dc.cum_prob(c), dc.nucleus(c, 0.9, 0.8), dc.draw_from(dc.nucleus(c, 0.9, 0.8), 42)):
+        df.collect()
+        plan = df._jdf.queryExecution().toString()
+        specs = re.findall(r"windowspecdefinition\(ctx#[^)]*\)", plan)
+        assert all("_pid" in x for x in specs)  # over one count a partition, not over the context's rows
+    assert abs(dc.cum_prob(c).where("ctx = 1").agg(F.max("cum")).first()[0] - 1) < 1e-9
