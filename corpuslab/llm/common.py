@@ -206,7 +206,10 @@ def shielded(docs: DataFrame, own) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with every column that an operator doesn't name (``own``) under a name that no operator uses,
     and the names to go back to: columns of a user pass through, whatever they are called."""
     own = {x.lower() for x in own}
-    away = {x: f"user column {i}" for i, x in enumerate(docs.columns) if x.lower() not in own}
+    prefix = "user column"
+    while any(x.lower().startswith(prefix) for x in docs.columns):
+        prefix = f"other {prefix}"
+    away = {x: f"{prefix} {i}" for i, x in enumerate(docs.columns) if x.lower() not in own}
     return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
 
 
