@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.operators import neighbours as nb
 from corpuslab.operators import runlog as rl
 from corpuslab.operators import text as tt
 from corpuslab.operators import vectors as vx
@@ -82,6 +83,14 @@ def cosine_knn(spark: SparkSession, sf_dir: str):
     return finish(vx.cosine_knn(e, e, KNN, drop="self"))
 
 
+@register("cosine_knn_lsh")
+def cosine_knn_lsh(spark: SparkSession, sf_dir: str):
+    """Top-5 cosine neighbours of every vector (itself excluded) by probed buckets, with the recall that was
+    measured against the exact search."""
+    e = _emb(spark, sf_dir)
+    return finish(nb.cosine_knn_lsh(e, e, KNN))
+
+
 @register(
     "cosine_drift",
     _EL + """, m AS (SELECT label, dim, avg(x) AS m FROM el GROUP BY label, dim),
