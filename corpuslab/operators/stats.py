@@ -173,6 +173,19 @@ def _t_sf(t: float, dof: float) -> float:
     return _betainc(dof / 2.0, 0.5, x)
 
 
+def t_quantile(level: float, dof: float) -> float:
+    """The t whose two-sided Student tail is 1 - level, by bisection."""
+    if dof <= 0:
+        return float("nan")
+    low, high = 0.0, 1.0
+    while _t_sf(high, dof) > 1 - level:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _t_sf(mid, dof) > 1 - level else (low, mid)
+    return (low + high) / 2
+
+
 def _betainc(a: float, b: float, x: float) -> float:
     if x <= 0:
         return 0.0
@@ -205,10 +218,13 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
     """OLS y ~ 1 + C(cat) + num. Pass 1 (distributed): counts, means and deviations. Pass 2: the
     cross products of centred and scaled columns, so that an offset or a unit costs no digits.
     Driver: the p x p system (minimum-norm solution of the raw system when rank-deficient). Pass 3
-    (distributed): residual moments and, given ``order_col``, the Durbin-Watson numerator."""
+    (distributed): power sums of the residuals and, given ``order_col``, the Durbin-Watson numerator.
+    The passes read one checkpoint of the columns used, so the input is evaluated once."""
     data = df.where(F.col(y).isNotNull())
     for c in num:
         data = data.where(F.col(c).isNotNull())
+    ensure_checkpoint_dir(df.sparkSession)
+    data = data.select(*dict.fromkeys([y, *num, *([cat] if cat else []), *([order_col] if order_col else [])])).checkpoint(eager=True)
     levels = dummy_levels(data, cat) if cat else None
     names, cols = design(data, num, cat, levels)
     p = len(names)
@@ -244,23 +260,24 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
         rank, var = int(np.linalg.matrix_rank(xtx)), np.diag(inv)
         fitted = sum((F.col(f"x{i}") * F.lit(float(beta[i])) for i in range(p)), F.lit(0.0))
     res = xs.withColumn("e", F.col("y") - fitted)
-    ssr = float(res.agg(F.sum(F.col("e") * F.col("e")).alias("ssr")).first()["ssr"] or 0.0)
+    # pass 3: power sums of the residuals
+    m = res.agg(*[F.avg(F.col("e") ** i).alias(f"m{i}") for i in (1, 2, 3, 4)]).first()
+    ssr = float(n * (m["m2"] or 0.0))
     dof = n - rank
     sigma2 = ssr / dof if dof > 0 else float("nan")
     se = np.sqrt(np.maximum(var * sigma2, 0.0))
     tvals = np.divide(beta, se, out=np.full_like(beta, np.nan), where=se > 0)
     pvals = [_t_sf(abs(t), dof) for t in tvals]
+    half = t_quantile(0.95, dof) * se  # 95% intervals
     k_model = rank - 1
     r2 = 1 - ssr / sst if sst > 0 else float("nan")
     adj = 1 - (1 - r2) * (n - 1) / dof if dof > 0 else float("nan")
     fstat = (r2 / k_model) / ((1 - r2) / dof) if k_model > 0 and dof > 0 and r2 < 1 else float("nan")
     llf = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else float("nan")
-    # pass 3: residual moments
-    m = res.agg(F.avg("e").alias("m1"), F.avg(F.col("e") ** 2).alias("m2"), F.avg(F.col("e") ** 3).alias("m3"),
-                F.avg(F.col("e") ** 4).alias("m4")).first()
-    c2 = m["m2"] - m["m1"] ** 2
-    c3 = m["m3"] - 3 * m["m1"] * m["m2"] + 2 * m["m1"] ** 3
-    c4 = m["m4"] - 4 * m["m1"] * m["m3"] + 6 * m["m1"] ** 2 * m["m2"] - 3 * m["m1"] ** 4
+    m1, m2, m3, m4 = (m[f"m{i}"] or 0.0 for i in (1, 2, 3, 4))
+    c2 = m2 - m1**2
+    c3 = m3 - 3 * m1 * m2 + 2 * m1**3
+    c4 = m4 - 4 * m1 * m3 + 6 * m1**2 * m2 - 3 * m1**4
     skew = c3 / c2 ** 1.5 if c2 > 0 else float("nan")
     kurt = c4 / c2 ** 2 if c2 > 0 else float("nan")
     jb = n / 6 * (skew ** 2 + (kurt - 3) ** 2 / 4) if c2 > 0 else float("nan")
@@ -276,15 +293,27 @@ def ols(df: DataFrame, y: str, num: Sequence[str], cat: str | None = None, order
     cond = float(np.sqrt(ev.max() / ev.min())) if ev.min() > 0 else float("inf")
     return {
         "terms": names, "coef": beta.tolist(), "se": se.tolist(), "t": tvals.tolist(), "p": pvals, "n": n, "rank": rank,
+        "low": (beta - half).tolist(), "high": (beta + half).tolist(),
         "r2": r2, "adj_r2": adj, "f": fstat, "llf": llf, "aic": -2 * llf + 2 * rank, "bic": -2 * llf + rank * math.log(n) if n else float("nan"),
         "skew": skew, "kurtosis": kurt, "jb": jb, "dw": dw, "cond": cond, "levels": levels,
     }
 
 
 def coef_frame(spark, fit: dict) -> DataFrame:
-    """Coefficient table as a DataFrame (one row per term: p rows)."""
-    rows = [(t, float(c), float(s), float(tv), float(pv)) for t, c, s, tv, pv in zip(fit["terms"], fit["coef"], fit["se"], fit["t"], fit["p"])]
-    return spark.createDataFrame(rows, "term string, coef double, se double, t double, p double")
+    """Coefficient table as a DataFrame (one row per term: p rows) with 95% intervals."""
+    cols = ("coef", "se", "t", "p", "low", "high")
+    rows = [(term, *[float(fit[c][i]) for c in cols]) for i, term in enumerate(fit["terms"])]
+    return spark.createDataFrame(rows, "term string, coef double, se double, t double, p double, ci_low double, ci_high double")
+
+
+MIN_FIT, MIN_HULL = 5, 3  # fixed values: rows a regression report and points a frontier need
+REPORT = ["n", "r2", "adj_r2", "f", "llf", "aic", "bic", "skew", "kurtosis", "jb", "dw", "cond"]
+
+
+def report_frame(spark, fit: dict) -> DataFrame:
+    """One row of fit statistics; no row below ``MIN_FIT`` rows."""
+    rows = [[float(fit[k]) for k in REPORT]] if fit["n"] >= MIN_FIT else []
+    return spark.createDataFrame(rows, ", ".join(f"{k} double" for k in REPORT))
 
 
 def fitted_expr(fit: dict, cat: str | None, num: Sequence[str]) -> Column:
@@ -320,32 +349,15 @@ def _ranged(df: DataFrame, order: Sequence[str], parts: int | None = None) -> Da
 def skyline_2d(df: DataFrame, min_col: str, max_col: str) -> DataFrame:
     """Pareto set: minimise ``min_col``, maximise ``max_col``. A row survives when its value is
     the best at its ``min_col`` level and beats every strictly smaller level. The prefix
-    maximum over levels is computed in two stages over a range partitioning (per-partition
-    maxima -> driver, bounded by the partition count; then a running max inside partitions)."""
+    maximum over levels is taken in two stages over a range partitioning: inside partitions, and
+    over the partitions' maxima (as many rows as partitions)."""
     levels = df.groupBy(_d(min_col).alias("lv")).agg(F.max(_d(max_col)).alias("best"))
-    r = _ranged(levels, ["lv"])
-    r = r.withColumn("_pid", F.spark_partition_id())
-    pmax = {row["_pid"]: row["m"] for row in r.groupBy("_pid").agg(F.max("best").alias("m")).collect()}
-    prefix, run = {}, float("-inf")
-    for pid in sorted(pmax):
-        prefix[pid] = run
-        run = max(run, pmax[pid] if pmax[pid] is not None else float("-inf"))
-
-    def running(it):
-        for pdf in it:
-            if pdf.empty:
-                yield pdf.assign(before=pd.Series(dtype="float64"))
-                continue
-            out = []
-            cur = {}
-            for pid, lv, best in zip(pdf["_pid"], pdf["lv"], pdf["best"]):
-                m = cur.get(pid, prefix.get(pid, float("-inf")))
-                out.append(None if m == float("-inf") else m)
-                cur[pid] = max(m, best)
-            prefix.update(cur)
-            yield pdf.assign(before=out)
-
-    lv = r.mapInPandas(running, "lv double, best double, _pid int, before double").drop("_pid")
+    r = _ranged(levels, ["lv"]).withColumn("_pid", F.spark_partition_id())
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    tops = r.groupBy("_pid").agg(F.max("best").alias("_top")).withColumn("_ahead", F.max("_top").over(earlier)).drop("_top")
+    inside = Window.partitionBy("_pid").orderBy("lv").rowsBetween(Window.unboundedPreceding, -1)
+    lv = r.withColumn("_in", F.max("best").over(inside)).join(F.broadcast(tops), "_pid")
+    lv = lv.select("lv", "best", F.greatest("_in", "_ahead").alias("before"))
     j = df.join(broadcast_if_small(lv), _d(min_col) == F.col("lv"))
     keep = (_d(max_col) == F.col("best")) & (F.col("before").isNull() | (_d(max_col) > F.col("before")))
     return j.where(keep).drop("lv", "best", "before")
@@ -375,25 +387,23 @@ def _chain(points: np.ndarray) -> np.ndarray:
 def hull(df: DataFrame, x: str, y: str) -> DataFrame:
     """Convex-hull vertices of (x, y), sorted by x. Every partition reduces its rows to its own
     hull (mapInPandas); only those vertices are merged in a final single task - the global
-    hull is a subset of the union of local hulls."""
+    hull is a subset of the union of local hulls. Fewer than ``MIN_HULL`` rows: no frontier."""
     pts = df.select(_d(x).alias("x"), _d(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
     def local(it):
-        frames = [p for p in it]
-        if not frames:
-            return
-        allp = pd.concat(frames)
-        h = _chain(allp[["x", "y"]].to_numpy())
-        yield pd.DataFrame(h, columns=["x", "y"])
+        best, rows = np.empty((0, 2)), 0
+        for pdf in it:  # a batch at a time: only hull vertices stay
+            best, rows = _chain(np.vstack([best, pdf[["x", "y"]].to_numpy()])), rows + len(pdf)
+        yield pd.DataFrame(best, columns=["x", "y"]).assign(rows=[rows] + [0] * (len(best) - 1) if len(best) else [])
 
-    survivors = pts.mapInPandas(local, "x double, y double")
+    survivors = pts.mapInPandas(local, "x double, y double, rows long")
 
     def final(it):
-        frames = [p for p in it]
-        if not frames:
-            return
-        h = _chain(pd.concat(frames)[["x", "y"]].to_numpy())
-        yield pd.DataFrame(h, columns=["x", "y"]).sort_values(["x", "y"])
+        best, rows = np.empty((0, 2)), 0
+        for pdf in it:
+            best, rows = _chain(np.vstack([best, pdf[["x", "y"]].to_numpy()])), rows + int(pdf["rows"].sum())
+        if rows >= MIN_HULL:
+            yield pd.DataFrame(best, columns=["x", "y"]).sort_values(["x", "y"])
 
     return survivors.repartition(1).mapInPandas(final, "x double, y double")
 
@@ -441,3 +451,84 @@ def shapley_permutation(df: DataFrame, model, features: Sequence[str], key: str,
         F.max(F.when(F.col("j") == d, F.col("prediction"))).alias("pred"), F.max(F.when(F.col("j") == 0, F.col("prediction"))).alias("base")
     )
     return phi.join(ends, key)
+
+
+# ------------------------------------------------------------------ exact attribution of trees
+
+
+def _leaves(node, path=()):
+    """(path, prediction) of every leaf; a path is a tuple of (feature, threshold, went left)."""
+    if node.subtreeDepth() == 0:
+        yield path, float(node.prediction())
+        return
+    split = node.split()
+    step = (int(split.featureIndex()), float(split.threshold()))
+    yield from _leaves(node.leftChild(), path + ((*step, True),))
+    yield from _leaves(node.rightChild(), path + ((*step, False),))
+
+
+def path_credits(shares: Sequence[float]) -> list[list[float]]:
+    """Shapley values of one leaf of value 1 whose path tests m features. ``shares[j]`` is the part of the
+    training rows that feature j's tests let through; entry [pattern][j] credits feature j when bit i of
+    the pattern says whether feature i's tests hold for the row. Each subset of the other features that may
+    be known weighs |S|! (m - |S| - 1)! / m!; a feature that is not known passes by its share."""
+    m = len(shares)
+    out = []
+    for pattern in range(1 << m):
+        holds = [pattern >> i & 1 for i in range(m)]
+        row = []
+        for j in range(m):
+            others = [i for i in range(m) if i != j]
+            total = 0.0
+            for size in range(m):
+                weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
+                for known in combinations(others, size):
+                    total += weight * math.prod(holds[i] if i in known else shares[i] for i in others)
+            row.append((holds[j] - shares[j]) * total)
+        out.append(row)
+    return out
+
+
+def tree_attribution(df: DataFrame, model, features: Sequence[str], key: str) -> DataFrame:
+    """Exact path-dependent Shapley values of a fitted tree ensemble of numeric splits (Spark ML regressor)
+    for every row: (key, feature, phi, pred, base); per row the phi add up to pred - base, and base is the
+    mean prediction by the trees' shares of ``df``'s rows. A leaf's value splits among the features on its
+    path by ``path_credits``, computed once per leaf on the driver (as many numbers as the model has
+    leaves x 2^depth); rows look their pattern up in one SQL expression, without Python. Null features
+    count as zero."""
+    ensure_checkpoint_dir(df.sparkSession)
+    x = df.select(key, *[F.coalesce(_d(f), F.lit(0.0)).alias(f"_x{i}") for i, f in enumerate(features)]).checkpoint(eager=True)
+    trees, weights = (model.trees, model.treeWeights) if hasattr(model, "trees") else ([model], [1.0])
+    leaves = [(t, path, w * value) for t, (tree, w) in enumerate(zip(trees, weights)) for path, value in _leaves(tree._call_java("rootNode"))]
+
+    def holds(steps) -> str:
+        return " AND ".join(f"_x{f} {'<=' if left else '>'} {th!r}D" for f, th, left in steps) or "true"
+
+    counts = x.agg(*[F.expr(f"count_if({holds(path)})").alias(f"c{i}") for i, (_, path, _) in enumerate(leaves)]).first()
+    cover: dict[tuple, int] = {}
+    for i, (t, path, _) in enumerate(leaves):
+        for end in range(len(path) + 1):
+            cover[t, path[:end]] = cover.get((t, path[:end]), 0) + int(counts[i])
+    base, patterns, preds = 0.0, [], []
+    credit: list[list[str]] = [[] for _ in features]
+    for i, (t, path, value) in enumerate(leaves):
+        tested = sorted({f for f, _, _ in path})
+        shares = [1.0] * len(tested)
+        for end, (f, _, _) in enumerate(path):
+            above = cover[t, path[:end]]
+            shares[tested.index(f)] *= cover[t, path[: end + 1]] / above if above else 0.0
+        base += value * math.prod(shares)
+        bits = [f"if({holds([s for s in path if s[0] == f])}, {1 << j}, 0)" for j, f in enumerate(tested)]
+        patterns.append(" + ".join(bits) or "0")
+        preds.append(f"if(_p[{i}] = {(1 << len(tested)) - 1}, {value!r}D, 0D)")
+        table = path_credits(shares)
+        for j, f in enumerate(tested):
+            credit[f].append(f"array({', '.join(f'{value * row[j]!r}D' for row in table)})[_p[{i}]]")
+
+    def total(terms: list[str]) -> str:
+        return f"aggregate(array({', '.join(terms)}), 0D, (a, b) -> a + b)" if terms else "0D"
+
+    rows = x.select(key, F.expr(f"array({', '.join(patterns)})").alias("_p"))
+    phi = F.array(*[F.struct(F.lit(name).alias("feature"), F.expr(total(terms)).alias("phi")) for name, terms in zip(features, credit)])
+    out = rows.select(key, F.expr(total(preds)).alias("pred"), F.lit(base).alias("base"), F.explode(phi).alias("_f"))
+    return out.select(key, "_f.feature", "_f.phi", "pred", "base")

@@ -186,7 +186,7 @@ done AS (SELECT regexp_replace(config_name, '_\\d{8}_\\d{6}$', '') || '_' || str
 
 
 def _done_names(spark, sf_dir, r):
-    end = views.steps(spark, sf_dir).groupBy("run").agg(F.max("ts").alias("end_ts"))
+    end = views.step_rows(spark, sf_dir).groupBy("run").agg(F.max("ts").alias("end_ts"))
     return r.where(F.col("val_loss").isNotNull()).join(end, "run").select(
         F.concat_ws("_", sc.core_config("config_name"), F.date_format("end_ts", "yyyyMMdd_HHmmss")).alias("done_name")
     )

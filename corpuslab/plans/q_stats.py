@@ -170,9 +170,42 @@ coef AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2, m1, m2 FROM b)
 """
 
 
-def _fit(spark, sf_dir):
+# Standard errors from the same system; p by Simpson's rule on the tail (t = sqrt(v) tan a); the interval's quantile
+# by its expansion in 1 / degrees of freedom.
+_OLS_TABLE_SQL = _OLS_SQL + """, e AS (SELECT count(*)::DOUBLE AS n, sum(pow(val_loss - (b0 + b1 * (CASE WHEN activation = 'relu' THEN 1.0 ELSE 0.0 END) + b2 * embed_size), 2)) AS ssr FROM rc, coef),
+v AS (SELECT n - 3 AS dof, ssr / (n - 3) AS s2, n, s11, s22, s12, s11 * s22 - s12 * s12 AS det, m1, m2 FROM e, c),
+terms AS (
+  SELECT 'Intercept' AS term, b0 AS coef, sqrt(s2 * (1 / n + (v.m1 * v.m1 * s22 - 2 * v.m1 * v.m2 * s12 + v.m2 * v.m2 * s11) / det)) AS se, dof FROM coef, v
+  UNION ALL SELECT 'activation[T.relu]', b1, sqrt(s2 * s22 / det), dof FROM coef, v
+  UNION ALL SELECT 'embed_size', b2, sqrt(s2 * s11 / det), dof FROM coef, v),
+tail AS (SELECT term, 1 - 2 * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) * sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(a * i / 4000), dof - 1)) * any_value(a) / 12000 AS p
+  FROM (SELECT term, dof, atan(abs(coef / se) / sqrt(dof)) AS a, unnest(range(4001)) AS i FROM terms) GROUP BY term, dof),
+q AS (SELECT term, z + (pow(z, 3) + z) / 4 / dof + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(dof, 2) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(dof, 3)
+        + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / 92160 / pow(dof, 4) AS tq FROM (SELECT term, dof, 1.959963984540054::DOUBLE AS z FROM terms))
+SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 6) AS t, abs(round(p, 6)) AS p, round(coef - tq * se, 6) AS ci_low, round(coef + tq * se, 6) AS ci_high
+FROM terms JOIN tail USING (term) JOIN q USING (term)"""
+
+# Fit statistics; the condition number from the eigenvalues of the 3 x 3 matrix of cross products: the largest by the
+# trigonometric form, the smallest by the quadratic of the other two.
+_OLS_REPORT_SQL = _OLS_SQL + """, r AS (SELECT run, val_loss AS y, embed_size::DOUBLE AS x, d, val_loss - (b0 + b1 * d + b2 * embed_size) AS e
+  FROM (SELECT *, CASE WHEN activation = 'relu' THEN 1.0 ELSE 0.0 END::DOUBLE AS d FROM rc), coef),
+u AS (SELECT *, lead(e) OVER (ORDER BY run) - e AS de FROM r),
+s AS (SELECT count(*)::DOUBLE AS n, sum(e * e) AS ssr, var_pop(y) * count(*) AS sst, avg(pow(e, 2)) AS c2, avg(pow(e, 3)) AS c3, avg(pow(e, 4)) AS c4, sum(de * de) AS num,
+             sum(d) AS sd, sum(x) AS sx, sum(d * x) AS sdx, sum(x * x) AS sxx FROM u),
+g AS (SELECT *, 1 - ssr / sst AS r2, -n / 2 * (ln(2 * pi()) + ln(ssr / n) + 1) AS llf, c3 / pow(c2, 1.5) AS skew, c4 / (c2 * c2) AS kurt, (n + sd + sxx) / 3 AS q,
+             n * (sd * sxx - sdx * sdx) - sd * (sd * sxx - sdx * sx) + sx * (sd * sdx - sd * sx) AS det, n * sd - sd * sd + n * sxx - sx * sx + sd * sxx - sdx * sdx AS i2 FROM s),
+h AS (SELECT *, sqrt((pow(n - q, 2) + pow(sd - q, 2) + pow(sxx - q, 2) + 2 * (sd * sd + sx * sx + sdx * sdx)) / 6) AS pp FROM g),
+k AS (SELECT *, q + 2 * pp * cos(acos(least(1, ((n - q) * ((sd - q) * (sxx - q) - sdx * sdx) - sd * (sd * (sxx - q) - sdx * sx) + sx * (sd * sdx - (sd - q) * sx)) / pow(pp, 3) / 2)) / 3) AS e1 FROM h),
+w AS (SELECT *, (i2 - det / e1) / e1 AS es, det / e1 AS ep FROM k)
+SELECT n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adj_r2, round((r2 / 2) / ((1 - r2) / (n - 3)), 6) AS f, round(llf, 6) AS llf,
+       round(-2 * llf + 6, 6) AS aic, round(-2 * llf + 3 * ln(n), 6) AS bic, round(skew, 6) AS skew, round(kurt, 6) AS kurtosis,
+       round(n / 6 * (skew * skew + pow(kurt - 3, 2) / 4), 6) AS jb, round(num / ssr, 6) AS dw, round(sqrt(e1 * (es + sqrt(es * es - 4 * ep)) / 2 / ep), 4) AS cond
+FROM w WHERE n >= 5"""
+
+
+def _fit(spark, sf_dir, order_col=None):
     r = _complete(spark, sf_dir)
-    return r, st.ols(r, "val_loss", ["embed_size"], "activation", order_col="run")
+    return r, st.ols(r, "val_loss", ["embed_size"], "activation", order_col=order_col)
 
 
 @register(
@@ -207,14 +240,19 @@ def linear_shap(spark: SparkSession, sf_dir: str):
     return finish(phi.select("run", F.col("`phi_activation[T.relu]`").alias("phi_relu"), "phi_embed_size"))
 
 
-@register("ols_report")
+@register("ols_table", _OLS_TABLE_SQL)
+def ols_table(spark: SparkSession, sf_dir: str):
+    """Coefficient table: standard error, t, two-sided p and 95% interval of every term."""
+    _, fit = _fit(spark, sf_dir)
+    return finish(st.coef_frame(spark, fit))
+
+
+@register("ols_report", _OLS_REPORT_SQL)
 def ols_report(spark: SparkSession, sf_dir: str):
     """Full regression report (one row of fit statistics): R2, adjusted R2, F, log-likelihood,
     AIC, BIC, skew, kurtosis, Jarque-Bera, Durbin-Watson (runs in run order), condition number."""
-    _, fit = _fit(spark, sf_dir)
-    keys = ["n", "r2", "adj_r2", "f", "llf", "aic", "bic", "skew", "kurtosis", "jb", "dw", "cond"]
-    row = [float(fit[k]) for k in keys]
-    return spark.createDataFrame([row], ", ".join(f"{k} double" for k in keys))
+    _, fit = _fit(spark, sf_dir, order_col="run")
+    return finish(st.report_frame(spark, fit), cond=4)
 
 
 @register(
@@ -255,7 +293,8 @@ def hull(spark: SparkSession, sf_dir: str):
     return finish(st.hull(_complete(spark, sf_dir), "val_loss", "token_accuracy"))
 
 
-GBT_FEATURES = ["learning_rate", "embed_size", "k", "chunk_size", "inner_layers", "block_size", "batch_size", "tinystories_weight"]
+GBT_FEATURES = ["avg_loss", "perplexity", "token_accuracy", "learning_rate", "embed_size", "k", "chunk_size", "inner_layers", "block_size",
+                "batch_size", "tinystories_weight"]
 
 
 def _gbt(spark, sf_dir):
@@ -270,7 +309,7 @@ def _gbt(spark, sf_dir):
 
 @register("gbt_importance")
 def gbt_importance(spark: SparkSession, sf_dir: str):
-    """Boosted-tree feature importances for val_loss over the numeric configuration columns."""
+    """Boosted-tree feature importances for val_loss over the numeric metric and configuration columns."""
     _, model = _gbt(spark, sf_dir)
     imp = model.featureImportances.toArray().tolist()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(GBT_FEATURES, imp)], "feature string, importance double")
@@ -282,3 +321,10 @@ def shapley_rows(spark: SparkSession, sf_dir: str):
     feature means); per run the values add up to prediction - base."""
     r, model = _gbt(spark, sf_dir)
     return finish(st.shapley_permutation(r, model, GBT_FEATURES, "run"))
+
+
+@register("tree_attribution")
+def tree_attribution(spark: SparkSession, sf_dir: str):
+    """Exact path-dependent Shapley values of the boosted-tree model per run and feature, with prediction and base."""
+    r, model = _gbt(spark, sf_dir)
+    return finish(st.tree_attribution(r, model, GBT_FEATURES, "run"))
