@@ -148,13 +148,13 @@ def merge_last_wins(df: DataFrame, key: str, seq: str, cols: Sequence[str]) -> D
     ).select(key, "first_seq", "last_seq", "w.*")
 
 
-def merge_override(left: DataFrame, right: DataFrame, key: str, null_overrides: bool = False) -> DataFrame:
-    """Inner join; for shared columns the right side wins (``coalesce(right, left)``, or the
+def merge_override(left: DataFrame, right: DataFrame, key: str, null_overrides: bool = False, how: str = "inner") -> DataFrame:
+    """Join (inner, or left to keep rows without a partner); for shared columns the right side wins (``coalesce(right, left)``, or the
     right value even when NULL if ``null_overrides``); columns of either side are kept."""
     shared = [c for c in right.columns if c in left.columns and c != key]
     l_ = left.alias("l")
     r_ = right.alias("r")
-    j = l_.join(r_, key, "inner")
+    j = l_.join(r_, key, how)
     cols = [F.col(key)]
     for c in left.columns:
         if c == key:
@@ -167,9 +167,9 @@ def merge_override(left: DataFrame, right: DataFrame, key: str, null_overrides:
     return j.select(*cols)
 
 
-def parse_runs(names: DataFrame, name_col: str = "config_name", lenient: bool = False, overrides=None):
+def parse_runs(names: DataFrame, name_col: str = "config_name", lenient: bool = False, overrides=None, keep: Sequence[str] = ()):
     """(accepted, rejected): accepted rows carry typed configuration columns; rejected rows
-    carry the comma list of missing keys."""
+    carry the ``keep`` columns and the comma list of missing keys."""
     # parsed once and materialised: both outputs read it, and the completeness filter does not
     # re-evaluate the eleven regular expressions
     parsed = names.select("*", *sc.parse_config(F.col(name_col), lenient, overrides)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -177,10 +177,20 @@ def parse_runs(names: DataFrame, name_col: str = "config_name", lenient: bool =
     for k in sc.CONFIG_KEYS:
         complete = complete & F.col(k).isNotNull()
     ok = parsed.where(complete)
-    bad = parsed.where(~complete).select(name_col, sc.missing_keys().alias("missing"))
+    bad = parsed.where(~complete).select(*keep, name_col, sc.missing_keys().alias("missing"))
     return ok, bad
 
 
+def summarize_runs(names: DataFrame, epochs: DataFrame, name_col: str = "config_name") -> tuple[DataFrame, DataFrame]:
+    """(summary, rejects) of runs given by name: the configuration is parsed from the name, the metrics of the
+    run's last epoch are laid over it (a metric wins over a configuration value of the same name unless it
+    is null), a run without epochs keeps its configuration. A name that does not parse goes to the rejects with
+    its run and the missing keys and touches no other run. ``names``: run and name; ``epochs``: run, epoch, metrics."""
+    ok, bad = parse_runs(names, name_col, keep=("run",))
+    last = last_epoch(epochs, [c for c in epochs.columns if c not in ("run", "epoch")])
+    return merge_override(ok, last, "run", how="left"), bad
+
+
 def skip_existing(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Left-anti on the key. The done-set is a key list: broadcast when small."""
     return planned.join(broadcast_if_small(done.select(key).distinct()), key, "left_anti")

@@ -164,6 +164,28 @@ def config_parse_lenient(spark: SparkSession, sf_dir: str):
     return n.select("run", "config_name", *sc.parse_config(F.col("config_name"), lenient=True, overrides={"activation": "gelu"}))
 
 
+_METRICS = ["avg_loss", "val_loss", "perplexity", "token_accuracy", "max_loss"]
+
+
+@register(
+    "summarize_runs",
+    _NAMES_SQL + ", " + _parse_sql(sc.STRICT_PATTERNS) + f""", last AS (
+  SELECT run, epoch, {", ".join(f"round({m}, 6) AS {m}" for m in _METRICS)} FROM run_epochs QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1)
+SELECT parsed.*, epoch, {", ".join(_METRICS)} FROM parsed LEFT JOIN last USING (run) WHERE {_COMPLETE}""",
+)
+def summarize_runs(spark: SparkSession, sf_dir: str):
+    """Run summary built from the names alone: configuration parsed, last epoch's metrics over it; names that do
+    not parse (the older form) are in ``summarize_rejects``."""
+    ok, _ = rl.summarize_runs(_names(spark, sf_dir), views.run_epochs(spark, sf_dir).select("run", "epoch", *_METRICS))
+    return finish(ok.select("run", "config_name", *sc.CONFIG_KEYS, "epoch", *_METRICS))
+
+
+@register("summarize_rejects", _NAMES_SQL + ", " + _parse_sql(sc.STRICT_PATTERNS) + f"\nSELECT run, config_name, {_MISSING} AS missing FROM parsed WHERE NOT ({_COMPLETE})")
+def summarize_rejects(spark: SparkSession, sf_dir: str):
+    """Runs that the summary rejects, with the configuration keys their names lack."""
+    return rl.summarize_runs(_names(spark, sf_dir), views.run_epochs(spark, sf_dir).select("run", "epoch", *_METRICS))[1]
+
+
 @register("core_config", RL + "SELECT run, regexp_replace(config_name, '_\\d{8}_\\d{6}$', '') AS core FROM runs")
 def core_config(spark: SparkSession, sf_dir: str):
     return _runs(spark, sf_dir).select("run", sc.core_config("config_name").alias("core"))

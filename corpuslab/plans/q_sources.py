@@ -12,7 +12,8 @@ from corpuslab.operators import runlog as rl
 from corpuslab.operators import vectors as vx
 from corpuslab.operators.ranking import broadcast_if_small
 from corpuslab.plans import q_decode, views
-from corpuslab.plans.catalog import register
+from corpuslab.plans import sql as q
+from corpuslab.plans.catalog import finish, register
 from corpuslab.sources import runlogs as rg
 from corpuslab.sources.tables import table
 
@@ -32,7 +33,13 @@ def epoch_log_explode(spark: SparkSession, sf_dir: str):
     return e.select("event_id", "key", F.col("raw").try_cast("double").alias("value"))
 
 
-@register("append_summary")
+_APPEND_COLS = ["epoch", "avg_loss", "val_loss", "perplexity", "token_accuracy", "max_loss", "model_type", "activation", "embed_size", "k", "chunk_size",
+                "inner_layers", "block_size", "batch_size", "learning_rate", "tinystories_weight", "num_epochs"]
+_FLOATS = {"avg_loss", "val_loss", "perplexity", "token_accuracy", "max_loss"}
+_APPEND_SQL = ", ".join(f"round({c}, 6) AS {c}" if c in _FLOATS else c for c in _APPEND_COLS)
+
+
+@register("append_summary", q.with_(q.RUNLOG) + f"SELECT config_name, 1 AS first_seq, 2 AS last_seq, run, {_APPEND_SQL} FROM runs")
 def append_summary(spark: SparkSession, sf_dir: str):
     """Append the run summary twice (a re-run re-appends every run), read the partitioned
     Parquet back and merge last-wins by config name: one row per run."""
@@ -42,7 +49,18 @@ def append_summary(spark: SparkSession, sf_dir: str):
         rg.append_summary(r.withColumn("attempt", F.lit(attempt)), path)
     back = spark.read.parquet(path)
     cols = [c for c in back.columns if c not in ("config_name", "attempt")]
-    return rl.merge_last_wins(back, "config_name", "attempt", cols)
+    return finish(rl.merge_last_wins(back, "config_name", "attempt", cols))
+
+
+@register("versioned_summary", q.with_(q.RUNLOG) + f"SELECT config_name, 2 AS attempt, run, {_APPEND_SQL} FROM runs")
+def versioned_summary(spark: SparkSession, sf_dir: str):
+    """Summary of the runs with an even number committed as version 1, all runs of a second attempt merged over it as
+    version 2; the newest version is read back."""
+    r = views.runs(spark, sf_dir)
+    path = rg.shared_dir(spark, "versions")
+    rg.write_summary(r.where(F.col("run") % 2 == 0).withColumn("attempt", F.lit(1)), path)
+    rg.merge_summary(r.withColumn("attempt", F.lit(2)), path, "config_name", "attempt")
+    return finish(rg.read_summary(spark, path))
 
 
 def _render(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators import stats as st
+from corpuslab.operators.frontier import skyline as skyline_nd
 from corpuslab.plans import sql as q
 from corpuslab.plans import views
 from corpuslab.plans.catalog import finish, register
@@ -287,6 +288,19 @@ def skyline(spark: SparkSession, sf_dir: str):
     return finish(st.skyline_2d(r, "val_loss", "token_accuracy").select("run", "val_loss", "token_accuracy"))
 
 
+@register(
+    "skyline_3d",
+    _RN + """SELECT p.run, round(p.val_loss, 6) AS val_loss, p.embed_size, round(p.token_accuracy, 6) AS token_accuracy FROM rc p
+WHERE p.token_accuracy IS NOT NULL AND p.embed_size IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM rc q WHERE q.val_loss <= p.val_loss AND q.embed_size <= p.embed_size AND q.token_accuracy >= p.token_accuracy
+    AND (q.val_loss < p.val_loss OR q.embed_size < p.embed_size OR q.token_accuracy > p.token_accuracy))""",
+)
+def skyline_3d(spark: SparkSession, sf_dir: str):
+    """Runs that no other run beats in loss, model size and accuracy together."""
+    r = _complete(spark, sf_dir).select("run", "val_loss", "embed_size", "token_accuracy")
+    return finish(skyline_nd(r, ["val_loss", "embed_size"], ["token_accuracy"]))
+
+
 @register("hull")
 def hull(spark: SparkSession, sf_dir: str):
     """Convex-hull vertices of (val_loss, token_accuracy), the frontier as drawn."""

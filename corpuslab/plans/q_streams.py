@@ -61,7 +61,7 @@ def stream_partial_loss(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "partial")
     feed(spark, _steps(spark, sf_dir), "steps", _micros(),
          lambda src: stf.run_to_parquet(stf.partial_loss_stream(src, q_runlog.PARTIAL_EVERY), out, chk))
-    return finish(spark.read.parquet(out))
+    return finish(spark.read.parquet(out).where(F.col("kind") == "bucket").drop("kind", "event_id"))
 
 
 @register("stream_interval_trigger", ORACLE["interval_trigger"])
@@ -83,7 +83,7 @@ def stream_plateau_lr(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "plateau")
     feed(spark, _epochs(spark, sf_dir), "epochs", F.col("epoch"),
          lambda src: stf.run_to_parquet(stf.plateau_lr_stream(src.select("run", "epoch", "loss", "lr0")), out, chk))
-    return finish(spark.read.parquet(out), lr=9)
+    return finish(spark.read.parquet(out).where(F.col("kind") == "rate").drop("kind"), lr=9)
 
 
 @register("stream_summaries", ORACLE["last_epoch"])

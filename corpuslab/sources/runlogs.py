@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,12 +125,69 @@ def append_summary(df: DataFrame, path: str, partition_by: str | None = "model_t
     w.parquet(path)
 
 
+def _commits(spark: SparkSession, path: str):
+    """File system and folder of the commit log beside the data of ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{path.rstrip('/')}/_commits")
+    return hadoop, folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def summary_versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Committed versions in ascending order: number -> data folder. A commit file that is still empty
+    (its writer died between creating and filling it) is no version."""
+    hadoop, folder, fs = _commits(spark, path)
+    if not fs.exists(folder):
+        return {}
+    files = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(folder))
+    named = [(int(name), size) for name, size in files if name.isdigit() and size]
+    if not named:
+        return {}
+    lines = spark.read.text([f"{path.rstrip('/')}/_commits/{n:012d}" for n, _ in named]).select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).cast("long").alias("n"), "value").collect()  # one row a version
+    found = {r["n"]: r["value"] for r in lines if r["value"].endswith(";")}  # a torn line has no end mark
+    return {n: f"{path.rstrip('/')}/{found[n][:-1]}" for n in sorted(found)}
+
+
 def write_summary(df: DataFrame, path: str) -> str:
-    """Overwrite-after-merge without overwriting the path being read: write a new versioned
-    folder and return it (readers switch to the returned path)."""
-    target = f"{path.rstrip('/')}/v={uuid.uuid4().hex[:12]}"
-    df.write.mode("errorifexists").parquet(target)
-    return target
+    """Overwrite without touching what is being read: the rows go to a folder of their own, then a commit
+    file named by the next number is created (creation fails if another writer has taken the number, which
+    then tries the one after) and names that folder. Readers (``read_summary``) follow the newest commit, so
+    rows of a writer that died before its commit are never read. Returns the data folder. Needs a file system
+    whose create without overwrite is atomic."""
+    spark = df.sparkSession
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{name}")
+    hadoop, folder, fs = _commits(spark, path)
+    taken = [int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()] if fs.exists(folder) else []
+    number = max(taken, default=0) + 1
+    while True:
+        target = hadoop(folder, f"{number:012d}")
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError:
+            if not fs.exists(target):
+                raise
+            number += 1
+            continue
+        out.write(bytearray(f"{name};\n".encode()))
+        out.close()
+        return f"{path.rstrip('/')}/{name}"
+
+
+def read_summary(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Rows of the newest committed version, or of the one asked for."""
+    versions = summary_versions(spark, path)
+    if not versions or (version is not None and version not in versions):
+        raise FileNotFoundError(f"no committed version {version or ''} under {path}")
+    return spark.read.parquet(versions[version if version is not None else max(versions)])
+
+
+def merge_summary(new: DataFrame, path: str, key: str, seq: str) -> str:
+    """Newest version and ``new`` merged (per key the row of the largest ``seq`` wins), as the next version."""
+    spark = new.sparkSession
+    rows = new if not summary_versions(spark, path) else read_summary(spark, path).unionByName(new)
+    cols = [c for c in rows.columns if c != key]
+    return write_summary(rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("w")).select(key, "w.*"), path)
 
 
 def export_top(df: DataFrame, path: str, n: int, by: list[str]) -> None:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,36 +22,52 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslab.functions import scalars as sc
 from corpuslab.operators import runlog as rl
+from corpuslab.operators.ranking import broadcast_if_small
 
 
 # ----------------------------------------------------------------------- X1 partial loss
 
-PARTIAL_OUT = "run long, epoch int, bucket long, partial_loss double, last_step long"
+PARTIAL_OUT = "run long, epoch int, kind string, event_id long, bucket long, partial_loss double, last_step long"
 PARTIAL_STATE = "n long, s double, last_ts long, last_id long"
 
 
+def _in_order(rows: pd.DataFrame, last_ts: int, last_id: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(new rows in (ts, event_id) order, late rows): late is what is not after the last row of its key, or repeats a row."""
+    rows = rows.sort_values(["ts_us", "event_id"], kind="stable")
+    ts, eid = rows["ts_us"].to_numpy(), rows["event_id"].to_numpy()
+    late = (ts < last_ts) | ((ts == last_ts) & (eid <= last_id))
+    late[1:] |= (ts[1:] == ts[:-1]) & (eid[1:] == eid[:-1])
+    return rows[~late], rows[late]
+
+
 def _partial_fn(every: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, s, last_ts, last_id = state.get if state.exists else (0, 0.0, -(2**62), -1)
-        rows = pd.concat(list(pdfs)).sort_values(["ts_us", "event_id"])
-        out = []
-        for ts, eid, loss in zip(rows["ts_us"], rows["event_id"], rows["loss"]):
-            if (ts, eid) <= (last_ts, last_id):
-                continue  # late row: never folded into the state
-            n += 1
-            s += float(loss)
-            last_ts, last_id = int(ts), int(eid)
-            if n % every == 0:
-                out.append((key[0], key[1], n // every - 1, s / every, n))
-                s = 0.0
+        new, late = _in_order(pd.concat(list(pdfs)), last_ts, last_id)
+        if len(new):
+            loss = new["loss"].to_numpy(dtype=np.float64)
+            bucket = (n + np.arange(len(loss))) // every
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            sums = np.add.reduceat(loss, starts)
+            sums[0] += s  # the open bucket of earlier batches
+            n += len(loss)
+            full = (bucket[starts] + 1) * every <= n
+            s = 0.0 if full[-1] else float(sums[-1])
+            last_ts, last_id = int(new["ts_us"].iloc[-1]), int(new["event_id"].iloc[-1])
+            done = bucket[starts][full]
+            yield pd.DataFrame({"run": key[0], "epoch": key[1], "kind": "bucket", "event_id": pd.array([None] * len(done), "Int64"), "bucket": done,
+                                "partial_loss": sums[full] / every, "last_step": (done + 1) * every})
         state.update((n, s, last_ts, last_id))
-        yield pd.DataFrame(out, columns=["run", "epoch", "bucket", "partial_loss", "last_step"])
+        if len(late):
+            yield pd.DataFrame({"run": key[0], "epoch": key[1], "kind": "late", "event_id": late["event_id"].to_numpy(), "bucket": pd.array([None] * len(late), "Int64"),
+                                "partial_loss": np.nan, "last_step": pd.array([None] * len(late), "Int64")})
 
     return fn
 
 
 def partial_loss_stream(steps: DataFrame, every: int) -> DataFrame:
-    """Average of each full bucket of ``every`` training steps per (run, epoch)."""
+    """Average of each full bucket of ``every`` training steps per (run, epoch) as rows of kind 'bucket'; a step
+    that comes after a later one of its key is a row of kind 'late' with its event id."""
     s = steps.where(F.col("split") == "train").select(
         "run", "epoch", "event_id", "loss", F.unix_micros(sc.utc_instant("ts")).alias("ts_us")
     )
@@ -68,16 +85,16 @@ TRIGGER_STATE = "nxt long, last_ts long, last_id long"
 def _trigger_fn(interval_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         nxt, last_ts, last_id = state.get if state.exists else (None, -(2**62), -1)
-        rows = pd.concat(list(pdfs)).sort_values(["ts_us", "event_id"])
-        out = []
-        for ts, eid in zip(rows["ts_us"], rows["event_id"]):
-            if (ts, eid) <= (last_ts, last_id):
-                out.append((key[0], int(eid), "late"))
-                continue
-            if nxt is None or ts >= nxt:
-                out.append((key[0], int(eid), "fire"))
-                nxt = int(ts) + interval_us
-            last_ts, last_id = int(ts), int(eid)
+        new, late = _in_order(pd.concat(list(pdfs)), last_ts, last_id)
+        ts, eid, fired, at = new["ts_us"].to_numpy(), new["event_id"].to_numpy(), [], 0
+        while at < len(ts):  # from one firing to the next
+            at = at if nxt is None else at + int(np.searchsorted(ts[at:], nxt))
+            if at < len(ts):
+                fired.append(int(eid[at]))
+                nxt = int(ts[at]) + interval_us
+        if len(ts):
+            last_ts, last_id = int(ts[-1]), int(eid[-1])
+        out = [(key[0], e, "fire") for e in fired] + [(key[0], int(e), "late") for e in late["event_id"]]
         state.update((nxt, last_ts, last_id))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "kind"])
 
@@ -93,7 +110,7 @@ def interval_trigger_stream(events: DataFrame, interval_us: int) -> DataFrame:
 
 # --------------------------------------------------------------------- X3 plateau schedule
 
-PLATEAU_OUT = "run long, epoch int, lr double"
+PLATEAU_OUT = "run long, epoch int, kind string, lr double"
 PLATEAU_STATE = "best double, bad int, lr double, last_epoch int"
 
 
@@ -107,8 +124,9 @@ def _plateau_fn(factor: float, patience: int, threshold: float):
         out = []
         for epoch, loss in zip(rows["epoch"], rows["loss"]):
             if epoch <= last_epoch:
+                out.append((key[0], int(epoch), "late", None))
                 continue
-            out.append((key[0], int(epoch), lr))
+            out.append((key[0], int(epoch), "rate", lr))
             better = loss is not None and not pd.isna(loss) and loss < best * (1.0 - threshold)
             if better:
                 best, bad = float(loss), 0
@@ -118,13 +136,14 @@ def _plateau_fn(factor: float, patience: int, threshold: float):
                 lr, bad = lr * factor, 0
             last_epoch = int(epoch)
         state.update((best, bad, lr, last_epoch))
-        yield pd.DataFrame(out, columns=["run", "epoch", "lr"])
+        yield pd.DataFrame(out, columns=["run", "epoch", "kind", "lr"])
 
     return fn
 
 
 def plateau_lr_stream(epochs: DataFrame, factor: float = 0.25, patience: int = 1, threshold: float = 1e-4) -> DataFrame:
-    """epochs: (run, epoch, loss, lr0) arriving in epoch order per run."""
+    """Learning rate of every epoch (run, epoch, loss, lr0) as rows of kind 'rate'; an epoch that comes after a
+    later or equal one of its run is a row of kind 'late' and leaves the schedule as it is."""
     return epochs.groupBy("run").applyInPandasWithState(
         _plateau_fn(factor, patience, threshold), PLATEAU_OUT, PLATEAU_STATE, "append", GroupStateTimeout.NoTimeout
     )
@@ -172,26 +191,24 @@ def read_upserts(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*cols), "batch_id").alias("r")).select(*key, "r.*")
 
 
-def summaries_stream(epoch_logs: DataFrame, sink: str, checkpoint: str, cols: list[str]) -> None:
-    """Incremental run summaries: each micro-batch of new epoch rows is merged last-wins (by
-    epoch) into the summary table. Version ``v`` of the table is written under the batch id,
-    so a replayed batch rewrites the same version; readers take the newest version."""
-    spark = epoch_logs.sparkSession
+def summaries_stream(epoch_logs: DataFrame, sink: str, checkpoint: str, cols: list[str], known: DataFrame | None = None) -> None:
+    """Incremental run summaries: each micro-batch writes the last epoch of the runs that it brings, and nothing
+    else, under its batch id (a replayed batch rewrites the same folder); runs in ``known`` (column run:
+    summarised before the stream) are left out. ``latest_version`` merges the deltas."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         new = batch.select("run", "epoch", *cols)
-        if batch_id > 0:
-            prev = spark.read.parquet(sink).where(F.col("v") == batch_id - 1).select("run", "epoch", *cols)
-            new = prev.unionByName(new)
+        if known is not None:
+            new = new.join(broadcast_if_small(known.select("run").distinct()), "run", "left_anti")
         merged = rl.merge_last_wins(new, "run", "epoch", ["epoch", *cols]).select("run", "epoch", *cols)
         merged.write.mode("overwrite").parquet(f"{sink}/v={batch_id}")
 
-    q = epoch_logs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = epoch_logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def latest_version(spark: SparkSession, sink: str) -> DataFrame:
-    """Newest summary version: versions are discovered as the partition column ``v``."""
+    """One row per run: its last epoch over all deltas; of equal epochs the newest delta wins."""
     df = spark.read.parquet(sink)
-    newest = df.agg(F.max("v").alias("v")).first()["v"]
-    return df.where(F.col("v") == newest).drop("v")
+    cols = [c for c in df.columns if c not in ("run", "v")]
+    return df.groupBy("run").agg(F.max_by(F.struct(*cols), F.struct("epoch", "v")).alias("r")).select("run", "r.*")

@@ -8,7 +8,7 @@ from oracle_check import check
 
 QUICK = ["lm_eval_by_lang", "tokenize", "vocab", "next_pairs", "kgrams", "corpus_lines", "split_exact", "mixture",
          "epoch_metrics", "plateau_lr", "interval_trigger", "config_parse", "corr_matrix", "ols_coef", "box_stats",
-         "skyline", "nucleus", "greedy_next", "cosine_knn", "pool_attention", "kgram_counts"]
+         "skyline", "skyline_3d", "summarize_runs", "versioned_summary", "append_summary", "ols_report", "nucleus", "greedy_next", "cosine_knn", "pool_attention", "kgram_counts"]
 
 
 def test_registered_queries_match_oracle(spark):
@@ -22,6 +22,6 @@ def test_every_query_has_oracle_or_is_declared_rows_only():
     from corpuslab.plans import catalog
 
     catalog.load_all()
-    rows_only = {"cosine_knn_lsh", "tree_attribution", "hull", "gbt_importance", "word2vec", "generate_topp", "append_summary", "write_generations", "mlp_kgram", "shapley_rows"}
+    rows_only = {"cosine_knn_lsh", "tree_attribution", "hull", "gbt_importance", "word2vec", "write_generations", "mlp_kgram", "shapley_rows"}
     missing = set(catalog.QUERIES) - set(catalog.ORACLE)
     assert missing == rows_only

@@ -57,3 +57,40 @@ def test_plateau_stream_equals_batch(spark):
     res = q_streams.stream_plateau_lr(spark, SF_SMALL)
     want = q_runlog.plateau_lr(spark, SF_SMALL)
     assert _key(res, ["run", "epoch", "lr"]) == _key(want, ["run", "epoch", "lr"])
+
+
+def _arrive(spark, base, slices, schema, run):
+    for rows in slices:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+        run(spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(f"{base}/src"))
+
+
+def test_late_steps_are_reported_and_change_no_bucket(spark):
+    base = tempfile.mkdtemp(prefix="corpuslab-test-", dir="/tmp")
+    row = lambda e, s, x: (7, 1, e, "train", x, s)
+    schema = "run long, epoch int, event_id long, split string, loss double, sec long"
+    slices = [[row(1, 10, 1.0), row(2, 20, 2.0)], [row(3, 15, 9.0), row(2, 20, 2.0), row(4, 30, 3.0), row(5, 40, 4.0)], [row(6, 50, 6.0)]]
+    _arrive(spark, base, slices, schema, lambda src: stf.run_to_parquet(
+        stf.partial_loss_stream(src.withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz")), 2), f"{base}/out", f"{base}/chk"))
+    out = spark.read.parquet(f"{base}/out")
+    assert sorted((r["bucket"], r["partial_loss"], r["last_step"]) for r in out.where("kind = 'bucket'").collect()) == [(0, 1.5, 2), (1, 3.5, 4)]
+    assert sorted(r["event_id"] for r in out.where("kind = 'late'").collect()) == [2, 3]
+
+
+def test_late_epochs_are_reported(spark):
+    base = tempfile.mkdtemp(prefix="corpuslab-test-", dir="/tmp")
+    slices = [[(1, 1, 3.0, 0.1), (1, 3, 2.0, 0.1)], [(1, 2, 9.0, 0.1), (1, 4, 2.5, 0.1)], [(1, 5, 2.5, 0.1), (1, 6, 2.5, 0.1)]]
+    _arrive(spark, base, slices, "run long, epoch int, loss double, lr0 double", lambda src: stf.run_to_parquet(stf.plateau_lr_stream(src), f"{base}/out", f"{base}/chk"))
+    out = spark.read.parquet(f"{base}/out")
+    assert sorted((r["epoch"], r["lr"]) for r in out.where("kind = 'rate'").collect()) == [(1, 0.1), (3, 0.1), (4, 0.1), (5, 0.1), (6, 0.025)]
+    assert [r["epoch"] for r in out.where("kind = 'late'").collect()] == [2]
+
+
+def test_summaries_are_deltas_without_known_runs(spark):
+    base = tempfile.mkdtemp(prefix="corpuslab-test-", dir="/tmp")
+    known = spark.createDataFrame([(9,)], "run long")
+    slices = [[(1, 1, 3.0), (2, 1, 4.0), (9, 1, 1.0)], [(1, 2, 2.0)], [(2, 3, 3.5), (1, 1, 8.0)]]
+    _arrive(spark, base, slices, "run long, epoch int, val_loss double", lambda src: stf.summaries_stream(src, f"{base}/out", f"{base}/chk", ["val_loss"], known))
+    assert sorted(map(tuple, stf.latest_version(spark, f"{base}/out").select("run", "epoch", "val_loss").collect())) == [(1, 2, 2.0), (2, 3, 3.5)]
+    sizes = {r["v"]: r["count"] for r in spark.read.parquet(f"{base}/out").groupBy("v").count().collect()}
+    assert sizes == {0: 2, 1: 1, 2: 2}  # a delta holds its own runs only
