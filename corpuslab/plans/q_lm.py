@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
+from corpuslab.operators import classlm
 from corpuslab.operators import kgram as lm
 from corpuslab.operators.sampling import split_column
 from corpuslab.plans import sql as q
@@ -20,7 +21,7 @@ VAL_FRAC = 0.1
 def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, split, toks): whole-text token arrays with the exact 10% split."""
     docs = views.doc_tokens(spark, sf_dir)
-    split = split_column(docs.select("doc_id"), VAL_FRAC, SEED, "doc_id")
+    split = split_column(views.documents(spark, sf_dir).select("doc_id"), VAL_FRAC, SEED, "doc_id")  # reads the ids alone
     return docs.select("doc_id", "lang", "source", split.alias("split"), "toks")
 
 
@@ -112,8 +113,7 @@ def id_split(spark: SparkSession, sf_dir: str):
     """(doc_id, lang, split, ids) plus the vocabulary size."""
     voc = views.vocab(spark, sf_dir)
     v = voc.count()
-    docs = views.doc_tokens(spark, sf_dir)
-    split = split_column(docs.select("doc_id"), VAL_FRAC, SEED, "doc_id")
+    split = split_column(views.documents(spark, sf_dir).select("doc_id"), VAL_FRAC, SEED, "doc_id")
     ids = views.doc_ids(spark, sf_dir, voc).withColumn("split", split)
     return ids.persist(StorageLevel.MEMORY_AND_DISK), v
 
@@ -348,14 +348,11 @@ def token_accuracy_last_batch(spark: SparkSession, sf_dir: str):
     return finish(e.select("tokens", "accuracy"))
 
 
-MLP_CAP = 50
-
-
 @register("mlp_kgram")
 def mlp_kgram(spark: SparkSession, sf_dir: str):
-    """k-gram MLP classifier (k=3) over the 50 most frequent tokens + OTHER: accuracy and
-    cross-entropy on the training and held-out positions."""
-    ids, _ = id_split(spark, sf_dir)
-    rows = kgram_rows_arrays(ids, K)
-    _, metrics = lm.fit_mlp(rows, K, MLP_CAP, max_iter=15)
-    return finish(metrics)
+    """k-gram network (k=3) over the whole vocabulary: accuracy and cross-entropy of all training and held-out
+    positions; the network's classes are fitted on a bounded sample of training positions."""
+    ids, v = id_split(spark, sf_dir)
+    rows = kgram_rows_arrays(ids, K).select("split", "ctx_arr", "nxt")
+    model = classlm.fit(rows.where(F.col("split") == "train"), K, v)
+    return finish(classlm.evaluate(classlm.score(model, rows, ["split"]), ["split"]))
