@@ -2,14 +2,17 @@
 
 Token work stays inside array expressions on the document row wherever it can: pairs, k-gram
 windows, chunks and blocks are built from the document's token array, so they need no shuffle.
-The only shuffles are the vocabulary count (pre-aggregated map side) and the regrouping of
-encoded ids per document.
+The only shuffles are the vocabulary count (pre-aggregated map side) and, for ids, one exchange of
+whole documents by block.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.functions import text as tx
 from corpuslab.operators.ranking import broadcast_if_small, exact_rank
@@ -44,6 +47,32 @@ def encode(tok: DataFrame, vocab: DataFrame) -> DataFrame:
     return tok.join(v, "t", "inner")
 
 
+BLOCK_TOKENS = 500_000  # tokens of a block of documents on average
+
+
+def encode_arrays(arr: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(*keep, ids ARRAY<INT>): token arrays written over with their ids, in place. Documents are dealt into blocks by
+    a hash of ``keep``; a block's distinct tokens meet the vocabulary once (a frequent token is one row per block, not
+    one per occurrence), and the block's dictionary goes to its documents, whose arrays never leave their
+    row. Documents without tokens are left out; a token that the vocabulary lacks is dropped, as ``encode`` does."""
+    full = arr.where(F.size("toks") > 0).select(*keep, "toks")
+    total = full.agg(F.sum(F.size("toks").cast("long"))).first()[0] or 0
+    blocks = max(int(arr.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_tokens))
+    dealt = full.withColumn("_b", F.pmod(F.xxhash64(*keep), F.lit(blocks)).cast("int"))
+    words = dealt.select("_b", F.explode(F.array_distinct("toks")).alias("t")).distinct()
+    known = words.join(broadcast_if_small(vocab.select("t", "token_id")), "t").select(F.col("_b").alias("_w"), "t", "token_id")
+
+    def write(docs: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
+        ids = np.r_[dictionary["token_id"].to_numpy(dtype=np.int32), np.int32(0)]  # the last for tokens that are not there
+        ends = np.cumsum([len(x) for x in docs["toks"]])
+        flat = np.concatenate(docs["toks"].to_list()) if len(docs) else np.empty(0, object)
+        row = np.split(ids[pd.Index(dictionary["t"]).get_indexer(flat)], ends[:-1]) if len(docs) else []
+        return docs[list(keep)].assign(ids=pd.Series([x[x > 0] for x in row], index=docs.index, dtype=object))
+
+    schema = T.StructType([*[full.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return dealt.groupBy("_b").cogroup(known.groupBy("_w")).applyInPandas(write, schema).where(F.size("ids") > 0)
+
+
 def id_arrays(tok_ids: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Regroup encoded tokens into one ordered id array per document (group = one document,
     bounded by its length)."""

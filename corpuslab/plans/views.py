@@ -46,8 +46,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_ids(spark: SparkSession, sf_dir: str, voc: DataFrame | None = None) -> DataFrame:
     voc = voc if voc is not None else vocab(spark, sf_dir)
-    # lang/source ride along as grouping keys (functionally dependent on doc_id): no extra join
-    return tt.id_arrays(tt.encode(tok(spark, sf_dir), voc), keys=("doc_id", "lang", "source"))
+    return tt.encode_arrays(doc_tokens(spark, sf_dir), voc, keep=("doc_id", "lang", "source"))
 
 
 def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
