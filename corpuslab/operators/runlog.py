@@ -46,11 +46,25 @@ def global_norm(long_df: DataFrame, by: Sequence[str], vec: str) -> DataFrame:
     return long_df.groupBy(*by).agg(F.sqrt(F.sum(sq)).alias("global_norm"), F.max(mx).alias("max_abs"))
 
 
-def clip_scale(norm: Column, max_norm: float = 1.0, eps: float = 1e-6) -> Column:
+CLIP_EPS = 1e-6  # fixed value
+
+
+def clip_scale(norm: Column, max_norm: float = 1.0, eps: float = CLIP_EPS) -> Column:
     """Clip-by-global-norm factor: min(1, max_norm / (norm + eps))."""
     return F.least(F.lit(1.0), F.lit(max_norm) / (norm + F.lit(eps)))
 
 
+def step_statistics(steps: DataFrame, norm: str, max_norm: float, order: Sequence[str], keys: Sequence[str] = ("run", "epoch")) -> DataFrame:
+    """Gradient norms of an epoch's steps: mean before and after clipping to ``max_norm``, the clipped norm of the last
+    step by ``order`` (a maximum, not a rank), the largest norm and the number of steps. Null norms count for nothing."""
+    raw = F.col(norm).cast("double")
+    known = steps.where(raw.isNotNull())
+    clipped = raw * clip_scale(raw, max_norm)
+    return known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_steps"), F.avg(raw).alias("grad_norm_preclip"), F.avg(clipped).alias("grad_norm_postclip"),
+        F.max_by(clipped, F.struct(*order)).alias("grad_norm"), F.max(raw).alias("max_grad_norm"))
+
+
 def last_epoch(run_epochs: DataFrame, cols: Sequence[str]) -> DataFrame:
     return run_epochs.groupBy("run").agg(F.max_by(F.struct("epoch", *cols), F.col("epoch")).alias("l")).select("run", "l.*")
 

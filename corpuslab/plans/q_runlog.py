@@ -66,6 +66,22 @@ def partial_loss(spark: SparkSession, sf_dir: str):
     return finish(rl.partial_loss(views.steps(spark, sf_dir), PARTIAL_EVERY))
 
 
+MAX_NORM = 20.0
+
+
+@register(
+    "step_statistics",
+    RL + f""", c AS (SELECT *, value * least(1.0::DOUBLE, {MAX_NORM}::DOUBLE / (value + {rl.CLIP_EPS}::DOUBLE)) AS clipped FROM steps WHERE split = 'train')
+SELECT run, epoch, count(*) AS n_steps, round(avg(value), 6) AS grad_norm_preclip, round(avg(clipped), 6) AS grad_norm_postclip,
+       round(arg_max(clipped, step), 6) AS grad_norm, round(max(value), 6) AS max_grad_norm FROM c GROUP BY run, epoch""",
+)
+def step_statistics(spark: SparkSession, sf_dir: str):
+    """Epoch averages of the training steps' norms (an event's value is its step's norm) before and after clipping, and
+    the last step's clipped norm."""
+    st = views.step_rows(spark, sf_dir).where(F.col("split") == "train")
+    return finish(rl.step_statistics(st, "value", MAX_NORM, ["ts", "event_id"]))
+
+
 @register(
     "global_step",
     RL + """SELECT run, epoch, step, row_number() OVER (PARTITION BY run ORDER BY epoch, step) AS global_step

@@ -89,12 +89,12 @@ def cap_steps(spark: SparkSession, sf_dir: str):
 
 
 def _pools(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select(F.col("doc_id").alias("item_id"))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
     b = table(spark, sf_dir, "benchmark").select("item_id")
     return a, b
 
 
-_MIX_SQL = f"""WITH pa AS (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents WHERE lang = 'en'),
+_MIX_SQL = f"""WITH pa AS (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents),
 pb AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM benchmark),
 nn AS (SELECT (SELECT count(*) FROM pa) AS na, (SELECT count(*) FROM pb) AS nb),
 d AS (SELECT range AS draw_id FROM range((SELECT na + nb FROM nn))),
@@ -161,6 +161,26 @@ def grid_sample(spark: SparkSession, sf_dir: str):
     return g.withColumn("_u", draw(SEED, "key")).orderBy("_u", "key").limit(GRID_SAMPLE).select(*GRID_COLS)
 
 
+GRID_PICK = 10  # untried combinations that are started
+
+
+@register(
+    "grid_untried",
+    _GRID_SQL + f""", s AS (SELECT * FROM grid ORDER BY {draw_sql(SEED, _GRID_KEY)}, {_GRID_KEY} LIMIT {GRID_SAMPLE}),
+tried AS (SELECT {", ".join(GRID_COLS)} FROM runs WHERE run % 2 = 0)
+SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM tried t WHERE {" AND ".join(f"t.{c} = s.{c}" for c in GRID_COLS)})
+ORDER BY {draw_sql(SEED, _GRID_KEY)}, {_GRID_KEY} LIMIT {GRID_PICK}""",
+)
+def grid_untried(spark: SparkSession, sf_dir: str):
+    """Random search: of the sampled grid, up to ten combinations that no run has tried yet (the runs with an even
+    number stand for those that are done)."""
+    key = F.concat_ws("_", *[F.col(c).cast("string") for c in GRID_COLS])
+    sample = grid_sample(spark, sf_dir)
+    tried = views.runs(spark, sf_dir).where(F.col("run") % 2 == 0).select(*GRID_COLS)
+    open_ = sample.join(tried, GRID_COLS, "left_anti").withColumn("key", key)
+    return open_.withColumn("_u", draw(SEED, "key")).orderBy("_u", "key").limit(GRID_PICK).select(*GRID_COLS)
+
+
 @register("has_artifact", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def has_artifact(spark: SparkSession, sf_dir: str):
     docs = table(spark, sf_dir, "documents").select("doc_id")

@@ -96,3 +96,15 @@ def test_dedup_columns_first_wins(spark):
     j = a.join(b, a["k"] == b["k"])
     d = rl.dedup_columns(j)
     assert d.columns == ["k", "v"] and d.first()["v"] == "x"
+
+
+def test_step_statistics(spark):
+    from corpuslab.operators import runlog as rl
+
+    rows = [(1, 1, 1, 3.0), (1, 1, 2, 1.0), (1, 1, 3, 8.0), (1, 1, 4, None), (2, 1, 1, 0.5)]
+    df = spark.createDataFrame(rows, "run long, epoch int, step int, norm double")
+    got = {r["run"]: r for r in rl.step_statistics(df, "norm", 2.0, ["step"]).collect()}
+    r = got[1]
+    assert r["n_steps"] == 3 and r["grad_norm_preclip"] == 4.0 and r["max_grad_norm"] == 8.0
+    assert abs(r["grad_norm_postclip"] - 5.0 / 3) < 1e-5 and abs(r["grad_norm"] - 2.0) < 1e-5
+    assert got[2]["grad_norm"] == 0.5 and rl.step_statistics(df.where("run > 5"), "norm", 2.0, ["step"]).count() == 0
