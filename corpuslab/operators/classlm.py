@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.hashing import draw
+from corpuslab.operators.sampling import bounded_sample
 
 FEATURES = 512
 HIDDEN = 32
@@ -75,9 +75,9 @@ def fit(rows: DataFrame, k: int, vocab_size: int, max_iter: int = 30, seed: int
     counted = x.groupBy(*[f"c{i}" for i in range(k)], "cls").agg(F.count(F.lit(1)).alias("m"))
     # positions of one context and class differ in their number only: dealt out by it, drawn by a hash
     dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(sample)))))
-    drawn = dealt.withColumn("_u", draw(seed, *[f"c{i}" for i in range(k)], "cls", "copy")).orderBy("_u", "copy", "cls", *[f"c{i}" for i in range(k)]).limit(sample)
+    drawn = bounded_sample(dealt, sample, seed, [*[f"c{i}" for i in range(k)], "cls", "copy"])
     hasher = FeatureHasher(inputCols=[f"c{i}" for i in range(k)], outputCol="features", numFeatures=features)
-    data = hasher.transform(drawn.drop("_u").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "copy", "c0").withColumn("label", F.col("cls").cast("double")))
+    data = hasher.transform(drawn.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "copy", "c0").withColumn("label", F.col("cls").cast("double")))
     n_classes = rows.sparkSession.range(1).select(token_class(F.lit(max(1, vocab_size)))).first()[0] + 1
     net = MultilayerPerceptronClassifier(layers=[features, HIDDEN, max(2, n_classes)], maxIter=max_iter, seed=seed).fit(data)
     return ClassModel(net, hasher, k, vocab_size, pairs.drop("cls"), after, tokens.drop("cls"), classes)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.ranking import broadcast_if_small
+from corpuslab.operators.sampling import bounded_sample
 from corpuslab.operators.vectors import QUERY_BLOCK, SLICE, TABLE_BLOCK, _best, as_double, cosine_knn
 from corpuslab.session import ensure_checkpoint_dir
 
@@ -139,7 +140,7 @@ def cosine_knn_lsh(queries: DataFrame, table: DataFrame, n: int = 5, target: flo
                    bucket: int = BUCKET, block: int = QUERY_BLOCK, table_block: int = TABLE_BLOCK) -> DataFrame:
     """Cosine top-n neighbours of every query (its own id left out) among the table's rows, by probed buckets:
     (qid, rank, nbr_id, sim, recall). ``recall`` is one value, the share of the exact neighbours of ``AUDIT``
-    queries (those of smallest hash of the id) that were found by the plan used for all of them, at least
+    queries (``bounded_sample`` by a hash of the id) that were found by the plan used for all of them, at least
     ``target``. Ids are unique in each table. Null, zero or non-finite vectors and those whose length is not
     the table's largest have no neighbours; an empty side gives no rows."""
     ensure_checkpoint_dir(queries.sparkSession)
@@ -147,7 +148,7 @@ def cosine_knn_lsh(queries: DataFrame, table: DataFrame, n: int = 5, target: flo
     dim = t.agg(F.max(F.size("tv"))).first()[0] or 0
     q, t = q.where(F.size("qv") == dim), t.where(F.size("tv") == dim)
     plan = start_plan(t.count(), bucket)
-    audit = q.orderBy(F.xxhash64("qid"), "qid").limit(AUDIT).checkpoint(eager=True)
+    audit = bounded_sample(q, AUDIT, plan.seed, ["qid"]).checkpoint(eager=True)
     exact = cosine_knn(audit.select(F.col("qid").alias("id"), F.col("qv").alias("v")), t.select(F.col("nbr_id").alias("id"), F.col("tv").alias("v")),
                        n, id_col="id", vec_col="v", block=block, table_block=table_block).select("qid", "nbr_id").checkpoint(eager=True)
     owed = exact.count()

@@ -45,6 +45,12 @@ def split_exact(df: DataFrame, frac: float, seed, key: str = "doc_id", flag: str
     return df.withColumn(flag, split_column(df, frac, seed, key))
 
 
+def bounded_sample(df: DataFrame, n: int, seed, keys: list[str]) -> DataFrame:
+    """At most ``n`` rows, those of smallest (u(seed, keys), keys): what a model is fitted on or a recall measured with.
+    Results that must hold for all rows are never taken from it."""
+    return df.withColumn("_u", draw(seed, *keys)).orderBy("_u", *keys).limit(n).drop("_u")
+
+
 def shuffle_rank(df: DataFrame, seed, epoch_col: str, key: str, name: str = "rank") -> DataFrame:
     """Epoch shuffle: position of every row in the order of md5(seed|epoch|key), per epoch."""
     keyed = df.withColumn("_u", draw(seed, epoch_col, key))
