@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import draw
 from corpuslab.operators.ranking import broadcast_if_small, exact_rank, running_total
-from corpuslab.session import ensure_checkpoint_dir
+from corpuslab.session import written
 
 EDGE = 1e-9  # share of the whole mass by which a sum may miss the nucleus cut through rounding
 TIE = 9  # decimals to which a prompt's logits are compared
@@ -110,9 +110,8 @@ def draw_from(kept: DataFrame, seed, by: str = "ctx", key: Column | None = None,
 def rank_table(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What prompts look up: (ctx, logit, nxt, r), every candidate with its rank inside its level, and
     (ctx, logit, k), the levels. Both are written once to the shared folder."""
-    ensure_checkpoint_dir(cands.sparkSession)
-    ranks = exact_rank(cands, ["nxt"], partition_by=("ctx", "logit"), name="r").select("ctx", "logit", "nxt", "r").checkpoint(eager=True)
-    return ranks, ranks.groupBy("ctx", "logit").agg(F.count(F.lit(1)).alias("k")).checkpoint(eager=True)
+    ranks = written(exact_rank(cands, ["nxt"], partition_by=("ctx", "logit"), name="r").select("ctx", "logit", "nxt", "r"))
+    return ranks, written(ranks.groupBy("ctx", "logit").agg(F.count(F.lit(1)).alias("k")))
 
 
 def unseen_levels(state: DataFrame, levels: DataFrame, hits: DataFrame) -> DataFrame:
@@ -136,7 +135,7 @@ def _sampled(state: DataFrame, ranks: DataFrame, known: DataFrame, levels: DataF
     under its penalised logit. Order: logit to TIE decimals descending, unseen before seen, smaller token first."""
     if seen is None or penalty == 1.0:
         seen = state.select("pid", F.lit(None).cast("int").alias("token")).where("false")
-    hits = seen.join(state, "pid").join(known, ["ctx", "token"]).select("pid", "ctx", "logit", "token", "r")
+    hits = seen.join(state, "pid").join(known, ["ctx", "token"]).select("pid", "ctx", "logit", "token", "r").distinct()
     none = F.array().cast("array<bigint>")
     base = unseen_levels(state, levels, hits).select("pid", "ctx", F.col("logit").alias("own"), "logit", F.lit(0).alias("pen"), F.lit(None).cast("int").alias("token"), "k", "gone")
     single = hits.select("pid", "ctx", F.col("logit").alias("own"), repetition_penalty(F.col("logit"), F.lit(True), penalty).alias("logit"), F.lit(1).alias("pen"), "token", F.lit(1).cast("bigint").alias("k"), none.alias("gone"))
@@ -161,6 +160,17 @@ def _sampled(state: DataFrame, ranks: DataFrame, known: DataFrame, levels: DataF
     return places.join(ranks, ["ctx", "logit", "r"], "left").select("pid", F.coalesce("token", "nxt").alias("token"))
 
 
+def past_tokens(state: DataFrame, past: DataFrame, context: int | None) -> DataFrame:
+    """(pid, token) that a prompt holds by now, of its text and of ``made``; with ``context`` of its last so many
+    tokens only. A token may come twice."""
+    made = state.select("pid", "made", F.posexplode("made").alias("at", "token"))
+    if context is None:
+        return past.select("pid", "token").unionByName(made.select("pid", "token"))
+    start = F.size("made") - F.lit(context)
+    own = past.join(state.select("pid", "length", "made"), "pid").where(F.col("pos") > F.col("length") + start)
+    return own.select("pid", "token").unionByName(made.where(F.col("at") >= start).select("pid", "token"))
+
+
 def generate(
     prompts: DataFrame,
     cands: DataFrame,
@@ -180,37 +190,30 @@ def generate(
     keyed draw; top_p >= 1 keeps the whole distribution, and with temperature 0 takes the argmax of the
     penalised logits. With ``context`` only the last so many tokens count as past: ``past`` then needs the token's
     last position ``pos`` (from 1) and prompts their ``length``. A context without continuations falls
-    back to ``fallback``. The candidates are evaluated once; every step's output (one row per prompt) is
-    checkpointed to the shared folder, so lineage never grows. Returns (pid, step, token)."""
-    spark = prompts.sparkSession
-    ensure_checkpoint_dir(spark)
+    back to ``fallback``. The candidates are evaluated once; every step's state (one row per prompt, with the tokens
+    ``made`` so far) is written to the shared folder, so neither lineage nor the plan of a step grows. Returns
+    (pid, step, token)."""
     if mode == "greedy":
-        table = broadcast_if_small(greedy(cands).withColumnRenamed("nxt", "tok").checkpoint(eager=True))
+        table = broadcast_if_small(written(greedy(cands).withColumnRenamed("nxt", "tok")))
     elif temperature == 0 and top_p < 1.0:
         raise ValueError("temperature 0 with top_p < 1 is undefined (division by zero)")
     else:
         ranks, levels = rank_table(cands)
         # a logit of 0 stays 0 under the penalty: these successors need not be told apart
         known = broadcast_if_small(ranks.where("logit <> 0").withColumnRenamed("nxt", "token"))
-    prompts = prompts.checkpoint(eager=True)
-    state, out = prompts.select("pid", "ctx"), None
-    seen = past.checkpoint(eager=True) if past is not None and mode != "greedy" else None
+    length = ["length"] if mode != "greedy" and past is not None and context is not None else []
+    state = written(prompts.select("pid", "ctx", *length, F.array().cast("array<int>").alias("made")))
+    if past is not None:
+        past = written(past) if mode != "greedy" and penalty != 1.0 else None
     for step in range(1, steps + 1):
         if mode == "greedy":
-            chosen = state.join(table, "ctx", "left").select("pid", F.col("tok").alias("token"))
+            chosen = state.select("pid", "ctx").join(table, "ctx", "left").select("pid", F.col("tok").alias("token"))
         else:
-            now = seen
-            if now is not None and context is not None:
-                now = now.join(prompts.select("pid", "length"), "pid").where(F.col("pos") > F.col("length") + F.lit(step - 1 - context))
-            now = now.select("pid", "token").distinct() if now is not None else None
-            u = draw(seed, F.concat_ws("|", F.col("pid").cast("string"), F.lit(step)))
-            chosen = state.select("pid").join(_sampled(state, ranks, known, levels, now, top_p, temperature, penalty, u), "pid", "left")
-        chosen = chosen.select("pid", F.coalesce("token", F.lit(fallback)).alias("token"), F.lit(step).alias("step")).checkpoint(eager=True)
-        out = chosen if out is None else out.unionByName(chosen)
-        state = chosen.select("pid", F.col("token").alias("ctx"))
-        if seen is not None:
-            new = chosen.select("pid", "token")
-            if context is not None:
-                new = chosen.join(prompts.select("pid", "length"), "pid").select("pid", "token", (F.col("length") + step).alias("pos"))
-            seen = seen.select(*new.columns).unionByName(new)
-    return out
+            seen = past_tokens(state, past, context) if past is not None else None
+            # the step enters as a string, which keeps the generated code of all steps the same
+            u = draw(seed, F.concat_ws("|", F.col("pid").cast("string"), F.lit(str(step))))
+            chosen = _sampled(state.select("pid", "ctx"), ranks, known, levels, seen, top_p, temperature, penalty, u)
+        token = F.coalesce("token", F.lit(fallback)).cast("int")
+        moved = state.drop("ctx").join(chosen, "pid", "left").withColumn("token", token)
+        state = written(moved.select("pid", F.col("token").alias("ctx"), *length, F.concat("made", F.array("token")).alias("made")))
+    return state.select("pid", F.posexplode("made").alias("at", "token")).select("pid", F.col("token"), (F.col("at") + 1).alias("step"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Measured bytes above which a dimension-like side is no longer broadcast.
 BROADCAST_MAX_BYTES = 64 << 20
@@ -46,3 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="corpuslab-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder and read again. It cuts lineage as ``checkpoint()`` does, but
+    its size is that of its files: a checkpoint keeps the estimate of its plan, and in a loop that joins its state
+    several times this estimate (a product of sizes, without limit) soon takes longer than the work."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
