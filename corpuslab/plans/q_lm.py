@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as tx
 from corpuslab.operators import classlm
 from corpuslab.operators import kgram as lm
+from corpuslab.operators import scorer
 from corpuslab.operators.sampling import split_column
 from corpuslab.plans import sql as q
 from corpuslab.plans import views
@@ -190,6 +191,22 @@ def lm_eval(spark: SparkSession, sf_dir: str):
     return finish(lm.evaluate(_kg_scored(spark, sf_dir, [])).select("tokens", "cross_entropy", "perplexity", "accuracy"), perplexity=2)
 
 
+@register(
+    "scorer_counts",
+    _KG_MODEL_SQL + "SELECT doc_id, count(*) AS tokens, round(avg(nll), 6) AS loss FROM sc GROUP BY doc_id",
+)
+def scorer_counts(spark: SparkSession, sf_dir: str):
+    """The scores of ``kgram_score`` through the pluggable scorer: the count table stays a table, each distinct
+    held-out (context, next) is scored once in the slice that holds its counts."""
+    ids, v = id_split(spark, sf_dir)
+    rows = kgram_rows(ids, K)
+    counts = lm.fit_counts(rows.where(F.col("split") == "train"))
+    held = rows.where(F.col("split") == "val").groupBy("doc_id", "ctx", "nxt").agg(F.count(F.lit(1)).alias("m"))
+    held = held.join(lm.context_table(counts).select("ctx", "C"), "ctx", "left")
+    s = scorer.score_keyed(held, counts, ["ctx", "nxt"], scorer.CountScorer(v, ALPHA))
+    return finish(s.groupBy("doc_id").agg(F.sum("m").alias("tokens"), (F.sum(F.col("m") * F.col("nll")) / F.sum("m")).alias("loss")))
+
+
 _ALL_PAIRS_SQL = _BIGRAM_SQL.replace("{train}", "true").replace("{held}", "true")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import stats as st
 from corpuslab.operators.frontier import skyline as skyline_nd
+from corpuslab.operators.scorer import TreeScorer, score_rows
 from corpuslab.plans import sql as q
 from corpuslab.plans import views
 from corpuslab.plans.catalog import finish, register
@@ -342,3 +343,10 @@ def tree_attribution(spark: SparkSession, sf_dir: str):
     """Exact path-dependent Shapley values of the boosted-tree model per run and feature, with prediction and base."""
     r, model = _gbt(spark, sf_dir)
     return finish(st.tree_attribution(r, model, GBT_FEATURES, "run"))
+
+
+@register("scorer_trees")
+def scorer_trees(spark: SparkSession, sf_dir: str):
+    """Predictions of the boosted-tree model per run through the pluggable scorer (numpy over Arrow batches)."""
+    r, model = _gbt(spark, sf_dir)
+    return finish(score_rows(r, TreeScorer(model, GBT_FEATURES), ["run", "val_loss"]))
