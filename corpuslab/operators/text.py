@@ -160,6 +160,24 @@ def pad_waste(padded: DataFrame, batch_col: str = "batch_id", arr_col: str = "id
     ).withColumn("pad_fraction", F.col("pad_cells") / F.col("cells"))
 
 
+def padded_pairs(seqs: DataFrame, batch_col: str = "batch_id", arr_col: str = "ids", pad: int = 0) -> DataFrame:
+    """(ctx, nxt, n): next-token pairs of sequences padded to their batch's longest one, pads included. The pads
+    are counted, not written: a sequence's last token meets a pad once, pads meet pads in the rest. Batch lengths
+    come from a grouped maximum, so arrays are not exchanged."""
+    size = F.size(arr_col)
+    longest = seqs.groupBy(batch_col).agg(F.max(size).alias("_max"))
+    tail = seqs.where(size > 0).select(batch_col, F.element_at(arr_col, -1).alias("last"), size.alias("len"))
+    tail = tail.unionByName(seqs.where(size == 0).select(batch_col, F.lit(None).cast("int").alias("last"), size.alias("len")))
+    gaps = tail.join(longest, batch_col).select("last", (F.col("_max") - F.greatest("len", F.lit(1))).cast("bigint").alias("gap")).where("gap > 0")
+    # of an empty sequence every pair is of pads
+    per_last = gaps.groupBy("last").agg(F.count(F.lit(1)).alias("rows"), F.sum("gap").alias("gap"))
+    ends = per_last.where("last is not null").select(F.col("last").alias("ctx"), F.lit(pad).alias("nxt"), F.col("rows").alias("n"))
+    pads = per_last.select(F.lit(pad).alias("ctx"), F.lit(pad).alias("nxt"), (F.col("gap") - F.when(F.col("last").isNull(), F.lit(0)).otherwise(F.col("rows"))).alias("n"))
+    at = F.sequence(F.lit(1), size - 1)
+    real = seqs.where(size > 1).select(F.explode(F.transform(at, lambda i: F.struct(F.col(arr_col)[i - 1].alias("ctx"), F.col(arr_col)[i].alias("nxt")))).alias("p")).select("p.*", F.lit(1).cast("bigint").alias("n"))
+    return real.unionByName(ends).unionByName(pads).groupBy("ctx", "nxt").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def corpus_stats(arrays: DataFrame, by: str = "source", arr_col: str = "toks") -> DataFrame:
     """Sequences, tokens, longest sequence and distinct tokens per source."""
     per_seq = arrays.groupBy(by).agg(

@@ -299,6 +299,59 @@ def lm_sweep(spark: SparkSession, sf_dir: str):
     return finish(ev.select(F.col("k").cast("int").alias("k"), "alpha", "tokens", "loss", "perplexity", "best"), perplexity=2)
 
 
+SWEEP_BLOCKS = [16, 64]
+
+
+def _sweep_blocks_sql() -> str:
+    def lags(k: int, block: int) -> str:
+        return "concat_ws(',', " + ", ".join(f"CASE WHEN (pos - 1) % {block} >= {j} THEN coalesce(lag(token_id, {j}) OVER w, 0) ELSE 0 END" for j in range(k - 1, -1, -1)) + ")"
+
+    grid = [(k, b) for k in SWEEP_K for b in SWEEP_BLOCKS]
+    cols = ", ".join(f"{lags(k, b)} AS ctx_{k}_{b}" for k, b in grid)
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, {b} AS block, ctx_{k}_{b} AS ctx, nxt, split FROM kg WHERE pos % {b} <> 0" for k, b in grid)
+    alphas = ", ".join(f"{a}::DOUBLE" for a in SWEEP_ALPHA)
+    return q.with_(q.DOC_TOKS, q.TOK, q.VOCAB, q.split(SEED, VAL_FRAC)) + f""", tok_ids AS (SELECT tok.doc_id, tok.pos, vocab.token_id FROM tok JOIN vocab USING (t)),
+kg AS (SELECT g.*, s.split FROM (SELECT doc_id, pos, {cols}, lead(token_id) OVER w AS nxt FROM tok_ids
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) g JOIN split_t s USING (doc_id) WHERE nxt IS NOT NULL),
+kl AS ({rows}),
+cnt AS (SELECT k, block, ctx, nxt, count(*) AS n FROM kl WHERE split = 'train' GROUP BY ALL),
+tot AS (SELECT k, block, ctx, sum(n) AS C FROM cnt GROUP BY ALL),
+ho AS (SELECT kl.k, kl.block, coalesce(cnt.n, 0) AS n, coalesce(tot.C, 0) AS C FROM kl
+       LEFT JOIN cnt ON cnt.k = kl.k AND cnt.block = kl.block AND cnt.ctx = kl.ctx AND cnt.nxt = kl.nxt
+       LEFT JOIN tot ON tot.k = kl.k AND tot.block = kl.block AND tot.ctx = kl.ctx WHERE kl.split = 'val'),
+ev AS (SELECT k, block, alpha, count(*) AS tokens, avg(-ln((n + alpha) / (C + alpha * (SELECT count(*) FROM vocab)))) AS loss
+       FROM ho, (SELECT unnest([{alphas}]) AS alpha) a GROUP BY k, block, alpha)
+SELECT CAST(k AS INTEGER) AS k, CAST(block AS INTEGER) AS block, alpha, tokens, round(loss, 6) AS loss, round(exp(loss), 2) AS perplexity,
+       row_number() OVER (ORDER BY loss, k, block, alpha) = 1 AS best FROM ev"""
+
+
+@register("lm_sweep_blocks", _sweep_blocks_sql())
+def lm_sweep_blocks(spark: SparkSession, sf_dir: str):
+    """Every (k, block, alpha) of a grid fitted and evaluated on one scan: whole documents are cut into blocks, a
+    context reaches no further back than its block (0 before it) and a block's last token predicts nothing."""
+    ids, v = id_split(spark, sf_dir)
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("block")) for k in SWEEP_K for b in SWEEP_BLOCKS])
+    rows = kgram_rows_arrays(ids, max(SWEEP_K)).select("split", "pos", "nxt", "ctx_arr", F.explode(grid).alias("g"))
+    rows = rows.select("split", "pos", "nxt", "ctx_arr", "g.k", "g.block").where(F.col("pos") % F.col("block") != 0)
+    back = F.lit(max(SWEEP_K) - 1)  # the array's last entry is the token at pos
+    inside = F.transform("ctx_arr", lambda x, i: F.when((F.col("pos") - 1) % F.col("block") >= back - i, x).otherwise(F.lit(0)))
+    ctx = tx.ids_string(F.slice(inside, F.lit(max(SWEEP_K) + 1) - F.col("k"), F.col("k")))
+    keys = ["k", "block", "ctx", "nxt"]
+    pairs = rows.select("split", "k", "block", ctx.alias("ctx"), "nxt").groupBy("split", *keys).agg(F.count(F.lit(1)).alias("m"))
+    pairs = pairs.checkpoint(eager=True)
+    cnt = pairs.where(F.col("split") == "train").select(*keys, F.col("m").alias("n"))
+    tot = cnt.groupBy("k", "block", "ctx").agg(F.sum("n").alias("C"))
+    held = pairs.where(F.col("split") == "val").select(*keys, "m")
+    s = held.join(cnt, keys, "left").join(tot, keys[:3], "left").na.fill(0, ["n", "C"])
+    s = s.select("k", "block", "m", "n", "C", F.explode(F.array(*[F.lit(a) for a in SWEEP_ALPHA])).alias("alpha"))
+    nll = -F.log((F.col("n") + F.col("alpha")) / (F.col("C") + F.col("alpha") * F.lit(float(v))))
+    ev = s.groupBy("k", "block", "alpha").agg(F.sum("m").alias("tokens"), (F.sum(F.col("m") * nll) / F.sum("m")).alias("loss"))
+    ev = ev.withColumn("perplexity", F.exp("loss")).checkpoint(eager=True)  # one row a grid point
+    top = ev.orderBy("loss", "k", "block", "alpha").first()
+    best = (F.col("k") == top["k"]) & (F.col("block") == top["block"]) & (F.col("alpha") == top["alpha"]) if top else F.lit(False)
+    return finish(ev.select("k", "block", "alpha", "tokens", "loss", "perplexity", best.alias("best")), perplexity=2)
+
+
 @register(
     "ppmi",
     q.with_(q.DOC_TOKS, q.PAIRS) + """, pc AS (SELECT t AS a, nxt AS b, count(*) AS n_ab FROM pairs GROUP BY ALL),

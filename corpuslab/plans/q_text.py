@@ -144,6 +144,28 @@ def pad_waste(spark: SparkSession, sf_dir: str):
     return finish(tt.pad_waste(tt.pad_batches(_batched(spark, sf_dir))))
 
 
+@register(
+    "cross_entropy_padded",
+    _BATCH_SQL
+    + """, seq AS (SELECT pad.doc_id, list_concat(ids, list_resize([]::INTEGER[], max_len - n_tokens, 0)) AS s FROM pad JOIN doc_ids USING (doc_id)),
+pr AS (SELECT unnest(s[:-2]) AS ctx, unnest(s[2:]) AS nxt FROM seq WHERE len(s) > 1),
+cnt AS (SELECT ctx, nxt, count(*) AS n FROM pr GROUP BY ALL), tot AS (SELECT ctx, sum(n) AS C FROM cnt GROUP BY ctx),
+sc AS (SELECT n, nxt, -ln((n + 1.0::DOUBLE) / (C + 1.0::DOUBLE + (SELECT count(*) FROM vocab))) AS nll FROM cnt JOIN tot USING (ctx))
+SELECT CAST(sum(n) AS BIGINT) AS tokens, CAST(coalesce(sum(n) FILTER (WHERE nxt = 0), 0) AS BIGINT) AS pad_tokens, round(sum(n * nll) / sum(n), 6) AS cross_entropy,
+       round(exp(sum(n * nll) / sum(n)), 2) AS perplexity FROM sc""",
+)
+def cross_entropy_padded(spark: SparkSession, sf_dir: str):
+    """Next-token cross-entropy with padding positions included: batches of shuffled whole documents padded to
+    their longest one, the pad (0) as a token like others, add-one bigram model over all pairs."""
+    counts = tt.padded_pairs(_batched(spark, sf_dir)).checkpoint(eager=True)
+    v = views.vocab(spark, sf_dir).count() + 1
+    s = counts.join(counts.groupBy("ctx").agg(F.sum("n").alias("C")), "ctx")
+    nll = -F.log((F.col("n") + F.lit(1.0)) / (F.col("C") + F.lit(float(v))))
+    e = s.agg(F.sum("n").cast("bigint").alias("tokens"), F.coalesce(F.sum(F.when(F.col("nxt") == 0, F.col("n"))), F.lit(0)).cast("bigint").alias("pad_tokens"),
+              (F.sum(F.col("n") * nll) / F.sum("n")).alias("cross_entropy"))
+    return finish(e.withColumn("perplexity", F.exp("cross_entropy")), perplexity=2)
+
+
 @register(
     "corpus_stats",
     q.with_(q.DOC_TOKS)
