@@ -11,7 +11,9 @@ looks like the validated data. They are fitted on a bounded sample: about ``SAMP
 with a digit or an at sign, chosen by a hash of id and text.
 
 Offsets are code points, end exclusive. Matches are found by ``regexp_extract_all`` and placed by the
-lengths of the pieces that ``split`` leaves between them.
+lengths of the pieces that ``split`` leaves between them. The context of a candidate is the piece before it with
+the match before that, and the piece after it. Long lists of spans are worked in blocks of ``BLOCK``: running
+sums, overlaps and redaction never copy or scan a text's whole list, or the whole text, for one span.
 
 Defined results: null or empty text: no spans and the hash of the empty string; redaction keeps null.
 Null ids and repeated rows are rows like others. An empty table: no rows. Extra columns are kept by
@@ -46,25 +48,44 @@ WIDE = (
 _NEED = ("instr({t}, '@') > 0", "{t} rlike '[0-9][.][0-9]'", "{t} rlike '[0-9]'", "instr({t}, '+') > 0")
 _WIDE_NEED = ("instr({t}, '@') > 0 or {t} rlike '[(\\\\[]at[)\\\\]]'", "{t} rlike '[0-9]'")
 _SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
+_NEAR = "array<struct<start:int,kind:int,end:int,text:string,before:string,after:string>>"
+BLOCK = 256
 _CUES = "(?i)mail|phone|tel|call|mobile|fax|card|visa|account|ip|host|server|contact|write"
 FEATURES = ("kind", "n", "digits", "dots", "blanks", "dashes", "brackets", "plus", "at", "letters", "runs", "longest", "cue", "glued_before", "glued_after", "quote_before")
 
 
-def _placed(m: str, g: str, kind: str) -> str:
-    """Spans of the matches m between the pieces g."""
-    start = f"acc.at + length({g}[i - 1])"
-    end = f"{start} + length({m}[i - 1])"
-    return (f"CASE WHEN coalesce(size({m}), 0) = 0 THEN cast(array() as {_SPAN}) ELSE aggregate(sequence(1, size({m})), "
-            f"struct(0 as at, cast(array() as {_SPAN}) as out), (acc, i) -> struct({end} as at, concat(acc.out, array(struct("
-            f"{start} as start, {kind.format(x=f'{m}[i - 1]')} as kind, {end} as end, {m}[i - 1] as text))) as out), acc -> acc.out) END")
+def _blocks(n: str) -> str:
+    """Numbers from 0 of the blocks of n > 0 entries."""
+    return f"sequence(0, cast(({n} - 1) div {BLOCK} as int))"
 
 
-def _find(df: DataFrame, patterns, needs, kinds, text: str, name: str) -> DataFrame:
+def _running(lens: str, n: str) -> str:
+    """Sums of all entries before each of the n > 0 entries of ``lens``, block by block."""
+    append = "(acc, x) -> concat(acc, array(element_at(acc, -1) + x))"
+    cut = f"transform({_blocks(n)}, b -> slice({lens}, b * {BLOCK} + 1, {BLOCK}))"
+    return (f"aggregate(array({cut}), array(0), (_, blocks) -> flatten(zip_with(slice(aggregate(transform(blocks, x -> aggregate(x, 0, (sum, y) -> sum + y)), "
+            f"array(0), {append}), 1, size(blocks)), blocks, (at, x) -> slice(aggregate(x, array(at), {append}), 1, size(x)))))")
+
+
+def _placed(m: str, g: str, kind: str, context: bool) -> str:
+    """Spans of the matches m between the pieces g, with ``context`` also the text around them."""
+    n = f"size({m})"
+    lens = f"zip_with(slice({g}, 1, {n}), {m}, (x, y) -> length(x) + length(y))"
+    near = (f", concat(array(''), slice({m}, 1, {n} - 1)), slice({g}, 2, {n}), concat(slice({m}, 2, {n}), array(''))" if context else "")
+    zipped = f"arrays_zip({_running('lens', n)}, slice({g}, 1, {n}), slice({m}, 1, {n}){near})"
+    around = ", right(concat(z.`3`, z.`1`), 24) as before, left(concat(z.`4`, z.`5`), 1) as after" if context else ""
+    span = f"struct(z.`0` + length(z.`1`) as start, {kind.format(x='z.`2`')} as kind, z.`0` + length(z.`1`) + length(z.`2`) as end, z.`2` as text{around})"
+    none = f"cast(array() as {_NEAR if context else _SPAN})"
+    # the lambda of aggregate holds the lengths, so that they are evaluated once
+    return f"CASE WHEN coalesce({n}, 0) = 0 THEN {none} ELSE aggregate(array({lens}), {none}, (_, lens) -> transform({zipped}, z -> {span})) END"
+
+
+def _find(df: DataFrame, patterns, needs, kinds, text: str, name: str, context: bool = False) -> DataFrame:
     for i, (p, need) in enumerate(zip(patterns, needs)):
         need = F.expr(need.format(t=f"`{text}`"))
         df = df.withColumns({f"_m{i}": F.when(need, F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))),
                              f"_g{i}": F.when(need, F.split(F.col(text), p, -1))})
-    found = df.withColumn(name, F.expr("concat(" + ", ".join(_placed(f"_m{i}", f"_g{i}", k) for i, k in enumerate(kinds)) + ")"))
+    found = df.withColumn(name, F.expr("concat(" + ", ".join(_placed(f"_m{i}", f"_g{i}", k, context) for i, k in enumerate(kinds)) + ")"))
     return found.drop(*[f"_{x}{i}" for i in range(len(patterns)) for x in "mg"])
 
 
@@ -86,23 +107,28 @@ def candidates(docs: DataFrame, text_col="text") -> DataFrame:
     """``docs`` (with ``_base``) with ``_wide``: candidates with their features."""
     digits = "length(regexp_replace({x}, '[^0-9]', ''))"
     number = f"CASE WHEN {{x}} rlike '^[0-9]+([.][0-9]+){{{{3}}}}$' THEN 1 WHEN {digits} >= 13 and instr({{x}}, '+') = 0 THEN 2 ELSE 3 END"
-    found = _find(docs, WIDE, _WIDE_NEED, ("0", number), text_col, "_found")
-    t = f"`{text_col}`"
+    found = _find(docs, WIDE, _WIDE_NEED, ("0", number), text_col, "_found", context=True)
 
     def count(chars: str) -> str:
         return f"double(length(s.text) - length(regexp_replace(s.text, '[{chars}]', '')))"
 
-    before = f"substring({t}, greatest(s.start - 23, 1), least(s.start, 24))"
     features = {"kind": "double(s.kind)", "n": "double(length(s.text))", "digits": count("0-9"), "dots": count("."), "blanks": count("\\\\x20"),
                 "dashes": count("-"), "brackets": count("()"), "plus": count("+"), "at": count("@"), "letters": count("A-Za-z"),
                 "runs": "double(size(split(s.text, '[^0-9A-Za-z]+')))", "longest": "double(array_max(transform(split(s.text, '[^0-9A-Za-z]+'), p -> length(p))))",
-                "cue": f"double({before} rlike '{_CUES}')", "glued_before": f"double({before} rlike '[0-9A-Za-z_]$')",
-                "glued_after": f"double(substring({t}, s.end + 1, 1) rlike '[0-9A-Za-z_]')", "quote_before": f"double({before} rlike '[=\"]\\\\s*$')"}
+                "cue": f"double(s.before rlike '{_CUES}')", "glued_before": "double(s.before rlike '[0-9A-Za-z_]$')",
+                "glued_after": "double(s.after rlike '[0-9A-Za-z_]')", "quote_before": "double(s.before rlike '[=\"]\\\\s*$')"}
     x = ", ".join(f"{features[k]} as {k}" for k in FEATURES)
     few = "filter(_found, s -> s.kind = 0 or length(regexp_replace(s.text, '[^0-9]', '')) >= 7)"
-    wide = (f"transform({few}, s -> struct(s.start as start, s.kind as kind_no, s.end as end, s.text as text, "
-            f"exists(_base, b -> b.start < s.end and s.start < b.end) as taken, exists(_base, b -> b.kind = s.kind and b.start = s.start and b.end = s.end) as base, struct({x}) as f))")
-    return found.withColumn("_wide", F.expr(wide)).drop("_found")
+    # a candidate looks into the blocks of base spans that reach it, not at all of them
+    group = f"slice(_base, b * {BLOCK} + 1, {BLOCK})"
+    groups = (f"CASE WHEN size(_base) = 0 THEN array() ELSE transform({_blocks('size(_base)')}, b -> struct({group} as spans, "
+              f"array_min(transform({group}, x -> x.start)) as start, array_max(transform({group}, x -> x.end)) as end)) END")
+    near = "filter(groups, g -> g.start < s.end and s.start < g.end)"
+    wide = (f"aggregate(array({groups}), cast(null as {{type}}), (_, groups) -> transform({few}, s -> struct(s.start as start, s.kind as kind_no, s.end as end, s.text as text, "
+            f"exists({near}, g -> exists(g.spans, b -> b.start < s.end and s.start < b.end)) as taken, "
+            f"exists({near}, g -> exists(g.spans, b -> b.kind = s.kind and b.start = s.start and b.end = s.end)) as base, struct({x}) as f)))")
+    kinds = ",".join(f"{k}:double" for k in FEATURES)
+    return found.withColumn("_wide", F.expr(wide.format(type=f"array<struct<start:int,kind_no:int,end:int,text:string,taken:boolean,base:boolean,f:struct<{kinds}>>>"))).drop("_found")
 
 
 def _tree_sql(node) -> str:
@@ -154,7 +180,7 @@ def find_spans(docs: DataFrame, model, text_col="text") -> DataFrame:
     df = candidates(df, text_col)
     cut = "CASE w.kind_no " + " ".join(f"WHEN {k} THEN {v!r}D" for k, v in cuts.items()) + " ELSE 2D END"
     added = f"transform(filter(_wide, w -> not w.taken and {score} >= {cut}), w -> struct(w.start as start, w.kind_no as kind, w.end as end, w.text as text))"
-    return df.withColumn("_spans", F.expr(f"array_sort(array_distinct(concat(_base, {added})))")).drop("_wide")
+    return df.withColumn("_spans", F.expr(f"array_sort(concat(_base, {added}))")).drop("_wide")
 
 
 def _listed(spans: str) -> str:
@@ -172,10 +198,15 @@ def redact(docs: DataFrame, model, text_col="text") -> DataFrame:
     """``docs`` with every span (overlapping ones together) replaced by its kind in brackets."""
     marks = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     t = f"`{text_col}`"
-    parts = (f"aggregate(_spans, struct(0 as at, cast(array() as array<string>) as out), (acc, s) -> CASE WHEN s.end <= acc.at THEN acc "
-             f"WHEN s.start < acc.at THEN struct(s.end as at, acc.out as out) "
-             f"ELSE struct(s.end as at, concat(acc.out, array(substring({t}, acc.at + 1, s.start - acc.at), {marks}[s.kind])) as out) END, "
-             f"acc -> concat(array_join(acc.out, ''), substring({t}, acc.at + 1)))")
+    # each block of spans works on its own piece of the text, from the furthest end before it
+    ends = (f"aggregate(transform({_blocks('size(_spans)')}, b -> array_max(transform(slice(_spans, b * {BLOCK} + 1, {BLOCK}), s -> s.end))), array(0), "
+            "(acc, x) -> concat(acc, array(greatest(element_at(acc, -1), x))))")
+    piece = (f"transform({_blocks('size(_spans)')}, b -> struct(ends[b] as at, substring({t}, ends[b] + 1, ends[b + 1] - ends[b]) as text, "
+             f"slice(_spans, b * {BLOCK} + 1, {BLOCK}) as spans))")
+    marked = (f"aggregate(p.spans, struct(p.at as at, cast(array() as array<string>) as out), (acc, s) -> CASE WHEN s.end <= acc.at THEN acc "
+              f"WHEN s.start < acc.at THEN struct(s.end as at, acc.out as out) "
+              f"ELSE struct(s.end as at, concat(acc.out, array(substring(p.text, acc.at - p.at + 1, s.start - acc.at), {marks}[s.kind])) as out) END, acc -> array_join(acc.out, ''))")
+    parts = f"aggregate(array({ends}), '', (_, ends) -> concat(array_join(transform({piece}, p -> {marked}), ''), substring({t}, element_at(ends, -1) + 1)))"
     rows, names = c.shielded(docs, (text_col,))
     found = find_spans(rows, model, text_col)
     safe = found.withColumn(text_col, F.when(F.size("_spans") > 0, F.expr(parts)).otherwise(F.col(text_col)))

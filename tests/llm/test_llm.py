@@ -316,3 +316,26 @@ def test_mixing_oracle(spark):
     from oracle_check import check
 
     assert check(spark, ["op8_mixing"], SF, verbose=False) == {"op8_mixing": "OK"}
+
+
+def test_pii_many_matches(spark):
+    """Spans beyond several blocks, overlapping ones too, equal the base rules and a plain redaction."""
+    rng = random.Random(6)
+    bits = ["é 😀", "x.y@z.de", "10.0.0.{}", "4111 1111 1111 1111", "+49 30 55{}", "no {}", "+1 (555) 123-4567.", "a@b.c.d@e.f", "\n\n"]
+    texts = [(i, " ".join(rng.choice(bits).format(rng.randint(1000, 99999)) for _ in range(n))) for i, n in enumerate((0, 1, 255, 256, 257, 513, 3000))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    everything = ("0.95D", {k: 0.5 for k in range(4)})  # a model that takes every candidate
+    base = {r[0]: tuple(r)[1:6] for r in pii.report(docs, None).collect()}
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.report(docs, everything).collect()}
+    redacted = {r.doc_id: r.text for r in pii.redact(docs, everything).collect()}
+    for i, text in texts:
+        assert base[i] == brute.personal(text)
+        out, at = [], 0
+        for kind, start, end in sorted(((k, int(a), int(b)) for k, a, b in spans[i]), key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2])):
+            if end <= at:
+                continue
+            if start >= at:
+                out += [text[at:start], f"[{kind.upper()}]"]
+            at = end
+        assert redacted[i] == "".join(out) + text[at:]
+    assert sum(base[6][:4]) > 2 * pii.BLOCK
