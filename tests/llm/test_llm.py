@@ -339,3 +339,16 @@ def test_pii_many_matches(spark):
             at = end
         assert redacted[i] == "".join(out) + text[at:]
     assert sum(base[6][:4]) > 2 * pii.BLOCK
+
+
+def test_pii_thresholds_come_from_spans_that_no_rule_finds(spark):
+    """Labels are disguised spans among the candidates that can be added; the model finds such spans elsewhere."""
+    some = spark.createDataFrame([("1", "mail a@b.cd, card 4111 1111 1111 1111 and +49 30 5551234; 10.0.0.1\x01 no 1234567890"), ("2", None), ("3", "plain")], "id string, text string")
+    text = {r["id"]: r.text for r in pii.disguised(some).collect()}
+    assert text == {"1": "mail a [at] b.cd\x01, card 4111 1111 1111 1112\x01 and 49 30 5551234\x01; 10.0.0.1  no 1234567890", "2": None, "3": "plain"}
+    got = [(r.w.text, r.label) for r in pii.labelled(some).collect()]
+    assert sorted(got) == [("1234567890", 0.0), ("4111 1111 1111 1112", 1.0), ("49 30 5551234", 1.0), ("a [at] b.cd", 1.0)]
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert model is not None and 0 in model[1]
+    new = spark.createDataFrame([(1, "write to anna.k [at] example.org today"), (2, "a line of 12 words and 3 numbers")], "doc_id long, text string")
+    assert [r.spans for r in pii.report(new, model).orderBy("doc_id").collect()] == ["email:9:32", ""]  # the text from anna.k to org
