@@ -80,6 +80,7 @@ def score_keyed(rows: DataFrame, model: DataFrame, keys: Sequence[str], scorer:
     _result(rows, rows.columns, scorer)
     slices = max(1, math.ceil((table_bytes(distinct) + table_bytes(model)) / SLICE_BYTES))
     deal = F.pmod(F.xxhash64(*keys), F.lit(slices)).alias("_slice")
+    model = model.select(*[F.col(x).alias(x) for x in model.columns])  # columns of its own, also where rows come from the same table
 
     def run(batch: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         return _joined(batch, reads, scorer.score(batch[reads], part.drop(columns="_slice")))
