@@ -50,6 +50,11 @@ def test_packed_grams_equal_brute_force(spark):
                 pred = min(after, key=lambda x: (-after[x], x)) if after else None
                 want[b or 0, doc, g, m, train[g], sum(after.values()), pred] += 1
         assert got == want
+        if k > 1:  # an order below, by the same exchange
+            both = grams.held(grams.deal(ids, k, 7, blocks, by_doc=True, by=k - 1), k, blocks, (k, k - 1)).drop("c1").where(F.col("k") == k - 1)
+            alone = grams.held(grams.deal(ids, k - 1, 7, blocks, by_doc=True), k - 1, blocks)
+            drop = [tuple(r[x] for x in both.columns if x != "m") for r in both.collect()]
+            assert set(drop) == {tuple(r) for r in alone.drop("m").collect()}
         one = grams.counts(grams.deal(ids, k, 7), k)
         assert Counter({tuple(r)[:-1]: r["n"] for r in one.collect()}) == Counter(g for _, s, g in _brute(k) if s == "train")
     assert grams.held(grams.deal(ids.where(F.lit(False)), 3, 2), 3).count() == 0
