@@ -1,11 +1,13 @@
-"""Pairs counted as packed grams."""
+"""Pairs counted as packed grams: bigram scores and PPMI."""
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
-
+from conftest import SF_SMALL
+from corpuslab.operators import grams
 from corpuslab.operators import kgram as lm
+from corpuslab.plans import q_lm, views
 
 TEXTS = [[3, 1, 2, 1, 2, 1], [1, 3, 1, 3], [2], [5, 5, 5], [1, 2, 4]]
 
@@ -14,6 +16,20 @@ def _pairs():
     return Counter((a, b) for x in TEXTS for a, b in zip(x, x[1:]))
 
 
+def _ids(spark):
+    return spark.createDataFrame([(i, "train", x) for i, x in enumerate(TEXTS)], "doc_id long, split string, ids array<int>")
+
+
+def test_totals_give_counts_context_sums_and_the_smallest_argmax(spark):
+    want, sums, best = _pairs(), Counter(), defaultdict(list)
+    for (a, b), n in want.items():
+        sums[a] += n
+        best[a].append((-n, b))
+    got = grams.totals(grams.deal(_ids(spark), 1, 2), 1).collect()
+    assert {(r["c1"], r["nxt"]): (r["n"], r["C"], r["pred"]) for r in got} == {(a, b): (n, sums[a], min(best[a])[1]) for (a, b), n in want.items()}
+    assert len(got) == len(want)
+
+
 def test_ppmi_of_counted_ids_comes_out_as_tokens(spark):
     pairs = _pairs()
     pc = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a int, b int, n_ab long")
@@ -24,3 +40,14 @@ def test_ppmi_of_counted_ids_comes_out_as_tokens(spark):
         left[a] += n
         right[b] += n
     assert got == {(f"w{a}", f"w{b}"): pytest.approx(max(0.0, math.log(n * total / (left[a] * right[b])))) for (a, b), n in pairs.items()}
+
+
+def _no_checkpoint(*args, **kwargs):
+    raise AssertionError("token pairs become rows")
+
+
+def test_bigram_scores_read_no_token_pair_rows(spark, monkeypatch):
+    """Every pair is scored from packed grams: token pairs are never exploded to rows of strings."""
+    monkeypatch.setattr(q_lm.tx, "next_pairs_array", _no_checkpoint)
+    e = q_lm.bigram_eval(spark, SF_SMALL, by_lang=True).collect()
+    assert {r["lang"] for r in e} <= {r["lang"] for r in views.documents(spark, SF_SMALL).select("lang").distinct().collect()} and len(e) > 1
