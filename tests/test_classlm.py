@@ -37,3 +37,37 @@ def test_probabilities_of_all_tokens_add_up_and_rare_tokens_are_predicted(spark)
     assert len(sums) == 4 and all(abs(r["s"] - 1) < 1e-9 and r["n"] == v for r in sums)
     e = cm.evaluate(cm.score(model, train.withColumn("g", F.lit(1)), ["g"]), ["g"]).first()
     assert e["n"] == len(rows) and e["accuracy"] > 0.6 and e["cross_entropy"] < np.log(v)
+
+
+def test_numpy_network_equals_spark_ml(spark):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import FeatureHasher
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(4)
+    ctx = [np.r_[0, 9, 10, 99, 12345, 2**31 - 1, rng.integers(0, 10**7, 60)].astype(np.int32) for _ in range(2)]
+    df = spark.createDataFrame([(i, str(a), str(b), float(i % 5)) for i, (a, b) in enumerate(zip(*ctx))], "i int, c0 string, c1 string, label double")
+    x = FeatureHasher(inputCols=["c0", "c1"], outputCol="features", numFeatures=64).transform(df)
+    net = MultilayerPerceptronClassifier(layers=[64, cm.HIDDEN, 5], maxIter=5, seed=1).fit(x)
+    rows = net.transform(x).orderBy("i").select("features", vector_to_array("probability").alias("p")).collect()
+    for i, r in enumerate(rows):
+        got = sorted(int(cm.hashed(f"c{j}", c[i : i + 1], 64)[0]) for j, c in enumerate(ctx))
+        assert set(got) == set(r["features"].indices)
+    probs = np.concatenate(list(cm.class_probabilities(net.weights.toArray(), ctx, 64, 5)))
+    assert np.allclose(probs, [r["p"] for r in rows], atol=1e-9)
+
+
+def test_hot_last_tokens_and_rare_counts_give_the_same_scores(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = 40
+    rows = [([int(a), int(rng.choice([1, 1, 1, 2, 3]))], int(b)) for a, b in zip(rng.integers(0, v + 1, 900), np.minimum(rng.geometric(0.1, 900), v))]
+    train = spark.createDataFrame(rows, "ctx_arr array<int>, nxt int")
+    model = cm.fit(train, 2, v, max_iter=3)
+    key = lambda df: sorted((r["g"], r["c0"], r["c1"], r["nxt"], r["m"], round(r["p"], 12), r["hit"]) for r in df.collect())
+    asked = train.withColumn("g", F.when(F.col("nxt") % 2 == 0, "a"))
+    asked = asked.withColumn("g", F.coalesce("g", F.lit("b")))
+    whole = key(cm.score(model, asked, ["g"]))
+    monkeypatch.setattr(cm.grams, "SLICE", 50)
+    monkeypatch.setattr(cm.grams, "CHUNK", 100)
+    monkeypatch.setattr(cm, "HEAD", 3)
+    assert key(cm.score(model, asked, ["g"])) == whole and sum(r[4] for r in whole) == len(rows)
