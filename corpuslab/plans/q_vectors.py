@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import neighbours as nb
 from corpuslab.operators import runlog as rl
-from corpuslab.operators import text as tt
 from corpuslab.operators import vectors as vx
 from corpuslab.operators.ranking import broadcast_if_small
 from corpuslab.plans import sql as q
@@ -150,9 +149,9 @@ ev AS (SELECT vec_id, list_sum(embedding::DOUBLE[]) AS s FROM embeddings)
 SELECT doc_id, count(*) AS n_hit, round(sum(ev.s), 6) AS vec_sum FROM tok_ids JOIN ev ON ev.vec_id = tok_ids.token_id GROUP BY doc_id""",
 )
 def embed_lookup(spark: SparkSession, sf_dir: str):
-    """Token id -> vector lookup (the vector table is broadcast only under the row limit)."""
-    voc = views.vocab(spark, sf_dir)
-    ids = tt.encode(views.tok(spark, sf_dir), voc)
+    """Token id -> vector lookup (the vector table is broadcast only under the row limit). Ids come in place, so that a
+    document's tokens stay in one task and are added up there."""
+    ids = views.doc_ids(spark, sf_dir).select("doc_id", F.explode("ids").alias("token_id"))
     e = _emb(spark, sf_dir).select(F.col("vec_id").alias("token_id"), F.aggregate(vx.as_double("embedding"), F.lit(0.0), lambda a, x: a + x).alias("s"))
     j = ids.join(broadcast_if_small(e), "token_id")
     return finish(j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"), F.sum("s").alias("vec_sum")))
