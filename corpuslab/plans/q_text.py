@@ -13,6 +13,7 @@ from corpuslab.operators.ranking import exact_rank
 from corpuslab.plans import sql as q
 from corpuslab.plans import views
 from corpuslab.plans.catalog import finish, register
+from corpuslab.session import written
 from corpuslab.sources.tables import table
 
 BLOCK = 64
@@ -49,11 +50,12 @@ FROM tok_ids i JOIN vocab v ON v.token_id = i.token_id JOIN doc_toks d ON d.doc_
 GROUP BY i.doc_id, d.toks""",
 )
 def decode_roundtrip(spark: SparkSession, sf_dir: str):
+    """The original goes along with its ids as a 256-bit digest, so texts are not exchanged to be compared."""
     voc = views.vocab(spark, sf_dir)
-    ids = tt.encode(views.tok(spark, sf_dir), voc).select("doc_id", "pos", "token_id")
-    dec = tt.decode(ids, voc)
-    orig = views.doc_tokens(spark, sf_dir).select("doc_id", F.array_join("toks", " ").alias("orig"))
-    return dec.join(orig, "doc_id").select("doc_id", "text", "n_tokens", (F.col("text") == F.col("orig")).alias("same"))
+    line = views.doc_tokens(spark, sf_dir).select("doc_id", "toks", F.unhex(F.sha2(F.array_join("toks", " "), 256)).alias("orig"))
+    ids = tt.encode_arrays(line.where("doc_id is not null"), voc, keep=("doc_id", "orig"))
+    dec = tt.decode_arrays(ids, voc, keep=("doc_id", "orig"))
+    return dec.select("doc_id", "text", "n_tokens", (F.unhex(F.sha2("text", 256)) == F.col("orig")).alias("same"))
 
 
 @register(
@@ -109,9 +111,10 @@ def position_chunks(spark: SparkSession, sf_dir: str):
     return c.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("n").cast("bigint").alias("n"), "first_id", "last_id")
 
 
-def _batched(spark: SparkSession, sf_dir: str):
-    ids = views.doc_ids(spark, sf_dir).withColumn("_u", draw(SEED, "doc_id"))
-    ranked = exact_rank(ids, ["_u", "doc_id"], name="rank")
+def _batched(spark: SparkSession, sf_dir: str, voc=None):
+    """Ids are written before they are ranked: ranges are sampled first, which would write them over twice."""
+    ids = written(views.doc_ids(spark, sf_dir, voc).select("doc_id", "ids"))
+    ranked = exact_rank(ids.withColumn("_u", draw(SEED, "doc_id")), ["_u", "doc_id"], name="rank")
     return ranked.withColumn("batch_id", F.floor((F.col("rank") - 1) / BATCH).cast("bigint"))
 
 
@@ -157,12 +160,14 @@ SELECT CAST(sum(n) AS BIGINT) AS tokens, CAST(coalesce(sum(n) FILTER (WHERE nxt
 def cross_entropy_padded(spark: SparkSession, sf_dir: str):
     """Next-token cross-entropy with padding positions included: batches of shuffled whole documents padded to
     their longest one, the pad (0) as a token like others, add-one bigram model over all pairs."""
-    counts = tt.padded_pairs(_batched(spark, sf_dir)).checkpoint(eager=True)
-    v = views.vocab(spark, sf_dir).count() + 1
-    s = counts.join(counts.groupBy("ctx").agg(F.sum("n").alias("C")), "ctx")
-    nll = -F.log((F.col("n") + F.lit(1.0)) / (F.col("C") + F.lit(float(v))))
-    e = s.agg(F.sum("n").cast("bigint").alias("tokens"), F.coalesce(F.sum(F.when(F.col("nxt") == 0, F.col("n"))), F.lit(0)).cast("bigint").alias("pad_tokens"),
-              (F.sum(F.col("n") * nll) / F.sum("n")).alias("cross_entropy"))
+    voc = views.vocab(spark, sf_dir)
+    v = voc.count() + 1
+    counts = tt.padded_pairs(_batched(spark, sf_dir, voc))
+    # -ln((n + 1) / (C + v)) summed over pairs: a context's share needs its counts only, and no join of pairs
+    of_pair = F.sum(F.col("n") * F.log(F.col("n") + F.lit(1.0))).alias("own")
+    s = counts.groupBy("ctx").agg(F.sum("n").alias("C"), of_pair, F.sum(F.when(F.col("nxt") == 0, F.col("n"))).alias("pads"))
+    nll = F.col("C") * F.log(F.col("C") + F.lit(float(v))) - F.col("own")
+    e = s.agg(F.sum("C").cast("bigint").alias("tokens"), F.coalesce(F.sum("pads"), F.lit(0)).cast("bigint").alias("pad_tokens"), (F.sum(nll) / F.sum("C")).alias("cross_entropy"))
     return finish(e.withColumn("perplexity", F.exp("cross_entropy")), perplexity=2)
 
 

@@ -17,3 +17,14 @@ def test_padded_pairs(spark):
             want.update(zip(line, line[1:]))
     assert got == dict(want)
     assert tt.padded_pairs(spark.createDataFrame([], "batch_id int, ids array<int>")).count() == 0
+
+
+def test_pairs_and_padding_exchange_no_arrays_and_no_pair_rows(spark):
+    df = spark.createDataFrame([(0, [5, 6, 5]), (0, []), (1, [7, 0]), (None, [1]), (None, [1, 2])], "batch_id int, ids array<int>")
+    plan = tt.pad_batches(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    got = sorted((str(r["batch_id"]), r["ids"], r["max_len"], r["padded"]) for r in tt.pad_batches(df).collect())
+    assert got == [("0", [], 3, [0, 0, 0]), ("0", [5, 6, 5], 3, [5, 6, 5]), ("1", [7, 0], 2, [7, 0]), ("None", [1], 2, [1, 0]), ("None", [1, 2], 2, [1, 2])]
+    pairs = tt.padded_pairs(df.where("batch_id is not null"))
+    assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r["ctx"], r["nxt"]): r["n"] for r in pairs.collect()} == {(5, 6): 1, (6, 5): 1, (0, 0): 2, (7, 0): 1}
