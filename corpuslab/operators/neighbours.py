@@ -5,8 +5,9 @@ the searched side sits in one bucket of each table; a query looks into ``probes`
 the ones that flip the projections closest to zero first. Rows of a common bucket are compared exactly, so
 a neighbour can be missed but never misjudged. ``bits`` follows from the number of rows (buckets of about
 ``BUCKET`` rows); ``probes`` is raised until the recall measured against the exact search on ``AUDIT``
-queries reaches the target, and bits are given up once all probes are spent: with no bit left the search is
-exact, so the target is always reached. The measured recall is a column of the result.
+queries reaches the target. Once the probes compare or exchange more than the exact search, no bit is left and the
+search is exact (pieces of the queries against pieces of the table), so the target is always reached. The measured recall
+is a column of the result.
 
 A vector travels tables (or tables x probes) times whatever the number of rows, never once per opposite
 block. A bucket of more than a block's rows, as near copies make it, is compared in pieces of bounded size.
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.operators.ranking import broadcast_if_small
 from corpuslab.operators.sampling import bounded_sample
@@ -31,6 +33,7 @@ TABLES = 4  # independent sets of directions
 BUCKET = 512  # rows a bucket should hold on average
 FLIPS = 12  # projections of a row that a probe may flip: 4,096 probes at most
 AUDIT = 1000  # queries whose exact neighbours measure the recall
+COPIES = 64  # copies of a vector that probing may exchange before the exact search, where that exchanges fewer
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,16 @@ class Plan:
             return Plan(self.bits, self.probes * 2, self.tables, self.seed)
         return Plan(self.bits - 1, 1 << min(self.bits - 1, FLIPS), self.tables, self.seed)
 
+    @property
+    def copies(self) -> int:
+        """Times that a vector is exchanged as a query and as a row of the table."""
+        return self.tables * (self.probes + 1) if self.bits else 2
+
+    @property
+    def spent(self) -> bool:
+        """Whether tables x probes compare as many pairs as the exact search."""
+        return self.tables * self.probes >= 1 << self.bits
+
     @property
     def whole(self) -> bool:
         return self.bits == 0
@@ -89,7 +102,8 @@ def buckets(vec: str, dim: int, plan: Plan, probes: int) -> Column:
 
 def _usable(df: DataFrame, id_col: str, vec_col: str, key: str, vec: str) -> DataFrame:
     """Rows whose vector is there, finite and not zero."""
-    v = df.select(F.col(id_col).alias(key), as_double(vec_col).alias(vec)).where(F.col(key).isNotNull() & F.col(vec).isNotNull())
+    real = isinstance(df.schema[vec_col].dataType.elementType, (T.FloatType, T.DoubleType))  # exchanged as they are
+    v = df.select(F.col(id_col).alias(key), (F.col(vec_col) if real else as_double(vec_col)).alias(vec)).where(F.col(key).isNotNull() & F.col(vec).isNotNull())
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.where((F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0))
 
@@ -118,10 +132,16 @@ def _candidates(q: DataFrame, t: DataFrame, dim: int, plan: Plan, keep: int, blo
             a, b = (np.stack(x.to_numpy()).astype(np.float64) for x in (left["qv"], right["tv"]))
             a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
             qid, ids = left["qid"].to_numpy(), right["nbr_id"].to_numpy()
-            for at in range(0, len(b), SLICE):
-                sims = a @ b[at : at + SLICE].T
-                row, col = _best(sims, keep)
-                out.append(pd.DataFrame({"qid": qid[row], "nbr_id": ids[at + col], "sim": sims[row, col]}))
+            for low in range(0, len(a), QUERY_BLOCK):
+                part, best, of = a[low : low + QUERY_BLOCK], np.zeros((min(QUERY_BLOCK, len(a) - low), 0)), None
+                for at in range(0, len(b), SLICE):  # a query hands on its best rows of the whole piece
+                    sims = part @ b[at : at + SLICE].T
+                    row, col = _best(sims, keep)
+                    made, new = sims[row, col].reshape(len(part), -1), ids[at + col].reshape(len(part), -1)
+                    best, of = (made, new) if of is None else (np.hstack([best, made]), np.hstack([of, new]))
+                    order = np.lexsort((of, -best), axis=1)[:, :keep]
+                    best, of = np.take_along_axis(best, order, 1), np.take_along_axis(of, order, 1)
+                out.append(pd.DataFrame({"qid": np.repeat(qid[low : low + QUERY_BLOCK], best.shape[1]), "nbr_id": of.reshape(-1), "sim": best.reshape(-1)}))
         return pd.concat(out) if len(out) > 1 else out[0]
 
     left = pieces(qb, "qid", "qp", "nq", "tp", "nt").groupBy("bucket", "qp", "tp")
@@ -137,7 +157,7 @@ def _ranked(found: DataFrame, n: int) -> DataFrame:
 
 
 def cosine_knn_lsh(queries: DataFrame, table: DataFrame, n: int = 5, target: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding",
-                   bucket: int = BUCKET, block: int = QUERY_BLOCK, table_block: int = TABLE_BLOCK) -> DataFrame:
+                   bucket: int = BUCKET, block: int = TABLE_BLOCK, table_block: int = TABLE_BLOCK) -> DataFrame:
     """Cosine top-n neighbours of every query (its own id left out) among the table's rows, by probed buckets:
     (qid, rank, nbr_id, sim, recall). ``recall`` is one value, the share of the exact neighbours of ``AUDIT``
     queries (``bounded_sample`` by a hash of the id) that were found by the plan used for all of them, at least
@@ -147,15 +167,20 @@ def cosine_knn_lsh(queries: DataFrame, table: DataFrame, n: int = 5, target: flo
     q, t = _usable(queries, id_col, vec_col, "qid", "qv"), _usable(table, id_col, vec_col, "nbr_id", "tv")
     dim = t.agg(F.max(F.size("tv"))).first()[0] or 0
     q, t = q.where(F.size("qv") == dim), t.where(F.size("tv") == dim)
-    plan = start_plan(t.count(), bucket)
+    rows = t.count()
+    plan = start_plan(rows, bucket)
     audit = bounded_sample(q, AUDIT, plan.seed, ["qid"]).checkpoint(eager=True)
     exact = cosine_knn(audit.select(F.col("qid").alias("id"), F.col("qv").alias("v")), t.select(F.col("nbr_id").alias("id"), F.col("tv").alias("v")),
-                       n, id_col="id", vec_col="v", block=block, table_block=table_block).select("qid", "nbr_id").checkpoint(eager=True)
-    owed = exact.count()
+                       n, id_col="id", vec_col="v", block=min(block, QUERY_BLOCK), table_block=table_block).select("qid", "nbr_id")
+    # a neighbour is found where the query probes its bucket, so plans are tried on the owed pairs alone
+    pairs = exact.join(F.broadcast(audit), "qid").join(t, "nbr_id").select("qid", "nbr_id", "qv", "tv").checkpoint(eager=True)
+    owed, pieces = pairs.count(), -(-q.count() // block) + -(-rows // table_block)
     while True:
-        hits = _ranked(_candidates(audit, t, dim, plan, n + 1, block, table_block), n).join(exact, ["qid", "nbr_id"], "left_semi").count()
+        hits = pairs.where(F.arrays_overlap(buckets("qv", dim, plan, plan.probes), buckets("tv", dim, plan, 1))).count()
         recall = hits / owed if owed else 1.0
         if recall >= target or plan.whole:
             break
         plan = plan.wider()
+        if plan.spent or plan.copies > max(COPIES, pieces):
+            plan = Plan(0, 1, plan.tables, plan.seed)
     return _ranked(_candidates(q, t, dim, plan, n + 1, block, table_block), n).withColumn("recall", F.lit(recall))

@@ -65,3 +65,16 @@ def test_plan_widens_to_the_exact_search():
     while not plan.whole:
         plan, steps = plan.wider(), steps + 1
     assert steps < 40 and nb.start_plan(10**6).bits == 11
+
+
+def test_vectors_without_neighbours_are_not_sent_to_every_bucket(spark, monkeypatch):
+    plans, search = [], nb._candidates
+    monkeypatch.setattr(nb, "_candidates", lambda q, t, dim, plan, *rest: plans.append(plan) or search(q, t, dim, plan, *rest))
+    m = np.random.default_rng(8).normal(size=(1500, 32))
+    df = spark.createDataFrame(_rows(m), SCHEMA)
+    got = {}
+    for r in nb.cosine_knn_lsh(df, df, 5, bucket=16, block=400, table_block=600).collect():
+        assert r["recall"] == 1.0
+        got.setdefault(r["qid"], set()).add(r["nbr_id"])
+    assert got == dict(enumerate(_brute(m, 5)))
+    assert len(plans) == 1 and plans[0].copies <= nb.COPIES  # before: the table for each plan tried, then a query for each bucket
