@@ -3,6 +3,8 @@ time-ordered files, with results equal to the batch operators (same oracle SQL).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from corpuslab.streaming import stateful as stf
 
 SLICES = 5  # arrivals: how often new files come in while the stream stands still
 WINDOW_SECONDS = 6 * 86400
+STATE_ROWS = 8192  # rows of the whole stream that share a bucket of its state
 
 
 def epoch_col(ts="ts"):
@@ -39,6 +42,11 @@ def feed(spark: SparkSession, df: DataFrame, name: str, order, run) -> None:
         run(spark.readStream.schema(df.schema).parquet(src))
 
 
+def _buckets(spark: SparkSession, df: DataFrame) -> int:
+    """Buckets of a stream's state, in proportion to what will arrive: a call's rows stay few whatever the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / STATE_ROWS))
+
+
 def _micros(ts="ts"):
     return F.unix_micros(sc.utc_instant(ts))
 
@@ -59,8 +67,9 @@ def _sinks(spark, name):
 @register("stream_partial_loss", ORACLE["partial_loss"])
 def stream_partial_loss(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "partial")
-    feed(spark, _steps(spark, sf_dir), "steps", _micros(),
-         lambda src: stf.run_to_parquet(stf.partial_loss_stream(src, q_runlog.PARTIAL_EVERY), out, chk))
+    steps = _steps(spark, sf_dir)
+    n = _buckets(spark, steps)
+    feed(spark, steps, "steps", _micros(), lambda src: stf.run_to_parquet(stf.partial_loss_stream(src, q_runlog.PARTIAL_EVERY, n), out, chk))
     return finish(spark.read.parquet(out).where(F.col("kind") == "bucket").drop("kind", "event_id"))
 
 
@@ -68,7 +77,8 @@ def stream_partial_loss(spark: SparkSession, sf_dir: str):
 def stream_interval_trigger(spark: SparkSession, sf_dir: str):
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     out, chk = _sinks(spark, "trigger")
-    feed(spark, ev, "events", _micros(), lambda src: stf.run_to_parquet(stf.interval_trigger_stream(src, q_runlog.TRIGGER_US), out, chk))
+    n = _buckets(spark, ev)
+    feed(spark, ev, "events", _micros(), lambda src: stf.run_to_parquet(stf.interval_trigger_stream(src, q_runlog.TRIGGER_US, n), out, chk))
     return spark.read.parquet(out).where(F.col("kind") == "fire").select("user_id", "event_id")
 
 
@@ -81,8 +91,10 @@ def _epochs(spark, sf_dir):
 @register("stream_plateau_lr", ORACLE["plateau_lr"])
 def stream_plateau_lr(spark: SparkSession, sf_dir: str):
     out, chk = _sinks(spark, "plateau")
-    feed(spark, _epochs(spark, sf_dir), "epochs", F.col("epoch"),
-         lambda src: stf.run_to_parquet(stf.plateau_lr_stream(src.select("run", "epoch", "loss", "lr0")), out, chk))
+    epochs = _epochs(spark, sf_dir)
+    n = _buckets(spark, epochs)
+    feed(spark, epochs, "epochs", F.col("epoch"),
+         lambda src: stf.run_to_parquet(stf.plateau_lr_stream(src.select("run", "epoch", "loss", "lr0"), buckets=n), out, chk))
     return finish(spark.read.parquet(out).where(F.col("kind") == "rate").drop("kind"), lr=9)
 
 

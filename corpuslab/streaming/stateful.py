@@ -1,7 +1,10 @@
 """Structured Streaming versions of the run-log state machines.
 
 Each operator keeps O(1) state per key in the state store (``applyInPandasWithState``), so a
-key with unbounded history never has to be collected into one list. Rows of one micro-batch
+key with unbounded history never has to be collected into one list. Keys are dealt by a hash into
+``buckets``, and the store holds one row a bucket: the state of all its keys, as packed arrays. A call
+of the Python operator costs milliseconds, whatever it brings, and most keys bring a few rows a
+micro-batch, so a call takes a bucket's rows and not a key's. Rows of one micro-batch
 are ordered inside the processor by (ts, event_id); order *across* micro-batches is the
 source's duty (files arrive in time order). A row older than its key's last processed row is
 reported as ``late`` and never enters the state.
@@ -28,50 +31,116 @@ from corpuslab.operators.ranking import broadcast_if_small
 # ----------------------------------------------------------------------- X1 partial loss
 
 PARTIAL_OUT = "run long, epoch int, kind string, event_id long, bucket long, partial_loss double, last_step long"
-PARTIAL_STATE = "n long, s double, last_ts long, last_id long"
-
-
-def _in_order(rows: pd.DataFrame, last_ts: int, last_id: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(new rows in (ts, event_id) order, late rows): late is what is not after the last row of its key, or repeats a row."""
-    rows = rows.sort_values(["ts_us", "event_id"], kind="stable")
-    ts, eid = rows["ts_us"].to_numpy(), rows["event_id"].to_numpy()
-    late = (ts < last_ts) | ((ts == last_ts) & (eid <= last_id))
-    late[1:] |= (ts[1:] == ts[:-1]) & (eid[1:] == eid[:-1])
-    return rows[~late], rows[late]
+PARTIAL_STATE = "run binary, slot binary, n binary, s binary, last_ts binary, last_id binary"
+BUCKETS = 512
+_NONE = 2**63 - 1  # a null time or event id: after all others
+_BEFORE = -(2**62)  # earlier than any time
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins in arrays sorted together."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _bucket_state(state: GroupState, types: str, initial: list, key: np.ndarray, slot: np.ndarray):
+    """(keys, fields, number): every key that the bucket's state or its new rows (key, slot) hold, once; the fields
+    of its state, ``initial`` for a new key; and the place of each new row's key among them."""
+    held = [np.frombuffer(x, t) for x, t in zip(state.get, types)] if state.exists else [np.zeros(0, t) for t in types]
+    known = len(held[0])
+    both = [np.r_[held[0], key], np.r_[held[1], slot]]
+    order = np.lexsort(both[::-1])
+    head = _starts(both[0][order], both[1][order])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(order)]))
+    fields = []
+    for old, value in zip(held[2:], initial):
+        field = np.full(len(head), value, old.dtype)
+        field[number[:known]] = old
+        fields.append(field)
+    return [k[order][head] for k in both], fields, number[known:]
+
+
+def _in_order(number: np.ndarray, ts: np.ndarray, eid: np.ndarray, last_ts: np.ndarray, last_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(new rows in (key, ts, event_id) order, late rows): late is what is not after the last row of its key, or repeats a row.
+    The last rows of the keys move on."""
+    order = np.lexsort((eid, ts, number))
+    k, t, e = number[order], ts[order], eid[order]
+    late = (t < last_ts[k]) | ((t == last_ts[k]) & (e <= last_id[k]))
+    late[1:] |= (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (e[1:] == e[:-1])
+    new = order[~late]
+    ends = _starts(number[new][::-1])  # the last row of each key, from behind
+    tail = new[::-1][ends]
+    last_ts[number[tail]], last_id[number[tail]] = ts[tail], eid[tail]
+    return new, order[late]
+
+
+def _or_null(values: np.ndarray, null: np.ndarray) -> pd.Series:
+    return pd.Series(pd.arrays.IntegerArray(values.astype(np.int64), np.asarray(null, bool)))
+
+
+def _nulls(n: int) -> pd.Series:
+    return _or_null(np.zeros(n), np.ones(n))
 
 
 def _partial_fn(every: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s, last_ts, last_id = state.get if state.exists else (0, 0.0, -(2**62), -1)
-        new, late = _in_order(pd.concat(list(pdfs)), last_ts, last_id)
+        rows = pd.concat(list(pdfs))
+        run, slot, ts, eid, loss = (rows[c].to_numpy() for c in ("run", "slot", "ts_us", "event_id", "loss"))
+        keys, (n, s, last_ts, last_id), number = _bucket_state(state, "qqqdqq", [0, 0.0, _BEFORE, -1], run, slot)
+        new, late = _in_order(number, ts, eid, last_ts, last_id)
+
+        def named(at):
+            return {"run": _or_null(keys[0][at], keys[1][at] & 2), "epoch": _or_null(keys[1][at] >> 2, keys[1][at] & 1)}
+
         if len(new):
-            loss = new["loss"].to_numpy(dtype=np.float64)
-            bucket = (n + np.arange(len(loss))) // every
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            sums = np.add.reduceat(loss, starts)
-            sums[0] += s  # the open bucket of earlier batches
-            n += len(loss)
-            full = (bucket[starts] + 1) * every <= n
-            s = 0.0 if full[-1] else float(sums[-1])
-            last_ts, last_id = int(new["ts_us"].iloc[-1]), int(new["event_id"].iloc[-1])
-            done = bucket[starts][full]
-            yield pd.DataFrame({"run": key[0], "epoch": key[1], "kind": "bucket", "event_id": pd.array([None] * len(done), "Int64"), "bucket": done,
+            k = number[new]
+            first = _starts(k)
+            size = np.diff(np.r_[first, len(k)])
+            bucket = (np.repeat(n[k[first]] - first, size) + np.arange(len(k))) // every
+            starts = _starts(k, bucket)
+            sums = np.add.reduceat(loss[new].astype(np.float64), starts)
+            k, bucket = k[starts], bucket[starts]
+            head = _starts(k)
+            tail = np.r_[head[1:], len(k)] - 1
+            sums[head] += s[k[head]]  # the open buckets of earlier batches
+            n[k[head]] += size
+            full = (bucket + 1) * every <= n[k]
+            s[k[tail]] = np.where(full[tail], 0.0, sums[tail])
+            done = bucket[full]
+            yield pd.DataFrame({**named(k[full]), "kind": "bucket", "event_id": _nulls(len(done)), "bucket": done,
                                 "partial_loss": sums[full] / every, "last_step": (done + 1) * every})
-        state.update((n, s, last_ts, last_id))
+        state.update(tuple(x.tobytes() for x in (*keys, n, s, last_ts, last_id)))
         if len(late):
-            yield pd.DataFrame({"run": key[0], "epoch": key[1], "kind": "late", "event_id": late["event_id"].to_numpy(), "bucket": pd.array([None] * len(late), "Int64"),
-                                "partial_loss": np.nan, "last_step": pd.array([None] * len(late), "Int64")})
+            none = _nulls(len(late))
+            yield pd.DataFrame({**named(number[late]), "kind": "late", "event_id": _or_null(eid[late], eid[late] == _NONE), "bucket": none,
+                                "partial_loss": np.nan, "last_step": none})
 
     return fn
 
 
-def partial_loss_stream(steps: DataFrame, every: int) -> DataFrame:
+def _zero(c: str):
+    return F.coalesce(F.col(c).cast("long"), F.lit(0))
+
+
+def _times() -> list:
+    """Time and event id of a row as numbers that are never null."""
+    ts = F.unix_micros(sc.utc_instant("ts"))
+    return [F.coalesce(F.col("event_id").cast("long"), F.lit(_NONE)).alias("event_id"), F.coalesce(ts, F.lit(_NONE)).alias("ts_us")]
+
+
+def partial_loss_stream(steps: DataFrame, every: int, buckets: int = BUCKETS) -> DataFrame:
     """Average of each full bucket of ``every`` training steps per (run, epoch) as rows of kind 'bucket'; a step
-    that comes after a later one of its key is a row of kind 'late' with its event id."""
+    that comes after a later one of its key is a row of kind 'late' with its event id. A key's slot is its epoch with two
+    bits for a null run and a null epoch; the number of state buckets is fixed for a checkpoint."""
+    slot = _zero("epoch") * 4 + F.when(F.col("run").isNull(), 2).otherwise(0) + F.when(F.col("epoch").isNull(), 1).otherwise(0)
     s = steps.where(F.col("split") == "train").select(
-        "run", "epoch", "event_id", "loss", F.unix_micros(sc.utc_instant("ts")).alias("ts_us")
+        F.pmod(F.xxhash64("run", "epoch"), F.lit(buckets)).alias("part"), _zero("run").alias("run"), slot.cast("long").alias("slot"), "loss", *_times()
     )
-    return s.groupBy("run", "epoch").applyInPandasWithState(
+    return s.groupBy("part").applyInPandasWithState(
         _partial_fn(every), PARTIAL_OUT, PARTIAL_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
@@ -79,31 +148,35 @@ def partial_loss_stream(steps: DataFrame, every: int) -> DataFrame:
 # -------------------------------------------------------------------- X2 interval trigger
 
 TRIGGER_OUT = "user_id long, event_id long, kind string"
-TRIGGER_STATE = "nxt long, last_ts long, last_id long"
+TRIGGER_STATE = "user binary, slot binary, nxt binary, last_ts binary, last_id binary"
 
 
 def _trigger_fn(interval_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nxt, last_ts, last_id = state.get if state.exists else (None, -(2**62), -1)
-        new, late = _in_order(pd.concat(list(pdfs)), last_ts, last_id)
-        ts, eid, fired, at = new["ts_us"].to_numpy(), new["event_id"].to_numpy(), [], 0
-        while at < len(ts):  # from one firing to the next
-            at = at if nxt is None else at + int(np.searchsorted(ts[at:], nxt))
-            if at < len(ts):
-                fired.append(int(eid[at]))
-                nxt = int(ts[at]) + interval_us
-        if len(ts):
-            last_ts, last_id = int(ts[-1]), int(eid[-1])
-        out = [(key[0], e, "fire") for e in fired] + [(key[0], int(e), "late") for e in late["event_id"]]
-        state.update((nxt, last_ts, last_id))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "kind"])
+        rows = pd.concat(list(pdfs))
+        user, slot, ts, eid = (rows[c].to_numpy() for c in ("user", "slot", "ts_us", "event_id"))
+        keys, (nxt, last_ts, last_id), number = _bucket_state(state, "qqqqq", [_BEFORE, _BEFORE, -1], user, slot)
+        new, late = _in_order(number, ts, eid, last_ts, last_id)
+        first, times, fired = _starts(number[new]), ts[new], []
+        for at, end in zip(first, np.r_[first[1:], len(new)]):
+            k = number[new[at]]
+            while at < end:  # from one firing to the next
+                at += int(np.searchsorted(times[at:end], nxt[k]))
+                if at < end:
+                    fired.append(at)
+                    nxt[k] = min(int(times[at]), _NONE - interval_us) + interval_us
+        out = np.r_[new[np.array(fired, np.int64)], late]
+        state.update(tuple(x.tobytes() for x in (*keys, nxt, last_ts, last_id)))
+        yield pd.DataFrame({"user_id": _or_null(user[out], slot[out]), "event_id": _or_null(eid[out], eid[out] == _NONE),
+                            "kind": np.repeat(np.array(["fire", "late"], object), [len(fired), len(late)])})
 
     return fn
 
 
-def interval_trigger_stream(events: DataFrame, interval_us: int) -> DataFrame:
-    e = events.select("user_id", "event_id", F.unix_micros(sc.utc_instant("ts")).alias("ts_us"))
-    return e.groupBy("user_id").applyInPandasWithState(
+def interval_trigger_stream(events: DataFrame, interval_us: int, buckets: int = BUCKETS) -> DataFrame:
+    e = events.select(F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("part"), _zero("user_id").alias("user"),
+                      F.col("user_id").isNull().cast("long").alias("slot"), *_times())
+    return e.groupBy("part").applyInPandasWithState(
         _trigger_fn(interval_us), TRIGGER_OUT, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
@@ -111,40 +184,43 @@ def interval_trigger_stream(events: DataFrame, interval_us: int) -> DataFrame:
 # --------------------------------------------------------------------- X3 plateau schedule
 
 PLATEAU_OUT = "run long, epoch int, kind string, lr double"
-PLATEAU_STATE = "best double, bad int, lr double, last_epoch int"
+PLATEAU_STATE = "run binary, slot binary, best binary, bad binary, lr binary, last_epoch binary"
 
 
 def _plateau_fn(factor: float, patience: int, threshold: float):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs)).sort_values("epoch")
-        if state.exists:
-            best, bad, lr, last_epoch = state.get
-        else:
-            best, bad, lr, last_epoch = float("inf"), 0, float(rows["lr0"].iloc[0]), -1
-        out = []
-        for epoch, loss in zip(rows["epoch"], rows["loss"]):
-            if epoch <= last_epoch:
-                out.append((key[0], int(epoch), "late", None))
+        rows = pd.concat(list(pdfs))
+        run, slot, epochs, losses, lr0 = (rows[c].to_numpy() for c in ("run", "slot", "epoch", "loss", "lr0"))
+        keys, (best, bad, lr, last_epoch), number = _bucket_state(state, "qqdqdq", [np.inf, 0, np.nan, _BEFORE], run, slot)
+        rates, late = np.zeros(len(rows)), np.zeros(len(rows), bool)
+        for i in np.lexsort((epochs, number)):
+            k, epoch, loss = number[i], epochs[i], losses[i]
+            if last_epoch[k] == _BEFORE:
+                lr[k], last_epoch[k] = lr0[i], -1
+            if epoch <= last_epoch[k]:
+                late[i] = True
                 continue
-            out.append((key[0], int(epoch), "rate", lr))
-            better = loss is not None and not pd.isna(loss) and loss < best * (1.0 - threshold)
+            rates[i] = lr[k]
+            better = loss < best[k] * (1.0 - threshold)  # never for a missing loss
             if better:
-                best, bad = float(loss), 0
+                best[k], bad[k] = loss, 0
             else:
-                bad += 1
-            if bad > patience:
-                lr, bad = lr * factor, 0
-            last_epoch = int(epoch)
-        state.update((best, bad, lr, last_epoch))
-        yield pd.DataFrame(out, columns=["run", "epoch", "kind", "lr"])
+                bad[k] += 1
+            if bad[k] > patience:
+                lr[k], bad[k] = lr[k] * factor, 0
+            last_epoch[k] = epoch
+        state.update(tuple(x.tobytes() for x in (*keys, best, bad, lr, last_epoch)))
+        yield pd.DataFrame({"run": _or_null(run, slot), "epoch": epochs, "kind": np.where(late, "late", "rate").astype(object), "lr": np.where(late, np.nan, rates)})
 
     return fn
 
 
-def plateau_lr_stream(epochs: DataFrame, factor: float = 0.25, patience: int = 1, threshold: float = 1e-4) -> DataFrame:
+def plateau_lr_stream(epochs: DataFrame, factor: float = 0.25, patience: int = 1, threshold: float = 1e-4, buckets: int = BUCKETS) -> DataFrame:
     """Learning rate of every epoch (run, epoch, loss, lr0) as rows of kind 'rate'; an epoch that comes after a
     later or equal one of its run is a row of kind 'late' and leaves the schedule as it is."""
-    return epochs.groupBy("run").applyInPandasWithState(
+    e = epochs.select(F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("part"), _zero("run").alias("run"), F.col("run").isNull().cast("long").alias("slot"),
+                      "epoch", F.col("loss").cast("double").alias("loss"), F.col("lr0").cast("double").alias("lr0"))
+    return e.groupBy("part").applyInPandasWithState(
         _plateau_fn(factor, patience, threshold), PLATEAU_OUT, PLATEAU_STATE, "append", GroupStateTimeout.NoTimeout
     )
 

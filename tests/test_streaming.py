@@ -94,3 +94,19 @@ def test_summaries_are_deltas_without_known_runs(spark):
     assert sorted(map(tuple, stf.latest_version(spark, f"{base}/out").select("run", "epoch", "val_loss").collect())) == [(1, 2, 2.0), (2, 3, 3.5)]
     sizes = {r["v"]: r["count"] for r in spark.read.parquet(f"{base}/out").groupBy("v").count().collect()}
     assert sizes == {0: 2, 1: 1, 2: 2}  # a delta holds its own runs only
+
+
+def test_state_calls_do_not_grow_with_keys(spark):
+    """Thousands of keys of a few rows share a few state rows; null runs and epochs are keys of their own."""
+    base = tempfile.mkdtemp(prefix="corpuslab-test-", dir="/tmp")
+    schema = "run long, epoch int, event_id long, split string, loss double, sec long"
+    runs = [*range(1500), 2**60 + 1, None]
+    slices = [[(r, e, 10 * s + i, "train", float(i + s), 100 * s + i) for r in runs for e in (1, None) for i in (2, 1, 1)] for s in (0, 1)]
+    _arrive(spark, base, slices, schema, lambda src: stf.run_to_parquet(
+        stf.partial_loss_stream(src.withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz")), 3, buckets=4), f"{base}/out", f"{base}/chk"))
+    out = spark.read.parquet(f"{base}/out")
+    got = sorted(((r["run"], r["epoch"], r["bucket"], round(r["partial_loss"], 9), r["last_step"]) for r in out.where("kind = 'bucket'").collect()), key=str)
+    assert got == sorted(((r, e, 0, round((1.0 + 2.0 + 2.0) / 3, 9), 3) for r in runs for e in (1, None)), key=str)
+    late = out.where("kind = 'late'").groupBy("event_id").count().collect()
+    assert {(r["event_id"], r["count"]) for r in late} == {(1, 2 * len(runs)), (11, 2 * len(runs))}
+    assert spark.read.format("statestore").load(f"{base}/chk").count() <= 4
