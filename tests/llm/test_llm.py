@@ -1,5 +1,6 @@
 """The dealt operators against plain versions, on the smallest tables and on odd rows."""
 
+import math
 import os
 import random
 import sys
@@ -352,3 +353,60 @@ def test_pii_thresholds_come_from_spans_that_no_rule_finds(spark):
     assert model is not None and 0 in model[1]
     new = spark.createDataFrame([(1, "write to anna.k [at] example.org today"), (2, "a line of 12 words and 3 numbers")], "doc_id long, text string")
     assert [r.spans for r in pii.report(new, model).orderBy("doc_id").collect()] == ["email:9:32", ""]  # the text from anna.k to org
+
+
+def test_deep_contexts_are_weighted_trees():
+    """deep_scores against a recursion over the nodes of one context's tree; probabilities of all bytes sum to 1."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice([97, 98, 99], 300).astype(np.uint8)) for _ in range(3)]
+    train = np.array([True, True, False])
+    keys, n = ctw.gram_counts(texts, train)
+    assert n.sum() == 2 * 301 and (n == 0).any()
+    counts = np.zeros(1 << 24)
+    code, real, _ = ctw._coded(texts[:2])
+    np.add.at(counts, code[real], 1)
+    table = ctw.code_table(counts.reshape(1 << 16, 256))
+    got = ctw.deep_scores(keys, n, table)
+    plain = [(int(k).to_bytes(ctw.REACH + 1, "big"), int(m)) for k, m in zip(keys, n)]
+
+    def ab(context, low, mid, high):
+        rows = [(k[-1], m) for k, m in plain if k.startswith(context) and low <= k[-1] < high]
+        return sum(m for x, m in rows if x < mid), sum(m for x, m in rows if x >= mid)
+
+    def weighted(context, *span):
+        kt = math.exp(ctw._estimates(*(np.array([float(v)]) for v in ab(context, *span)))[0][0])
+        if len(context) == ctw.REACH:
+            return kt, kt, 1.0
+        split = math.prod(weighted(context + bytes([x]), *span)[0] for x in {k[len(context)] for k, _ in plain if k.startswith(context)})
+        return (kt + split) / 2, kt, kt / (kt + split)
+
+    def decision(context, low, high):
+        mid, share = (low + high) // 2, 10.0 ** table[context[0] * 256 + context[1]].astype(float)
+        top = share[mid:high].sum() / share[low:high].sum()
+        a, b = ab(context[:3], low, mid, high)
+        rest = 1 / (1 + (1 - top) ** a * top**b / weighted(context[:3], low, mid, high)[0])
+        p = (1 - rest) * top
+        for d in range(3, ctw.REACH + 1):
+            a, b = ab(context[:d], low, mid, high)
+            own = weighted(context[:d], low, mid, high)[2]
+            p, rest = p + rest * own * (b + 0.5) / (a + b + 1), rest * (1 - own)
+        return p
+
+    for i in range(0, len(plain), 41):
+        context, x, low, high, want = plain[i][0][:-1], plain[i][0][-1], 0, 256, 0.0
+        while high - low > 1:
+            p, mid = decision(context, low, high), (low + high) // 2
+            want += math.log10(p if x >= mid else 1 - p)
+            low, high = (mid, high) if x >= mid else (low, mid)
+        assert math.isclose(got[i], want, abs_tol=1e-9)
+    whole = np.unique(np.concatenate([keys, (keys[5] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)]))
+    full = ctw.deep_scores(whole, np.isin(whole, keys) * np.r_[n, 0][np.minimum(np.searchsorted(keys, whole), len(n))], table)
+    assert math.isclose((10.0 ** full[whole >> np.uint64(8) == keys[5] >> np.uint64(8)]).sum(), 1, abs_tol=1e-6)
+
+
+def test_score_reads_beyond_two_bytes(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(["aXXX1", "bXXX2"]) for _ in range(60))) for i in range(60)]
+    rows += [(1000, "aXXX1" * 50), (1001, "aXXX2" * 50)]
+    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4000).withColumnRenamed("doc", "doc_id").collect()}
+    assert len(got) == 62 and got[1000] > got[1001] + 30
