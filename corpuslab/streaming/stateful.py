@@ -156,7 +156,9 @@ def _trigger_fn(interval_us: int):
         rows = pd.concat(list(pdfs))
         user, slot, ts, eid = (rows[c].to_numpy() for c in ("user", "slot", "ts_us", "event_id"))
         keys, (nxt, last_ts, last_id), number = _bucket_state(state, "qqqqq", [_BEFORE, _BEFORE, -1], user, slot)
-        new, late = _in_order(number, ts, eid, last_ts, last_id)
+        timed = np.flatnonzero(ts != _NONE)
+        new, late = (timed[x] for x in _in_order(number[timed], ts[timed], eid[timed], last_ts, last_id))
+        late = np.r_[late, np.flatnonzero(ts == _NONE)]  # a row without a time has no place in the order
         first, times, fired = _starts(number[new]), ts[new], []
         for at, end in zip(first, np.r_[first[1:], len(new)]):
             k = number[new[at]]
@@ -164,7 +166,7 @@ def _trigger_fn(interval_us: int):
                 at += int(np.searchsorted(times[at:end], nxt[k]))
                 if at < end:
                     fired.append(at)
-                    nxt[k] = min(int(times[at]), _NONE - interval_us) + interval_us
+                    nxt[k] = times[at] + interval_us
         out = np.r_[new[np.array(fired, np.int64)], late]
         state.update(tuple(x.tobytes() for x in (*keys, nxt, last_ts, last_id)))
         yield pd.DataFrame({"user_id": _or_null(user[out], slot[out]), "event_id": _or_null(eid[out], eid[out] == _NONE),

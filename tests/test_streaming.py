@@ -110,3 +110,12 @@ def test_state_calls_do_not_grow_with_keys(spark):
     late = out.where("kind = 'late'").groupBy("event_id").count().collect()
     assert {(r["event_id"], r["count"]) for r in late} == {(1, 2 * len(runs)), (11, 2 * len(runs))}
     assert spark.read.format("statestore").load(f"{base}/chk").count() <= 4
+
+
+def test_rows_without_a_time_never_fire_and_hold_nothing_back(spark):
+    base = tempfile.mkdtemp(prefix="corpuslab-test-", dir="/tmp")
+    slices = [[(1, 1, 0), (1, 9, None), (1, 2, 3 * 3600), (2, 8, None)], [(1, 3, 7 * 3600), (2, 4, 8 * 3600)]]
+    _arrive(spark, base, slices, "user_id long, event_id long, sec long", lambda src: stf.run_to_parquet(
+        stf.interval_trigger_stream(src.withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz")), q_runlog.TRIGGER_US, buckets=2), f"{base}/out", f"{base}/chk"))
+    got = {(r["user_id"], r["event_id"], r["kind"]) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {(1, 1, "fire"), (1, 9, "late"), (2, 8, "late"), (1, 3, "fire"), (2, 4, "fire")}
