@@ -14,13 +14,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpuslab.operators.grams import _planes, _values
 from corpuslab.operators.ranking import broadcast_if_small
+from corpuslab.session import written
 
 QUERY_BLOCK, TABLE_BLOCK = 2048, 32768  # rows of a query block and of a table block
-SLICE = 4096  # table rows scored against a query block at once
+BLOCK_BYTES = 8 << 20  # of the vectors of a packed block
+QUERY_ROWS, SLICE = 1024, 4096  # queries and table rows that are scored at once
 
 
 def as_double(vec) -> Column:
@@ -98,46 +104,145 @@ def _best(sims: np.ndarray, keep: int):
     return np.repeat(np.arange(len(sims)), k), part.reshape(-1)
 
 
+def _blocks_of(df: DataFrame, id_col: str, vec_col: str, block: int) -> DataFrame:
+    """(block, ids, vecs): rows with a vector packed into blocks of at most ``block`` rows and ``BLOCK_BYTES`` bytes, written
+    once to the shared folder. Floats stay as they are, other numbers become doubles."""
+    real = isinstance(df.schema[vec_col].dataType.elementType, T.FloatType)
+    kind, rows = (np.float32 if real else np.float64), df.where(F.col(vec_col).isNotNull())
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), (F.col(vec_col) if real else as_double(vec_col)).alias("vec"))
+
+    def pack(batches):
+        held, n, made, size = [], 0, 0, block
+
+        def flush():
+            lens = np.unique(np.concatenate([x.column("vec").value_lengths().to_numpy(zero_copy_only=False) for x in held]))
+            if len(lens) > 1:
+                raise ValueError(f"vectors of different lengths: {lens.tolist()}")
+            ids = np.concatenate([x.column("id").to_numpy(zero_copy_only=False) for x in held]).astype(np.int64)
+            vecs = np.concatenate([x.column("vec").flatten().to_numpy(zero_copy_only=False) for x in held]).astype(kind)
+            number = pa.array([TaskContext.get().partitionId() * (1 << 32) + made], pa.int64())
+            return pa.RecordBatch.from_arrays([number, pa.array([ids.tobytes()], pa.binary()), pa.array([vecs.tobytes()], pa.binary())], ["block", "ids", "vecs"])
+
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                if not held:
+                    width = max(1, len(batch.column("vec")[start])) * np.dtype(kind).itemsize
+                    size = min(block, max(1, BLOCK_BYTES // width))
+                part = batch.slice(start, size - n)
+                held.append(part)
+                n, start = n + part.num_rows, start + part.num_rows
+                if n >= size:
+                    yield flush()
+                    held, n, made = [], 0, made + 1
+        if held:
+            yield flush()
+
+    return written(rows.mapInArrow(pack, "block long, ids binary, vecs binary"))
+
+
+def _unit(ids: bytes, vecs: bytes, kind):
+    """Ids in ascending order and their vectors divided by their norm."""
+    ids = np.frombuffer(ids, np.int64)
+    x = np.frombuffer(vecs, kind).reshape(len(ids), -1).astype(np.float64)
+    order = np.argsort(ids, kind="stable")
+    x = x[order]
+    return ids[order], x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _leading(row: np.ndarray, sim: np.ndarray, nbr: np.ndarray, keep: int):
+    """The ``keep`` best hits of each row, best first (ties: smaller id)."""
+    order = np.lexsort((nbr, -sim, row))
+    row, sim, nbr = row[order], sim[order], nbr[order]
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+    there = place < keep
+    return row[there], sim[there], nbr[there], place[there]
+
+
+def _meet(qid, a, ids, b, best, keep: int, drop_self: bool):
+    """``best`` (rows of a, sims, ids) brought up to date with the table rows b."""
+    out = [x for x in best]
+    for low in range(0, len(a), QUERY_ROWS):
+        part, own = a[low : low + QUERY_ROWS], qid[low : low + QUERY_ROWS]
+        mine = (out[0] >= low) & (out[0] < low + len(part))
+        row, sim, nbr = out[0][mine] - low, out[1][mine], out[2][mine]
+        out = [x[~mine] for x in out]
+        for at in range(0, len(b), SLICE):
+            sims, names = part @ b[at : at + SLICE].T, ids[at : at + SLICE]
+            if drop_self:
+                first, last = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
+                for i in np.flatnonzero(last > first):
+                    sims[i, first[i] : last[i]] = -np.inf
+            least = np.full(len(part), -np.inf)
+            full = np.flatnonzero(np.bincount(row, minlength=len(part)) >= keep)
+            if len(full):  # the worst hit that a row keeps
+                worst = np.full(len(part), np.inf)
+                np.minimum.at(worst, row, sim)
+                least[full] = worst[full]
+            if len(full) < len(part) and sims.shape[1] > keep:
+                width = min(sims.shape[1], 64 * keep)
+                least = np.maximum(least, np.partition(sims[:, :width], width - keep, axis=1)[:, width - keep])
+            r, c = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+            row, sim, nbr, _ = _leading(np.r_[row, r], np.r_[sim, sims[r, c]], np.r_[nbr, names[c]], keep)
+        out = [np.r_[out[0], row + low], np.r_[out[1], sim], np.r_[out[2], nbr]]
+    return out
+
+
 def cosine_knn(queries: DataFrame, table: DataFrame, n: int = 5, drop: str = "self", id_col: str = "vec_id",
-               vec_col: str = "embedding", block: int = QUERY_BLOCK, table_block: int = TABLE_BLOCK) -> DataFrame:
+               vec_col: str = "embedding", block: int = TABLE_BLOCK, table_block: int = TABLE_BLOCK) -> DataFrame:
     """Exact cosine top-n neighbours of every query row among the table rows: (qid, rank,
     nbr_id, sim). ``drop='self'`` removes the query's own id; ``drop='first'`` removes the
-    best hit whatever it is (the reference's n+1-then-skip-first rule). Queries and table are dealt
-    into blocks by a hash of the id; each pair of a query block and a table block is one bounded
-    task, which hands on its best rows only. Nothing passes through the driver."""
-    keep = n + 1
-    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("qid"), as_double(vec_col).alias("qv"))
-    t = table.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("nbr_id"), as_double(vec_col).alias("tv"))
-    q_blocks, t_blocks = max(1, -(-q.count() // block)), max(1, -(-t.count() // table_block))
-
-    def dealt(df: DataFrame, key: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
-        df = df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": [], "nbr_id": [], "sim": []})]
-        if len(left) and len(right):
-            right = right.sort_values("nbr_id", kind="stable")
-            a, b = (np.stack(x.to_numpy()).astype(np.float64) for x in (left["qv"], right["tv"]))
-            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
-            qid, ids = left["qid"].to_numpy(), right["nbr_id"].to_numpy()
-            for at in range(0, len(b), SLICE):
-                sims = a @ b[at : at + SLICE].T
-                row, col = _best(sims, keep)
-                out.append(pd.DataFrame({"qid": qid[row], "nbr_id": ids[at + col], "sim": sims[row, col]}))
-        return pd.concat(out) if len(out) > 1 else out[0]
-
-    left = dealt(q, "qid", "qb", q_blocks, "tb", t_blocks).groupBy("qb", "tb")
-    right = dealt(t, "nbr_id", "tb", t_blocks, "qb", q_blocks).groupBy("qb", "tb")
-    cand = left.cogroup(right).applyInPandas(search, "qid long, nbr_id long, sim double")
-    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("nbr_id").asc())
-    ranked = cand.withColumn("_r", F.row_number().over(w))  # group = (qid): n + 1 rows a table slice
-    if drop == "self":
-        ranked = ranked.where(F.col("nbr_id") != F.col("qid"))
-        ranked = ranked.withColumn("_r", F.row_number().over(w))
-    else:
-        ranked = ranked.where(F.col("_r") > 1).withColumn("_r", F.col("_r") - 1)
-    return ranked.where(F.col("_r") <= n).select("qid", F.col("_r").alias("rank"), "nbr_id", "sim")
+    best hit whatever it is (the reference's n+1-then-skip-first rule). Queries and table are packed into
+    blocks and written once; each pair of a partition of query blocks and one of table blocks is a task that reads both from
+    the shared folder (a cartesian product: no vector is exchanged) and hands on a query's best rows of the whole
+    table partition, packed by a hash of the query's id. Nothing passes through the driver."""
+    spark = queries.sparkSession
+    keep, own = (n if drop == "self" else n + 1), drop == "self"
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = _blocks_of(queries, id_col, vec_col, block)
+    same = queries is table and block == table_block
+    t = q if same else _blocks_of(table, id_col, vec_col, table_block)
+    q_kind, t_kind = (np.float32 if isinstance(x.schema[vec_col].dataType.elementType, T.FloatType) else np.float64 for x in (queries, table))
+
+    def search(batches):
+        at, qid, a, best = None, None, None, None
+
+        def flush():
+            row, sim, nbr = best
+            ids = qid[row]
+            part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(slices)
+            order = np.argsort(part, kind="stable")
+            start = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]) if len(order) else np.zeros(0, np.int64)
+            pieces = np.split(order, start[1:]) if len(order) else []
+            cols = [pa.array(part[order][start].astype(np.int32), pa.int32()), pa.array([len(x) for x in pieces], pa.int32())]
+            cols += [pa.array([_planes(v[x]) for x in pieces], pa.binary()) for v in (ids, nbr, sim)]
+            return pa.RecordBatch.from_arrays(cols, ["slice", "n", "q", "nbr", "sim"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column("block")[i].as_py()
+                if number != at:
+                    if at is not None:
+                        yield flush()
+                    at, (qid, a) = number, _unit(batch.column("ids")[i].as_py(), batch.column("vecs")[i].as_py(), q_kind)
+                    best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+                names, b = _unit(batch.column("t_ids")[i].as_py(), batch.column("t_vecs")[i].as_py(), t_kind)
+                best = _meet(qid, a, names, b, best, keep, own)
+        if at is not None:
+            yield flush()
+
+    def rank(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        size = [*pdf["n"]]
+        qid, nbr, sim = (_values(pdf[c], size, kind) for c, kind in (("q", np.int64), ("nbr", np.int64), ("sim", np.float64)))
+        qid, sim, nbr, place = _leading(qid, sim, nbr, keep)
+        first = 0 if own else 1
+        there = place >= first
+        return pd.DataFrame({"qid": qid[there], "rank": (place[there] + 1 - first).astype(np.int32), "nbr_id": nbr[there], "sim": sim[there]})
+
+    pairs = q.crossJoin(t.select(F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs")).hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(search, "slice int, n int, q binary, nbr binary, sim binary")
+    return found.groupBy("slice").applyInPandas(rank, "qid long, rank int, nbr_id long, sim double")
 
 
 def cosine_drift(a: DataFrame, b: DataFrame, key: str, vec_a: str, vec_b: str, by: str | None = None) -> DataFrame:

@@ -16,6 +16,25 @@ def test_cosine_knn_exact(spark):
         assert [got[(q, k + 1)] for k in range(5)] == list(order)
 
 
+def test_cosine_knn_exchanges_hits_and_no_vectors(spark):
+    rng = np.random.default_rng(4)
+    m = rng.integers(-2, 3, size=(200, 4)).astype(np.float32) + np.float32(0.25)  # many ties, some at the last place
+    df = spark.createDataFrame([(i * 3, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
+    out = vx.cosine_knn(df, df, 4, block=16, table_block=32)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r["qid"], r["rank"]): (r["nbr_id"], r["sim"]) for r in out.collect()}
+    first = {(r["qid"], r["rank"]): r["sim"] for r in vx.cosine_knn(df, df, 4, drop="first").collect()}
+    x = m.astype(np.float64)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = x @ x.T
+    for q in range(200):
+        want = np.sort(np.delete(sims[q], q))[::-1][:4]
+        assert np.allclose([got[(q * 3, k + 1)][1] for k in range(4)], want) and q * 3 not in [got[(q * 3, k + 1)][0] for k in range(4)]
+        assert np.allclose([first[(q * 3, k + 1)] for k in range(4)], np.sort(sims[q])[::-1][1:5])
+    assert len(got) == len(first) == 800
+
+
 def test_pool_mean_and_norms(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [3.0, 4.0])], "vec_id long, label int, embedding array<double>")
     pm = {r["dim"]: r["value"] for r in vx.pool_mean(df, "label", "embedding").collect()}
