@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.session import ensure_checkpoint_dir
+from corpuslab.session import dropped, ensure_checkpoint_dir, written
 
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("activation", T.StringType()),
@@ -196,12 +196,12 @@ def export_top(df: DataFrame, path: str, n: int, by: list[str]) -> None:
 
 
 def write_generations(gen: DataFrame, path: str, partition_by: str = "run") -> None:
-    """Dual sink (CSV with quoted multi-line text + JSONL) from one cached DataFrame, each
-    written once - not rewritten per record."""
-    gen = gen.cache()
+    """Dual sink (CSV with quoted multi-line text + JSONL) from one DataFrame, which is written as Parquet (equal texts
+    shrink there) until both are done; each sink is written once - not rewritten per record."""
+    gen = written(gen)
     gen.write.mode("overwrite").partitionBy(partition_by).option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/csv")
     gen.write.mode("overwrite").partitionBy(partition_by).json(f"{path}/jsonl")
-    gen.unpersist()
+    dropped(gen)
 
 
 def ols_report_json(spark: SparkSession, fit: dict, path: str) -> None:

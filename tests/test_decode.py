@@ -115,3 +115,41 @@ def test_no_window_holds_the_rows_of_a_context(spark):
         specs = re.findall(r"windowspecdefinition\(ctx#[^)]*\)", plan)
         assert all("_pid" in x for x in specs)  # over one count a partition, not over the context's rows
     assert abs(dc.cum_prob(c).where("ctx = 1").agg(F.max("cum")).first()[0] - 1) < 1e-9
+
+
+def test_greedy_chains_are_followed_once_a_last_token_and_hot_ones_are_spread(spark):
+    from corpuslab.operators.ranking import spread_join
+
+    cands = dc.candidates_from_counts(spark.createDataFrame([(c, (c * 7 + j) % 30 + 1, 1 + (c + j) % 3) for c in range(1, 25) for j in range(4)], "ctx int, nxt int, n long"))
+    prompts = spark.range(600).select(F.col("id").alias("pid"), F.when(F.col("id") % 3 > 0, 4).otherwise(F.col("id") % 29).cast("int").alias("ctx"))
+    out = dc.generate(prompts, cands, 5, "greedy")
+    got = {(r["pid"], r["step"]): r["token"] for r in out.collect()}
+    best = {r["ctx"]: r["nxt"] for r in dc.greedy(cands).collect()}
+    for r in prompts.collect():
+        at = r["ctx"]
+        for step in range(1, 6):
+            at = best.get(at, 1)
+            assert got[(r["pid"], step)] == at
+    assert len(got) == 3000
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(29)], "ctx int, name string")
+    joined = spread_join(prompts, names, "ctx", "pid", limit=10)
+    assert sorted(joined.columns) == ["ctx", "name", "pid"] and {(r["pid"], r["name"]) for r in joined.collect()} == {(r["pid"], f"n{r['ctx']}") for r in prompts.collect()}
+    assert joined.count() == 600
+
+
+def test_rendering_broadcasts_no_vocabulary_and_frees_its_tokens(spark, monkeypatch):
+    from corpuslab.operators import vectors as vx
+    from corpuslab.plans import q_sources, views
+
+    asked, sizes, real = [], [], q_sources.broadcast_if_small
+    monkeypatch.setattr(q_sources, "broadcast_if_small", lambda df, *a, **k: sizes.append((df.columns, df.count())) or real(df, *a, **k))
+    knn = vx.cosine_knn
+    monkeypatch.setattr(vx, "cosine_knn", lambda q, *a, **k: asked.append(q.count()) or knn(q, *a, **k))
+    sf = "/root/testdata/sf0.001"
+    spark.catalog.clearCache()
+    out = q_sources.render_annotated(spark, sf)
+    tokens = views.vocab(spark, sf).count()
+    assert sizes and all(n < tokens for _, n in sizes)  # only words that are asked for
+    assert asked[0] < spark.read.parquet(f"{sf}/embeddings.parquet").count()  # only generated tokens have their neighbours searched
+    assert out.count() == views.documents(spark, sf).count()
+    spark.catalog.clearCache()
