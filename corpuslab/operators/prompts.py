@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators import grams
-from corpuslab.operators.grams import _NO_DOC, CHUNK, SLICE, _heads, _planes, _slice_of, _values
+from corpuslab.operators.grams import _NO_DOC, CHUNK, SLICE, _distinct, _heads, _planes, _slice_of, _values
 from corpuslab.session import dropped, small_batches, written
 
 HEAVY = 1_000_000  # tokens of one context's prompts that a slice takes
@@ -117,7 +117,8 @@ def counted(ids: DataFrame) -> Successors:
         return _sealed(key, ctx, nxt, np.log(n.astype(np.float64)))  # merged grams are distinct
 
     dealt = grams.pairs(ids.select(F.lit(0).alias("doc_id"), F.lit("train").alias("split"), "ids"), slices)
-    return Successors(written(dealt.groupBy("slice").applyInPandas(seal, _SUCC)), slices)
+    with small_batches(ids.sparkSession):
+        return Successors(written(dealt.groupBy("slice").applyInPandas(seal, _SUCC)), slices)
 
 
 def _met(cands, prompts: DataFrame, state: DataFrame) -> Successors:
@@ -354,7 +355,7 @@ class _Prompts:
         s, row = self.made.shape[1], np.repeat(np.arange(len(self.size)), self.size)
         there = self.at > self.length[row] + s - context
         late = self.made[:, max(0, s - context) :]
-        key = np.unique(np.r_[(row[there] << 32) | self.own[there], ((np.arange(len(late))[:, None] << 32) | late).reshape(-1)].astype(np.int64))
+        key = _distinct(np.r_[(row[there] << 32) | self.own[there], ((np.arange(len(late))[:, None] << 32) | late).reshape(-1)].astype(np.int64))
         return key & 0xFFFFFFFF, np.bincount(key >> 32, minlength=len(self.size))
 
     def moved(self, token: np.ndarray, track: bool) -> _Prompts:
@@ -387,7 +388,7 @@ def packed(prompts: DataFrame, positions: bool = False) -> DataFrame:
                 last = np.append(key[order][1:] != key[order][:-1], True) if len(key) else np.zeros(0, bool)
                 at, key = flat("at")[order][last], key[order][last]
             else:
-                at, key = None, np.unique(key)
+                at, key = None, _distinct(key)
             n, pid = len(size), np.concatenate([x.column("pid").fill_null(_NO_DOC).to_numpy(zero_copy_only=False) for x in held])
             length = get("length").astype(np.int32) if positions else np.zeros(n, np.int32)
             made = _Prompts(pid.astype(np.int64), get("ctx").astype(np.int32), np.bincount(key >> 32, minlength=n), length, (key & 0xFFFFFFFF).astype(np.int32), at, np.zeros((n, 0), np.int32))
@@ -501,7 +502,8 @@ def generate(prompts: DataFrame, cands: DataFrame | Successors, steps: int, top_
                 yield pd.DataFrame({"pid": np.repeat(p.pid, n), "token": p.made.reshape(-1), "step": np.tile(np.arange(1, n + 1, dtype=np.int32), len(p.pid))})
 
     for step in range(1, steps + 1):
-        state, old = written(meet(state, succ, step_of(step), _STATE, context)), state
+        with small_batches(state.sparkSession):
+            state, old = written(meet(state, succ, step_of(step), _STATE, context)), state
         dropped(old)
         state.sparkSession._jvm.System.gc()  # else a step's shuffle files stay until the driver's heap is full
     dropped(succ.table)

@@ -65,3 +65,17 @@ def test_pluggable_tokenizer_matches_jvm(spark):
     a = {r["doc_id"]: list(r["toks"]) for r in tt.token_arrays(docs).collect()}
     b = {r["doc_id"]: list(r["toks"]) for r in tt.tokenize_with(docs, tt.regex_tokenizer).collect()}
     assert a == b
+
+
+def test_tokens_are_counted_without_a_row_a_token(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslab.operators import text as tt
+
+    lines = [("a b a",), ("",), (None,), ("b",), ("é a",)]
+    df = spark.createDataFrame(lines, "line string").repartition(2)
+    assert {(r["t"], r["c"]) for r in tt.count_tokens(df).collect()} == {("a", 3), ("b", 2), ("é", 1)}
+    plain = df.select(F.explode(F.split("line", " ")).alias("t")).where("t <> ''")
+    key = lambda v: sorted(tuple(r) for r in v.collect())
+    assert key(tt.ranked_vocab(tt.count_tokens(df))) == key(tt.build_vocab(plain))
+    assert tt.count_tokens(df.where("false")).count() == 0
