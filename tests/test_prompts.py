@@ -75,3 +75,25 @@ def test_merged_pairs_come_once_a_slice(spark):
     held = grams.held(grams.pairs(ids, 4, (None, 4), by_doc=True), 1, (None, 4))
     plain = grams.held(grams.deal(ids, 1, 4, (None, 4), by_doc=True), 1, (None, 4))
     assert Counter(tuple(r) for r in held.collect()) == Counter(tuple(r) for r in plain.collect())
+
+
+def test_heavy_contexts_go_into_pieces_and_score_the_same(spark, monkeypatch):
+    from corpuslab.plans import q_lm
+
+    texts = [[1, 2, 3 + i % 7, 1, 2, 4, i % 5 + 1, 1, 2] * 2 for i in range(40)]
+    ids = _docs(spark, texts).withColumn("split", F.when(F.col("doc_id") % 4 == 0, "val").otherwise("train")).withColumn("lang", F.lit("x"))
+    key = lambda df: sorted(tuple(r[c] for c in ("k", "block", "n", "C", "m")) for r in df.collect())
+    for blocks in ((None,), (4, 6)):
+        plain = [grams.held(grams.deal(ids, k, 5, blocks), k, blocks).groupBy("k", "block", "n", "C").agg(F.sum("m").alias("m")) for k in q_lm.SWEEP_K]
+        want = sorted(x for p in plain for x in key(p))
+        merge = lambda rows: sorted((*k, m) for k, m in sum((Counter({r[:4]: r[4]}) for r in rows), Counter()).items())
+        one = grams.pairs(ids, 5, blocks)
+        hot = grams.heavy(one, len(blocks), least=30)
+        assert (1 << 32) | 2 in hot[0].tolist() and hot[1].max() > 1
+        real = grams.heavy
+        monkeypatch.setattr(grams, "heavy", lambda *a: real(*a, least=30))
+        monkeypatch.setattr(grams, "slices_for", lambda ids: 5)
+        assert merge(key(q_lm._sweep_rows(ids, blocks))) == want
+        monkeypatch.undo()
+        dealt = grams.deal(ids, 3, 5, blocks, by=2, hot=hot).collect()
+        assert len({r["slice"] for r in dealt}) > 1
