@@ -71,3 +71,15 @@ def test_hot_last_tokens_and_rare_counts_give_the_same_scores(spark, monkeypatch
     monkeypatch.setattr(cm.grams, "CHUNK", 100)
     monkeypatch.setattr(cm, "HEAD", 3)
     assert key(cm.score(model, asked, ["g"])) == whole and sum(r[4] for r in whole) == len(rows)
+
+
+def test_training_pairs_are_merged_before_a_slice_of_last_tokens_holds_them(spark, monkeypatch):
+    taken = []
+    real = cm.grams.counts
+    monkeypatch.setattr(cm.grams, "counts", lambda dealt, k: taken.append((k, dealt)) or real(dealt, k))
+    rows = [([1, 1 + i % 2], 1 + i % 3) for i in range(600)]
+    train = spark.createDataFrame(rows, "ctx_arr array<int>, nxt int").repartition(4)
+    model = cm.fit(train, 2, 5, max_iter=1)
+    pairs = [d for k, d in taken if k == 1][0]
+    assert pairs.agg(F.sum("n")).first()[0] == 6  # each pair once, not once for each task that saw it
+    assert {(r["last"], r["nxt"]): r["n"] for r in model.pairs.collect()} == {(1 + i % 2, 1 + i % 3): 100 for i in range(6)}
