@@ -83,3 +83,23 @@ def test_training_pairs_are_merged_before_a_slice_of_last_tokens_holds_them(spar
     pairs = [d for k, d in taken if k == 1][0]
     assert pairs.agg(F.sum("n")).first()[0] == 6  # each pair once, not once for each task that saw it
     assert {(r["last"], r["nxt"]): r["n"] for r in model.pairs.collect()} == {(1 + i % 2, 1 + i % 3): 100 for i in range(6)}
+
+
+def test_counts_of_frequent_tokens_reach_the_driver_packed(spark):
+    tokens = spark.range(1, 5001).select(F.col("id").cast("int").alias("nxt"), (F.col("id") * 3).alias("c")).repartition(3)
+    rows = list(cm._collected(tokens))
+    assert len(rows) == 3  # one a batch, not one a token
+    got = {}
+    for r in rows:
+        got.update(zip(cm.grams._values([r["nxt"]], [r["n"]], np.int32).tolist(), cm.grams._values([r["c"]], [r["n"]], np.int64).tolist()))
+    assert got == {i: 3 * i for i in range(1, 5001)}
+
+
+def test_a_slice_is_scored_in_parts(spark, monkeypatch):
+    rows = [([i % 7, 1 + i % 3], 1 + (i * i) % 11) for i in range(400)]
+    train = spark.createDataFrame(rows, "ctx_arr array<int>, nxt int")
+    model = cm.fit(train, 2, 12, max_iter=1)
+    key = lambda: sorted((r["c0"], r["c1"], r["nxt"], r["m"], round(r["p"], 12), r["hit"]) for r in cm.score(model, train).collect())
+    whole = key()
+    monkeypatch.setattr(cm, "SCORED", 10)
+    assert key() == whole and sum(r[3] for r in whole) == 400
